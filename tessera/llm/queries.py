@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, language_model, packing
+from tessera.llm import decontamination, language_model, neighbours, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_model_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_block_matrix_neighbours": op1_block_matrix_neighbours,
         "op3_language_model_scoring": op3_language_model_scoring,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
@@ -41,4 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": decontamination.SQL}
+    return {
+        "op1_block_matrix_neighbours": neighbours.SQL,
+        "op6_benchmark_decontamination": decontamination.SQL,
+    }
