@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -35,9 +36,9 @@ END_ID = 1
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long"
 
-# Latin letters whose lower case and canonical composition are one code point and which the
-# tokenizer's own pattern keeps together; anything else goes through the tokenizer whole.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+# Latin letters whose lower case and canonical composition are one code point and which the tokenizer's own
+# pattern keeps together, and a run of signs (no apostrophe); anything else goes through the tokenizer whole.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _visible_bytes() -> list[str]:
@@ -53,36 +54,27 @@ class TokenIds(dict):
     The tokenizer cuts at white space before anything else, so a text's ids are those of its parts.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.keep, self.old = self.tokenizer.model, keep, {}
-        self.letters: dict[str, bytes] = {}
+        self.bpe, self.keep, self.old = self.tokenizer.model.tokenize, keep, {}
         self.shown = _visible_bytes()
 
-    def whole(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def word(self, word: str) -> bytes:
-        ids = self.letters.get(word)
-        if ids is None:
-            if len(self.letters) >= self.keep:
-                self.letters.clear()
-            seen = word if word.isascii() else "".join(self.shown[b] for b in word.encode())
-            ids = self.letters[word] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
-        return ids
-
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
         if ids is None:
-            if m := _PLAIN.fullmatch(part):
-                ids = self.word(m[1].lower()) + (self[m[2]] if m[2] and m[1] else b"")
+            m = _PLAIN.fullmatch(part)
+            if not m:
+                ids = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+            elif m[2]:
+                ids = self[m[1]] + self[m[2]]
             else:
-                ids = self.whole(part)
+                seen = part if part.isascii() else "".join([self.shown[b] for b in part.encode()])
+                ids = array("I", [t.id for t in self.bpe(seen)]).tobytes()
         if len(self) >= self.keep:
             self.old = dict(self)
             self.clear()
@@ -90,7 +82,14 @@ class TokenIds(dict):
         return ids
 
     def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        if not text:
+            return b""
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # on these code points just what the tokenizer's normaliser does
+        except UnicodeEncodeError:
+            pass
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _tokenizers: dict[str, TokenIds] = {}
