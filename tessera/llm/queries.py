@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, language_model, neighbours, packing
+from tessera.llm import decontamination, language_model, neighbours, packing, personal_data
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +36,17 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.spans(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_block_matrix_neighbours": op1_block_matrix_neighbours,
         "op3_language_model_scoring": op3_language_model_scoring,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "op9_personal_data": op9_personal_data,
     }
 
 
