@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, language_model, neighbours, packing, personal_data
+from tessera.llm import decontamination, html_text, language_model, neighbours, packing, personal_data
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.spans(_table(spark, sf_dir, "documents")))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_model_scoring": op3_language_model_scoring,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "op8_html_main_text": op8_html_main_text,
         "op9_personal_data": op9_personal_data,
     }
 
