@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, html_text, language_model, neighbours, packing, personal_data
+from tessera.llm import decontamination, html_text, language_id, language_model, near_duplicates, neighbours, packing, personal_data
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.joined(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_model_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(_table(spark, sf_dir, "documents"))
 
@@ -44,19 +48,33 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.spans(_table(spark, sf_dir, "documents")))
 
 
+def op10_language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identified(language_id.of_documents(_table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def llm_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identified(language_id.of_pages(_table(spark, sf_dir, "pages")))
+    return found.withColumnRenamed("id", "page_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_block_matrix_neighbours": op1_block_matrix_neighbours,
+        "op2_signature_tree_join": op2_signature_tree_join,
         "op3_language_model_scoring": op3_language_model_scoring,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op8_html_main_text": op8_html_main_text,
         "op9_personal_data": op9_personal_data,
+        "op10_language_identification": op10_language_identification,
+        "llm_page_language": llm_page_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_block_matrix_neighbours": neighbours.SQL,
+        "op2_signature_tree_join": near_duplicates.SQL,
         "op6_benchmark_decontamination": decontamination.SQL,
     }
