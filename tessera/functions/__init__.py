@@ -1 +1 @@
-"""See the README for what this part holds."""
+"""Column expressions; none of them needs Python on the executors."""

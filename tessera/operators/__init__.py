@@ -1 +1 @@
-"""See the README for what this part holds."""
+"""Operators on DataFrames, parameterised by column names."""

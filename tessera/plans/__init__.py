@@ -1 +1 @@
-"""See the README for what this part holds."""
+"""Query plans: operators bound to the tables at hand, each beside the same in ANSI SQL."""

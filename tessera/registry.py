@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import bindings, panels, sequences, tables  # noqa: F401  registering
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(bindings.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(bindings.SQL)
