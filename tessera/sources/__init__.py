@@ -1 +1 @@
-"""See the README for what this part holds."""
+"""Readers and writers of the file formats that sequence panels come in."""
