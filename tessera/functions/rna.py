@@ -26,9 +26,15 @@ def gc_fraction(s: Column) -> Column:
     return F.when(F.length(s) > 0, count_of(s, "GC") / F.length(s)).otherwise(0.0)
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body (lambdas included) reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kmers(s: Column, k: int) -> Column:
-    """All overlapping k-mers, in order."""
-    return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: s.substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All overlapping k-mers, in order; in time proportional to the length, which substrings by position are not."""
+    of = bound(F.split(s, ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - k), lambda i: F.concat(*(F.get(c, i + j) for j in range(k)))))
+    return F.when(F.length(s) >= k, of).otherwise(F.array().cast("array<string>"))
 
 
 def motif(s: Column) -> Column:
@@ -69,13 +75,18 @@ def sites(s: Column) -> Column:
 
 def top_fraction(s: Column, pieces: list[str], k: int) -> Column:
     """Share of the most frequent of the given overlapping k-mers."""
-    of = kmers(s, k)
+    if k == 1:
+        most = F.array_max(F.array(*(count_of(s, p) for p in pieces)))
+    else:
+
+        def counted(of: Column) -> Column:
+            def times(piece: str) -> Column:
+                return F.size(F.filter(of, lambda x: x == piece))
 
-    def times(piece: str) -> Column:
-        return count_of(s, piece) if k == 1 else F.size(F.filter(of, lambda x: x == piece))
+            return F.array_max(F.array(*map(times, pieces)))
 
-    counts = F.array(*map(times, pieces))
-    return F.try_divide(F.array_max(counts), F.length(s) - (k - 1))
+        most = bound(kmers(s, k), counted)
+    return F.try_divide(most, F.length(s) - (k - 1))
 
 
 def unique_ratio(s: Column, k: int = 3) -> Column:
