@@ -6,13 +6,14 @@ with a linked class (a similarity of s leaves at most a share 1-s of a set unsha
 their prefix shingles. The order puts shingles that a bounded sample of documents shows to be frequent last; any order
 gives the same links.
 
-1. Each class is paired with the least class in the buckets of its first few shingles, and the pairs are verified.
-   This links groups of near copies with a number of pairs in proportion to their members.
-2. Buckets whose classes are all linked already hold nothing more. In each other bucket a signature tree gives, for
-   every class and every other component, the most similar candidate. These are verified, components are formed anew.
-3. As 2, with every candidate that the dual traversal can't exclude. So no link between components is lost.
-
-Verification is exact, on shingle sets taken again from the texts of just the documents concerned.
+1. In each bucket a signature tree finds the pairs that may link. A forest of them is kept: pairs already connected
+   through others are pruned with whole nodes, so a bucket gives fewer pairs than it has classes.
+2. The components of these pairs are families: no link leaves one. Each class of a family brings its shingle set once;
+   the dual traversal runs again, and pairs not yet linked through others are compared exactly.
+3. The components of the links are the result.
+
+Large buckets and families are cut into parts, and every two parts meet in a task of their own, so no task holds more
+than two parts; each pair meets in at least one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -36,8 +36,8 @@ from tessera.staging import staged
 WORDS, PERCENT = 5, 80
 #: Documents in the sample that shows which shingles are frequent, how often one must occur there, and how many are kept.
 SAMPLE, OFTEN, FREQUENT = 4000, 3, 1 << 17
-LEADS = 4  # shingles of each class in step 1
-BUCKET = 2048  # classes of a bucket in one part
+#: Classes of a bucket in one part, shingles of a family in one part, and sets that are tried without a tree.
+BUCKET, VOLUME, FEW = 2048, 500_000, 12
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -97,83 +97,134 @@ def described(docs: DataFrame, often, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "row long, doc_id long, n long, digest binary, signature binary, prefix binary")
 
 
-def _tokens(classes: DataFrame, most: int | None = None, among=None) -> DataFrame:
-    """(token, row, label) for the first ``most`` prefix shingles, or those that a filter may hold."""
+def _tokens(classes: DataFrame, among=None) -> DataFrame:
+    """(token, row) for the prefix shingles, or for those that a filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, labels, prefixes = (batch.column(i) for i in range(3))
-            parts = [np.frombuffer(p, np.int64)[:most] for p in prefixes.to_pylist()]
+            rows, parts = batch.column(0), [np.frombuffer(p, np.int64) for p in batch.column(1).to_pylist()]
             if not parts:
                 continue
-            number = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            token = np.concatenate(parts)
+            number, token = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts)
             if among is not None:
                 ok = bloom.may_hold(among.value, token)
                 token, number = token[ok], number[ok]
-            columns = [pa.array(token), pa.array(rows.to_numpy()[number]), pa.array(labels.to_numpy()[number])]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "row", "label"])
-
-    return classes.select("row", "label", "prefix").mapInArrow(run, "token long, row long, label long")
-
-
-def _led(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each class with the least class in the buckets of its first shingles."""
-    first = _tokens(classes.withColumn("label", F.col("row")), LEADS).select("token", "row")
-    least = first.groupBy("token").agg(F.min("row").alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
-    return first.join(least, "token").where("row > a").select("a", F.col("row").alias("b")).distinct()
-
-
-def _traversed(classes: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of classes in different components that signature trees can't exclude."""
-    spark = classes.sparkSession
-    ends = _tokens(classes).groupBy("token").agg(F.min("label").alias("first"), F.max("label").alias("last"))
-    open_tokens = staged(ends.where("first < last").select("token"), "open-tokens")
-    among = spark.sparkContext.broadcast(bloom.built(open_tokens))
-    members = staged(_tokens(classes, among=among).join(open_tokens, "token"), "open-buckets")
-    # buckets with the same members need one traversal
-    buckets = members.groupBy("token").agg(F.count("*").alias("many"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("who"))
-    one = buckets.groupBy("many", "who").agg(F.min("token").alias("token"))
-    parts = F.ceil(F.col("many") / BUCKET).cast("int")
-    mine = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    placed = members.join(one.select("token", parts.alias("parts")), "token").withColumn("mine", mine)
-    # a large bucket is cut into parts, and every two parts meet
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "row", "label")
-    full = placed.join(classes.select("row", "n", "signature"), "row")
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, labels, sizes, marks = pdf["row"].to_numpy(), pdf["label"].to_numpy(), pdf["n"].to_numpy(), pdf["signature"].tolist()
-        i, j = candidates(sizes, marks, labels, percent)
-        if not every and len(i):
-            near = np.abs(sizes[i] - sizes[j]) + [_apart(marks[x], marks[y]) for x, y in zip(i, j, strict=True)]
-            order = np.lexsort((rows[j], rows[i], near))
-            i, j = i[order], j[order]
-            keep = np.zeros(len(i), bool)
-            for x, y in ((i, j), (j, i)):
-                _, at = np.unique(np.stack([rows[x], labels[y]]), axis=1, return_index=True)
-                keep[at] = True
-            i, j = i[keep], j[keep]
-        a, b = np.minimum(rows[i], rows[j]), np.maximum(rows[i], rows[j])
-        return pd.DataFrame({"a": a, "b": b})
-
-    return full.groupBy("token", "i", "j").applyInPandas(pairs, "a long, b long").distinct()
-
-
-def _apart(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    x, y = (np.bitwise_or.reduce(np.frombuffer(s, np.uint64).reshape(-1, n // 8), axis=0) for s in (a, b))
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs that link."""
-    spark = docs.sparkSession
-    thin = classes.select("row", "n", "digest")
-    named = pairs.join(thin.toDF("a", "na", "da"), "a").join(thin.toDF("b", "nb", "db"), "b")
-    named = staged(named.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))), "pairs")
-    needed = named.select(F.col("a").alias("row")).unionByName(named.select(F.col("b").alias("row"))).distinct()
-    ids = spark.sparkContext.broadcast(bloom.built(needed.join(classes.select("row", "doc_id"), "row").select(F.coalesce("doc_id", F.lit(0)))))
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(rows.to_numpy()[number])], names=["token", "row"])
+
+    return classes.select("row", "prefix").mapInArrow(run, "token long, row long")
+
+
+class Forest(dict):
+    """Disjoint sets; the root of a set is its least row."""
+
+    def root(self, x: int) -> int:
+        at = x
+        while (up := self.get(at, at)) != at:
+            at = up
+        while (up := self.get(x, x)) != at:
+            self[x] = at
+            x = up
+        return at
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
+    """Groups of rows with equal first ``keys`` columns, of batches sorted by them; each column as a list."""
+    held: list[list] | None = None
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        ids, at, n = list(zip(*columns[:keys], strict=True)), 0, batch.num_rows
+        while at < n:
+            end = at + 1
+            while end < n and ids[end] == ids[at]:
+                end += 1
+            group = [c[at:end] for c in columns]
+            if held and tuple(c[0] for c in held[:keys]) == ids[at]:
+                held = [a + b for a, b in zip(held, group, strict=True)]
+            else:
+                if held:
+                    yield held
+                held = group
+            at = end
+    if held:
+        yield held
+
+
+def _may_link(na: int, a: bytes, nb: int, b: bytes, percent: int) -> bool:
+    """The bound of a signature tree for two sets, without a tree."""
+    if 100 * min(na, nb) < percent * max(na, nb):
+        return False
+    x, y, n = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * min(len(a), len(b))
+    while x.bit_length() > n or y.bit_length() > n:
+        x, y = (x & ((1 << n) - 1)) | (x >> n), (y & ((1 << n) - 1)) | (y >> n)
+    overlap = min(na - (x & ~y).bit_count(), nb - (y & ~x).bit_count())
+    return (100 + percent) * overlap >= percent * (na + nb)
+
+
+def _likely(rows: list[int], sizes: list[int], marks: list[bytes], forest: Forest, percent: int) -> Iterator[tuple[int, int]]:
+    """Positions of the pairs, not connected before this call, that may link; few sets are tried directly."""
+    if len(rows) <= FEW:
+        for i in range(len(rows)):
+            for j in range(i):
+                if forest.root(rows[i]) != forest.root(rows[j]) and _may_link(sizes[i], marks[i], sizes[j], marks[j], percent):
+                    yield i, j
+    else:
+        roots = np.array([forest.root(r) for r in rows])
+        if (roots != roots[0]).any():
+            i, j = candidates(np.array(sizes), marks, roots, percent)
+            yield from zip(i.tolist(), j.tolist(), strict=True)
+
+
+def _parted(df: DataFrame, parts: F.Column) -> DataFrame:
+    """Rows at each meeting (i, j) of their part with another."""
+    cut = df.withColumn("_of", F.greatest(parts, F.lit(1)).cast("int")).withColumn("_mine", F.pmod(F.xxhash64("row"), F.col("_of")).cast("int"))
+    met = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    return met.withColumn("i", F.least("_mine", "_other")).withColumn("j", F.greatest("_mine", "_other")).drop("_mine", "_other")
+
+
+def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a forest of the pairs that may link."""
+    members = F.col("row").cast("decimal(20,0)")
+    buckets = _tokens(classes).groupBy("token").agg(F.count("*").alias("many"), F.min("row").alias("least"), F.sum(members).alias("who"))
+    buckets = buckets.where("many > 1").groupBy("many", "least", "who").agg(F.min("token").alias("token"))  # like members, one traversal
+    buckets = staged(buckets.select("token", "many", "least"), "buckets")
+    among = classes.sparkSession.sparkContext.broadcast(bloom.built(buckets.select("token")))
+    placed = _parted(_tokens(classes, among).join(buckets, "token"), F.ceil(F.col("many") / BUCKET))
+    # small buckets with the same least class mostly hold one family, and share what is connected
+    home = F.when(F.col("_of") == 1, F.xxhash64("least")).otherwise(F.xxhash64("token", "i", "j"))
+    full = placed.select("token", "i", "j", "row", home.alias("home")).join(classes.select("row", "n", "signature"), "row")
+    laid = full.select("home", "token", "i", "j", "row", "n", "signature").repartition("home").sortWithinPartitions("home", "token", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, home, out = Forest(), None, []
+        for group in _grouped(batches, 4):
+            if group[0][0] != home:
+                home = group[0][0]
+                forest.clear()
+            rows = group[4]
+            out += [(rows[i], rows[j]) for i, j in _likely(rows, group[5], group[6], forest, percent) if forest.join(rows[i], rows[j])]
+            if len(out) > 50_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
+
+    return laid.mapInArrow(run, "a long, b long")
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): a forest of the links, found within the components of the candidate pairs."""
+    family = components(pairs).withColumnRenamed("node", "row")
+    family = staged(family.join(classes.select("row", "doc_id", "n", "digest"), "row"), "families")
+    ids = docs.sparkSession.sparkContext.broadcast(bloom.built(family.select(F.coalesce("doc_id", F.lit(0)))))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,31 +234,27 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
                 columns = [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["digest", "members"])
 
-    wanted = named.select(F.col("da").alias("digest")).unionByName(named.select(F.col("db").alias("digest"))).distinct()
-    sets = docs.mapInArrow(again, "digest binary, members binary").join(wanted, "digest", "left_semi")
-    # one copy of each set is enough
-    sets = staged(sets.groupBy("digest").agg(F.min("members").alias("members")), "sets")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
-            keep = []
-            for p, q in zip(x, y, strict=True):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append((100 + percent) * both >= percent * (len(p) + len(q)))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
-
-    full = named.select("a", "b", "da", "db").join(sets.toDF("da", "x"), "da").select("a", "b", "db", "x").join(sets.toDF("db", "y"), "db")
-    return staged(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
-
+    size = family.groupBy("label").agg(F.sum("n").alias("_total"))
+    placed = _parted(family.join(size, "label"), F.ceil(F.col("_total") / VOLUME)).select("digest", "label", "i", "j", "row")
+    full = docs.mapInArrow(again, "digest binary, members binary").join(placed, "digest")
+    laid = full.select("label", "i", "j", "row", "members").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "row")
 
-def _labelled(classes: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return classes.withColumn("label", F.col("row"))
-    found = components(links)
-    return classes.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, 3):
+            sets = {r: np.frombuffer(m, np.uint64) for r, m in zip(group[3], group[4], strict=True)}  # a row may come twice
+            rows, own = list(sets), list(sets.values())
+            sizes, marks, forest, out = [len(s) for s in own], [signature(s) for s in own], Forest(), []
+            for i, j in _likely(rows, sizes, marks, forest, percent):
+                if forest.root(rows[i]) != forest.root(rows[j]):
+                    x, y = (own[i], own[j]) if sizes[i] < sizes[j] else (own[j], own[i])
+                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    if (100 + percent) * both >= percent * (sizes[i] + sizes[j]):
+                        forest.join(rows[i], rows[j])
+                        out.append((rows[i], rows[j]))
+            if out:
+                yield _edges(out)
+
+    return laid.mapInArrow(run, "a long, b long")
 
 
 def joined(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -223,11 +270,9 @@ def joined(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
     thin = all_rows.select("row", "doc_id", "n", "digest")
     reps = thin.where("n > 0").groupBy("digest").agg(F.min("row").alias("row"))
     classes = staged(all_rows.join(reps.select("row"), "row", "left_semi"), "classes")
-    links = _verified(_led(classes), classes, docs, k, percent)
-    for every in (False, True):
-        labelled = staged(_labelled(classes, links).select("row", "label", "n", "signature", "prefix"), "labelled")
-        links = staged(links.unionByName(_verified(_traversed(labelled, percent, every), classes, docs, k, percent)), "all-links")
-    labels = _labelled(reps, links)
+    links = _links(_candidates(classes, percent), classes, docs, k, percent)
+    found = components(links).withColumnRenamed("node", "row")
+    labels = reps.join(found, "row", "left").withColumn("label", F.coalesce("label", "row"))
     members = thin.join(labels.select("digest", "label"), "digest", "left").withColumn("label", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("row")))
     least = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return members.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

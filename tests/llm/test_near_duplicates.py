@@ -53,9 +53,11 @@ def corpus(seed):
     return [(i * 3 % 1009, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize(("seed", "bucket"), [(1, 2048), (2, 3)])
-def test_against_brute_force(spark, monkeypatch, seed, bucket):
+@pytest.mark.parametrize(("seed", "bucket", "volume", "few"), [(1, 2048, 500_000, 12), (2, 3, 300, 1)])
+def test_against_brute_force(spark, monkeypatch, seed, bucket, volume, few):
     monkeypatch.setattr(nd, "BUCKET", bucket)
+    monkeypatch.setattr(nd, "VOLUME", volume)
+    monkeypatch.setattr(nd, "FEW", few)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, label int")
     assert sorted(tuple(r) for r in nd.joined(df).collect()) == brute(rows)
