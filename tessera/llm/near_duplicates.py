@@ -192,11 +192,13 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     members = F.col("row").cast("decimal(20,0)")
     buckets = _tokens(classes).groupBy("token").agg(F.count("*").alias("many"), F.min("row").alias("least"), F.sum(members).alias("who"))
     buckets = buckets.where("many > 1").groupBy("many", "least", "who").agg(F.min("token").alias("token"))  # like members, one traversal
-    buckets = staged(buckets.select("token", "many", "least"), "buckets")
+    # buckets with the same least class go to as many homes as their members ask for
+    homes = buckets.groupBy("least").agg(F.ceil(F.sum("many") / (2 * BUCKET)).alias("homes"))
+    buckets = staged(buckets.join(homes, "least").select("token", "many", "least", "homes"), "buckets")
     among = classes.sparkSession.sparkContext.broadcast(bloom.built(buckets.select("token")))
     placed = _parted(_tokens(classes, among).join(buckets, "token"), F.ceil(F.col("many") / BUCKET))
     # small buckets with the same least class mostly hold one family, and share what is connected
-    home = F.when(F.col("_of") == 1, F.xxhash64("least")).otherwise(F.xxhash64("token", "i", "j"))
+    home = F.when(F.col("_of") == 1, F.xxhash64("least", F.pmod(F.xxhash64("token"), "homes"))).otherwise(F.xxhash64("token", "i", "j"))
     full = placed.select("token", "i", "j", "row", home.alias("home")).join(classes.select("row", "n", "signature"), "row")
     laid = full.select("home", "token", "i", "j", "row", "n", "signature").repartition("home").sortWithinPartitions("home", "token", "i", "j")
 
