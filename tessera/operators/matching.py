@@ -109,3 +109,11 @@ def first_independent(nodes: DataFrame, edges: DataFrame, key: str, rounds: int
         state = staged(state.unionByName(new), "decided")
         left = staged(left.join(new.select("n"), "n", "left_anti"), "undecided")
     raise RuntimeError(f"not all nodes were decided in {rounds} rounds")
+
+
+def escalated(left: DataFrame, right: DataFrame, matched: DataFrame, key: str, length: str, within: dict[str, float], distance: dict[str, str], k: int, factor: float = 1.5) -> DataFrame:
+    """Matches for the rows that were left over: gates wider by ``factor``, partners at least as long as the leftovers' median, used rows excluded."""
+    rest = left.join(matched.select(F.col("a").alias(key)), key, "left_anti")
+    floor = rest.agg(F.percentile(length, 0.5).alias("_floor"))
+    free = right.join(matched.select(F.col("b").alias(key)), key, "left_anti").join(F.broadcast(floor)).where(F.col(length) >= F.col("_floor")).drop("_floor")  # one row
+    return greedy(candidates(rest, free, key, {c: w * factor for c, w in within.items()}, distance, k))

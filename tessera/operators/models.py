@@ -129,3 +129,9 @@ def null_model(df: DataFrame, key: str, seq: str, n: int, seed: int = 42) -> Dat
             yield pdf.assign(sequence=made)[["key", "shuffle", "sequence"]]
 
     return expanded.mapInPandas(run, "key string, shuffle int, sequence string")
+
+
+def balanced(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+    """As many rows of each label as the rarest has, in seeded-hash order."""
+    n = min(r["count"] for r in df.groupBy(label).count().collect())  # one row for each label
+    return distributed_index(df, [label], seed, key, "_i").where(F.col("_i") < n).drop("_i")

@@ -93,3 +93,34 @@ def near_identical(df: DataFrame, key: str, seq: str, identity: float, band: int
     n = F.least(F.length("x"), F.length("y"))
     same = F.size(F.filter(F.sequence(F.lit(1), n), lambda i: F.col("x").substr(i, F.lit(1)) == F.col("y").substr(i, F.lit(1))))
     return full.where(same >= identity * F.greatest(F.length("x"), F.length("y"))).select("a", "b")
+
+
+def clamped(df: DataFrame, pairs: DataFrame, key: str, seq: str, n: int = 2) -> DataFrame:
+    """(key, edits, clamped): the ``n`` A-U pairs farthest from the motif become G-C pairs, all at once."""
+    m = rna.motif(F.col(seq))
+    full = pairs.join(df.select(key, seq, m["start"].alias("s"), m["end"].alias("e")), key)
+    a, b = (F.col(seq).substr(F.col(x) + 1, F.lit(1)) for x in ("i", "j"))
+    away = lambda x: F.greatest(F.col("s") - F.col(x), F.col(x) - F.col("e") + 1, F.lit(0))
+    soft = full.where(((a == "A") & (b == "U")) | ((a == "U") & (b == "A"))).withColumn("d", F.least(away("i"), away("j"))).withColumn("first", a)
+    far = soft.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("d"), "i"))).where(F.col("r") <= n)
+    ends = far.select(key, F.explode(F.array(F.struct(F.col("i").alias("at"), F.translate("first", "AU", "GC").alias("base")), F.struct(F.col("j").alias("at"), F.translate("first", "AU", "CG").alias("base")))).alias("x"))
+    edits = ends.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("edits"))  # 2n at most
+    now = F.aggregate("edits", F.col(seq), lambda s, x: F.overlay(s, x["base"], x["at"] + 1))
+    return df.select(key, seq).join(edits, key).select(key, F.size("edits").alias("edits"), now.alias("clamped"))
+
+
+def similar(df: DataFrame, key: str, seq: str, k: int = 9, share: float = 0.8) -> DataFrame:
+    """(a, b), the longer first, ties by key: different sequences whose k-mer sets have a Jaccard similarity of ``share`` at least.
+
+    Two such sets share one of their first k-mers in hash order, so sequences meet on those alone.
+    """
+    classes = df.groupBy(F.col(seq).alias("_seq")).agg(F.min(key).alias("k"))
+    classes = classes.select("k", F.length("_seq").alias("len"), F.array_sort(F.array_distinct(F.transform(rna.kmers(F.col("_seq"), k), lambda x: F.xxhash64(x)))).alias("s"))
+    classes = classes.withColumn("n", F.size("s")).where("n > 0")
+    prefix = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * share).cast("int") + 1)
+    at = classes.select("k", "n", "len", F.explode(prefix).alias("t"))
+    met = at.toDF("a", "na", "la", "t").join(at.toDF("b", "nb", "lb", "t"), "t")
+    pairs = met.where((F.struct(-F.col("la"), F.col("a")) < F.struct(-F.col("lb"), F.col("b"))) & (F.least("na", "nb") >= share * F.greatest("na", "nb"))).select("a", "b").distinct()
+    sets = classes.select("k", "s")
+    full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    return full.where(F.col("both") >= share * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")

@@ -272,3 +272,48 @@ def sta_cohort_tests(v: Views) -> DataFrame:
     x = v.engines().select("cohort", "tm_a", "tm_b", "n_a", "amp").unpivot("cohort", ["tm_a", "tm_b", "n_a", "amp"], "feature", "x")
     each = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(3))))
     return st.with_p_values(st.two_sample(each, ["other", "feature"], "x", F.col("cohort") == F.col("other")))
+
+
+# -- edits, clusters and second passes --------------------------------------------------------------------------------
+
+
+def _folded(v: Views) -> DataFrame:
+    return v.seqs().withColumn("b", F.translate("seq", "AUGC", "().."))
+
+
+@query()
+def prj_clamped(v: Views) -> DataFrame:
+    s = _folded(v)
+    return sequences.clamped(s, sequences.base_pairs(s, "record_id", "b"), "record_id", "seq").select("record_id", "edits", F.md5("clamped").alias("digest"))
+
+
+@query()
+def clu_representatives(v: Views) -> DataFrame:
+    """Redundancy removal, longest first: no two that are kept are similar, and all others are similar to one that is."""
+    s = v.seqs()
+    copies = s.groupBy("seq").agg(F.min("record_id").alias("record_id"))
+    return matching.first_independent(copies, sequences.similar(s, "record_id", "seq"), "record_id")
+
+
+@query()
+def join_escalated(v: Views) -> DataFrame:
+    z = staged(matching.standardised(v.panel().select("record_id", "label", "len", "gc"), ["len", "gc"]), "standardised")
+    bad, good, gates, by = z.where("label = 0"), z.where("label = 1"), {"len": 40, "gc": 0.02}, {"len": "z_len", "gc": "z_gc"}
+    first = staged(matching.greedy(matching.candidates(bad, good, "record_id", gates, by, 4)), "first")
+    more = matching.escalated(bad, good, first, "record_id", "len", gates, by, 4)
+    return first.withColumn("phase", F.lit("first")).unionByName(more.withColumn("phase", F.lit("escalated")))
+
+
+@query("SELECT label, (SELECT min(n) FROM (SELECT count(*) AS n FROM panel GROUP BY label)) AS n FROM panel GROUP BY 1", "panel")
+def smp_balanced(v: Views) -> DataFrame:
+    return models.balanced(v.panel().select("record_id", "label"), "label", "record_id").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query()
+def ml_predictions(v: Views) -> DataFrame:
+    x = staged(v.panel().select("record_id", "label", F.col("len").cast("double").alias("len"), "gc"), "panel")
+    path = _folder(v, "forest")
+    models.forest(["len", "gc"], "label", trees=20, depth=8).fit(x).write().overwrite().save(path)
+    from pyspark.ml import PipelineModel
+
+    return models.scored(PipelineModel.load(path), x).select("record_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

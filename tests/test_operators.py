@@ -138,3 +138,44 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     got = triage.totals(spark, out).orderBy("chunk").collect()
     want = [(c, len(x), sum(v % 7 > 3 for v in x)) for c, x in ((c, range(100 + 250 * c, min(350 + 250 * c, 700))) for c in range(3))]
     assert [(r.chunk, r.n, r.n_pass) for r in got] == want and got[-1].cum_n == 600
+    assert [tuple(r) for r in triage.backfilled(spark, out).orderBy("chunk").collect()] == [tuple(r) for r in got]
+
+
+def test_representatives(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(8):
+        s = [rng.choice("AUGC") for _ in range(rng.randint(50, 300))]
+        for _ in range(4):
+            if rng.random() < 0.8:
+                s[rng.randrange(len(s))] = rng.choice("AUGC")
+            rows.append((len(rows), "".join(s[: len(s) - rng.randint(0, 3)])))
+    df = spark.createDataFrame(rows, "id long, s string")
+    mers = lambda s: {s[i : i + 9] for i in range(len(s) - 8)}
+    like = lambda a, b: len(mers(a) & mers(b)) >= 0.8 * len(mers(a) | mers(b))
+    first = {}
+    for i, s in rows:
+        first.setdefault(s, i)
+    order = sorted((-len(s), i, s) for s, i in first.items())
+    assert {(r.a, r.b) for r in sequences.similar(df, "id", "s").collect()} == {(x[1], y[1]) for x, y in itertools.combinations(order, 2) if like(x[2], y[2])}
+    kept = []
+    for _, i, s in order:
+        if not any(like(s, t) for _, t in kept):
+            kept.append((i, s))
+    nodes = df.groupBy("s").agg(F.min("id").alias("id"))
+    got = matching.first_independent(nodes, sequences.similar(df, "id", "s"), "id").where("kept").collect()
+    assert sorted(r.id for r in got) == sorted(i for i, _ in kept)
+
+
+def test_clamped(spark):
+    df = spark.createDataFrame([(1, "AAGCAAUUGC", "((....))..")], "id int, seq string, b string")
+    got = sequences.clamped(df, sequences.base_pairs(df, "id", "b"), "id", "seq", 2).first()
+    assert (got.edits, got.clamped) == (4, "GGGCAACCGC")
+
+
+def test_escalated(spark):
+    left = spark.createDataFrame([(1, 100.0, 100.0), (2, 200.0, 200.0)], "k long, len double, z double")
+    right = spark.createDataFrame([(10, 101.0, 101.0), (11, 214.0, 214.0), (12, 190.0, 190.0)], "k long, len double, z double")
+    first = matching.greedy(matching.candidates(left, right, "k", {"len": 5.0}, {"len": "z"}, 3))
+    more = matching.escalated(left, right, first, "k", "len", {"len": 10.0}, {"len": "z"}, 3)
+    assert [tuple(r)[:2] for r in first.collect()] == [(1, 10)] and [tuple(r)[:2] for r in more.collect()] == [(2, 11)]
