@@ -189,9 +189,10 @@ def _parted(df: DataFrame, parts: F.Column) -> DataFrame:
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): a forest of the pairs that may link."""
-    members = F.col("row").cast("decimal(20,0)")
-    buckets = _tokens(classes).groupBy("token").agg(F.count("*").alias("many"), F.min("row").alias("least"), F.sum(members).alias("who"))
-    buckets = buckets.where("many > 1").groupBy("many", "least", "who").agg(F.min("token").alias("token"))  # like members, one traversal
+    # two hashes of 64 bits in any order of the members; sums of the row numbers themselves would agree by chance
+    who = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"who{k}") for k in (0, 1)]
+    buckets = _tokens(classes).groupBy("token").agg(F.count("*").alias("many"), F.min("row").alias("least"), *who)
+    buckets = buckets.where("many > 1").groupBy("many", "least", "who0", "who1").agg(F.min("token").alias("token"))  # like members, one traversal
     # buckets with the same least class go to as many homes as their members ask for
     homes = buckets.groupBy("least").agg(F.ceil(F.sum("many") / (2 * BUCKET)).alias("homes"))
     buckets = staged(buckets.join(homes, "least").select("token", "many", "least", "homes"), "buckets")

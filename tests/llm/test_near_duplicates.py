@@ -77,6 +77,15 @@ def test_kept_one(spark):
     assert sorted(r.doc_id for r in nd.kept_one(df).collect()) == [1, 5, 6, 7]
 
 
+def test_buckets_of_equal_sums_are_all_traversed(spark):
+    """Members {0, 3, 5} and {0, 2, 6}: the same count, least row and sum."""
+    own = np.arange(1, 40, dtype=np.uint64)
+    prefix = {0: [1, 2], 3: [1], 5: [1], 2: [2], 6: [2]}
+    rows = [(r, len(own), bytearray(signature_tree.signature(own)), bytearray(np.array(p, np.int64).tobytes())) for r, p in prefix.items()]
+    classes = spark.createDataFrame(rows, "row long, n long, signature binary, prefix binary")
+    assert {r.node: r.label for r in components(nd._candidates(classes, 80)).collect()} == dict.fromkeys(prefix, 0)
+
+
 def test_traversal_loses_nothing():
     rng = np.random.default_rng(2)
     own = []
