@@ -2,9 +2,10 @@
 
 A page is cut into blocks of text. The blocks of one root-to-leaf path of block elements share two ratios: text
 length and punctuation marks for each block. Both are smoothed over the blocks in page order, fused into one value
-and held against a threshold. The paths that pass show where the content is: the deepest element that holds most of
-their text. The main text is every block in it, menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments left out.
+and held against a threshold. The paths that pass show where the content is: the deepest element that holds all of
+them, or the article around it. The main text is every block in it, menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and reader comments left out. A name that may also stand for layout (post-header, has-sidebar)
+leaves an element out only if its text is mostly links.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ _NAMES_OUT = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal "
     "nav navbar navigation newsletter notice notices popup promo promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+# Of these, names that wrappers and parts of an article bear too.
+_LAYOUT = frozenset("banner footer header masthead menu nav navbar navigation notice notices related reply replies respond search sidebar skip toolbar widget".split())
+_STATES = frozenset("has is no with without".split())
 _ROLES_OUT = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 # What an opening element closes, up to the element that bounds the search.
 _CLOSES = {
@@ -45,36 +49,56 @@ _CLOSES = {
     "td": (("td", "th"), ("tr", "table")),
     "th": (("td", "th"), ("tr", "table")),
 }
-THRESHOLD, HELD, LINKS = 0.35, 0.7, 0.7
+THRESHOLD, MOST, LINKS = 0.35, 0.5, 0.7
+#: Elements that are content unless most of their text is links; and those that must hold most of the page besides.
+DOUBTFUL, WRAPPING = -1, -2
+# Elements that hold a part of a text among siblings.
+_WHOLE = frozenset("article body div html main".split())
 
 
 class Block:
-    __slots__ = ("chain", "links", "out", "path", "text")
+    __slots__ = ("chain", "doubts", "links", "out", "path", "text")
 
     def __init__(self, text: str, links: int, stack: list[tuple[str, int, int]]):
         self.text, self.links = text, links
         self.path = "/".join(e[0] for e in stack)
         self.chain = [e[1] for e in stack]
-        self.out = max((e[2] for e in stack), default=0)
+        self.out = max((e[2] for e in stack if e[2] > 0), default=0)
+        self.doubts = [(e[1], e[2]) for e in stack if e[2] < 0]
+
+
+def _named(name: str) -> int:
+    """What one class or id says, as in _outside."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    told = _NAMES_OUT.intersection(parts)
+    if not told:
+        return 0
+    if parts[0] in _STATES:
+        return DOUBTFUL
+    if not told <= _LAYOUT:
+        return 1
+    return WRAPPING if len(told) == len(set(parts)) else DOUBTFUL
 
 
 def _outside(tag: str, attributes: str) -> int:
-    """2: the element says so itself, 1: its names do, 0: content."""
+    """2: the element says so itself, 1: its names do, 0: content, DOUBTFUL or WRAPPING: its text decides."""
     if tag in _NEVER_OUT:
         return 0
     if tag in _OUT:
         return 2
     if not attributes.strip():
         return 0
+    said = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "role" and value in _ROLES_OUT:
             return 2
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "aria-hidden" and value == "true":
             return 2
-        if name in ("class", "id") and not _NAMES_OUT.isdisjoint(re.split(r"[^a-z]+", value)):
-            return 1
-    return 2 if re.search(r"(?:^|\s)hidden(?:\s|$)", attributes) else 0
+        if name in ("class", "id"):
+            for each in map(_named, value.split()):
+                said = 1 if 1 in (said, each) else min(said, each)
+    return 2 if re.search(r"(?:^|\s)hidden(?:\s|$)", attributes) else said
 
 
 def blocks(html: str) -> list[Block]:
@@ -149,7 +173,15 @@ def _smoothed(values: list[float]) -> list[float]:
 
 def content(found: list[Block]) -> list[Block]:
     """The blocks of the main text."""
-    kept = [b for b in found if not b.out] or [b for b in found if b.out < 2]
+    shown = [b for b in found if not b.out]
+    size, linked = defaultdict(int), defaultdict(int)
+    for b in shown:
+        for e in b.doubts:
+            size[e] += len(b.text)
+            linked[e] += b.links
+    enough = MOST * sum(len(b.text) for b in shown)
+    left = {e for e in size if linked[e] > MOST * size[e] or e[1] == WRAPPING and size[e] <= enough}
+    kept = [b for b in shown if left.isdisjoint(b.doubts)] or shown or [b for b in found if b.out < 2]
     if not kept:
         return []
     count, length, marks = defaultdict(int), defaultdict(int), defaultdict(int)
@@ -163,21 +195,22 @@ def content(found: list[Block]) -> list[Block]:
     for b, x, y in zip(kept, by_length, by_marks, strict=True):
         fused[b.path] = max(fused[b.path], (max(x, 0.0) * (1 + y)) ** 0.5)
     least = THRESHOLD * max(fused.values())
-    weight: dict[int, int] = defaultdict(int)
-    total, depth = 0, {0: -1}
-    for b in kept:
-        if fused[b.path] >= least:
-            total += len(b.text)
-            for i, e in enumerate(b.chain):
-                weight[e] += len(b.text)
-                depth[e] = i
-    around = max((e for e in weight if weight[e] >= HELD * total and total), key=lambda e: depth[e], default=0)
-    # a paragraph or cell that holds most of a page stands among its siblings
-    own = next((b for b in kept if around in b.chain), None)
-    if own is not None and own.path.split("/")[depth[around]] in ("p", "td", "th", "tr", "li", "blockquote", "pre", "h1", "h2", "h3", "dd", "dt"):
-        around = own.chain[depth[around] - 1] if depth[around] else 0
-    inside = [b for b in kept if not around or around in b.chain]
-    return [b for b in inside if b.links <= LINKS * len(b.text)]
+    passing = [i for i, b in enumerate(kept) if fused[b.path] >= least]
+    passing = [i for i in passing if kept[i].links <= LINKS * len(kept[i].text)] or passing  # menus pass beside long text
+    first = kept[passing[0]]
+    depth = len(first.chain)
+    for i in passing:
+        chain = kept[i].chain
+        depth = min(depth, len(chain))
+        while depth and chain[depth - 1] != first.chain[depth - 1]:
+            depth -= 1
+    # the article around; else an element that stands among siblings, as a paragraph, list or section, goes up
+    tags = first.path.split("/")[:depth]
+    text = max((i + 1 for i, t in enumerate(tags) if t == "article"), default=0) or max((i + 1 for i, t in enumerate(tags) if t == "main"), default=0)
+    depth = text or max((i + 1 for i, t in enumerate(tags) if t in _WHOLE), default=0)
+    inside = [(i, b) for i, b in enumerate(kept) if b.chain[:depth] == first.chain[:depth]]
+    # without an article, links before and after all content are menus
+    return [b for i, b in inside if text or passing[0] <= i <= passing[-1] or b.links <= LINKS * len(b.text)]
 
 
 def main_text(html: str | None) -> str:

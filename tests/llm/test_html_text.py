@@ -20,6 +20,23 @@ def test_plain_divisions():
     assert h.main_text(page).split("\n\n") == ["A first paragraph, long enough, to count.", "A second one, just as long, in all.", "Short."]
 
 
+def test_nothing_of_an_article_is_cut():
+    long, short = "A long paragraph, with marks, and more of it. " * 6, "A shorter part, still of the text, goes here."
+    says = lambda page: h.main_text(f"<body><nav><a href=x>Menu</a></nav>{page}</body>").split("\n\n")
+    long = long.strip()
+    uneven = f"<article><section><p>{long}<p>{long}<p>{long}</section><section><p>{long}</section></article>"
+    assert says(uneven) == [long] * 4
+    for tag, item in (("ul", "li"), ("ol", "li"), ("table", "td")):
+        items = "".join(f"<tr><{item}>{long}" if tag == "table" else f"<{item}>{long}" for _ in range(9))
+        assert says(f"<article><h1>T</h1><p>{short}</p><{tag}>{items}</{tag}></article>") == ["T", short] + [long] * 9
+        assert says(f"<div><h1>T</h1><p>{short}</p><{tag}>{items}</{tag}></div>") == ["T", short] + [long] * 9
+    assert says(f"<article><p>{long}</p><ul><li><a href=x>A source</a></ul></article>") == [long, "A source"]
+    for name in ("layout has-sidebar", "with-comments", "sidebar"):
+        assert says(f'<div class="{name}"><p>{long}</p><p>{long}</p></div>') == [long, long]
+    assert says(f'<article><div class="post-header"><h1>T</h1></div><p>{long}</p></article>') == ["T", long]
+    assert says(f'<div class="site-header"><a href=x>Home</a></div><div class="related-posts"><a href=x>More</a></div><div><p>{long}</p></div>') == [long]
+
+
 def test_bare_and_broken():
     assert h.main_text(None) == h.main_text("") == h.main_text("<p> &nbsp; </p><!-- a") == ""
     assert h.main_text("just text, 1 < 2") == "just text, 1 < 2"
