@@ -218,18 +218,20 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(b.text for b in content(blocks(html))) if html else ""
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars (code points) of each row of ``pages(page_id, url, html)``.
+def extracted(pages: DataFrame, *carried: str) -> DataFrame:
+    """page_id, url, text and n_chars (code points) of each row of ``pages(page_id, url, html)``, then the columns carried along.
 
     One row for each row, repeated ids included. A null, empty or wordless page has an empty text. An empty table
     gives no rows. Other columns are not looked at.
     """
+    of = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), *carried)
+    names = ["page_id", "url", "text", "n_chars", *carried]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
-            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    of = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return of.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in of.schema[3:])
+    return of.mapInArrow(extract, "page_id long, url string, text string, n_chars long" + more)

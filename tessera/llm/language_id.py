@@ -156,9 +156,8 @@ def of_pages(pages: DataFrame) -> DataFrame:
     declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
     none = lambda c: F.when(c != "", c)
     about = pages.select("page_id", "url", "html", none(declared).alias("declared"), none(host).alias("host"), none(path).alias("path"))
-    about = about.select(F.col("page_id").alias("id"), "declared", "host", F.coalesce("path", none(F.substring_index("host", ".", -1))).alias("suffix"), F.xxhash64("page_id", "url", "html").alias("key"))
-    texts = extracted(pages.select("page_id", "url", "html")).select(F.col("page_id").alias("id"), "text")
-    return about.dropDuplicates(["id", "key"]).drop("key").join(texts.dropDuplicates(["id"]), "id")
+    about = about.withColumn("suffix", F.coalesce("path", none(F.substring_index("host", ".", -1))))
+    return extracted(about, "declared", "suffix", "host").select(F.col("page_id").alias("id"), "text", "declared", "suffix", "host")
 
 
 def identified_rows(documents: DataFrame) -> DataFrame:

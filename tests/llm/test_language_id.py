@@ -27,3 +27,12 @@ def test_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     assert li.identified(li.of_pages(pages)).where("accepted").count() >= 0.95 * pages.count()
     assert li.identified_rows(docs).columns == docs.columns
+
+
+def test_each_page_by_its_own_text(spark):
+    page = lambda x: f"<html lang={x}><body><p>{' '.join(WORDS[x] * 5)}</p></body></html>"
+    rows = [(i, f"http://a.example/{i}", page(x)) for i, x in enumerate(["en", "fr", "de"] * 10)]
+    rows += [(7, "http://a.example/again", page("fr"))] * 2 + [(7, "http://a.example/again", page("de")), (None, "http://a.example/n", page("de")), (None, None, None)]
+    got = li.of_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and sum(r.id is None for r in got) == 2
+    assert all(r.text == " ".join(WORDS[r.declared] * 5) for r in got if r.declared)
