@@ -20,8 +20,9 @@ from tessera.llm.text import CACHE, words
 from tessera.staging import staged
 
 BUCKETS = 1 << 15
-LANGUAGES = 32  # most languages told apart: the most often declared
 TEMPER, SMOOTH, STRENGTH, ACCEPTED = 4.0, 0.5, 20.0, 0.5
+#: Prior of a text in none of the declared languages, all buckets alike, and languages that a task counts at once.
+NONE, HELD = 0.01, 64
 
 
 class Features(dict):
@@ -50,20 +51,29 @@ class Features(dict):
 
 
 def likelihoods(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages, and log P(bucket | language): LANGUAGES * BUCKETS numbers at most."""
+    """All declared languages, and log P(bucket | language): BUCKETS numbers for each."""
     named = docs.where("declared is not null and declared <> ''").groupBy("declared").count()
-    languages = [r["declared"] for r in named.orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()]
+    languages = [r["declared"] for r in named.orderBy(F.desc("count"), "declared").collect()]
     number = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, total = Features(), np.zeros((len(languages), BUCKETS), np.int64)
+        features, totals = Features(), {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for i, total in totals.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at + i * BUCKETS), pa.array(total[at])], names=["cell", "n"])
+            totals.clear()
+
         for batch in batches:
             for text, declared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if declared in number:
-                    total[number[declared]] += np.bincount(features.of(text), minlength=BUCKETS)
-        flat = total.ravel()
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["cell", "n"])
+                    if number[declared] not in totals:
+                        if len(totals) == HELD:
+                            yield from told()
+                        totals[number[declared]] = np.zeros(BUCKETS, np.int64)
+                    totals[number[declared]] += np.bincount(features.of(text), minlength=BUCKETS)
+        yield from told()
 
     counts = np.zeros(max(len(languages), 1) * BUCKETS)
     for r in docs.select("text", "declared").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -78,10 +88,12 @@ def identified(docs: DataFrame) -> DataFrame:
 
     The last three are strings and may be null, which is no evidence. A text without a word with letters, null and
     empty ones included, has null text_language; it is not accepted, nor is one whose best language has a posterior
-    under ACCEPTED. With no declared language at all nothing is accepted. One row for each row, repeated ids included.
+    under ACCEPTED among all languages and none of them. Region and script tags (en-us) count as their language. With no declared language at all nothing is accepted. One row for each row, repeated ids included.
     An empty table gives no rows. Other columns are not looked at.
     """
     docs = docs.select(F.col("id").cast("long").alias("id"), *(F.col(c).cast("string").alias(c) for c in ("text", "declared", "suffix", "host")))
+    tag = F.lower(F.trim("declared"))
+    docs = docs.withColumn("declared", F.regexp_replace(tag, r"^([a-z]{2,3})[-_].*$", "$1"))
     languages, table = likelihoods(docs)
     known, languages = bool(languages), languages or ["und"]
     shared = docs.sparkSession.sparkContext.broadcast(table.T.astype(np.float32).copy())
@@ -89,20 +101,22 @@ def identified(docs: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, rows = Features(), shared.value
         for batch in batches:
-            said, best = [], []
+            said, best, none = [], [], []
             for text in batch.column(1).to_pylist():
                 at = features.of(text)
                 if len(at) and known:
                     logs = rows[at].sum(axis=0, dtype=np.float64) / TEMPER
                     said.append((logs - logs.max()).tolist())
+                    none.append(float(-len(at) * np.log(BUCKETS) / TEMPER - logs.max()))
                     best.append(languages[int(logs.argmax())])
                 else:
                     said.append(None)
+                    none.append(None)
                     best.append(None)
-            columns = [batch.column(0), *(batch.column(i) for i in (2, 3, 4)), pa.array(said, pa.list_(pa.float64())), pa.array(best, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "declared", "suffix", "host", "said", "text_language"])
+            columns = [batch.column(0), *(batch.column(i) for i in (2, 3, 4)), pa.array(said, pa.list_(pa.float64())), pa.array(best, pa.string()), pa.array(none, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "declared", "suffix", "host", "said", "text_language", "none"])
 
-    told = staged(docs.mapInArrow(score, "id long, declared string, suffix string, host string, said array<double>, text_language string"), "text-evidence")
+    told = staged(docs.mapInArrow(score, "id long, declared string, suffix string, host string, said array<double>, text_language string, none double"), "text-evidence")
     names = F.array(*map(F.lit, languages)).cast("array<string>")
     parent = F.when(F.instr("host", ".") > 0, F.substring_index("host", ".", -2)).otherwise(F.lit(""))
     seen = told.where("text_language is not null").withColumn("parent", parent)
@@ -136,7 +150,8 @@ def identified(docs: DataFrame) -> DataFrame:
     for other in (F.col("said"), given(F.col("by_declared")), given(F.col("by_suffix"))):
         logs = F.zip_with(logs, other, lambda a, b: a + b)
     top = F.array_max(F.col("logs"))
-    weight = F.aggregate(F.col("logs"), F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    others = F.exp(F.col("none") + F.lit(float(np.log(NONE))) - F.col("top"))
+    weight = F.aggregate(F.col("logs"), others, lambda a, x: a + F.exp(x - F.col("top")))
     out = full.withColumn("logs", logs).withColumn("top", top).withColumn("posterior", 1 / weight)
     language = F.get(names, (F.array_position("logs", F.col("top")) - 1).cast("int"))
     return out.select("id", language.alias("language"), "posterior", "text_language", F.coalesce((F.col("posterior") >= ACCEPTED) & F.lit(known), F.lit(False)).alias("accepted"))

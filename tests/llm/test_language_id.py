@@ -36,3 +36,20 @@ def test_each_page_by_its_own_text(spark):
     got = li.of_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows) and sum(r.id is None for r in got) == 2
     assert all(r.text == " ".join(WORDS[r.declared] * 5) for r in got if r.declared)
+
+
+def test_every_language_regions_and_none(spark):
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = lambda n: ["".join(rng.choice(letters) for _ in range(9)) for _ in range(n)]
+    own = {f"{a}{b}": junk(20) for a in "uvwxy" for b in "abcdefgh"}  # 40 languages
+    rows = []
+    for k, (x, words) in enumerate(own.items()):
+        for j in range(4 if k else 60):
+            rows.append((len(rows), " ".join(rng.choice(words) for _ in range(40)), [x, f"{x}-us", f"{x.upper()}_GB", x][j % 4]))
+    n = len(rows)
+    rows += [(n + i, " ".join(junk(60)), None) for i in range(10)]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], "id long, text string, declared string, suffix string, host string")
+    got = {r.id: r for r in li.identified(df).collect()}
+    assert all(got[i].language == rows[i][2][:2].lower() and got[i].accepted for i in range(n))
+    assert not any(got[n + i].accepted for i in range(10))
