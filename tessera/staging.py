@@ -27,13 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder; ``drop_staged`` deletes what is written there."""
+    path = f"{shared_folder(spark).rstrip('/')}/tessera/{uuid.uuid4().hex}-{label}"
+    _written.append(path)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return the reader of what was written."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tessera/{uuid.uuid4().hex}-{label}"
+    path = folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> int:
