@@ -1,20 +1,27 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-``P(w | history) = P(class(w) | history) * P(w | class(w))``. A word's class is a hash of its last three bytes
-(the end token has its own), so the softmax runs over 256 classes at any vocabulary. The class given its history
-is a maximum-entropy model with hashed features: the previous word's class (bigram), the class before that (skip),
-and both together (trigram). It is trained by gradient updates: each step, tasks work out the gradient over the
-histories they hold and the driver adds up a fixed number of fixed-size parts. A history is one of 4096, so the
-histories' class counts, gathered from all training tokens, are all that training has to see.
-
-A word given its class has its add-``alpha`` frequency. The words' counts are one shuffled table; the most frequent
-(at most ``head``) reach every task, the rest of a text's words meet their counts in a join.
+``P(w | h) = P(group | h) * P(class | group, h) * P(place | class, h)``: a softmax over classes, in two steps, and one over
+the places of a class. A place holds one of the most frequent words; place 0 stands for all other words of the class, each
+of which has its add-``alpha`` share among them. Classes are runs of words in the order of their reversed letters, so words
+that end alike, frequent or not, share a class.
+
+``h`` is the words before. Features are the word before (bigram), the one before that (skip) and both (trigram) at the
+first step, and the word before together with the group or class at the others. Each is hashed to a row of weights, one
+weight for each outcome of the softmax, and adds to the outcomes' log shares in the corpus. Training passes once over all
+training tokens: in each of ``ROUNDS`` rounds, tasks make gradient updates over minibatches of their own share of the
+corpus; the mean of what they changed, weighted by how often each row was used, is where the next round starts. Texts are
+staged as arrays of numbers, and scored in batches of tokens that gather the rows of their features.
+
+What grows with the corpus is a shuffled table: the count of every word. The weights have a fixed size at any corpus.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,46 +30,44 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import CACHE, words
+from tessera.llm.text import CACHE, CACHE_BYTES, words
 from tessera.staging import staged
 
-CLASSES, SKIPS, JOINT = 256, 16, 512
-HISTORIES = CLASSES * SKIPS
+#: Outcomes of each softmax; groups * groups classes, and places of a class besides place 0.
+SIDE = 32
+CLASSES, PLACES = SIDE * SIDE, SIDE - 1
+HEAD_WORDS = CLASSES * PLACES
+#: Rows of weights at each step: (bigram, skip, trigram), (bigram with group), (bigram with class).
+ROWS = ((16384, 4096, 16384), (16384,), (32768,))
+TABLES = [(step, k, n) for step in range(3) for k, n in enumerate(ROWS[step])]
 END = b""
 ALPHA = 0.1
+#: Words whose counts reach every task.
 HEAD = 1 << 17
-
-
-def word_class(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % (CLASSES - 1) + 1 if word else 0
+ROUNDS, RATE, BATCH, BLOCK = 4, 0.5, 8192, 256
+_K = np.uint32(0x9E3779B1)
 
 
 class Words(dict):
-    """Running numbers of the words a task has met, with what is known of each."""
+    """Running numbers of the words a task has met; bounded in entries and in bytes by ``full``."""
 
-    def __init__(self, counts: dict[bytes, int] | None = None):
+    def __init__(self):
         super().__init__()
         self.seen: list[bytes] = []
-        self.classes: list[int] = []
-        self.counts, self.known = counts, []
+        self.size = 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.seen)
         self.seen.append(word)
-        self.classes.append(word_class(word))
-        if self.counts is not None:
-            self.known.append(self.counts.get(word, -1))
+        self.size += len(word)
         return n
 
     def numbers(self, ws: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, ws), np.int32, len(ws))
 
-
-def histories(classes: np.ndarray) -> np.ndarray:
-    """Number of each token's history; before a text stands the end token."""
-    one, two = np.zeros_like(classes), np.zeros_like(classes)
-    one[1:], two[2:] = classes[:-1], classes[:-2]
-    return one * SKIPS + two % SKIPS
+    @property
+    def full(self) -> bool:
+        return len(self.seen) > CACHE or self.size > CACHE_BYTES
 
 
 def _held_out() -> F.Column:
@@ -70,207 +75,333 @@ def _held_out() -> F.Column:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """Partial counts of training texts: rows (word, n), and rows (cell, n) with cell = history * CLASSES + class."""
+    """Partial counts (word, n) of the training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts, cells, waiting = Words(), np.zeros(0, np.int64), np.zeros(HISTORIES * CLASSES, np.int64), []
-        names = ["word", "cell", "n"]
+        vocabulary, counts, waiting, size = Words(), np.zeros(0, np.int64), [], 0
 
         def settle() -> None:
-            nonlocal counts
+            nonlocal counts, size
             if waiting:
-                tokens = np.concatenate(waiting)
-                add = np.bincount(tokens, minlength=len(vocabulary))
+                add = np.bincount(np.concatenate(waiting), minlength=len(vocabulary))
                 add[: len(counts)] += counts
-                counts = add
-                known = np.array(vocabulary.classes, np.int32)
-                at = [histories(known[x]) * CLASSES + known[x] for x in waiting]
-                cells.__iadd__(np.bincount(np.concatenate(at), minlength=len(cells)))
+                counts, size = add, 0
                 waiting.clear()
 
         def told() -> pa.RecordBatch:
-            n = len(vocabulary.seen)
-            return pa.RecordBatch.from_arrays([pa.array(vocabulary.seen, pa.binary()), pa.nulls(n, pa.int32()), pa.array(counts)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(vocabulary.seen, pa.binary()), pa.array(counts)], names=["word", "n"])
 
-        size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 waiting.append(vocabulary.numbers([*words(text), END]))
                 size += len(waiting[-1])
-                if size > 1_000_000 or len(vocabulary) > CACHE:
+                if size > 1_000_000 or vocabulary.full:
                     settle()
-                    size = 0
-                    if len(vocabulary) > CACHE:
+                    if vocabulary.full:
                         yield told()
                         vocabulary, counts = Words(), np.zeros(0, np.int64)
         settle()
         if len(vocabulary):
             yield told()
-            at = np.flatnonzero(cells)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(cells[at])], names=names)
-
-    return docs.where(~_held_out()).select(F.col("text").cast("string")).mapInArrow(count, "word binary, cell int, n long")
-
-
-def _logits(weights: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
-    one, two = h // SKIPS, h % SKIPS
-    return weights["bias"] + weights["bigram"][one] + weights["skip"][two] + weights["joint"][_joint(h)]
-
-
-def _joint(h: np.ndarray) -> np.ndarray:
-    """Hash bucket of a whole history."""
-    return (h.astype(np.uint64) * np.uint64(0x9E3779B1) % np.uint64(1 << 32) >> np.uint64(7)).astype(np.int64) % JOINT
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
-
-
-def train(cells: DataFrame, steps: int = 12, rate: float = 0.08, tasks: int = 6) -> dict[str, np.ndarray]:
-    """Maximum-entropy weights by Adam over full gradients, from (cell, n) rows: at most HISTORIES * CLASSES of them."""
-    group = 64
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = int(pdf["cell"].iloc[0]) // (group * CLASSES) * group
-        n = np.zeros(group * CLASSES)
-        n[pdf["cell"].to_numpy() - first * CLASSES] = pdf["n"]
-        return pd.DataFrame({"first": [first], "counts": [n.tobytes()]})
-
-    rows = cells.groupBy(F.floor(F.col("cell") / (group * CLASSES))).applyInPandas(packed, "first int, counts binary")
-    table = staged(rows.repartition(tasks), "histories")
-    spark = cells.sparkSession
-
-    def summed(part) -> list[np.ndarray]:
-        """Adds up what ``part(h, counts)`` gives for each block of histories; ``tasks`` fixed-size results reach the driver."""
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
-            for pdf in frames:
-                for first, counts in zip(pdf["first"], pdf["counts"], strict=True):
-                    got = part(np.arange(first, first + group), np.frombuffer(counts).reshape(group, CLASSES))
-                    total = got if total is None else [a + b for a, b in zip(total, got, strict=True)]
-            if total is not None:
-                yield pd.DataFrame({"p": [np.concatenate([x.ravel() for x in total]).astype(np.float64).tobytes()]})
-
-        got = [np.frombuffer(r["p"]) for r in table.coalesce(tasks).mapInPandas(run, "p binary").collect()]
-        return np.sum(got, axis=0) if got else np.zeros(0)
-
-    def by_bigram(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-        out = np.zeros((CLASSES, CLASSES))
-        np.add.at(out, h // SKIPS, n)
-        return [out]
-
-    pairs = summed(by_bigram)
-    weights = {"bias": np.zeros(CLASSES), "bigram": np.zeros((CLASSES, CLASSES)), "skip": np.zeros((SKIPS, CLASSES)), "joint": np.zeros((JOINT, CLASSES))}
-    if not len(pairs):
-        return weights
-    pairs = pairs.reshape(CLASSES, CLASSES)
-    share = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
-    weights["bias"] = np.log(share)
-    weights["bigram"] = np.log((pairs + 300 * share) / (pairs.sum(1, keepdims=True) + 300)) - weights["bias"]
-    total, names = pairs.sum(), list(weights)
-    sizes = np.cumsum([weights[k].size for k in names])[:-1]
-    first, second = ({k: np.zeros_like(w) for k, w in weights.items()} for _ in range(2))
-    best, kept = np.inf, weights
-    for step in range(1, steps + 1):
-        now = spark.sparkContext.broadcast(weights)
-
-        def gradient(h: np.ndarray, n: np.ndarray, now=now) -> list[np.ndarray]:
-            w = now.value
-            p = _softmax(_logits(w, h))
-            d = p * n.sum(1, keepdims=True) - n
-            out = {k: np.zeros_like(x) for k, x in w.items()}
-            out["bias"] = d.sum(0)
-            np.add.at(out["bigram"], h // SKIPS, d)
-            np.add.at(out["skip"], h % SKIPS, d)
-            np.add.at(out["joint"], _joint(h), d)
-            return [*(out[k] for k in names), np.array([-(n * np.log(np.maximum(p, 1e-300))).sum()])]
-
-        got = summed(gradient)
-        loss = got[-1] / total
-        if loss < best:
-            best, kept = loss, weights
-        parts = dict(zip(names, np.split(got[:-1], sizes), strict=True))
-        weights = dict(weights)
-        for k in names:
-            g = parts[k].reshape(weights[k].shape) / total * 1e4 + 1e-3 * (weights[k] if k in ("skip", "joint") else 0)
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            move = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-3)
-            weights[k] = weights[k] - rate / step**0.5 * move
+
+    return docs.where(~_held_out()).select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long")
+
+
+@dataclass
+class Lexicon:
+    """The frequent words' places, and the class of any word."""
+
+    starts: list[bytes]  # reversed first word of each class
+    place: dict[bytes, int]  # frequent word -> class * PLACES + place - 1
+
+    @staticmethod
+    def of(head: list[bytes]) -> Lexicon:
+        order = sorted(x[::-1] for x in head)
+        per = -(-len(order) // CLASSES) or 1
+        runs = [order[i : i + per] for i in range(0, len(order), per)]
+        place = {w[::-1]: c * PLACES + i for c, run in enumerate(runs) for i, w in enumerate(run)}
+        return Lexicon([run[0] for run in runs], place)
+
+    def of_class(self, word: bytes) -> int:
+        return max(bisect_right(self.starts, word[::-1]) - 1, 0)
+
+    def code(self, word: bytes) -> int:
+        """A word as one number: its place, or its class and a hash."""
+        at = self.place.get(word)
+        return at if at is not None else HEAD_WORDS + self.of_class(word) + CLASSES * (zlib.crc32(word) & 0xFFFFF)
+
+
+def outcomes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each code, then what each of the three steps gives."""
+    own = codes < HEAD_WORDS
+    k = np.where(own, codes // PLACES, (codes - HEAD_WORDS) % CLASSES)
+    return k, k // SIDE, k % SIDE, np.where(own, codes % PLACES + 1, 0)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _K
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x85EBCA77)
+    return x ^ (x >> np.uint32(13))
+
+
+@dataclass
+class Tokens:
+    """Of each token and for each step: what is given (the group, the class), the rows of its features, and the outcome."""
+
+    given: tuple
+    rows: list[list[np.ndarray]]
+    out: list[np.ndarray]
+
+    def cut(self, of: slice) -> Tokens:
+        return Tokens(tuple(None if x is None else x[of] for x in self.given), [[x[of] for x in step] for step in self.rows], [x[of] for x in self.out])
+
+
+def features(codes: np.ndarray, starts: np.ndarray, end: int) -> Tokens:
+    """Texts begin at ``starts``; the end stands before them."""
+    before, skipped = np.full(len(codes), end, np.int32), np.full(len(codes), end, np.int32)
+    before[1:], skipped[2:] = codes[:-1], codes[:-2]
+    before[starts] = skipped[starts] = end
+    skipped[starts[:-1] + 1] = end
+    skipped[min(starts[-1] + 1, len(codes) - 1)] = end
+    one, two = _mixed(before.view(np.uint32)), _mixed(skipped.view(np.uint32) ^ np.uint32(0x5BD1E995))
+    k, *out = outcomes(codes)
+    hashed = [[one, two, _mixed(one + two * np.uint32(3))]]
+    for given in (out[0], k):
+        hashed.append([_mixed(one ^ given.astype(np.uint32) * _K)])
+    return Tokens((None, out[0], k), [[(h % np.uint32(n)).astype(np.int64) for h, n in zip(hashed[s], ROWS[s], strict=True)] for s in range(3)], out)
+
+
+class Weights:
+    """Rows of weights by step, with the sum of squared gradients of each row; and what tells outcomes without features."""
+
+    def __init__(self, priors: list[np.ndarray]):
+        self.priors = priors
+        self.tables = [[np.zeros((n, SIDE), np.float32) for n in of] for of in ROWS]
+        self.sums = [[np.ones(n, np.float32) for n in of] for of in ROWS]
+
+    def softmax(self, s: int, x: Tokens) -> np.ndarray:
+        """Probabilities of step ``s`` for each token: its rows of weights, added to the prior."""
+        z = self.tables[s][0].take(x.rows[s][0], axis=0)
+        for t, r in zip(self.tables[s][1:], x.rows[s][1:], strict=True):
+            z += t.take(r, axis=0)
+        z += self.priors[s] if x.given[s] is None else self.priors[s].take(x.given[s], axis=0)
+        np.exp(np.minimum(z, 80, out=z), out=z)
+        z *= (1 / (z @ np.ones(SIDE, np.float32)))[:, None]
+        return z
+
+    def step(self, x: Tokens, used: list[list[np.ndarray]], rate: float) -> None:
+        """One gradient update from a minibatch."""
+        for s in range(3):
+            d = self.softmax(s, x)
+            d[np.arange(len(d)), x.out[s]] -= 1
+            for t, a, r, n in zip(self.tables[s], self.sums[s], x.rows[s], used[s], strict=True):
+                order = np.argsort(r.astype(np.uint16), kind="stable")
+                own = r.take(order)
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                g, own = np.add.reduceat(d.take(order, axis=0), first, axis=0), own[first]
+                n[own] += np.diff(first, append=len(order))
+                size = a[own] + np.einsum("ij,ij->i", g, g)
+                a[own] = size
+                t[own] -= g * (rate / np.sqrt(size))[:, None]
+
+    def log10(self, x: Tokens) -> np.ndarray:
+        """log10 probability of each token's class and place."""
+        at, total = np.arange(len(x.out[0])) * SIDE, np.zeros(len(x.out[0]))
+        for s in range(3):
+            total += np.log10(np.maximum(self.softmax(s, x).ravel().take(at + x.out[s]), 1e-30), dtype=np.float64)
+        return total
+
+
+def priors(places: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
+    """Log shares of outcomes by step, from the counts of places (0 where there is none) and of the other words of each class."""
+    n = np.concatenate([rest[:, None] + 0.5, places], axis=1)
+    n[:, 1:][places == 0] = 1e-38
+    k = n.sum(axis=1).reshape(SIDE, SIDE)
+    parts = [k.sum(axis=1)[None, :], k, n]
+    return [np.maximum(np.log(x / x.sum(axis=1, keepdims=True)), -80).astype(np.float32) for x in parts]
+
+
+def _batched(texts: Iterator[np.ndarray], end: int) -> Iterator[Tokens]:
+    """At most ``BATCH`` tokens at a time, in order, from the codes of one text after the other."""
+
+    def cut(held: list[np.ndarray]) -> Iterator[Tokens]:
+        whole = features(np.concatenate(held), np.cumsum([0, *(len(x) for x in held[:-1])]), end)
+        for at in range(0, len(whole.out[0]), BATCH):
+            yield whole.cut(slice(at, at + BATCH))
+
+    held, n = [], 0
+    for codes in texts:
+        held.append(codes)
+        n += len(codes)
+        if n >= 16 * BATCH:
+            yield from cut(held)
+            held, n = [], 0
+    if held:
+        yield from cut(held)
+
+
+def train(texts: DataFrame, start: list[np.ndarray], end: int, rounds: int = ROUNDS, rate: float = RATE) -> Weights:
+    """One pass over all ``texts(share, codes)``; share: the round in which a text's task takes part."""
+    weights, context = Weights(start), texts.sparkSession.sparkContext
+    for turn in range(rounds):
+        now = context.broadcast((weights.tables, weights.sums))
+
+        def local(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            own = Weights(start)
+            own.tables, own.sums = ([[x.copy() for x in of] for of in part] for part in now.value)
+            used = [[np.zeros(len(t), np.float32) for t in tables] for tables in own.tables]
+            streams = (np.frombuffer(x, np.int32) for batch in batches for x in batch.column(0).to_pylist())
+            for x in _batched(streams, end):
+                own.step(x, used, rate)
+            told = []
+            for i, (s, k, n) in enumerate(TABLES):
+                for at in range(0, n, BLOCK):
+                    cut, times = slice(at, at + BLOCK), used[s][k][at : at + BLOCK]
+                    if times.any():
+                        moved = (own.tables[s][k][cut] - now.value[0][s][k][cut]) * times[:, None]
+                        told.append((i, at, times.tobytes(), moved.tobytes(), (own.sums[s][k][cut] - now.value[1][s][k][cut]).tobytes()))
+            if told:
+                names, kinds = ["part", "first", "used", "moved", "sums"], [pa.int32(), pa.int32(), *[pa.binary()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), kinds, strict=True)], names=names)
+
+        def added(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = {c: sum(np.frombuffer(x, np.float32) for x in pdf[c]).astype(np.float32).tobytes() for c in ("used", "moved", "sums")}
+            return pdf[["part", "first", "salt"]].iloc[:1].assign(**total)
+
+        schema = "part int, first int, salt int, used binary, moved binary, sums binary"
+        each = texts.where(F.col("share") == turn).select("codes").mapInArrow(local, "part int, first int, used binary, moved binary, sums binary")
+        # first by a salt, so that no task gets a block from all others
+        salted = each.withColumn("salt", (F.spark_partition_id() % 32).cast("int")).select("part", "first", "salt", "used", "moved", "sums")
+        few = salted.groupBy("part", "first", "salt").applyInPandas(added, schema).groupBy("part", "first").applyInPandas(added, schema)
+        for r in few.toLocalIterator():  # the weights, whose size is fixed
+            s, k, _ = TABLES[r["part"]]
+            used, moved, sums = (np.frombuffer(r[c], np.float32) for c in ("used", "moved", "sums"))
+            cut = slice(r["first"], r["first"] + len(used))
+            weights.tables[s][k][cut] += moved.reshape(-1, SIDE) / np.maximum(used, 1)[:, None]
+            weights.sums[s][k][cut] += sums
         now.unpersist()
-    return kept
+    return weights
+
+
+def _other_words(vocabulary: DataFrame, lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and kinds of the words without a place, by class."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        known = lexicon.value
+        for batch in batches:
+            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if word not in known.place:
+                    k = known.of_class(word)
+                    n[k] += c
+                    kinds[k] += 1
+        at = np.flatnonzero(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), pa.array(kinds[at])], names=["k", "n", "kinds"])
+
+    n, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in vocabulary.select("word", "c").mapInArrow(tell, "k int, n long, kinds long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
+        n[r["k"]], kinds[r["k"]] = r["n"], r["kinds"]
+    return n, kinds
+
+
+class Known(Words):
+    """What a task has to know of each word it has met, as arrays by running number."""
+
+    def __init__(self, frequent: dict[bytes, int], lexicon: Lexicon, of_class: np.ndarray, alpha: float):
+        super().__init__()
+        self.frequent, self.lexicon, self.of_class, self.alpha = frequent, lexicon, of_class, alpha
+        self.code, self.count, self.log, self.rest = array("i"), array("q"), array("d"), array("d")
+
+    def __missing__(self, word: bytes) -> int:
+        n = super().__missing__(word)
+        code, c = self.lexicon.code(word), self.frequent.get(word, 0)
+        log = float(np.log10(c + self.alpha)) if c or code < HEAD_WORDS else 0.0
+        self.code.append(code)
+        self.count.append(c)
+        self.log.append(log)
+        self.rest.append(0.0 if code < HEAD_WORDS else log - self.of_class[(code - HEAD_WORDS) % CLASSES])
+        return n
+
+    def told(self, text: str | None) -> tuple:
+        """(n_tokens, n_known, words_part, rest_part, codes, rare, times): rare words, whose counts are elsewhere."""
+        at = self.numbers([*words(text), END])
+        code, count, log, rest = (np.frombuffer(x, t).take(at) for x, t in ((self.code, np.int32), (self.count, np.int64), (self.log, float), (self.rest, float)))
+        unique, times = np.unique(at[(count == 0) & (code >= HEAD_WORDS)], return_counts=True)
+        return len(at), int((count > 0).sum()), float(log.sum()), float(rest.sum()), code.tobytes(), [self.seen[u] for u in unique.tolist()], times.tolist()
 
 
-def scores(docs: DataFrame, head: int = HEAD, alpha: float = ALPHA, steps: int = 12) -> DataFrame:
+def scores(docs: DataFrame, head: int = HEAD, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
     """log10 probability of each whole text of ``docs(doc_id, text)``, by add-``alpha`` unigrams and by the model.
 
     Learns from the rows whose crc32(doc_id as text) mod 10 is not 0. Gives doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score: one row for each row, repeated ids included. A null or empty text is the end
     token alone; a null id counts as training. With no training rows N and V are 0 and every token is unknown.
-    An empty table gives no rows. Other columns are not looked at.
+    Words of one count are taken for frequent in the order of their bytes. An empty table gives no rows. Other columns
+    are not looked at.
     """
-    spark = docs.sparkSession
-    partial = staged(counted(docs), "partial-counts")
-    vocabulary = staged(partial.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    klass = F.when(F.length("word") == 0, 0).otherwise(F.crc32(F.substring("word", -3, 3)) % (CLASSES - 1) + 1).cast("int")
-    # At most one row for each class and for each distinct count (their number is below the root of twice N).
-    totals = vocabulary.groupBy(klass.alias("class")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
-    by_count = vocabulary.groupBy("c").count().orderBy(F.desc("c")).toPandas()
-    reach = by_count["count"].cumsum()
-    least = int(by_count["c"][reach <= head].min()) if (reach <= head).any() else 1 << 62
-    frequent = spark.sparkContext.broadcast({bytes(r["word"]): r["c"] for r in vocabulary.where(F.col("c") >= least).collect()})  # at most `head`
-    n, v = int(totals["n"].sum()), int(totals["v"].sum())
-    weights = train(partial.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")), steps)
-    each, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    each[totals["class"].astype(int)], kinds[totals["class"].astype(int)] = totals["n"], totals["v"]
-    of_class = np.log10(each + alpha * (kinds + 1))
-    with np.errstate(divide="ignore"):
-        steps_table = (np.log10(_softmax(_logits(weights, np.arange(HISTORIES)))) - of_class).astype(np.float32).ravel()
-    model = spark.sparkContext.broadcast(steps_table)  # HISTORIES * CLASSES floats
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, row, vocabulary = model.value, TaskContext.get().partitionId() << 40, Words(frequent.value)
+    context = docs.sparkSession.sparkContext
+    vocabulary = staged(staged(counted(docs), "partial-counts").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
+    counts = {bytes(r["word"]): r["c"] for r in vocabulary.orderBy(F.desc("c"), "word").limit(head).collect()}
+    lexicon = Lexicon.of(list(dict.fromkeys([END, *counts]))[:HEAD_WORDS])
+    whole = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    n, v = int(whole["n"] or 0), int(whole["v"])
+    shared = context.broadcast(lexicon)
+    others, kinds = _other_words(vocabulary, shared)
+    places = np.zeros((CLASSES, PLACES))
+    for word, at in lexicon.place.items():
+        places[at // PLACES, at % PLACES] = counts.get(word, 0) + alpha
+    share_of = np.log10(others + alpha * (kinds + 1))
+    frequent = context.broadcast(counts)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        row, known = part << 40, Known(frequent.value, shared.value, share_of, alpha)
         for batch in batches:
             out: list[tuple] = []
             for doc, held, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if len(vocabulary) > CACHE:
-                    vocabulary = Words(frequent.value)
-                tokens = vocabulary.numbers([*words(text), END])
-                unique, times = np.unique(tokens, return_counts=True)
-                counts = np.fromiter(map(vocabulary.known.__getitem__, unique.tolist()), np.int64, len(unique))
-                some = counts > 0
-                classes = np.fromiter(map(vocabulary.classes.__getitem__, tokens.tolist()), np.int32, len(tokens))
-                path = float(table[histories(classes) * CLASSES + classes].sum(dtype=np.float64))
-                rare = [(vocabulary.seen[u], t) for u, t in zip(unique[~some].tolist(), times[~some].tolist(), strict=True)]
-                out.append((row, doc, held, len(tokens), int(times[some].sum()), float((times[some] * np.log10(counts[some] + alpha)).sum()), path, [w for w, _ in rare], [t for _, t in rare]))
+                if known.full:
+                    known = Known(frequent.value, shared.value, share_of, alpha)
+                out.append((part % rounds, row, doc, held, *known.told(text)))
                 row += 1
             if out:
-                types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "words_part", "path_part", "rare", "times"])
-
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = staged(
-        ready.select("doc_id", _held_out().alias("held_out"), "text").mapInArrow(
-            score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, words_part double, path_part double, rare array<binary>, times array<long>"
-        ),
-        "scored",
-    )
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    met = rare.join(vocabulary.where(F.col("c") < least), "word", "left").select(
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+                names = ["share", "row", "doc_id", "held_out", "n_tokens", "n_known", "words_part", "rest_part", "codes", "rare", "times"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", _held_out().alias("held_out"), "text")
+    schema = "share int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, words_part double, rest_part double, codes binary, rare array<binary>, times array<long>"
+    told = staged(ready.mapInArrow(tell, schema), "texts")
+    end = lexicon.place[END]
+    model = context.broadcast(train(told.where("not held_out"), priors(places, others), end, rounds))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = model.value
+        for batch in batches:
+            codes = [np.frombuffer(x, np.int32) for x in batch.column(0).to_pylist()]
+            logs = [weights.log10(x) for x in _batched(iter(codes), end)]
+            at = np.cumsum([0, *map(len, codes)])
+            sums = np.add.reduceat(np.concatenate(logs), at[:-1]) if codes else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sums)], names=[*batch.schema.names[1:], "path_part"])
+
+    kept = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, words_part double, rest_part double"
+    names = [x.split()[0] for x in kept.split(", ")]
+    scored = told.select("codes", *names).mapInArrow(score, f"{kept}, path_part double")
+    rare = told.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    least = min(counts.values()) if len(counts) >= head else 0
+    met = rare.join(vocabulary.where(F.col("c") <= least), "word", "left").select(
         "row",
         F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("n_known"),
         (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(alpha))).alias("words_part"),
     )
     met = met.groupBy("row").agg(F.sum("n_known").alias("more_known"), F.sum("words_part").alias("more_words"))
-    words_part = F.col("words_part") + F.coalesce("more_words", F.lit(0.0))
-    return scored.drop("rare", "times").join(met, "row", "left").select(
+    more = F.coalesce("more_words", F.lit(0.0))
+    return scored.join(met, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (words_part - F.col("n_tokens") * float(np.log10(n + alpha * (v + 1)))).alias("base_score"),
-        (words_part + F.col("path_part")).alias("score"),
+        (F.col("words_part") + more - F.col("n_tokens") * float(np.log10(n + alpha * (v + 1)))).alias("base_score"),
+        (F.col("path_part") + F.col("rest_part") + more).alias("score"),
     )

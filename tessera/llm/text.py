@@ -9,8 +9,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Entries of a per-process cache before it is dropped and filled anew.
-CACHE = 400_000
+#: Entries and bytes of keys of a per-process cache before it is dropped and filled anew, and the longest key that is kept.
+CACHE, CACHE_BYTES, LONGEST = 400_000, 1 << 25, 256
 
 
 def raw(text: str | None) -> bytes:
@@ -26,9 +26,11 @@ class Hashes(dict):
     """64-bit hash of a word; the same in every process."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = h
         return h
 
 
