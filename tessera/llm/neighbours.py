@@ -1,10 +1,11 @@
 """Nearest neighbours by a block matrix join.
 
-Vectors are packed into blocks by a hash of their id; each block of queries meets each block of candidates on the
-block's number. In a tile both sides are quantised to int8 with one scale a row. The int8 product gives every inner
-product up to a bound, ``|q| * |x - x8| + |q - q8| * |x8|``; a candidate whose upper bound is below the k-th lower
-bound can't be among the k nearest. What survives is recomputed in double precision from the original vectors, and
-the tiles' lists are merged by heaps, a fixed number of lists at a time. The result is exact.
+Vectors are packed into blocks by a hash of their id. A block of candidates goes to one task, once; the blocks of
+queries, a fixed share of the rows, are what is sent to every block of candidates and streams past it. In a tile both
+sides are quantised to int8 with one scale a row. The int8 product gives every inner product up to a bound,
+``|q| * |x - x8| + |q - q8| * |x8|``; a candidate whose upper bound is below the k-th lower bound can't be among the k
+nearest. What survives is recomputed in double precision from the original vectors, and the tiles' lists are merged by
+heaps, a fixed number of lists at a time. The result is exact.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from tessera.staging import staged
 
 NEAREST, EVERY = 20, 20
-#: Bytes of original vectors in a block of candidates, and queries in a block of queries.
-BLOCK_BYTES, QUERY_BYTES, FAN = 1 << 20, 1 << 18, 16
+#: Bytes of original vectors in a block of candidates, in a block of queries and in one row, lists merged at once, and the sides of a tile.
+BLOCK_BYTES, QUERY_BYTES, ROW_BYTES, FAN, ASKED, MET = 1 << 25, 1 << 18, 1 << 13, 16, 512, 4096
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,33 +43,57 @@ def int8_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def tile(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, list[int], list[float]]]:
-    """(query id, ids, scores) of the k nearest in this tile, nearest first, ties to the smaller id."""
-    qc, qs, qe, _ = quantised(q)
-    xc, xs, xe, xn = quantised(x)
-    norms = np.linalg.norm(q, axis=1)
-    near = int8_product(qc, xc) * qs[:, None] * xs[None, :]
-    error = (norms[:, None] * xe[None, :] + qe[:, None] * xn[None, :]) * (1 + 1e-9) + 1e-12 * norms[:, None] * xn[None, :]
-    near[q_ids[:, None] == x_ids[None, :]] = -np.inf
-    if len(x_ids) > k:
-        least = np.partition(near - error, len(x_ids) - k, axis=1)[:, len(x_ids) - k]
-        kept = (near + error >= least[:, None]) & (near > -np.inf)
-    else:
-        kept = near > -np.inf
-    rows, columns = np.nonzero(kept)
-    scores = np.zeros(len(rows))
-    for at in range(0, len(rows), 1 << 16):
-        a, b = q[rows[at : at + (1 << 16)]], x[columns[at : at + (1 << 16)]]
-        for j in range(q.shape[1]):  # in the order of components, so equal vectors have equal scores
-            scores[at : at + (1 << 16)] += a[:, j] * b[:, j]
-    ids = x_ids[columns]
+class Side:
+    """Rows of one side: ids, vectors and their codes."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors.astype(np.float64)
+        self.codes, self.scale, self.error, self.coded = quantised(self.vectors)
+        self.norms = np.linalg.norm(self.vectors, axis=1)
+
+
+def tile(q: Side, x: Side, k: int) -> Iterator[tuple[int, list[int], list[float]]]:
+    """(query id, ids, scores) of the k nearest in a block, nearest first, ties to the smaller id."""
+    for i in range(0, len(q.ids), ASKED):
+        asked, found = slice(i, i + ASKED), []
+        bar = np.full(len(q.ids[asked]), -np.inf)  # k candidates of one tile have a lower bound of at least this
+        for j in range(0, len(x.ids), MET):
+            met = slice(j, j + MET)
+            near = int8_product(q.codes[asked], x.codes[met]) * q.scale[asked, None] * x.scale[None, met]
+            error = (q.norms[asked, None] * x.error[None, met] + q.error[asked, None] * x.coded[None, met]) * (1 + 1e-9) + 1e-12 * q.norms[asked, None] * x.coded[None, met]
+            near[q.ids[asked, None] == x.ids[None, met]] = -np.inf
+            if near.shape[1] > k:
+                bar = np.maximum(bar, np.partition(near - error, near.shape[1] - k, axis=1)[:, near.shape[1] - k])
+            rows, columns = np.nonzero((near + error >= bar[:, None]) & (near > -np.inf))
+            scores = np.zeros(len(rows))
+            for at in range(0, len(rows), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                a, b = q.vectors[i + rows[part]], x.vectors[j + columns[part]]
+                for c in range(a.shape[1]):  # in the order of components, so equal vectors have equal scores
+                    scores[part] += a[:, c] * b[:, c]
+            found = _best([*found, (rows, x.ids[j + columns], scores)], len(bar), k)
+        for rows, ids, scores in found:
+            first = np.searchsorted(rows, np.arange(len(bar) + 1))
+            for n, query in enumerate(q.ids[asked].tolist()):
+                if first[n] < first[n + 1]:
+                    yield query, ids[first[n] : first[n + 1]].tolist(), scores[first[n] : first[n + 1]].tolist()
+
+
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k best (row, id, score) of each of ``n`` rows, in order."""
+    rows, ids, scores = (np.concatenate(c) for c in zip(*found, strict=True))
     order = np.lexsort((ids, -scores, rows))
-    rows, ids, scores = rows[order], ids[order], scores[order]
-    first = np.searchsorted(rows, np.arange(len(q_ids) + 1))
-    for i, query in enumerate(q_ids.tolist()):
-        cut = slice(first[i], min(first[i] + k, first[i + 1]))
-        if cut.start < cut.stop:
-            yield query, ids[cut].tolist(), scores[cut].tolist()
+    rows = rows[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, np.arange(n))[rows] < k
+    return [(rows[kept], ids[order][kept], scores[order][kept])]
+
+
+def needed(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Rows of a block, ids ascending, of which any query can need one: of equal vectors the k + 1 least ids, as ties go to those."""
+    _, kind = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(kind, kind="stable")
+    place = np.arange(len(ids)) - np.searchsorted(kind[order], kind[order])
+    return np.sort(order[place <= k])
 
 
 def usable(vectors: DataFrame, column: str) -> DataFrame:
@@ -94,30 +119,50 @@ def nearest(vectors: DataFrame, column: str = "embedding", k: int = NEAREST, eve
     blocks, asked = (max(1, -(-int(volume[x] or 0) // most)) for x, most in (("all", BLOCK_BYTES), ("asked", QUERY_BYTES)))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        least: dict[int, tuple] = {}
-        for i, v in zip(pdf["vec_id"], pdf["v"], strict=True):
-            if i not in least or tuple(v) < tuple(least[i]):
-                least[i] = v
-        ids = np.array(sorted(least), "<i8")
-        data = np.stack([least[i] for i in ids.tolist()]).astype(code).tobytes()
-        return pd.DataFrame({"dim": pdf["dim"].iloc[:1].astype("int32"), "block": pdf["block"].iloc[:1].astype("int32"), "ids": [ids.tobytes()], "data": [data]})
-
-    def blocked(df: DataFrame, n: int) -> DataFrame:
-        by = df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-        return staged(by.groupBy("dim", "block").applyInPandas(packed, "dim int, block int, ids binary, data binary"), "blocks")
-
-    base = blocked(clean, blocks)
-    ask = blocked(clean.where(queries), asked).select("dim", F.col("block").alias("part"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    pairs = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(base, ["dim", "block"])
-    tiles = pairs.select("dim", "part", "block", "q_ids", "q_data", "ids", "data").repartition(F.col("dim"), F.col("part"), F.col("block"))
+        ids = pdf["vec_id"].to_numpy("<i8")
+        order = np.argsort(ids)
+        data = np.stack(pdf["v"].to_list()).astype(code)[order]
+        if not pdf["asks"].iloc[0]:
+            kept = needed(ids[order], data, k)
+            order, data = order[kept], data[kept]
+        ids, step = ids[order], max(1, ROW_BYTES // (width * data.shape[1]))
+        cut = [slice(i, i + step) for i in range(0, len(ids), step)]
+        row = pdf[["asks", "dim", "block"]].iloc[:1]
+        return pd.concat([row] * len(cut)).assign(ids=[ids[c].tobytes() for c in cut], data=[data[c].tobytes() for c in cut])
+
+    # an id met several times: its least vector
+    once = clean.groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
+    both = once.withColumn("asks", F.explode(F.when(queries, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    block = F.pmod(F.xxhash64("vec_id"), F.when(F.col("asks"), F.lit(asked)).otherwise(F.lit(blocks))).cast("int")
+    shape = "asks boolean, dim int, block int, ids binary, data binary"
+    laid = staged(both.withColumn("block", block).groupBy("asks", "dim", "block").applyInPandas(packed, shape), "blocks")
+    base = laid.where("not asks").withColumn("part", F.lit(-1))
+    ask = laid.where("asks").withColumnRenamed("block", "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tiles = base.unionByName(ask).select("dim", "block", "part", "ids", "data").repartition("dim", "block").sortWithinPartitions("dim", "block", "part")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], np.ndarray, np.ndarray]]:
+        """Neighbouring rows of a batch that belong to the same part: its key, ids and vectors."""
+        for batch in batches:
+            keys = list(zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True))
+            blobs, at = [batch.column(j).to_pylist() for j in (3, 4)], 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                ids, data = (b"".join(b[at:end]) for b in blobs)
+                yield keys[at], np.frombuffer(ids, "<i8"), np.frombuffer(data, code).reshape(-1, keys[at][0])
+                at = end
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim, part, block, *blobs = (batch.column(j)[i].as_py() for j in range(7))
-                q_ids, ids = (np.frombuffer(blobs[j], "<i8") for j in (0, 2))
-                q, x = (np.frombuffer(blobs[j], code).reshape(-1, dim).astype(np.float64) for j in (1, 3))
-                got = list(tile(q_ids, q, ids, x, k))
+        held, pieces, x = None, [], None
+        for (dim, block, part), ids, data in runs(batches):
+            if part < 0:
+                pieces, x = [*(pieces if held == (dim, block) else []), (ids, data)], None
+                held = dim, block
+            elif held == (dim, block):
+                if x is None:
+                    x = Side(*(np.concatenate(c) for c in zip(*pieces, strict=True)))
+                got = list(tile(Side(ids, data), x, k))
                 if got:
                     n = len(got)
                     columns = [pa.array([dim] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([block // FAN] * n, pa.int32())]

@@ -30,6 +30,9 @@ def test_against_brute_force(spark, monkeypatch, small):
         monkeypatch.setattr(neighbours, "BLOCK_BYTES", 160)
         monkeypatch.setattr(neighbours, "QUERY_BYTES", 200)
         monkeypatch.setattr(neighbours, "FAN", 3)
+        monkeypatch.setattr(neighbours, "ROW_BYTES", 130)
+        monkeypatch.setattr(neighbours, "ASKED", 2)
+        monkeypatch.setattr(neighbours, "MET", 7)
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(120)]
     rows += [(200 + i, rows[3][1]) for i in range(30)] + [(300, None), (320, [0.0] * 8), (340, [float("nan")] * 8), (360, [1e300] * 8), (380, [1.0, None] * 4)]
@@ -50,3 +53,14 @@ def test_wide_vectors():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(-127, 128, (3, 3000)).astype(np.int8) for _ in range(2))
     assert (neighbours.int8_product(a, b) == a.astype(int) @ b.astype(int).T).all()
+
+
+def test_copies_that_no_query_needs():
+    ids, v = np.array([1, 2, 3, 5, 8, 9]), np.array([[1.0, 2], [3, 4], [1, 2], [1, 2], [3, 4], [1, 2]])
+    assert neighbours.needed(ids, v, 1).tolist() == [0, 1, 2, 4]
+
+
+def test_queries_are_replicated_not_candidates(spark):
+    """Blocks of candidates go to one task each; what grows with their number is the queries' share."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)], "vec_id long, embedding array<float>")
+    assert neighbours.nearest(df)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
