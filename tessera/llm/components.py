@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table by alternating large-star and small-star steps, and joins that bear hot keys."""
 
 from __future__ import annotations
 
@@ -7,24 +7,50 @@ from pyspark.sql import functions as F
 
 from tessera.staging import staged
 
+#: Rows of one key that may meet in a task, and keys with more rows than that which are broadcast.
+HOT, BROADCAST = 10_000, 100_000
+
+
+def attached(left: DataFrame, right: DataFrame, key: str, apart, rows: int) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row for each key; its column ``many``: how many of ``left``'s ``rows`` have it).
+
+    Keys of many rows never come together: at most BROADCAST of them are broadcast (a key of more than rows / BROADCAST
+    rows is one of fewer than BROADCAST). Their rows then take part in the join of the others under keys of their own,
+    ``apart``, that match nothing. A row whose key isn't there gets nulls.
+    """
+    most = max(HOT, rows // BROADCAST)
+    names = [c for c in right.columns if c not in (key, "many")]
+    hot = right.where(F.col("many") > most).select(key, *(F.col(c).alias(f"_h_{c}") for c in names), F.lit(True).alias("_hot"))
+    few = right.where(F.col("many") <= most).select(F.col(key).alias("_key"), *(F.col(c).alias(f"_c_{c}") for c in names))
+    full = left.join(F.broadcast(hot), key, "left").withColumn("_at", F.when(F.col("_hot"), apart).otherwise(F.col(key)))
+    full = full.join(few, F.col("_at") == F.col("_key"), "left")
+    return full.select(*left.columns, *(F.when(F.col("_hot"), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in names))
+
+
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Count and two 64-bit hashes of a set of edges, in whatever order."""
+    return tuple(edges.agg(F.count("*"), *(F.bit_xor(F.xxhash64("a", "b", F.lit(k))) for k in (0, 1))).first())
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label) for each node of ``edges(a, b)``, both longs; label: the least node it is linked with.
+    """(node, label) for each node of ``edges(a, b)``, both longs from 0; label: the least node it is linked with.
 
-    A node with very many edges is never gathered: its least neighbour is an aggregate, joined back to its edges.
+    A node with very many edges is never gathered: its least neighbour is an aggregate, and comes back to its edges by
+    ``attached``.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    apart = -1 - F.pmod(F.xxhash64("a", "b"), F.lit(1 << 62))
+    told = _fingerprint(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-        new = staged(small, "edges")
-        told = [x.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first() for x in (now, new)]
-        now = new
-        if tuple(told[0]) == tuple(told[1]):
+        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("many")), "least")
+        large = attached(both, least, "a", apart, 2 * told[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = staged(large, "large")
+        least = staged(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("many")), "least")
+        small = attached(large, least, "a", apart, 2 * told[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
+        now = staged(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+        before, told = told, _fingerprint(now)
+        if before == told:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

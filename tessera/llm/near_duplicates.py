@@ -28,16 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bloom
-from tessera.llm.components import components
+from tessera.llm.components import attached, components
 from tessera.llm.signature_tree import candidates, signature
-from tessera.llm.text import grams, hashed, words
+from tessera.llm.text import grams, hashed, row_key, words
 from tessera.staging import staged
 
 WORDS, PERCENT = 5, 80
 #: Documents in the sample that shows which shingles are frequent, how often one must occur there, and how many are kept.
 SAMPLE, OFTEN, FREQUENT = 4000, 3, 1 << 17
-#: Classes of a bucket in one part, shingles of a family in one part, and sets that are tried without a tree.
-BUCKET, VOLUME, FEW = 2048, 500_000, 12
+#: Classes of a bucket in one part, of small buckets in one home, shingles of a family in one part, and sets that are tried without a tree.
+BUCKET, HOME, VOLUME, FEW = 2048, 1024, 500_000, 12
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -60,7 +60,7 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text, k).view(np.int64))], names=["shingle"])
 
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    picked = docs.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
     counts = picked.mapInArrow(told, "shingle long").groupBy("shingle").count().where(F.col("count") >= OFTEN)
     top = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()  # FREQUENT longs at most
     return np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))
@@ -77,7 +77,7 @@ def _prefix(members: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, often, k: int, percent: int) -> DataFrame:
-    """(row, doc_id, n, digest, signature, prefix) of every row; prefix: 8 bytes for each shingle."""
+    """(row, doc_id, n, digest, signature, prefix, key) of every row; prefix: 8 bytes for each shingle; key: carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -90,11 +90,12 @@ def described(docs: DataFrame, often, k: int, percent: int) -> DataFrame:
                 pa.array([_digest(s) for s in sets], pa.binary()),
                 pa.array([signature(s) if len(s) else b"" for s in sets], pa.binary()),
                 pa.array([_prefix(s, often.value, percent).tobytes() for s in sets], pa.binary()),
+                batch.column(2),
             ]
             row += len(sets)
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n", "digest", "signature", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n", "digest", "signature", "prefix", "key"])
 
-    return docs.mapInArrow(run, "row long, doc_id long, n long, digest binary, signature binary, prefix binary")
+    return docs.mapInArrow(run, "row long, doc_id long, n long, digest binary, signature binary, prefix binary, key long")
 
 
 def _tokens(classes: DataFrame, among=None) -> DataFrame:
@@ -194,9 +195,10 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     buckets = _tokens(classes).groupBy("token").agg(F.count("*").alias("many"), F.min("row").alias("least"), *who)
     buckets = buckets.where("many > 1").groupBy("many", "least", "who0", "who1").agg(F.min("token").alias("token"))  # like members, one traversal
     # buckets with the same least class go to as many homes as their members ask for
-    homes = buckets.groupBy("least").agg(F.ceil(F.sum("many") / (2 * BUCKET)).alias("homes"))
+    homes = buckets.groupBy("least").agg(F.ceil(F.sum("many") / HOME).alias("homes"))
+    # no more buckets have one least class than it has prefix shingles
     buckets = staged(buckets.join(homes, "least").select("token", "many", "least", "homes"), "buckets")
-    among = classes.sparkSession.sparkContext.broadcast(bloom.built(buckets.select("token")))
+    among = classes.sparkSession.sparkContext.broadcast(bloom.built(buckets.select("token"), buckets.count()))
     placed = _parted(_tokens(classes, among).join(buckets, "token"), F.ceil(F.col("many") / BUCKET))
     # small buckets with the same least class mostly hold one family, and share what is connected
     home = F.when(F.col("_of") == 1, F.xxhash64("least", F.pmod(F.xxhash64("token"), "homes"))).otherwise(F.xxhash64("token", "i", "j"))
@@ -227,7 +229,8 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
     """(a, b): a forest of the links, found within the components of the candidate pairs."""
     family = components(pairs).withColumnRenamed("node", "row")
     family = staged(family.join(classes.select("row", "doc_id", "n", "digest"), "row"), "families")
-    ids = docs.sparkSession.sparkContext.broadcast(bloom.built(family.select(F.coalesce("doc_id", F.lit(0)))))
+    members = family.count()
+    ids = docs.sparkSession.sparkContext.broadcast(bloom.built(family.select(F.coalesce("doc_id", F.lit(0))), members))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,8 +240,9 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
                 columns = [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["digest", "members"])
 
-    size = family.groupBy("label").agg(F.sum("n").alias("_total"))
-    placed = _parted(family.join(size, "label"), F.ceil(F.col("_total") / VOLUME)).select("digest", "label", "i", "j", "row")
+    size = family.groupBy("label").agg(F.sum("n").alias("_total"), F.count("*").alias("many"))
+    sized = attached(family, size, "label", -1 - F.col("row"), members)
+    placed = _parted(sized, F.ceil(F.col("_total") / VOLUME)).select("digest", "label", "i", "j", "row")
     full = docs.mapInArrow(again, "digest binary, members binary").join(placed, "digest")
     laid = full.select("label", "i", "j", "row", "members").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "row")
 
@@ -260,6 +264,27 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
     return laid.mapInArrow(run, "a long, b long")
 
 
+def _members(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, doc_id, n, label, component_id) of each row of ``docs(doc_id, text, key)``; label: one number for each component."""
+    often = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
+    all_rows = staged(described(docs, often, k, percent), "described")
+    thin = all_rows.select("row", "key", "doc_id", "n", "digest")
+    # a class: its least row and id, and how many copies it has
+    reps = staged(thin.where("n > 0").groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count("*").alias("many")), "representatives")
+    classes = staged(all_rows.join(reps.select("row"), "row", "left_semi"), "classes")
+    links = _links(_candidates(classes, percent), classes, docs, k, percent)
+    found = components(links).withColumnRenamed("node", "row")
+    labelled = staged(reps.join(found, "row", "left").withColumn("label", F.coalesce("label", "row")), "labelled")
+    counts = labelled.agg(F.count("*").alias("classes"), F.sum("many").alias("rows")).first()
+    least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"), F.count("*").alias("many"))
+    told = attached(labelled, least, "label", -1 - F.col("row"), counts["classes"]).select("digest", "label", "component_id", "many")
+    own = F.concat(F.lit(b"\0"), F.col("row").cast("string").cast("binary"))  # no digest, which has 16 bytes and no such start
+    some = thin.withColumn("digest", F.when(F.col("n") > 0, F.col("digest")).otherwise(own))
+    full = attached(some, told, "digest", own, counts["rows"] or 0)
+    alone = F.col("label").isNull()
+    return full.select("key", "doc_id", "n", F.when(alone, F.col("row")).otherwise(F.col("label")).alias("label"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
 def joined(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs(doc_id, text)``.
 
@@ -267,28 +292,26 @@ def joined(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
     and links with nothing, itself apart. Each of several rows with one id is taken by its own text. A null id counts
     as greater than any other. An empty table gives no rows. Other columns are not looked at.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    often = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
-    all_rows = staged(described(docs, often, k, percent), "described")
-    thin = all_rows.select("row", "doc_id", "n", "digest")
-    reps = thin.where("n > 0").groupBy("digest").agg(F.min("row").alias("row"))
-    classes = staged(all_rows.join(reps.select("row"), "row", "left_semi"), "classes")
-    links = _links(_candidates(classes, percent), classes, docs, k, percent)
-    found = components(links).withColumnRenamed("node", "row")
-    labels = reps.join(found, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    members = thin.join(labels.select("digest", "label"), "digest", "left").withColumn("label", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("row")))
-    least = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return members.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("long").alias("key"))
+    return _members(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def kept_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component, that of the least id; repeated rows of that id: one of them."""
-    found = joined(docs, k, percent)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    left = docs.join(dropped, docs["doc_id"] == dropped["_copy"], "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_many"))
-    once = left.join(repeated, left["doc_id"] == repeated["_many"], "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, left["doc_id"] == repeated["_many"], "left_anti").unionByName(once)
+    """``docs`` with one row of each component: that of the least id, a null id last; of several rows of that id any one, but always the same.
+
+    Rows without a word stay. Rows that are equal in every column count as one document: one of them stays. An empty
+    table gives no rows; other columns are kept as they are.
+    """
+    keyed = docs.withColumn("_row", row_key(docs))
+    found = _members(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_row").alias("key")), k, percent)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    chosen = staged(found.groupBy("label").agg(F.min_by("key", order).alias("_chosen"), F.count("*").alias("_rows")), "chosen")
+    left = keyed.join(chosen.select("_chosen").distinct(), F.col("_row") == F.col("_chosen"), "left_semi")
+    # only rows of a component of several can be repeated, or wordless ones, each of which is a component
+    again = found.groupBy("key").count().where("count > 1").select(F.col("key").alias("_again"))
+    again = staged(again.join(chosen, F.col("_again") == F.col("_chosen"), "left_semi"), "repeated")
+    once = left.join(again, F.col("_row") == F.col("_again"), "left_semi").dropDuplicates(["_row"])
+    return left.join(again, F.col("_row") == F.col("_again"), "left_anti").unionByName(once).drop("_row")
 
 
 SQL = r"""

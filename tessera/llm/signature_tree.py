@@ -116,10 +116,11 @@ def candidates(sizes: np.ndarray, signatures: list[bytes], labels: np.ndarray, p
         for i, j in _traverse(own[1], own[1], True, percent):
             left.append(own[0][i])
             right.append(own[0][j])
-        if other := tree(power + 1, power):
-            for i, j in _traverse(own[1], other[1], False, percent):
-                left.append(own[0][i])
-                right.append(other[0][j])
+        for wider in range(power + 1, power + (100 // percent).bit_length() + 2):  # sizes up to 100 / percent times as large
+            if other := tree(wider, power):
+                for i, j in _traverse(own[1], other[1], False, percent):
+                    left.append(own[0][i])
+                    right.append(other[0][j])
     none = np.zeros(0, np.int64)
     i, j = (np.concatenate(x) if x else none for x in (left, right))
     apart = labels[i] != labels[j]

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Entries and bytes of keys of a per-process cache before it is dropped and filled anew, and the longest key that is kept.
 CACHE, CACHE_BYTES, LONGEST = 400_000, 1 << 25, 256
@@ -61,3 +63,10 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         out ^= h[i : i + n]
         out ^= out >> np.uint64(32)
     return mixed(out)
+
+
+def row_key(df: DataFrame) -> Column:
+    """A 64-bit hash of all of a row's columns (maps apart): what a decision on the row is joined back by. Equal rows share it; nulls count."""
+    columns = [c for c, kind in df.dtypes if "map<" not in kind]
+    marks = [F.col(f"`{c}`").isNull() for c in columns]  # a null alone leaves the hash as it is
+    return F.xxhash64(*(x for c, m in zip(columns, marks, strict=True) for x in (m, F.col(f"`{c}`"))))

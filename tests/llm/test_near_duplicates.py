@@ -109,3 +109,67 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 90), (95, 96), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys([90, 95, 96, 100], 90)}
+
+
+def test_copies_with_a_fresh_word_each(spark):
+    """Twenty copies of a text, two by two with a fresh word at one place: all link with the base, at 45 of 55."""
+    base = [f"w{i}" for i in range(54)]
+    least = sorted(int(x) for x in nd.shingles(" ".join(base)))[12]
+    rng, rows = random.Random(8), [(0, " ".join(base))]
+    fresh = {}
+    for i in range(1, 11):
+        for n in (i, 21 - i):
+            while True:
+                copy = list(base)
+                copy[5 * (i - 1) + 4] = f"f{rng.random()}"
+                own = set(nd.shingles(" ".join(copy)).tolist()) - set(nd.shingles(" ".join(base)).tolist())
+                if all(x > least for x in own) or len(own) < 5:
+                    break
+                if rng.random() < 0.002:
+                    break
+            fresh[n] = " ".join(copy)
+    rows += [(n, fresh[n]) for n in sorted(fresh)]
+    rows += [(100 + i, f"a{i} b{i} c{i}") for i in range(3000)]
+    got = {r.doc_id: r.component_id for r in nd.joined(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert all(got[n] == 0 for n in range(21)) and all(got[100 + i] == 100 + i for i in range(3000))
+
+
+@pytest.mark.parametrize("percent", [35, 60])
+def test_other_limits(spark, percent):
+    rng = random.Random(percent)
+    say = lambda n: [f"v{rng.randint(0, 5000)}" for _ in range(n)]
+    rows = []
+    for i in range(30):
+        base = say(rng.choice([20, 34, 60]))
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(base + say(rng.randint(1, 60)))), (3 * i + 2, " ".join(base[: len(base) // 2] + say(9)))]
+    own, want = {d: sets(t) for d, t in rows}, {d: d for d, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for a in own:
+            for b in own:
+                if want[b] < want[a] and 100 * len(own[a] & own[b]) >= percent * len(own[a] | own[b]):
+                    want[a], changed = want[b], True
+    got = {r.doc_id: r.component_id for r in nd.joined(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+    assert got == want and len(set(want.values())) < len(rows)
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    from tessera.llm import components as co
+
+    monkeypatch.setattr(co, "HOT", 5)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 100) for i in range(0, 60, 3)] + [(500, 501)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{n: 0 for e in edges[:-1] for n in e}, 500: 500, 501: 500}
+    rows = corpus(5) + [(2000 + i, "the same words in each of them") for i in range(30)] + [(3000 + i, None) for i in range(20)]
+    assert sorted(tuple(r) for r in nd.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows)
+
+
+def test_kept_one_by_row(spark):
+    """Null ids, repeated rows, an id with two texts, and columns that clash with the operator's own."""
+    text = "one two three four five six seven"
+    rows = [(None, text, "a", 1), (9, text, "a", 1), (8, text.upper(), "b", 2), (8, "quite another text of some words", "b", 2), (None, "all alone here with words", "c", 3), (None, None, "d", 4), (None, None, "e", 5), (1, "", "e", 6), (4, "x", "f", 7), (4, "x", "f", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string, key int")
+    got = sorted((r.doc_id or 0, r.text or "", r.key) for r in nd.kept_one(df).collect())
+    assert got == sorted([(8, text.upper(), 2), (8, rows[3][1], 2), (0, rows[4][1], 3), (0, "", 4), (0, "", 5), (1, "", 6), (4, "x", 7)])
+    assert nd.kept_one(df).columns == df.columns and nd.kept_one(df.limit(0)).count() == 0
