@@ -21,9 +21,9 @@ def attached(left: DataFrame, right: DataFrame, key: str, apart, rows: int) -> D
     most = max(HOT, rows // BROADCAST)
     names = [c for c in right.columns if c not in (key, "many")]
     hot = right.where(F.col("many") > most).select(key, *(F.col(c).alias(f"_h_{c}") for c in names), F.lit(True).alias("_hot"))
-    few = right.where(F.col("many") <= most).select(F.col(key).alias("_key"), *(F.col(c).alias(f"_c_{c}") for c in names))
+    few = right.where(F.col("many") <= most).select(F.col(key).alias("_match"), *(F.col(c).alias(f"_c_{c}") for c in names))
     full = left.join(F.broadcast(hot), key, "left").withColumn("_at", F.when(F.col("_hot"), apart).otherwise(F.col(key)))
-    full = full.join(few, F.col("_at") == F.col("_key"), "left")
+    full = full.join(few, F.col("_at") == F.col("_match"), "left")
     return full.select(*left.columns, *(F.when(F.col("_hot"), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in names))
 
 

@@ -2,8 +2,9 @@
 
 A window is ``size`` consecutive words of an item (an item with fewer words is one window). Of each window of
 words the least hash of its ``k``-grams is its fingerprint, so every shared span of a window's length has the
-same fingerprint on both sides. Document windows whose fingerprint may be in the benchmark (a Bloom filter of
-fixed size) are joined with the benchmark's on the fingerprint and extended to the whole window.
+same fingerprint on both sides. Document windows whose fingerprint may be in the benchmark (a Bloom filter) are joined
+with the benchmark's on the fingerprint and extended to the whole window. A window is joined once, whatever the number of
+items it stands in; items come in by the sets of items that windows have.
 """
 
 from __future__ import annotations
@@ -11,19 +12,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import grams, hashed, mixed, raw
+from tessera.llm import bloom
+from tessera.llm.text import grams, hashed, mixed, raw, row_key
 from tessera.staging import staged
 
 SIZE, GRAM = 10, 5
-#: Bits of the Bloom filter: 4 MB, whatever the benchmark. A larger benchmark only lets more windows into the join.
-BITS = 1 << 25
-_CHUNK = 1 << 16
+#: Copies of the benchmark's windows that the documents' are dealt over, as one window may be in a third of all documents.
+SALTS = 8
 
 _FOLD = bytes(
     32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)
@@ -47,15 +47,6 @@ def windows(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mixed(least + np.uint64(size)), grams(h, size)
 
 
-def _slots(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (fp & np.uint64(BITS - 1)).astype(np.int64), ((fp >> np.uint64(32)) & np.uint64(BITS - 1)).astype(np.int64)
-
-
-def _may_hold(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    a, b = _slots(fp)
-    return (bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1
-
-
 def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     """(item_id, size, fp, win) of every window of ``items(item_id, text)``."""
 
@@ -79,30 +70,6 @@ def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     return of.mapInArrow(cut, f"item_id {of.schema['item_id'].dataType.simpleString()}, size int, fp long, win long").distinct()
 
 
-def _bloom(fps: DataFrame) -> np.ndarray:
-    """Bit map of the fingerprints, put together from chunks of 8 KB; at most ``BITS`` bits reach the driver."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = np.zeros(BITS // _CHUNK, object)
-        for batch in batches:
-            for slots in _slots(batch.column(0).to_numpy().view(np.uint64)):
-                for c in np.unique(slots // _CHUNK):
-                    if isinstance(full[c], int):
-                        full[c] = np.zeros(_CHUNK, bool)
-                    full[c][slots[slots // _CHUNK == c] % _CHUNK] = True
-        got = [(int(c), np.packbits(x, bitorder="little").tobytes()) for c, x in enumerate(full) if not isinstance(x, int)]
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["chunk", "bits"])
-
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
-
-    out = np.zeros(BITS // 8, np.uint8)
-    for row in fps.select("fp").mapInArrow(bits, "chunk int, bits binary").groupBy("chunk").applyInPandas(joined, "chunk int, bits binary").collect():
-        out[row["chunk"] * _CHUNK // 8 :][: _CHUNK // 8] = np.frombuffer(row["bits"], np.uint8)
-    return out
-
-
 def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """What of each document of ``docs(doc_id, text)`` lies in windows of ``items(item_id, text)``.
 
@@ -110,10 +77,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
     ids included. Null, empty or wordless texts have 0 words. Items without words have no window; a null item id
     can hit words but is not listed. Repeated items count once. Other columns are not looked at.
     """
-    bench = staged(item_windows(items, size), "item-windows")
+    each = staged(item_windows(items, size), "item-windows")
+    # windows with the same items share a number: a text that holds one of them holds those items
+    bench = each.groupBy("size", "fp", "win").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    bench = staged(bench.withColumn("of", F.xxhash64("items")), "benchmark-windows")
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most `size` values
     context = docs.sparkSession.sparkContext
-    bloom = context.broadcast(_bloom(bench))
+    filled = context.broadcast(bloom.built(bench.select("fp"), bench.count()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -125,7 +95,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
                 own = []
                 for s in sizes:
                     fp, win = windows(h, s)
-                    at = np.flatnonzero(_may_hold(bloom.value, fp))
+                    at = np.flatnonzero(bloom.may_hold(filled.value, fp.view(np.int64)))
                     if len(at):
                         own += [{"size": s, "start": x, "fp": y, "win": z} for x, y, z in zip(at.tolist(), fp[at].view(np.int64).tolist(), win[at].view(np.int64).tolist(), strict=True)]
                 rows.append(row)
@@ -140,7 +110,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
         ),
         "document-windows",
     )
-    hits = scanned.select("row", F.explode("found").alias("x")).select("row", "x.*").join(bench, ["fp", "size", "win"])
+    salt, salts = F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"), F.explode(F.array(*map(F.lit, range(SALTS))).cast("array<long>")).alias("salt")
+    hits = scanned.select("row", salt, F.explode("found").alias("x")).select("row", "salt", "x.*")
+    hits = hits.join(bench.select("fp", "size", "win", "of", salts), ["fp", "size", "win", "salt"])
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "size"))),
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
@@ -150,7 +122,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
         ),
         lambda a: a["n"],
     )
-    per_row = hits.groupBy("row").agg(covered.alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    per_row = hits.groupBy("row").agg(covered.alias("n_hit"), F.collect_set("of").alias("of"))
+    sets = bench.select("of", "items").dropDuplicates(["of"]).select("of", "items", salts)
+    named = per_row.select("row", salt, F.explode("of").alias("of")).join(sets, ["of", "salt"]).select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    per_row = per_row.drop("of").join(named, "row", "left")
     none = F.array().cast("array<string>")
     return scanned.select("row", "doc_id", "n_words").join(per_row, "row", "left").select(
         "doc_id",
@@ -163,9 +138,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` without the documents that hold a window of ``items``; a repeated id goes with any of its rows."""
-    bad = contamination(docs, items, size).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """``docs`` without the rows whose text holds a window of ``items``; each row by its own text, whatever its id.
+
+    A null text and an empty table of items drop nothing. An empty table gives no rows; other columns are kept.
+    """
+    keyed = docs.withColumn("_row", row_key(docs))
+    bad = contamination(keyed.select(F.col("_row").alias("doc_id"), "text"), items, size).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return keyed.join(bad, F.col("_row") == F.col("_bad"), "left_anti").drop("_row")
 
 
 SQL = r"""

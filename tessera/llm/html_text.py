@@ -56,15 +56,47 @@ DOUBTFUL, WRAPPING = -1, -2
 _WHOLE = frozenset("article body div html main".split())
 
 
-class Block:
-    __slots__ = ("chain", "doubts", "links", "out", "path", "text")
+class Page:
+    """Blocks of text in page order, and the elements around them as numbers: an element comes after those around it."""
 
-    def __init__(self, text: str, links: int, stack: list[tuple[str, int, int]]):
-        self.text, self.links = text, links
-        self.path = "/".join(e[0] for e in stack)
-        self.chain = [e[1] for e in stack]
-        self.out = max((e[2] for e in stack if e[2] > 0), default=0)
-        self.doubts = [(e[1], e[2]) for e in stack if e[2] < 0]
+    def __init__(self):
+        self.tags, self.parents, self.said = [""], [0], [0]
+        self.paths, self._path_of = [0], {}
+        self.texts: list[str] = []
+        self.links: list[int] = []  # characters of a block's text within links
+        self.at: list[int] = []
+
+    def element(self, tag: str, parent: int, said: int) -> int:
+        self.tags.append(tag)
+        self.parents.append(parent)
+        self.said.append(said)
+        self.paths.append(self._path_of.setdefault((self.paths[parent], tag), len(self._path_of) + 1))
+        return len(self.tags) - 1
+
+    def block(self, text: str, links: int, at: int) -> None:
+        self.texts.append(text)
+        self.links.append(links)
+        self.at.append(at)
+
+    def down(self, own: list, join) -> list:
+        """What each element takes over from those around it."""
+        out = list(own)
+        for e in range(1, len(out)):
+            out[e] = join(out[self.parents[e]], out[e])
+        return out
+
+    def up(self, own: list[int]) -> list[int]:
+        """Sums over each element and all inside."""
+        out = list(own)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parents[e]] += out[e]
+        return out
+
+    def within(self, blocks, value) -> list[int]:
+        own = [0] * len(self.tags)
+        for b in blocks:
+            own[self.at[b]] += value(b)
+        return self.up(own)
 
 
 def _named(name: str) -> int:
@@ -101,18 +133,17 @@ def _outside(tag: str, attributes: str) -> int:
     return 2 if re.search(r"(?:^|\s)hidden(?:\s|$)", attributes) else said
 
 
-def blocks(html: str) -> list[Block]:
-    """Blocks of text in page order, each with its path and the elements around it."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []
+def read(html: str) -> Page:
+    page = Page()
+    stack, open_ = [0], defaultdict(int)
     parts: list[str] = []
-    links, in_link, number, at = 0, False, 0, 0
+    links, in_link, at = 0, False, 0
 
     def end() -> None:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, links, stack))
+            page.block(text, links, stack[-1])
         parts.clear()
         links = 0
 
@@ -124,6 +155,11 @@ def blocks(html: str) -> list[Block]:
             if in_link:
                 links += len(piece)
 
+    def close(i: int) -> None:
+        for e in stack[i:]:
+            open_[page.tags[e]] -= 1
+        del stack[i:]
+
     for m in _PART.finditer(html):
         say(html[at : m.start()])
         at = m.end()
@@ -141,29 +177,28 @@ def blocks(html: str) -> list[Block]:
         end()
         in_link = False
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if page.tags[stack[i]] == tag))
             continue
         if tag in _EMPTY:
             continue
-        if tag in _CLOSES:
-            goes, bound = _CLOSES[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in bound:
+        goes, bound = _CLOSES.get(tag, ((), ()))
+        if any(open_[x] for x in goes):
+            for i in range(len(stack) - 1, 0, -1):
+                now = page.tags[stack[i]]
+                if now in bound:
                     break
-                if stack[i][0] in goes:
-                    del stack[i:]
+                if now in goes:
+                    close(i)
                     if tag != "tr":
                         break
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        number += 1
-        stack.append((tag, number, _outside(tag, attributes)))
+        if page.tags[stack[-1]] == "p":
+            close(len(stack) - 1)
+        stack.append(page.element(tag, stack[-1], _outside(tag, attributes)))
+        open_[tag] += 1
     say(html[at:])
     end()
-    return out
+    return page
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -171,51 +206,51 @@ def _smoothed(values: list[float]) -> list[float]:
     return [(values[max(i - 1, 0)] + 2 * values[i] + values[min(i + 1, n - 1)]) / 4 for i in range(n)]
 
 
-def content(found: list[Block]) -> list[Block]:
-    """The blocks of the main text."""
-    shown = [b for b in found if not b.out]
-    size, linked = defaultdict(int), defaultdict(int)
-    for b in shown:
-        for e in b.doubts:
-            size[e] += len(b.text)
-            linked[e] += b.links
-    enough = MOST * sum(len(b.text) for b in shown)
-    left = {e for e in size if linked[e] > MOST * size[e] or e[1] == WRAPPING and size[e] <= enough}
-    kept = [b for b in shown if left.isdisjoint(b.doubts)] or shown or [b for b in found if b.out < 2]
+def content(page: Page) -> list[int]:
+    """Numbers of the blocks of the main text. Time and memory are linear in the page, however deep its elements lie."""
+    texts, links, at = page.texts, page.links, page.at
+    out = page.down([max(x, 0) for x in page.said], max)
+    shown = [b for b in range(len(texts)) if not out[at[b]]]
+    size, linked = page.within(shown, lambda b: len(texts[b])), page.within(shown, links.__getitem__)
+    enough = MOST * sum(len(texts[b]) for b in shown)
+    left = page.down([x < 0 and (linked[e] > MOST * size[e] or x == WRAPPING and size[e] <= enough) for e, x in enumerate(page.said)], lambda a, b: a or b)
+    kept = [b for b in shown if not left[at[b]]] or shown or [b for b in range(len(texts)) if out[at[b]] < 2]
     if not kept:
         return []
+    path = [page.paths[at[b]] for b in kept]
     count, length, marks = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in kept:
-        count[b.path] += 1
-        length[b.path] += len(b.text) - b.links
-        marks[b.path] += len(_PUNCTUATION.findall(b.text))
-    by_length = _smoothed([length[b.path] / count[b.path] for b in kept])
-    by_marks = _smoothed([marks[b.path] / count[b.path] for b in kept])
-    fused: dict[str, float] = defaultdict(float)
-    for b, x, y in zip(kept, by_length, by_marks, strict=True):
-        fused[b.path] = max(fused[b.path], (max(x, 0.0) * (1 + y)) ** 0.5)
+    for b, p in zip(kept, path, strict=True):
+        count[p] += 1
+        length[p] += len(texts[b]) - links[b]
+        marks[p] += len(_PUNCTUATION.findall(texts[b]))
+    by_length = _smoothed([length[p] / count[p] for p in path])
+    by_marks = _smoothed([marks[p] / count[p] for p in path])
+    fused: dict[int, float] = defaultdict(float)
+    for p, x, y in zip(path, by_length, by_marks, strict=True):
+        fused[p] = max(fused[p], (max(x, 0.0) * (1 + y)) ** 0.5)
     least = THRESHOLD * max(fused.values())
-    passing = [i for i, b in enumerate(kept) if fused[b.path] >= least]
-    passing = [i for i in passing if kept[i].links <= LINKS * len(kept[i].text)] or passing  # menus pass beside long text
-    first = kept[passing[0]]
-    depth = len(first.chain)
-    for i in passing:
-        chain = kept[i].chain
-        depth = min(depth, len(chain))
-        while depth and chain[depth - 1] != first.chain[depth - 1]:
-            depth -= 1
-    # the article around; else an element that stands among siblings, as a paragraph, list or section, goes up
-    tags = first.path.split("/")[:depth]
-    text = max((i + 1 for i, t in enumerate(tags) if t == "article"), default=0) or max((i + 1 for i, t in enumerate(tags) if t == "main"), default=0)
-    depth = text or max((i + 1 for i, t in enumerate(tags) if t in _WHOLE), default=0)
-    inside = [(i, b) for i, b in enumerate(kept) if b.chain[:depth] == first.chain[:depth]]
+    passing = [b for b, p in zip(kept, path, strict=True) if fused[p] >= least]
+    passing = [b for b in passing if links[b] <= LINKS * len(texts[b])] or passing  # menus pass beside long text
+    # the deepest element around all of them; then the article around, else an element that stands among siblings: a paragraph, list or section goes up
+    holds = page.within(passing, lambda b: 1)
+    around = max(e for e, n in enumerate(holds) if n == len(passing))
+    chain = [around]
+    while chain[-1]:
+        chain.append(page.parents[chain[-1]])
+    found = {t: next((e for e in chain if page.tags[e] in of), 0) for t, of in (("article", {"article"}), ("main", {"main"}), ("whole", _WHOLE))}
+    text = found["article"] or found["main"]
+    anchor = text or found["whole"]
+    inside = page.down([e == anchor for e in range(len(page.tags))], lambda a, b: a or b)
     # without an article, links before and after all content are menus
-    return [b for i, b in inside if text or passing[0] <= i <= passing[-1] or b.links <= LINKS * len(b.text)]
+    return [b for b in kept if inside[at[b]] and (text or passing[0] <= b <= passing[-1] or links[b] <= LINKS * len(texts[b]))]
 
 
 def main_text(html: str | None) -> str:
     """Blocks of the main text, joined by two line ends; a null or empty page has none."""
-    return "\n\n".join(b.text for b in content(blocks(html))) if html else ""
+    if not html:
+        return ""
+    page = read(html)
+    return "\n\n".join(page.texts[b] for b in content(page))
 
 
 def extracted(pages: DataFrame, *carried: str) -> DataFrame:

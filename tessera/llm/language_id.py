@@ -9,6 +9,7 @@ the text alone shows; a host's prior is smoothed towards that of its parent doma
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import CACHE, words
+from tessera.llm.components import attached
+from tessera.llm.text import CACHE, CACHE_BYTES, row_key, words
 from tessera.staging import staged
 
 BUCKETS = 1 << 15
@@ -30,24 +32,26 @@ class Features(dict):
 
     def __init__(self):
         super().__init__()
-        self.buckets: list[tuple[int, int]] = []
+        self.word, self.ending, self.size = array("i"), array("i"), 0
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.buckets)
-        self.buckets.append((zlib.crc32(word) % BUCKETS, zlib.crc32(word[-3:], 1) % BUCKETS))
+        self[word] = n = len(self.word)
+        lettered = word.isalpha() or any(c > 96 for c in word)
+        self.word.append(zlib.crc32(word) % BUCKETS if lettered else -1)
+        self.ending.append(zlib.crc32(word[-3:], 1) % BUCKETS)
+        self.size += len(word)
         return n
 
     def of(self, text: str | None) -> np.ndarray:
         """Buckets of the words that hold a letter or anything beyond ASCII."""
-        ws = [w for w in words(text) if not w.isalpha() and any(c > 96 for c in w) or w.isalpha()]
-        if len(self) > CACHE:
+        if len(self) > CACHE or self.size > CACHE_BYTES:
             self.clear()
-            self.buckets.clear()
-        numbers = np.fromiter(map(self.__getitem__, ws), np.int32, len(ws))
-        if not len(numbers):
-            return numbers
-        unique, inverse = np.unique(numbers, return_inverse=True)
-        return np.array([self.buckets[u] for u in unique.tolist()], np.int64)[inverse].ravel()
+            self.__init__()
+        ws = words(text)
+        at = np.fromiter(map(self.__getitem__, ws), np.int32, len(ws))
+        word = np.frombuffer(self.word, np.int32).take(at) if len(at) else at
+        own = word >= 0
+        return np.concatenate([word[own], np.frombuffer(self.ending, np.int32).take(at[own])]) if own.any() else at[:0]
 
 
 def likelihoods(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -118,17 +122,20 @@ def identified(docs: DataFrame) -> DataFrame:
 
     told = staged(docs.mapInArrow(score, "id long, declared string, suffix string, host string, said array<double>, text_language string, none double"), "text-evidence")
     names = F.array(*map(F.lit, languages)).cast("array<string>")
-    parent = F.when(F.instr("host", ".") > 0, F.substring_index("host", ".", -2)).otherwise(F.lit(""))
+    parent = F.when(F.instr("host", ".") > 0, F.substring_index("host", ".", -2)).when(F.col("host").isNotNull(), F.lit(""))
     seen = told.where("text_language is not null").withColumn("parent", parent)
     n_all = {r["text_language"]: r["count"] for r in seen.groupBy("text_language").count().collect()}  # one for each language
     total = sum(n_all.values())
     base = [(n_all.get(x, 0) + 1.0) / (total + len(languages)) for x in languages]
     prior = F.array(*map(F.lit, base)).cast("array<double>")
 
+    full = told.withColumn("parent", parent)
+
     def counted(by: str) -> DataFrame:
-        """(by, n): how often each language was seen beside a value, in the languages' order."""
-        n = seen.where(F.col(by).isNotNull()).groupBy(by).agg(*(F.count_if(F.col("text_language") == x).alias(f"n{i}") for i, x in enumerate(languages)))
-        return n.select(by, F.array(*(F.col(f"n{i}").cast("double") for i in range(len(languages)))).cast("array<double>").alias(f"by_{by}"))
+        """(by, n): how often each language was seen beside a value, in the languages' order; many: rows with the value."""
+        of = [F.count_if(F.col("text_language") == x).alias(f"n{i}") for i, x in enumerate(languages)]
+        n = full.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("_key")).agg(F.count("*").alias("many"), *of)
+        return n.select("_key", "many", F.array(*(F.col(f"n{i}").cast("double") for i in range(len(languages)))).cast("array<double>").alias(f"by_{by}"))
 
     def smoothed(n: F.Column, to: F.Column) -> F.Column:
         whole = F.aggregate(n, F.lit(0.0), lambda a, x: a + x)
@@ -139,11 +146,13 @@ def identified(docs: DataFrame) -> DataFrame:
         none = F.transform(prior, lambda p: F.lit(0.0))
         return F.coalesce(F.zip_with(smoothed(value, prior), prior, lambda x, p: F.log(x / p)), none)
 
-    full = told.withColumn("parent", parent)
+    rows = told.count()
+    found = full
     for by in ("declared", "suffix", "host", "parent"):
         # rows without a value match nothing; a key of their own spreads them over tasks
-        key = F.coalesce(F.col(by), F.concat(F.lit("\x00"), F.xxhash64("id", "text_language", "host").cast("string")))
-        full = full.withColumn("_key", key).join(counted(by).withColumnRenamed(by, "_key"), "_key", "left").drop("_key")
+        own = F.concat(F.lit("\x00"), F.xxhash64("id", "text_language", "host", "none").cast("string"))
+        keyed = found.withColumn("_key", F.coalesce(F.col(by), own))
+        found = attached(keyed, staged(counted(by), f"seen-by-{by}"), "_key", own, rows).drop("_key")
     of_parent = F.coalesce(smoothed(F.col("by_parent"), prior), prior)
     of_host = F.coalesce(smoothed(F.col("by_host"), of_parent), of_parent)
     logs = F.transform(of_host, lambda p: F.log(p))
@@ -152,7 +161,7 @@ def identified(docs: DataFrame) -> DataFrame:
     top = F.array_max(F.col("logs"))
     others = F.exp(F.col("none") + F.lit(float(np.log(NONE))) - F.col("top"))
     weight = F.aggregate(F.col("logs"), others, lambda a, x: a + F.exp(x - F.col("top")))
-    out = full.withColumn("logs", logs).withColumn("top", top).withColumn("posterior", 1 / weight)
+    out = found.withColumn("logs", logs).withColumn("top", top).withColumn("posterior", 1 / weight)
     language = F.get(names, (F.array_position("logs", F.col("top")) - 1).cast("int"))
     return out.select("id", language.alias("language"), "posterior", "text_language", F.coalesce((F.col("posterior") >= ACCEPTED) & F.lit(known), F.lit(False)).alias("accepted"))
 
@@ -176,6 +185,11 @@ def of_pages(pages: DataFrame) -> DataFrame:
 
 
 def identified_rows(documents: DataFrame) -> DataFrame:
-    """``documents`` without those whose language is not accepted; a repeated id goes with any of its rows."""
-    bad = identified(of_documents(documents)).where("not accepted").select(F.col("id").alias("_bad")).distinct()
-    return documents.join(bad, documents["doc_id"] == bad["_bad"], "left_anti")
+    """``documents`` without the rows whose language is not accepted; each row by its own evidence, whatever its id.
+
+    Rows without a word with letters go, null and empty texts among them. An empty table gives no rows; other columns are kept.
+    """
+    keyed = documents.withColumn("_row", row_key(documents))
+    of = of_documents(keyed.drop("doc_id").withColumnRenamed("_row", "doc_id"))
+    bad = identified(of).where("not accepted").select(F.col("id").alias("_bad")).distinct()
+    return keyed.join(bad, F.col("_row") == F.col("_bad"), "left_anti").drop("_row")

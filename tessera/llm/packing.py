@@ -33,6 +33,8 @@ from tessera.staging import staged
 
 CAPACITY = 4096
 END_ID = 1
+#: Characters of a part of a text up to which a task keeps its ids.
+LONGEST = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long"
 
@@ -65,7 +67,7 @@ class TokenIds(dict):
         self.shown = _visible_bytes()
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.old.get(part)
+        ids = self.old.get(part)  # only short parts are kept, so bytes are bounded with entries
         if ids is None:
             m = _PLAIN.fullmatch(part)
             if not m:
@@ -75,10 +77,11 @@ class TokenIds(dict):
             else:
                 seen = part if part.isascii() else "".join([self.shown[b] for b in part.encode()])
                 ids = array("I", [t.id for t in self.bpe(seen)]).tobytes()
-        if len(self) >= self.keep:
-            self.old = dict(self)
-            self.clear()
-        self[part] = ids
+        if len(part) <= LONGEST:
+            if len(self) >= self.keep:
+                self.old = dict(self)
+                self.clear()
+            self[part] = ids
         return ids
 
     def of(self, text: str | None) -> bytes:

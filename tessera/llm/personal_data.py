@@ -2,9 +2,11 @@
 
 Patterns give the base spans. The field then labels every token with a digit or an at-sign: a potential for the
 token's shape, a chain potential between tokens side by side, and a skip potential between repeated or similar
-tokens anywhere in the document. Its potentials are log ratios of label counts, taken over all documents from the
-base spans and summed by grouped aggregation into tables of fixed size. Loopy message passing then labels each
-document at once; tokens in base spans are observed. What it finds beyond them is added; base spans stay.
+tokens anywhere in the document, by way of one hidden node for each thing that is mentioned, so evidence goes from any
+mention to any other in two steps. Its potentials are fitted piece by piece: log ratios of label counts, taken over all
+documents from the base spans and summed by grouped aggregation into tables of fixed size. Loopy message passing then
+labels each document at once, until messages settle; tokens in base spans are observed. What it finds beyond them is
+added; base spans stay.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ SHAPES = 1 << 15
 #: Layout of the count table: shape x label, then chain label pairs, then skip pairs (differ, agree), then labels.
 CHAIN, SKIP, PRIOR = SHAPES * LABELS, SHAPES * LABELS + LABELS * LABELS, SHAPES * LABELS + LABELS * LABELS + 2
 CELLS = PRIOR + LABELS
-CERTAIN, ROUNDS = 0.8, 8
+#: Probability of a label from which on it counts, rounds of messages, the change at which they have settled, and edges at once.
+CERTAIN, ROUNDS, SETTLED, CHUNK = 0.8, 100, 1e-4, 1 << 15
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -95,7 +98,7 @@ class Graph:
     def __init__(self, text: str, base: list[tuple[int, int, int]]):
         self.tokens: list[tuple[int, int]] = []
         shapes, last = [], {}
-        self.chain, self.skip = [], []
+        self.chain, self.skip, things = [], [], {}
         for m in _TOKEN.finditer(text):
             core = m[0].strip(_EDGE)
             if not core:
@@ -110,7 +113,11 @@ class Graph:
             if key := _key(core):
                 if key in last:
                     self.skip.append((last[key], i))
+                    things.setdefault(key, [last[key]]).append(i)
                 last[key] = i
+        #: (hidden node, token), hidden nodes after the tokens: one for each thing that is mentioned twice at least.
+        self.mentions = [(len(self.tokens) + h, i) for h, at in enumerate(things.values()) for i in at]
+        self.hidden = len(things)
         self.shapes = np.array(shapes, np.int64)
         self.observed = np.zeros(len(self.tokens), np.int64)
         i = 0
@@ -133,6 +140,11 @@ class Graph:
                 into[SKIP + (label[i] == label[j])] += 1
 
 
+def _sums(unary: np.ndarray, target: np.ndarray, message: np.ndarray) -> np.ndarray:
+    """Each node's own potential and what its neighbours say."""
+    return np.stack([unary[:, k] + np.bincount(target, message[:, k], len(unary)) for k in range(LABELS)], axis=1)
+
+
 class Field:
     """Log potentials from summed counts."""
 
@@ -143,30 +155,35 @@ class Field:
         expected = pair.sum(1, keepdims=True) * pair.sum(0, keepdims=True) / max(pair.sum(), 1)
         self.chain = np.log((pair + 2) / (expected + 2)).clip(-1, 2)  # pairs too rare to tell stay near 0
         differ, agree = counts[SKIP], counts[SKIP + 1]
-        strength = float(np.clip(np.log((agree + 1) / (differ + 1)), 0, 6))
+        agreement = float(np.clip((agree + 1) / (differ + 1), 1, np.exp(6)))
+        # over two steps, by a hidden node, two mentions weigh each other as counted
+        strength = float(np.log(agreement + np.sqrt(agreement**2 + (LABELS - 2) * agreement - (LABELS - 1))))
         self.skip = strength * (2 * np.eye(LABELS) - 1) / 2
 
     def marginals(self, g: Graph) -> np.ndarray:
-        """Loopy sum-product over the document's graph."""
+        """Loopy sum-product over the document's graph: label probabilities of each token, then of each hidden node."""
         unary = self.shape[g.shapes]
         unary = np.where((g.observed > 0)[:, None], np.where(np.arange(LABELS) == g.observed[:, None], 0.0, -60.0), unary)
-        edges = np.array([*g.chain, *g.skip], np.int64).reshape(-1, 2)
-        if not len(edges):
-            belief = unary
-        else:
-            table = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)])
+        unary = np.concatenate([unary, np.zeros((g.hidden, LABELS))])
+        edges = np.array([*g.chain, *g.mentions], np.int64).reshape(-1, 2)
+        belief, m, chained = unary, len(edges), len(g.chain)
+        if m:
             source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-            tables, m = np.concatenate([table, table.transpose(0, 2, 1)]), len(edges)
-            other = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
             message = np.zeros((2 * m, LABELS))
             for _ in range(ROUNDS):
-                belief = unary.copy()
-                np.add.at(belief, target, message)
-                out = (belief[source] - message[other])[:, :, None] + tables
-                new = np.logaddexp.reduce(out, axis=1)
-                message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
-            belief = unary.copy()
-            np.add.at(belief, target, message)
+                belief, change = _sums(unary, target, message), 0.0
+                new = np.empty_like(message)
+                for first, last, table in ((0, chained, self.chain), (chained, m, self.skip), (m, m + chained, self.chain.T), (m + chained, 2 * m, self.skip)):
+                    for at in range(first, last, CHUNK):
+                        of = slice(at, min(at + CHUNK, last))
+                        back = (np.arange(of.start, of.stop) + m) % (2 * m)
+                        got = np.logaddexp.reduce((belief[source[of]] - message[back])[:, :, None] + table, axis=1)
+                        new[of] = 0.5 * message[of] + 0.5 * (got - got.max(1, keepdims=True))
+                        change = max(change, float(np.abs(new[of] - message[of]).max()))
+                message = new
+                if change < SETTLED:
+                    break
+            belief = _sums(unary, target, message)
         p = np.exp(belief - belief.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
@@ -174,7 +191,7 @@ class Field:
         """(start, kind, end) of what the field finds beyond the base spans."""
         if not len(g.tokens) or g.observed.all():
             return []
-        p = self.marginals(g)
+        p = self.marginals(g)[: len(g.tokens)]
         label = np.where(p.max(1) >= CERTAIN, p.argmax(1), 0) * (g.observed == 0)
         beside, out, i = {j for _, j in g.chain}, [], 0
         while i < len(label):

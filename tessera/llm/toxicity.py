@@ -3,7 +3,8 @@
 A word is the sum of two hashed embeddings: of the word, and of its first four letters. Filters of several widths run
 over the whole text, each keeps its maximum, and a linear layer gives a logit. It is trained in numpy on a bounded
 sample of labelled rows; scores of every text are calibrated by language, on labelled rows the training didn't see.
-The language is what the text's own most common words show, never the table's.
+The language is what the text's own most common words show, never the table's: one of those listed below, or none of
+them; texts of all other languages share one calibration.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.labels import held_out, learnable
-from tessera.llm.text import CACHE, raw
+from tessera.llm.text import CACHE, CACHE_BYTES, raw
 from tessera.staging import staged
 
 WORDS, STARTS, SIZE, WIDTHS, FILTERS = 1 << 15, 1 << 14, 6, (1, 2, 3), 4
-#: Labelled rows of each class that training and calibration may take.
-SAMPLE = 2000
+#: Labelled rows of each class that training and calibration may take, and bytes of their texts in all.
+SAMPLE, SAMPLE_BYTES = 2000, 1 << 27
 TAPS = sum(WIDTHS) * FILTERS
 STEP = 500  # texts whose distinct words meet the filters at once
 
@@ -52,10 +53,11 @@ class Numbers(dict):
 
     def __init__(self):
         super().__init__()
-        self.word, self.start, self.language = [], [], []
+        self.word, self.start, self.language, self.size = [], [], [], 0
 
     def __missing__(self, w: bytes) -> int:
         self[w] = n = len(self.word)
+        self.size += len(w)
         self.word.append(zlib.crc32(w) % WORDS)
         self.start.append(zlib.crc32(w.decode("utf-8", "ignore")[:4].encode(), 7) % STARTS)
         self.language.append(_LANGUAGE.get(w, 0))
@@ -203,23 +205,31 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 3, rate: float
     return model
 
 
-def sampled(docs: DataFrame, labels: DataFrame, column: str, most: int = SAMPLE) -> tuple[list[str | None], list[int]]:
-    """Whole texts and labels of at most ``most`` learnable rows of each class, by a hash of the id; they reach the driver."""
+def sampled(docs: DataFrame, labels: DataFrame, column: str, most: int = SAMPLE, size: int = SAMPLE_BYTES) -> tuple[list[str | None], list[int]]:
+    """Whole texts and labels of at most ``most`` learnable rows of each class, by a hash of the id; they reach the driver.
+
+    Of a repeated id the least text counts. Rows are taken in turn as long as their texts have ``size`` bytes in all.
+    """
     known = learnable(labels, column).withColumn("by", F.xxhash64("doc_id"))
     picked = None
     for c in (0, 1):
         few = known.where(F.col("label") == c).orderBy("by", "doc_id").limit(most)
         picked = few if picked is None else picked.unionByName(few)
     picked = staged(picked, "picked")  # 2 * most ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").collect()
-    rows.sort(key=lambda r: (r["by"], r["doc_id"], r["text"] or ""))
-    seen, texts, marks = set(), [], []
-    for r in rows:  # of repeated ids, one text
-        if r["doc_id"] not in seen:
-            seen.add(r["doc_id"])
-            texts.append(r["text"])
-            marks.append(r["label"])
-    return texts, marks
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = staged(rows.groupBy("doc_id", "by", "label").agg(F.min("text").alias("text")), "picked-texts")
+    lengths = rows.select("by", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).orderBy("by", "doc_id").collect()
+    total, last = 0, None
+    for r in lengths:
+        total += r["bytes"]
+        if total > size and last is not None:
+            break
+        last = r
+    if last is None:
+        return [], []
+    first = (F.col("by") < last["by"]) | ((F.col("by") == last["by"]) & (F.col("doc_id") <= last["doc_id"]))
+    taken = sorted(rows.where(first).collect(), key=lambda r: (r["by"], r["doc_id"]))
+    return [r["text"] for r in taken], [r["label"] for r in taken]
 
 
 def scored(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold: float = 0.7) -> DataFrame:
@@ -237,7 +247,7 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold: fl
             out: list[float] = []
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), STEP):
-                if len(n) > CACHE // 2:
+                if len(n) > CACHE // 2 or n.size > CACHE_BYTES:
                     n = Numbers()
                 tokens = [n.of(t) for t in texts[at : at + STEP]]
                 used = np.unique(np.concatenate(tokens))

@@ -62,3 +62,73 @@ def test_without_rows(spark, corpus, module):
 def test_isotonic():
     x, y = quality.isotonic(np.arange(5.0), np.array([0.1, 0.5, 0.3, 0.3, 0.9]), np.ones(5))
     assert np.allclose(y, [0.1, 1.1 / 3, 0.9]) and np.allclose(x, [0, 2, 4])
+
+
+def plain_toxicity(m, text):
+    """The network in plain loops: embeddings, each filter at each place, the maximum, the logit, the calibration."""
+    n = toxicity.Numbers()
+    ids = n.of(text)
+    embedded = [m.word[n.word[i]] + m.start[n.start[i]] for i in ids]
+    logit, column = m.base, 0
+    for k, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            j, best = k * toxicity.FILTERS + f, 0.0
+            for at in range(len(embedded) - width + 1):
+                z = m.bias[j] + sum(float(embedded[at + o] @ m.taps[:, column + o * toxicity.FILTERS + f]) for o in range(width))
+                best = max(best, z)
+            logit += best * m.out[j]
+        column += width * toxicity.FILTERS
+    spoken = [n.language[i] for i in ids if n.language[i]]
+    by = max(sorted(set(spoken)), key=spoken.count) if spoken else 0
+    a, b = m.scale.get(by) or m.scale[-1]
+    return 1 / (1 + np.exp(-(a * logit + b)))
+
+
+def test_toxicity_against_plain_loops(spark, corpus, monkeypatch):
+    docs, labels = tables(spark, corpus)
+    kept, real = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: kept.append(real(*a)) or kept[0])
+    got = toxicity.scored(docs, labels).collect()
+    texts = {r[0]: r[1] for r in corpus} | {1000: None, 1001: ""}
+    for r in got[:60] + [x for x in got if x.doc_id >= 1000]:
+        if r.doc_id != 3:
+            assert abs(r.score - plain_toxicity(kept[0], texts[r.doc_id])) < 1e-4
+
+
+def test_sample_is_bounded(spark, corpus):
+    docs, labels = tables(spark, corpus)
+    again = docs.unionByName(docs.where("doc_id < 200").withColumn("text", toxicity.F.repeat("text", 3)))
+    texts, marks = toxicity.sampled(again, labels, "toxic", most=30)
+    assert len(texts) == len(marks) == 60 and sum(marks) == 30
+    few, _ = toxicity.sampled(again, labels, "toxic", most=30, size=3000)
+    assert 0 < len(few) < 60 and few == texts[: len(few)] and sum(len(t or "") for t in few) <= 3000
+
+
+def test_quality_against_plain_sums(spark, corpus):
+    """Features, normal equations, ridge, bins and isotonic fit over all learnable rows at once."""
+    docs, labels = tables(spark, corpus)
+    truth = {r[0]: r[2] for r in corpus}
+    rows = [(i, t) for i, t, *_ in corpus] + [(1000, None), (1001, ""), (3, "")]
+    learn = [(quality.statistics(t), truth[i]) for i, t in rows if i in truth and zlib.crc32(str(i).encode()) % 3 != 1]
+    x, y = np.array([a for a, _ in learn]), np.array([b for _, b in learn], float)
+    f = quality.Fourier(x.mean(0), x.std(0))
+    z = f.of(x)
+    w = np.linalg.solve(z.T @ z + quality.RIDGE * np.diag([*[1.0] * (z.shape[1] - 1), 1e-6]), z.T @ y)
+    at = z @ w
+    bins = np.clip((at + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    own = sorted(set(bins.tolist()))
+    c, v = quality.isotonic(np.array([at[bins == b].mean() for b in own]), np.array([y[bins == b].mean() for b in own]), np.array([float((bins == b).sum()) for b in own]))
+    want = {}
+    for i, t in rows:
+        s = f.of(np.array([quality.statistics(t)])) @ w
+        want.setdefault(i, []).append(float(0.98 * np.interp(s, c, v)[0] + 0.02 / (1 + np.exp(-np.clip(4 * s - 2, -50, 50)))[0]))
+    for r in quality.scored(docs, labels).collect():
+        assert any(abs(r.score - s) < 2e-3 for s in want[r.doc_id])
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_very_long_text(spark, corpus, module):
+    docs, labels = tables(spark, corpus[:80])
+    more = docs.unionByName(spark.createDataFrame([(7000, "word and " * 200_000, "x", 1), (7001, "y" * 1_000_000, "x", 1)], docs.schema))
+    got = {r.doc_id: r.score for r in module.scored(more, labels).collect()}
+    assert 0 <= got[7000] <= 1 and 0 <= got[7001] <= 1

@@ -45,3 +45,13 @@ def test_filter_and_empty_tables(spark):
     assert sorted(map(str, (r.doc_id for r in decontamination.decontaminated(docs, items).collect()))) == ["2", "None"]
     assert decontamination.contamination(docs.limit(0), items).count() == 0
     assert decontamination.contamination(docs, items.limit(0)).where("contaminated").count() == 0
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null ids, an id with a clean and a hit text, a window in very many items, and a long text."""
+    rows = [(None, "a b c", "x"), (1, "a b c", "x"), (1, "clean words", "x"), (None, "clean too", "y"), (2, "z " * 50_000 + "A, b", "y"), (3, None, "z"), (3, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    items = spark.createDataFrame([(i, "a b") for i in range(500)], "item_id long, text string")
+    left = decontamination.decontaminated(docs, items)
+    assert left.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "clean too"), (1, "clean words"), (3, ""), (3, "")]
+    assert {r.n_items for r in decontamination.contamination(docs, items).where("contaminated").collect()} == {500}

@@ -62,3 +62,15 @@ def test_all_pages(spark):
 
         want = [" ".join(std.unescape(re.sub(r"<br>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner.replace("<b>", ""))]
         assert r.text == "\n\n".join(x for x in want if x), r.page_id
+
+
+def test_deep_pages_take_linear_time():
+    import time
+    import tracemalloc
+
+    for page in ("<div>word " * 50_000, "<p>a<li>" * 30_000, "</b></i></table>" * 30_000 + "<ul><li>x" * 20_000, "<div class=menu>w " * 30_000):
+        tracemalloc.start()
+        began = time.time()
+        assert h.main_text(page)
+        assert time.time() - began < 8 and tracemalloc.get_traced_memory()[1] < 100e6
+        tracemalloc.stop()

@@ -53,3 +53,63 @@ def test_every_language_regions_and_none(spark):
     got = {r.id: r for r in li.identified(df).collect()}
     assert all(got[i].language == rows[i][2][:2].lower() and got[i].accepted for i in range(n))
     assert not any(got[n + i].accepted for i in range(10))
+
+
+def test_posterior_against_plain_sums(spark):
+    """All evidence by hand: bucket counts, tempered likelihoods, smoothed priors of host, parent, declaration and suffix."""
+    import math
+    import re
+    import zlib
+    from collections import Counter
+
+    rng = random.Random(5)
+    say = lambda x: " ".join(rng.choice(WORDS[x]) for _ in range(rng.randint(1, 5)))
+    rows = []
+    for i in range(90):
+        x = rng.choice(["en", "fr", "de"])
+        rows.append((i, say(x), rng.choice([x, x, None, "en"]), rng.choice([x, None, "com"]), rng.choice([f"{x}.a.example", "b.example", None, "solo"])))
+    rows += [(100, "12 13", "en", None, None), (101, None, None, "fr", "b.example")]
+    df = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string")
+    got = {r.id: r for r in li.identified(df).collect()}
+
+    def buckets(t):
+        ws = [w for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").lower().encode()) if any(c > 96 for c in w)]
+        return [zlib.crc32(w) % li.BUCKETS for w in ws] + [zlib.crc32(w[-3:], 1) % li.BUCKETS for w in ws]
+
+    langs = [x for x, _ in sorted(Counter(r[2] for r in rows if r[2]).items(), key=lambda p: (-p[1], p[0]))]
+    n = {x: Counter(b for r in rows if r[2] == x for b in buckets(r[1])) for x in langs}
+    whole = sum(n.values(), Counter())
+    common = lambda b: (whole[b] + 0.1) / (whole.total() + 0.1 * li.BUCKETS)
+    like = lambda x, b: math.log((n[x][b] + 200 * common(b)) / (n[x].total() + 200))
+    said = {r[0]: {x: sum(like(x, b) for b in buckets(r[1])) / li.TEMPER for x in langs} for r in rows if buckets(r[1])}
+    text = {i: max(langs, key=v.get) for i, v in said.items()}
+    seen, parent = Counter(text.values()), lambda h: None if h is None else ".".join(h.split(".")[-2:]) if "." in h else ""
+    prior = {x: (seen[x] + 1) / (len(text) + len(langs)) for x in langs}
+
+    def share(column, value, to):
+        own = Counter(text[r[0]] for r in rows if r[0] in text and value is not None and column(r) == value)
+        return {x: (own[x] + li.STRENGTH * to[x]) / (own.total() + li.STRENGTH) for x in langs}
+
+    for r in rows:
+        if r[0] not in said:
+            assert got[r[0]].text_language is None and not got[r[0]].accepted
+            continue
+        of_parent = share(lambda q: parent(q[4]), parent(r[4]), prior)
+        of_host = share(lambda q: q[4], r[4], of_parent)
+        logs = {x: math.log(of_host[x]) + said[r[0]][x] for x in langs}
+        for k in (2, 3):
+            if r[k] is not None:
+                given = share(lambda q, k=k: q[k], r[k], prior)
+                logs = {x: v + math.log(given[x] / prior[x]) for x, v in logs.items()}
+        none = math.log(li.NONE) - len(buckets(r[1])) * math.log(li.BUCKETS) / li.TEMPER
+        best = max(langs, key=logs.get)
+        posterior = 1 / (sum(math.exp(v - logs[best]) for v in logs.values()) + math.exp(none - logs[best]))
+        assert got[r[0]].language == best and abs(got[r[0]].posterior - posterior) < 1e-4, (r, got[r[0]], best, posterior)
+
+
+def test_rows_keep_their_own_fate(spark):
+    say = lambda x: " ".join(WORDS[x] * 6)
+    rows = [(1, say("en"), "en", "s", 1), (1, "12 34", "en", "s", 2), (None, say("fr"), "fr", "s", 3), (None, None, "fr", None, 4), (2, say("de") * 3000, "de", "t", 5), (2, "", None, None, 6), (3, say("de"), "de", "t", 7), (3, say("de"), "de", "t", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, id int")
+    assert sorted(r.id for r in li.identified_rows(df).collect()) == [1, 3, 5, 7, 7] and li.identified_rows(df).columns == df.columns
+    assert li.identified_rows(df.limit(0)).count() == 0

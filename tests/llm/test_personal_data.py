@@ -80,3 +80,48 @@ def _counts(text):
     for t in (text, f"{text} again {text}"):
         pd_.Graph(t, pd_.base_spans(t)).counts(n)
     return n
+
+
+def exact(field, g):
+    """Label probabilities by summing over all labellings of tokens and hidden nodes."""
+    import itertools
+
+    import numpy as np
+
+    n, total = len(g.tokens) + g.hidden, 0.0
+    out = np.zeros((n, pd_.LABELS))
+    for labels in itertools.product(range(pd_.LABELS), repeat=n):
+        if any(o and labels[i] != o for i, o in enumerate(g.observed)):
+            continue
+        log = sum(field.shape[g.shapes[i], labels[i]] for i in range(len(g.tokens)) if not g.observed[i])
+        log += sum(field.chain[labels[i], labels[j]] for i, j in g.chain) + sum(field.skip[labels[i], labels[j]] for i, j in g.mentions)
+        p = np.exp(log)
+        total += p
+        for i, x in enumerate(labels):
+            out[i, x] += p
+    return out / total
+
+
+def test_marginals_are_exact_on_trees_and_near_on_loops():
+    import numpy as np
+
+    field = pd_.Field(sum(_counts(t) for _, t in DOCS if t))
+    for text, most in (("a1 b2 c3", 1e-3), ("see k9@m.com or k9@localhost. then k9@there", 1e-3), ("x 7245557001 y +1 724-555-7001 1724", 1e-3), ("b7 k9@there b8 then k9@where b9", 0.05)):
+        g = pd_.Graph(text, pd_.base_spans(text))
+        assert np.abs(field.marginals(g) - exact(field, g)).max() < most
+    g = pd_.Graph("k9@m.com " + "then k9@there " * 300, pd_.base_spans("k9@m.com " + "then k9@there " * 300))
+    p = field.marginals(g)[: len(g.tokens), 1]
+    assert abs(p[-1] - p[1:-1]).max() < 1e-3  # the last mention hears of the first as the second does
+
+
+def test_one_long_document():
+    import time
+    import tracemalloc
+
+    field = pd_.Field(sum(_counts(t) for _, t in DOCS if t))
+    text = " ".join(f"{i} 724555{i % 500:04d}" for i in range(100_000))
+    tracemalloc.start()
+    began = time.time()
+    field.added(text, pd_.Graph(text, []))
+    assert time.time() - began < 120 and tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
