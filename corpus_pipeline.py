@@ -10,27 +10,33 @@ from tessera.staging import staged
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told."""
+    """Drops documents whose language can't be told, wordless, empty and null texts among them.
+
+    A row is judged by its own columns, whatever its id: ids may be null or repeated, and equal rows share their fate.
+    """
     return language_id.identified_rows(docs)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of near copies."""
+    """Keeps one row of each group of near copies: that of the least id, a null id last; ties between rows of one id go by a hash of the row.
+
+    Rows equal in every column count as one document.
+    """
     return near_duplicates.kept_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark window."""
+    """Drops rows whose text holds a benchmark window; a null id or a repeated one changes nothing."""
     return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by the names of their kinds."""
+    """Replaces personal data by the names of their kinds, and n_chars to match; null texts stay null."""
     return personal_data.redacted(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents in sequences of 4096 tokens."""
+    """Packs every row in sequences of 4096 tokens: repeated ids as often as they come, a null or empty text as its end alone."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -44,7 +50,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written and read again."""
+    """All stages on ``documents``, each written and read again. An empty table gives an empty one; more columns are carried along to the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
