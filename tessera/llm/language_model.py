@@ -17,6 +17,7 @@ What grows with the corpus is a shuffled table: the count of every word. The wei
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from bisect import bisect_right
@@ -37,14 +38,16 @@ from tessera.staging import staged
 SIDE = 32
 CLASSES, PLACES = SIDE * SIDE, SIDE - 1
 HEAD_WORDS = CLASSES * PLACES
-#: Rows of weights at each step: (bigram, skip, trigram), (bigram with group), (bigram with class).
-ROWS = ((16384, 4096, 16384), (16384,), (32768,))
+#: Rows of weights at each step: (bigram, skip, trigram), (bigram with group), (bigram with class). In the last two each group
+#: or class has a run of rows of its own.
+ROWS = ((16384, 4096, 16384), (16384,), (65536,))
 TABLES = [(step, k, n) for step in range(3) for k, n in enumerate(ROWS[step])]
 END = b""
 ALPHA = 0.1
 #: Words whose counts reach every task.
 HEAD = 1 << 17
-ROUNDS, RATE, BATCH, BLOCK = 4, 0.5, 8192, 256
+#: Rounds, rate and minibatch of the training, rows told at once, and tokens of a training task.
+ROUNDS, RATE, BATCH, BLOCK, SHARE = 4, 0.8, 8192, 256, 4_000_000
 _K = np.uint32(0x9E3779B1)
 
 
@@ -147,14 +150,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """Of each token and for each step: what is given (the group, the class), the rows of its features, and the outcome."""
+    """Of each token and for each step: the rows of its features, and the outcome."""
 
-    given: tuple
     rows: list[list[np.ndarray]]
     out: list[np.ndarray]
 
     def cut(self, of: slice) -> Tokens:
-        return Tokens(tuple(None if x is None else x[of] for x in self.given), [[x[of] for x in step] for step in self.rows], [x[of] for x in self.out])
+        return Tokens([[x[of] for x in step] for step in self.rows], [x[of] for x in self.out])
+
+
+class Runs:
+    """Tokens in the order of their rows: the rows met, where their runs begin, and how long they are."""
+
+    def __init__(self, rows: np.ndarray):
+        self.order = np.argsort(rows.astype(np.uint16), kind="stable")
+        own = rows.take(self.order)
+        self.first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        self.rows, self.times = own.take(self.first), np.diff(self.first, append=len(own))
+
+    def inverse(self) -> np.ndarray:
+        """Which of the rows met each token has."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.repeat(np.arange(len(self.rows)), self.times)
+        return out
 
 
 def features(codes: np.ndarray, starts: np.ndarray, end: int) -> Tokens:
@@ -166,10 +184,11 @@ def features(codes: np.ndarray, starts: np.ndarray, end: int) -> Tokens:
     skipped[min(starts[-1] + 1, len(codes) - 1)] = end
     one, two = _mixed(before.view(np.uint32)), _mixed(skipped.view(np.uint32) ^ np.uint32(0x5BD1E995))
     k, *out = outcomes(codes)
-    hashed = [[one, two, _mixed(one + two * np.uint32(3))]]
-    for given in (out[0], k):
-        hashed.append([_mixed(one ^ given.astype(np.uint32) * _K)])
-    return Tokens((None, out[0], k), [[(h % np.uint32(n)).astype(np.int64) for h, n in zip(hashed[s], ROWS[s], strict=True)] for s in range(3)], out)
+    rows = [[(h % np.uint32(n)).astype(np.int64) for h, n in zip((one, two, _mixed(one + two * np.uint32(3))), ROWS[0], strict=True)]]
+    for given, step, kinds in ((out[0], 1, SIDE), (k, 2, CLASSES)):
+        run = ROWS[step][0] // kinds
+        rows.append([given * run + (_mixed(one ^ given.astype(np.uint32) * _K) % np.uint32(run))])
+    return Tokens(rows, out)
 
 
 class Weights:
@@ -180,12 +199,12 @@ class Weights:
         self.tables = [[np.zeros((n, SIDE), np.float32) for n in of] for of in ROWS]
         self.sums = [[np.ones(n, np.float32) for n in of] for of in ROWS]
 
-    def softmax(self, s: int, x: Tokens) -> np.ndarray:
-        """Probabilities of step ``s`` for each token: its rows of weights, added to the prior."""
-        z = self.tables[s][0].take(x.rows[s][0], axis=0)
-        for t, r in zip(self.tables[s][1:], x.rows[s][1:], strict=True):
+    def softmax(self, s: int, rows: list[np.ndarray]) -> np.ndarray:
+        """Probabilities of step ``s``: the rows of weights, added to the prior."""
+        z = self.tables[s][0].take(rows[0], axis=0)
+        for t, r in zip(self.tables[s][1:], rows[1:], strict=True):
             z += t.take(r, axis=0)
-        z += self.priors[s] if x.given[s] is None else self.priors[s].take(x.given[s], axis=0)
+        z += self.priors[s].take(rows[0] // (ROWS[s][0] // len(self.priors[s])), axis=0)
         np.exp(np.minimum(z, 80, out=z), out=z)
         z *= (1 / (z @ np.ones(SIDE, np.float32)))[:, None]
         return z
@@ -193,23 +212,34 @@ class Weights:
     def step(self, x: Tokens, used: list[list[np.ndarray]], rate: float) -> None:
         """One gradient update from a minibatch."""
         for s in range(3):
-            d = self.softmax(s, x)
+            if len(ROWS[s]) == 1:  # tokens of one row have the same probabilities: once for each row is enough
+                runs = Runs(x.rows[s][0])
+                p = self.softmax(s, [runs.rows])
+                seen = np.bincount(runs.inverse() * SIDE + x.out[s], minlength=p.size).reshape(p.shape)
+                self._move(s, 0, runs, (p * runs.times[:, None] - seen).astype(np.float32), used, rate)
+                continue
+            d = self.softmax(s, x.rows[s])
             d[np.arange(len(d)), x.out[s]] -= 1
-            for t, a, r, n in zip(self.tables[s], self.sums[s], x.rows[s], used[s], strict=True):
-                order = np.argsort(r.astype(np.uint16), kind="stable")
-                own = r.take(order)
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                g, own = np.add.reduceat(d.take(order, axis=0), first, axis=0), own[first]
-                n[own] += np.diff(first, append=len(order))
-                size = a[own] + np.einsum("ij,ij->i", g, g)
-                a[own] = size
-                t[own] -= g * (rate / np.sqrt(size))[:, None]
+            for k, r in enumerate(x.rows[s]):
+                runs = Runs(r)
+                self._move(s, k, runs, np.add.reduceat(d.take(runs.order, axis=0), runs.first, axis=0), used, rate)
+
+    def _move(self, s: int, k: int, runs: Runs, gradient: np.ndarray, used: list[list[np.ndarray]], rate: float) -> None:
+        used[s][k][runs.rows] += runs.times
+        size = self.sums[s][k][runs.rows] + np.einsum("ij,ij->i", gradient, gradient)
+        self.sums[s][k][runs.rows] = size
+        self.tables[s][k][runs.rows] -= gradient * (rate / np.sqrt(size))[:, None]
 
     def log10(self, x: Tokens) -> np.ndarray:
         """log10 probability of each token's class and place."""
-        at, total = np.arange(len(x.out[0])) * SIDE, np.zeros(len(x.out[0]))
+        total = np.zeros(len(x.out[0]))
         for s in range(3):
-            total += np.log10(np.maximum(self.softmax(s, x).ravel().take(at + x.out[s]), 1e-30), dtype=np.float64)
+            if len(ROWS[s]) == 1:
+                runs = Runs(x.rows[s][0])
+                p, at = self.softmax(s, [runs.rows]), runs.inverse()
+            else:
+                p, at = self.softmax(s, x.rows[s]), np.arange(len(total))
+            total += np.log10(np.maximum(p.ravel().take(at * SIDE + x.out[s]), 1e-30), dtype=np.float64)
         return total
 
 
@@ -242,8 +272,9 @@ def _batched(texts: Iterator[np.ndarray], end: int) -> Iterator[Tokens]:
 
 
 def train(texts: DataFrame, start: list[np.ndarray], end: int, rounds: int = ROUNDS, rate: float = RATE) -> Weights:
-    """One pass over all ``texts(share, codes)``; share: the round in which a text's task takes part."""
+    """One pass over all ``texts(share, codes, n_tokens)``; share: the round in which a text takes part."""
     weights, context = Weights(start), texts.sparkSession.sparkContext
+    sizes = {r["share"]: r["n"] for r in texts.groupBy("share").agg(F.sum("n_tokens").alias("n")).collect()}
     for turn in range(rounds):
         now = context.broadcast((weights.tables, weights.sums))
 
@@ -259,21 +290,27 @@ def train(texts: DataFrame, start: list[np.ndarray], end: int, rounds: int = ROU
                 for at in range(0, n, BLOCK):
                     cut, times = slice(at, at + BLOCK), used[s][k][at : at + BLOCK]
                     if times.any():
-                        moved = (own.tables[s][k][cut] - now.value[0][s][k][cut]) * times[:, None]
+                        moved = (own.tables[s][k][cut] - now.value[0][s][k][cut]).astype(np.float16)
                         told.append((i, at, times.tobytes(), moved.tobytes(), (own.sums[s][k][cut] - now.value[1][s][k][cut]).tobytes()))
             if told:
                 names, kinds = ["part", "first", "used", "moved", "sums"], [pa.int32(), pa.int32(), *[pa.binary()] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), kinds, strict=True)], names=names)
 
+        def weighed(pdf: pd.DataFrame) -> pd.DataFrame:
+            moved = [np.frombuffer(m, np.float16).astype(np.float32).reshape(-1, SIDE) * np.frombuffer(n, np.float32)[:, None] for m, n in zip(pdf["moved"], pdf["used"], strict=True)]
+            return added(pdf.assign(moved=[m.tobytes() for m in moved]))
+
         def added(pdf: pd.DataFrame) -> pd.DataFrame:
             total = {c: sum(np.frombuffer(x, np.float32) for x in pdf[c]).astype(np.float32).tobytes() for c in ("used", "moved", "sums")}
             return pdf[["part", "first", "salt"]].iloc[:1].assign(**total)
 
         schema = "part int, first int, salt int, used binary, moved binary, sums binary"
-        each = texts.where(F.col("share") == turn).select("codes").mapInArrow(local, "part int, first int, used binary, moved binary, sums binary")
-        # first by a salt, so that no task gets a block from all others
-        salted = each.withColumn("salt", (F.spark_partition_id() % 32).cast("int")).select("part", "first", "salt", "used", "moved", "sums")
-        few = salted.groupBy("part", "first", "salt").applyInPandas(added, schema).groupBy("part", "first").applyInPandas(added, schema)
+        # tasks of enough tokens to be worth the weights they tell; first by a salt, so that no task gets a block from all others
+        tasks = max(1, -(-sizes.get(turn, 0) // SHARE))
+        mine = texts.where(F.col("share") == turn).select("codes").coalesce(tasks)
+        each = mine.mapInArrow(local, "part int, first int, used binary, moved binary, sums binary")
+        salted = each.withColumn("salt", (F.spark_partition_id() % int(tasks**0.5)).cast("int")).select("part", "first", "salt", "used", "moved", "sums")
+        few = salted.groupBy("part", "first", "salt").applyInPandas(weighed, schema).groupBy("part", "first").applyInPandas(added, schema)
         for r in few.toLocalIterator():  # the weights, whose size is fixed
             s, k, _ = TABLES[r["part"]]
             used, moved, sums = (np.frombuffer(r[c], np.float32) for c in ("used", "moved", "sums"))
@@ -310,13 +347,15 @@ class Known(Words):
 
     def __init__(self, frequent: dict[bytes, int], lexicon: Lexicon, of_class: np.ndarray, alpha: float):
         super().__init__()
-        self.frequent, self.lexicon, self.of_class, self.alpha = frequent, lexicon, of_class, alpha
+        self.frequent, self.lexicon, self.of_class, self.alpha = frequent, lexicon, of_class.tolist(), alpha
         self.code, self.count, self.log, self.rest = array("i"), array("q"), array("d"), array("d")
 
     def __missing__(self, word: bytes) -> int:
-        n = super().__missing__(word)
+        self[word] = n = len(self.seen)
+        self.seen.append(word)
+        self.size += len(word)
         code, c = self.lexicon.code(word), self.frequent.get(word, 0)
-        log = float(np.log10(c + self.alpha)) if c or code < HEAD_WORDS else 0.0
+        log = math.log10(c + self.alpha) if c or code < HEAD_WORDS else 0.0
         self.code.append(code)
         self.count.append(c)
         self.log.append(log)

@@ -66,7 +66,8 @@ def plain_scores(rows, model, end):
             k = code // lm.PLACES if code < lm.HEAD_WORDS else lex.of_class(word)
             place = code % lm.PLACES + 1 if code < lm.HEAD_WORDS else 0
             one, two = m(before), m(skipped ^ 0x5BD1E995)
-            hashes = [[one, two, m(one + two * 3)], [m(one ^ (k // lm.SIDE * int(lm._K)) & 0xFFFFFFFF)], [m(one ^ (k * int(lm._K)) & 0xFFFFFFFF)]]
+            g, (own_g, own_k) = k // lm.SIDE, (lm.ROWS[1][0] // lm.SIDE, lm.ROWS[2][0] // lm.CLASSES)
+            hashes = [[one, two, m(one + two * 3)], [g * own_g + m(one ^ (g * int(lm._K)) & 0xFFFFFFFF) % own_g], [k * own_k + m(one ^ (k * int(lm._K)) & 0xFFFFFFFF) % own_k]]
             priors = [model.priors[0][0], model.priors[1][k // lm.SIDE], model.priors[2][k]]
             for s, outcome in enumerate((k // lm.SIDE, k % lm.SIDE, place)):
                 z = priors[s].astype(float) + sum(model.tables[s][j][h % lm.ROWS[s][j]].astype(float) for j, h in enumerate(hashes[s]))
