@@ -23,7 +23,7 @@ from tessera.staging import staged
 
 NEAREST, EVERY = 20, 20
 #: Bytes of original vectors in a block of candidates, in a block of queries and in one row, lists merged at once, and the sides of a tile.
-BLOCK_BYTES, QUERY_BYTES, ROW_BYTES, FAN, ASKED, MET = 1 << 25, 1 << 18, 1 << 13, 16, 512, 4096
+BLOCK_BYTES, LEAST_BYTES, QUERY_BYTES, ROW_BYTES, FAN, ASKED, MET = 1 << 25, 1 << 19, 1 << 18, 1 << 13, 16, 512, 4096
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +116,9 @@ def nearest(vectors: DataFrame, column: str = "embedding", k: int = NEAREST, eve
     width = 4 if code == "<f4" else 8
     queries = (F.col("vec_id") % every) == 0
     volume = clean.agg(F.sum(F.col("dim") * width).alias("all"), F.sum(F.when(queries, F.col("dim") * width)).alias("asked")).first()
-    blocks, asked = (max(1, -(-int(volume[x] or 0) // most)) for x, most in (("all", BLOCK_BYTES), ("asked", QUERY_BYTES)))
+    # smaller blocks where whole ones would leave cores without work; never under LEAST_BYTES
+    every_core = min(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-int(volume["all"] or 0) // LEAST_BYTES))
+    blocks, asked = max(1, every_core, -(-int(volume["all"] or 0) // BLOCK_BYTES)), max(1, -(-int(volume["asked"] or 0) // QUERY_BYTES))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["vec_id"].to_numpy("<i8")
