@@ -32,9 +32,14 @@ def bound(value: Column, body) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    """All overlapping k-mers, in order; in time proportional to the length, which substrings by position are not."""
-    of = bound(F.split(s, ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - k), lambda i: F.concat(*(F.get(c, i + j) for j in range(k)))))
-    return F.when(F.length(s) >= k, of).otherwise(F.array().cast("array<string>"))
+    """All overlapping k-mers, in order; in time proportional to the length, which substrings of text by position are not: those of bytes are."""
+    plain = bound(F.encode(s, "UTF-8"), lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - (k - 1)), lambda i: F.substring(b, i, F.lit(k)).cast("string")))
+    other = bound(F.split(s, ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - k), lambda i: F.concat(*(F.get(c, i + j) for j in range(k)))))
+    return F.when((F.length(s) >= k) & (F.octet_length(s) == F.length(s)), plain).when(F.length(s) >= k, other).otherwise(F.array().cast("array<string>"))
+
+
+def reverse_complement(s: Column) -> Column:
+    return F.reverse(F.translate(s, "AUGC", "UACG"))
 
 
 def motif(s: Column) -> Column:

@@ -57,6 +57,18 @@ def hill_fit(df: DataFrame, key: str, t: str, value: str, tms: list[float], slop
     return best.select(key, *(F.when(ok, F.col(f"f.{c}")).alias(c) for c in ("tm", "n", "bottom", "top", "sse")), F.when(ok, "ok").otherwise("flat").alias("status"))
 
 
+def engine_fits(df: DataFrame, key: str, t: str, engines: dict[str, str], tms: list[float], slopes: list[float]) -> DataFrame:
+    """One row for each key: tm, n, bottom, top, amplitude and status of every engine's curve, with the engine's name as suffix.
+
+    ``engines``: name -> column of the measured value. All curves are fitted in one pass over the long table.
+    """
+    long = df.select(F.col(key).alias("_id"), F.col(t).alias("_t"), F.explode(F.array(*(F.struct(F.lit(e).alias("e"), F.col(c).cast("double").alias("y")) for e, c in engines.items()))).alias("x"))
+    fit = hill_fit(long.select(F.struct("_id", "x.e").alias("k"), "_t", F.col("x.y").alias("y")), "k", "_t", "y", tms, slopes)
+    values = F.struct("tm", "n", "bottom", "top", (F.col("top") - F.col("bottom")).alias("amplitude"), "status")
+    wide = fit.groupBy(F.col("k._id").alias(key)).agg(*(F.max(F.when(F.col("k.e") == e, values)).alias(f"_{e}") for e in engines))
+    return wide.select(key, *(F.col(f"_{e}.{c}").alias(f"{c}_{e}") for e in engines for c in ("tm", "n", "bottom", "top", "amplitude", "status")))
+
+
 def half_width(df: DataFrame, by: list[str], t: str, value: str) -> DataFrame:
     """(peak_t, peak, left, right): the peak and the nearest points on either side that lie below half of it."""
     peak = df.groupBy(*by).agg(F.max_by(F.struct(F.col(t).alias("t"), F.col(value).alias("v")), F.struct(F.col(value), -F.col(t))).alias("_peak"))

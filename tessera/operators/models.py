@@ -11,10 +11,10 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.statistics import distributed_index, two_sample
+from tessera.operators.statistics import cumulative, distributed_index, two_sample
 from tessera.staging import staged
 
 
@@ -33,7 +33,9 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42
 def group_folds(df: DataFrame, group: str, label: str, k: int) -> DataFrame:
     """Adds fold: a group is in one fold only; groups, largest first within their main label, are dealt out back and forth."""
     g = df.groupBy(group).agg(F.count("*").alias("n"), (F.avg(F.col(label)) >= 0.5).alias("main"))
-    turn = F.row_number().over(Window.partitionBy("main").orderBy(F.desc("n"), group)) - 1
+    ordered = g.withColumn("_o", F.struct((-F.col("n")).alias("n"), F.col(group).alias("g"))).withColumn("_one", F.lit(1))
+    g = cumulative(ordered, ["main"], "_o", ["_one"])
+    turn = F.col("cum__one") - 1
     lap = F.floor(turn / k)
     fold = F.when(lap % 2 == 0, turn % k).otherwise(k - 1 - turn % k).cast("int")
     return df.join(g.select(group, fold.alias("fold")), group)

@@ -62,7 +62,7 @@ def upstream_gaps(intervals: DataFrame) -> DataFrame:
     asks = intervals.select("seqid", F.when(F.col("strand") == "+", F.col("start") - 1).otherwise(F.col("stop") + 1).alias("pos"), "start", "stop", "strand")
     events = ends.unionByName(starts).unionByName(asks, allowMissingColumns=True)
     before = Window.partitionBy("seqid").orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("seqid").orderBy("pos").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    after = Window.partitionBy("seqid").orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     seen = events.withColumn("low", F.max("end").over(before)).withColumn("high", F.min("begin").over(after)).where("strand is not null")
     plus = F.col("strand") == "+"
     return seen.select(
@@ -72,6 +72,31 @@ def upstream_gaps(intervals: DataFrame) -> DataFrame:
     )
 
 
+def extracted(intervals: DataFrame, contigs: DataFrame, least: int = 200, most: int = 600) -> DataFrame:
+    """(seqid, strand, seq_start, seq_end, sequence, seq_length) of each interval of a contig that is long enough.
+
+    ``intervals(seqid, a, b, strand)``: from a, before b, from 0; ``contigs(seqid, seq)``. On the minus strand the sequence is the
+    reverse complement. Under ``least`` letters it is left out, of more than ``most`` the last are kept; so is one with other
+    letters than A, U, G, C. The coordinates are those of what was kept, from 1, ends inclusive. An interval of a contig that
+    isn't there is left out.
+    """
+    from tessera.functions.rna import normalized, reverse_complement
+
+    cut = normalized(F.substring("seq", F.col("a") + 1, F.col("b") - F.col("a")))
+    raw = intervals.join(contigs, "seqid").select("seqid", "strand", "a", "b", F.explode(F.array(cut)).alias("u"))
+    full = raw.withColumn("u", F.when(F.col("strand") == "-", reverse_complement(F.col("u"))).otherwise(F.col("u")))
+    kept = full.where((F.length("u") >= least) & F.col("u").rlike("^[AUGC]+$")).withColumn("sequence", F.right("u", F.lit(most)))
+    n, plus = F.length("sequence"), F.col("strand") == "+"
+    first = F.when(plus, F.col("b") - n + 1).otherwise(F.col("a") + 1)
+    return kept.select("seqid", "strand", first.alias("seq_start"), (first + n - 1).alias("seq_end"), "sequence", n.alias("seq_length"))
+
+
+def refreshed(base: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
+    """``base`` with the patch's columns instead of its own of these names; rows without a patch get nulls."""
+    columns = [c for c in patch.columns if c not in keys]
+    return base.drop(*columns).join(patch.select(*keys, *columns), keys, "left")
+
+
 def append_aligned(target: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows in the target's columns and order: missing ones null, new ones dropped."""
     present = set(rows.columns)

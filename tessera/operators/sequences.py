@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import rna
+from tessera.staging import staged
 
 
 def kmer_tokens(df: DataFrame, key: str, seq: str, ks: tuple[int, ...]) -> DataFrame:
@@ -18,8 +19,10 @@ def kmer_tokens(df: DataFrame, key: str, seq: str, ks: tuple[int, ...]) -> DataF
 
 def kmer_table(df: DataFrame, key: str, seq: str, ks: tuple[int, ...]) -> DataFrame:
     """(key, k, kmer, n, share): share of all overlapping k-mers of the sequence."""
-    n = kmer_tokens(df, key, seq, ks).groupBy(key, "k", "kmer").agg(F.count("*").alias("n"))
-    return n.join(df.select(key, F.length(seq).alias("_len")), key).withColumn("share", F.col("n") / (F.col("_len") - F.col("k") + 1)).drop("_len")
+    per_k = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), rna.kmers(F.col(seq), k).alias("kmers")) for k in ks))).alias("x")
+    each = df.select(key, F.length(seq).alias("_len"), per_k).select(key, "_len", F.col("x.k").alias("k"), F.explode("x.kmers").alias("kmer"))
+    n = each.groupBy(key, "k", "kmer").agg(F.count("*").alias("n"), F.first("_len").alias("_len"))  # added up where the sequence lies, before any shuffle
+    return n.select(key, "k", "kmer", "n", (F.col("n") / (F.col("_len") - F.col("k") + 1)).alias("share"))
 
 
 def kmer_vector(df: DataFrame, key: str, seq: str, k: int, prefix: str) -> DataFrame:
@@ -112,13 +115,17 @@ def clamped(df: DataFrame, pairs: DataFrame, key: str, seq: str, n: int = 2) ->
 def similar(df: DataFrame, key: str, seq: str, k: int = 9, share: float = 0.8) -> DataFrame:
     """(a, b), the longer first, ties by key: different sequences whose k-mer sets have a Jaccard similarity of ``share`` at least.
 
-    Two such sets share one of their first k-mers in hash order, so sequences meet on those alone.
+    Two such sets share one of their first k-mers in one order for all, so sequences meet on those alone: the rarest first.
     """
     classes = df.groupBy(F.col(seq).alias("_seq")).agg(F.min(key).alias("k"))
     classes = classes.select("k", F.length("_seq").alias("len"), F.array_sort(F.array_distinct(F.transform(rna.kmers(F.col("_seq"), k), lambda x: F.xxhash64(x)))).alias("s"))
     classes = classes.withColumn("n", F.size("s")).where("n > 0")
-    prefix = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * share).cast("int") + 1)
-    at = classes.select("k", "n", "len", F.explode(prefix).alias("t"))
+    classes = staged(classes, "classes")
+    each = classes.select("k", F.explode("s").alias("t"))
+    often = each.groupBy("t").agg(F.count("*").alias("c"))
+    ordered = each.join(often, "t").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("o"))  # a sequence's own k-mers
+    prefix = F.slice("o.t", F.lit(1), F.col("n") - F.ceil(F.col("n") * share).cast("int") + 1)
+    at = classes.join(ordered, "k").select("k", "n", "len", F.explode(prefix).alias("t"))
     met = at.toDF("a", "na", "la", "t").join(at.toDF("b", "nb", "lb", "t"), "t")
     pairs = met.where((F.struct(-F.col("la"), F.col("a")) < F.struct(-F.col("lb"), F.col("b"))) & (F.least("na", "nb") >= share * F.greatest("na", "nb"))).select("a", "b").distinct()
     sets = classes.select("k", "s")

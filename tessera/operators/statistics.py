@@ -104,12 +104,22 @@ def roc(df: DataFrame, score: str, label: Column) -> DataFrame:
     return at.crossJoin(F.broadcast(total)).select((-F.col("x")).alias("threshold"), F.try_divide("cum_n1", "t1").alias("tpr"), F.try_divide("cum_n0", "t0").alias("fpr"))
 
 
-def benjamini_hochberg(tests: DataFrame, p: str = "p") -> DataFrame:
-    """Adds q: p * m / rank, made monotone from the top, at most 1. One row for each test: a small table."""
-    up = Window.partitionBy(F.lit(1)).orderBy(p)
-    down = Window.partitionBy(F.lit(1)).orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
-    ranked = tests.withColumn("_rank", F.row_number().over(up)).withColumn("_m", F.count("*").over(Window.partitionBy(F.lit(1))))
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down))).drop("_rank", "_m")
+def suffix_min(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """Adds the least ``value`` of the rows from each one on, in the order of a column; each range of rows on its own, and the least of all later ranges."""
+    laid = staged(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "ranges")
+    own = laid.withColumn("_own", F.min(value).over(Window.partitionBy("_p").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)))
+    later = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    per = laid.groupBy("_p").agg(F.min(value).alias("_min")).select("_p", F.min("_min").over(later).alias("_later"))
+    return own.join(F.broadcast(per), "_p").select(*df.columns, F.least("_own", "_later").alias(out))
+
+
+def benjamini_hochberg(tests: DataFrame, p: str = "p", level: float = 0.05) -> DataFrame:
+    """Adds q (p * m / rank, made monotone from the top, at most 1) and significant (q up to ``level``). Tests without p have neither."""
+    at = cumulative(tests.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_x")).agg(F.count("*").alias("n")), [], "_x", ["n"])
+    m = at.agg(F.sum("n").alias("_m"))
+    scaled = at.crossJoin(F.broadcast(m)).select("_x", (F.col("_x") * F.col("_m") / F.col("cum_n")).alias("_s"))  # one row
+    q = suffix_min(scaled, "_x", "_s", "_q").select("_x", F.least(F.lit(1.0), "_q").alias("q"))
+    return tests.join(q, F.col(p) == F.col("_x"), "left").drop("_x").withColumn("significant", F.col("q") <= level)
 
 
 def yates(df: DataFrame, a: Column, b: Column) -> DataFrame:

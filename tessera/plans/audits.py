@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,11 +14,11 @@ from tessera.operators import relations as ops
 from tessera.operators import statistics as st
 from tessera.plans.bindings import Views, query
 from tessera.sources import readers, writers
-from tessera.staging import shared_folder, staged
+from tessera.staging import folder, staged
 
 
 def _folder(v: Views, name: str) -> str:
-    return f"{shared_folder(v.spark).rstrip('/')}/tessera/{uuid.uuid4().hex}-{name}"
+    return folder(v.spark, name)
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -86,10 +85,12 @@ def flt_validation(v: Views) -> DataFrame:
     return v.engines().select("id", F.array_join(F.array_compact(said), "; ").alias("warnings"))
 
 
-@query("SELECT id, round(least(leak, 1), 6) AS bottom, round(least(leak + amp, 1), 6) AS top FROM engines WHERE n_a >= 1.5 AND amp >= 0.05 ORDER BY amp DESC, id LIMIT 80", "engines")
+@query("SELECT id, round(least(leak, 1), 6) AS bottom, round(least(leak + amp * 4.7, 1), 6) AS top FROM engines WHERE n_a * 2.2 >= 3 AND amp * 4.7 >= 0.35 AND cohort <> 0 ORDER BY amp DESC, id LIMIT 80", "engines")
 def flt_strong_curves(v: Views) -> DataFrame:
-    top = v.engines().where("n_a >= 1.5 and amp >= 0.05").orderBy(F.desc("amp"), "id").limit(80)  # a top-k report
-    return _rounded(top.select("id", F.least("leak", F.lit(1.0)).alias("bottom"), F.least(F.col("leak") + F.col("amp"), F.lit(1.0)).alias("top")), "bottom", "top")
+    """Positives (here: all cohorts but one) with a steep, wide curve, the widest first."""
+    e = v.engines().withColumn("n", F.col("n_a") * 2.2).withColumn("width", F.col("amp") * 4.7)
+    top = e.where("n >= 3 and width >= 0.35 and cohort <> 0").orderBy(F.desc("amp"), "id").limit(80)  # a top-k report
+    return _rounded(top.select("id", F.least("leak", F.lit(1.0)).alias("bottom"), F.least(F.col("leak") + F.col("width"), F.lit(1.0)).alias("top")), "bottom", "top")
 
 
 @query("SELECT id FROM engines WHERE tm_a IS NOT NULL AND n_a IS NOT NULL", "engines")
@@ -130,6 +131,26 @@ def join_group_metadata(v: Views) -> DataFrame:
     return full.join(full.groupBy("n_name").agg(F.count("*").alias("of_nation")), "n_name").select("s_suppkey", "n_name", "of_nation")
 
 
+@query(
+    """WITH c AS (SELECT record_id, seq, record_id % 50 AS a, CAST(greatest(length(seq) - record_id % 37, 0) AS BIGINT) AS b, CASE WHEN record_id % 2 = 0 THEN '+' ELSE '-' END AS strand FROM seqs),
+    u AS (SELECT *, CASE WHEN b > a THEN substr(seq, a + 1, b - a) ELSE '' END AS cut FROM c), r AS (SELECT *, CASE WHEN strand = '-' THEN reverse(translate(cut, 'AUGC', 'UACG')) ELSE cut END AS x FROM u WHERE length(cut) >= 200)
+    SELECT record_id AS seqid, strand, CASE WHEN strand = '+' THEN b - length(right(x, 600)) + 1 ELSE a + 1 END AS seq_start, CASE WHEN strand = '+' THEN b ELSE a + length(right(x, 600)) END AS seq_end, md5(right(x, 600)) AS digest, length(right(x, 600)) AS n FROM r""",
+    "seqs",
+)
+def join_extracted(v: Views) -> DataFrame:
+    s = v.seqs()
+    at = s.select(F.col("record_id").alias("seqid"), (F.col("record_id") % 50).cast("int").alias("a"), F.greatest(F.length("seq") - F.col("record_id") % 37, F.lit(0)).cast("int").alias("b"), F.when(F.col("record_id") % 2 == 0, "+").otherwise("-").alias("strand"))
+    got = ops.extracted(at.where("b > a"), s.withColumnRenamed("record_id", "seqid"))
+    return got.select("seqid", "strand", F.col("seq_start").cast("long").alias("seq_start"), F.col("seq_end").cast("long").alias("seq_end"), F.md5("sequence").alias("digest"), F.col("seq_length").cast("long").alias("n"))
+
+
+@query("SELECT o_orderkey AS k, o_custkey, CAST(x AS DOUBLE) AS o_totalprice, lines FROM orders LEFT JOIN (SELECT l_orderkey, round(sum(l_quantity), 4) AS x, count(*) AS lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def join_refreshed(v: Views) -> DataFrame:
+    base = v.table("orders").select(F.col("o_orderkey").alias("k"), "o_custkey", "o_totalprice")
+    patch = v.table("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum("l_quantity"), 4).cast("double").alias("o_totalprice"), F.count("*").alias("lines"))
+    return ops.refreshed(base, patch, ["k"])
+
+
 # -- reports ----------------------------------------------------------------------------------------------------------
 
 
@@ -142,15 +163,22 @@ def agg_unpaired(v: Views) -> DataFrame:
 
 
 @query(
-    """WITH x AS (SELECT id, avg(p) FILTER (t = 37) AS g37, avg(p) FILTER (t = 43) AS g43 FROM sweeps GROUP BY 1) SELECT id, round(g43 - g37, 6) AS stroke,
-    CASE WHEN g43 <= 0.25 AND g43 - g37 >= 0.4 AND g43 >= 0.35 THEN 1 WHEN g43 <= 0.1 AND abs(g43 - g37) < 0.05 THEN 2 ELSE 3 END AS scenario FROM x""",
-    "sweeps",
+    """WITH m AS (SELECT l_suppkey AS id, l_quantity AS t, l_linenumber AS pos, avg(power(l_discount * 10, 3)) AS v FROM lineitem WHERE l_quantity IN (37, 43) GROUP BY 1, 2, 3),
+    x AS (SELECT id, avg(v) FILTER (t = 37 AND pos BETWEEN 2 AND 3) AS sd_37, avg(v) FILTER (t = 43 AND pos BETWEEN 2 AND 3) AS sd_43, avg(v) FILTER (t = 43) AS global_43, avg(v) FILTER (t = 43 AND pos NOT BETWEEN 2 AND 3) AS scaffold_43 FROM m GROUP BY 1)
+    SELECT id, round(sd_43, 6) AS sd_43, round(global_43, 6) AS global_43, round(scaffold_43, 6) AS scaffold_43, round(sd_43 - sd_37, 6) AS stroke,
+    CASE WHEN global_43 <= 0.25 AND sd_43 - sd_37 >= 0.4 AND sd_43 >= 0.35 THEN 1 WHEN sd_43 <= 0.1 AND abs(sd_43 - sd_37) < 0.05 THEN 2 ELSE 3 END AS scenario FROM x"""
 )
 def agg_heat_map(v: Views) -> DataFrame:
-    at = lambda t: F.avg(F.when(F.col("t") == t, F.col("p")))
-    x = v.sweeps().groupBy("id").agg(at(37).alias("a"), at(43).alias("b")).withColumn("stroke", F.col("b") - F.col("a"))
-    kind = F.when((F.col("b") <= 0.25) & (F.col("stroke") >= 0.4) & (F.col("b") >= 0.35), 1).when((F.col("b") <= 0.1) & (F.abs("stroke") < 0.05), 2).otherwise(3)
-    return x.select("id", F.round("stroke", 6).alias("stroke"), kind.alias("scenario"))
+    """Means over the motif's positions, over all, and over the rest; and how a rescue went: 1 ideal, 2 locked, 3 in part."""
+    line = v.table("lineitem").where(F.col("l_quantity").isin(37, 43))
+    m = line.groupBy(F.col("l_suppkey").alias("id"), F.col("l_quantity").alias("t"), F.col("l_linenumber").alias("pos")).agg(F.avg(F.pow(F.col("l_discount") * 10, 3)).alias("v"))
+    motif = F.col("pos").between(2, 3)
+    at = lambda t, where: F.avg(F.when((F.col("t") == t) & where, F.col("v")))
+    x = m.groupBy("id").agg(at(37, motif).alias("sd_37"), at(43, motif).alias("sd_43"), at(43, F.lit(True)).alias("global_43"), at(43, ~motif).alias("scaffold_43"))
+    x = x.withColumn("stroke", F.col("sd_43") - F.col("sd_37"))
+    ideal = (F.col("global_43") <= 0.25) & (F.col("stroke") >= 0.4) & (F.col("sd_43") >= 0.35)
+    kind = F.when(ideal, 1).when((F.col("sd_43") <= 0.1) & (F.abs("stroke") < 0.05), 2).otherwise(3)
+    return _rounded(x.select("id", "sd_43", "global_43", "scaffold_43", "stroke", kind.alias("scenario")), "sd_43", "global_43", "scaffold_43", "stroke")
 
 
 @query("SELECT cohort, count(*) AS n, round(avg(tm_a), 6) AS tm, round(avg(amp), 6) AS amp, round(median(n_a), 6) AS slope FROM engines GROUP BY 1", "engines")
@@ -221,7 +249,7 @@ _ENN = """WITH p AS (SELECT record_id, label, len, gc, (len - avg(len) OVER ())
 @query(_ENN, "panel")
 def smp_edited_neighbours(v: Views) -> DataFrame:
     """Majority rows (label 1) go if one of their three nearest rows, within the gates, isn't of the majority."""
-    z = staged(matching.standardised(v.panel().select("record_id", "label", "len", "gc"), ["len", "gc"]), "standardised")
+    z = staged(matching.standardised(v.measured().select("record_id", "label", "len", "gc"), ["len", "gc"]), "standardised")
     near = matching.candidates(z, z, "record_id", {"len": 200, "gc": 0.1}, {"len": "z_len", "gc": "z_gc"}, 8).where("a <> b").withColumn("cost", F.round("cost", 9))
     three = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("cost", "b"))).where("r <= 3")
     mixed = three.join(z.select(F.col("record_id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("least")).where("least = 0")
@@ -297,7 +325,7 @@ def clu_representatives(v: Views) -> DataFrame:
 
 @query()
 def join_escalated(v: Views) -> DataFrame:
-    z = staged(matching.standardised(v.panel().select("record_id", "label", "len", "gc"), ["len", "gc"]), "standardised")
+    z = staged(matching.standardised(v.measured().select("record_id", "label", "len", "gc"), ["len", "gc"]), "standardised")
     bad, good, gates, by = z.where("label = 0"), z.where("label = 1"), {"len": 40, "gc": 0.02}, {"len": "z_len", "gc": "z_gc"}
     first = staged(matching.greedy(matching.candidates(bad, good, "record_id", gates, by, 4)), "first")
     more = matching.escalated(bad, good, first, "record_id", "len", gates, by, 4)

@@ -62,7 +62,8 @@ class Views:
 
     def seqs(self) -> DataFrame:
         text = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, CODE)
-        return self.table("documents").where("text is not null").select(F.col("doc_id").alias("record_id"), text.alias("seq"))
+        # a generator, so that the text is rewritten once and not in every expression that reads it
+        return self.table("documents").where("text is not null").select(F.col("doc_id").alias("record_id"), F.explode(F.array(text)).alias("seq"))
 
     def panel(self) -> DataFrame:
         from tessera.functions.rna import gc_fraction
@@ -71,6 +72,12 @@ class Views:
         labelled = docs.join(self.table("labels"), "doc_id").select(F.col("doc_id").alias("record_id"), F.col("quality").alias("label"), F.col("source").alias("grp"), "lang")
         return self.seqs().join(labelled, "record_id").withColumn("len", F.length("seq")).withColumn("gc", gc_fraction(F.col("seq")))
 
+    def measured(self) -> DataFrame:
+        """The panel without its sequences, staged."""
+        from tessera.staging import staged
+
+        return staged(self.panel().drop("seq"), "panel")
+
     def hits(self, odd: bool) -> DataFrame:
         """Two tools' hits: the lines of even and of odd number."""
         line = self.table("lineitem").where(F.col("l_linenumber") % 2 == int(odd))

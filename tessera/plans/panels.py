@@ -87,9 +87,9 @@ def flt_checklist(v: Views) -> DataFrame:
     return v.engines().select("id", *(c.alias(n) for n, c in f.items()))
 
 
-@query("SELECT id FROM engines WHERE coalesce(abs(tm_a - tm_b) > 5, false) OR coalesce(n_a > 1.5 AND n_b <= 1.0, false) OR coalesce(n_b > 1.5 AND n_a <= 1.0, false)", "engines")
+@query("SELECT id FROM engines WHERE coalesce(abs(tm_a - tm_b * 1.15) > 5, false) OR coalesce(n_a > 1.5 AND n_b <= 1.0, false) OR coalesce(n_b > 1.5 AND n_a <= 1.0, false)", "engines")
 def flt_fragile(v: Views) -> DataFrame:
-    return v.engines().where(g.fragile(F.col("tm_a"), F.col("tm_b"), F.col("n_a"), F.col("n_b"))).select("id")
+    return v.engines().where(g.fragile(F.col("tm_a"), F.col("tm_b") * 1.15, F.col("n_a"), F.col("n_b"))).select("id")
 
 
 _SCORE = "least(coalesce(n_a, 0), 3) + 2 * coalesce(abs(amp), 0) - 0.4 * abs(coalesce(tm_a, 43.5) - 43.5) - 6 * coalesce(leak, 1) - 0.25 * coalesce(abs(tm_a - tm_b), 0) - 12 * greatest(0, 0.25 - coalesce(abs(amp), 0))"
@@ -126,7 +126,7 @@ _VALUES = f"""WITH l AS ({_LONG}), c AS (SELECT feature, x, count(*) FILTER (lab
 
 
 def long(v: Views) -> DataFrame:
-    return v.panel().select("label", F.col("len").cast("double").alias("len"), "gc").unpivot("label", ["len", "gc"], "feature", "x")
+    return v.measured().select("label", F.col("len").cast("double").alias("len"), "gc").unpivot("label", ["len", "gc"], "feature", "x")
 
 
 @query(_VALUES + "SELECT feature, CAST(any_value(t1) AS BIGINT) AS n1, CAST(any_value(t0) AS BIGINT) AS n0, round(max(abs(c1 / t1 - c0 / t0)), 6) AS ks, round(sum(abs(c1 / t1 - c0 / t0) * (nx - x)), 6) AS w1, round(2 * sum(n1 * (c0 - n0 / 2)) / (any_value(t1) * any_value(t0)) - 1, 6) AS delta, round(sum(n1 * (c0 - n0 / 2)) / (any_value(t1) * any_value(t0)), 6) AS auc FROM k GROUP BY 1", "panel")
@@ -200,7 +200,7 @@ def sta_quantile_pairs(v: Views) -> DataFrame:
 
 @query("SELECT record_id, round((len - avg(len) OVER ()) / stddev_pop(len) OVER (), 6) AS z_len, round((gc - avg(gc) OVER ()) / stddev_pop(gc) OVER (), 6) AS z_gc FROM panel", "panel")
 def sta_z_scores(v: Views) -> DataFrame:
-    return rounded(matching.standardised(v.panel().select("record_id", "len", "gc"), ["len", "gc"]).select("record_id", "z_len", "z_gc"), "z_len", "z_gc")
+    return rounded(matching.standardised(v.measured().select("record_id", "len", "gc"), ["len", "gc"]).select("record_id", "z_len", "z_gc"), "z_len", "z_gc")
 
 
 @query("SELECT -x AS threshold, round(c1 / t1, 6) AS tpr, round(c0 / t0, 6) AS fpr FROM (SELECT x, sum(n1) OVER w AS c1, sum(n0) OVER w AS c0, sum(n1) OVER () AS t1, sum(n0) OVER () AS t0 FROM (SELECT -CAST(len AS DOUBLE) AS x, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label <> 1) AS n0 FROM panel GROUP BY 1) WINDOW w AS (ORDER BY x))", "panel")
@@ -262,6 +262,27 @@ def crv_hill_fit(v: Views) -> DataFrame:
     return rounded(fit.select("id", "tm", "n", "bottom", "top", "sse", "status"), "bottom", "top", "sse", digits=5)
 
 
+def _fit_sql(source: str) -> str:
+    return _FIT.replace("FROM sweeps", f"FROM {source}").removeprefix("WITH ")
+
+
+_TWO = "two AS (SELECT l_suppkey AS id, l_quantity AS t, avg(l_discount) * 10 AS p, avg(l_tax) * 12 AS q FROM lineitem GROUP BY 1, 2), one AS (SELECT id, t, p FROM two), other AS (SELECT id, t, q AS p FROM two)"
+_BEST = "SELECT id, tm, n, bottom, bottom + slope AS top, sse FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sse, 12), tm, n) AS r FROM {c}) WHERE r = 1"
+
+
+@query(
+    f"WITH {_TWO}, {_fit_sql('one').replace('g AS', 'ga AS').replace('FROM g ', 'FROM ga ').replace(' c AS', ' ca AS')}, {_fit_sql('other').replace('g AS', 'gb AS').replace('FROM g ', 'FROM gb ').replace(' c AS', ' cb AS')}, fa AS ({_BEST.format(c='ca')}), fb AS ({_BEST.format(c='cb')})"
+    " SELECT a.id, a.tm AS tm_a, a.n AS n_a, round(a.top - a.bottom, 5) AS amplitude_a, b.tm AS tm_b, b.n AS n_b, round(b.top - b.bottom, 5) AS amplitude_b, round(x.p, 5) AS p37 FROM fa a JOIN fb b USING (id) LEFT JOIN (SELECT id, p FROM one WHERE t = 37) x USING (id)"
+)
+def crv_engine_fits(v: Views) -> DataFrame:
+    """Each record's fits of both engines, side by side, and the measured value at 37."""
+    two = v.table("lineitem").groupBy(F.col("l_suppkey").alias("id"), F.col("l_quantity").alias("t")).agg((F.avg("l_discount") * 10).alias("p"), (F.avg("l_tax") * 12).alias("q"))
+    fits = curves.engine_fits(two, "id", "t", {"a": "p", "b": "q"}, [10.0, 20.0, 30.0, 40.0], [1.0, 4.0, 12.0])
+    at = two.where("t = 37").select("id", F.col("p").alias("p37"))
+    full = fits.join(at, "id", "left").select("id", "tm_a", "n_a", "amplitude_a", "tm_b", "n_b", "amplitude_b", "p37")
+    return rounded(full, "amplitude_a", "amplitude_b", "p37", digits=5)
+
+
 @query("WITH m AS (SELECT id, avg(p) AS m FROM sweeps GROUP BY 1) SELECT id, round(1 - sum(power(p - (0.2 + 0.01 * t), 2)) / nullif(sum(power(p - m, 2)), 0), 5) AS r2 FROM sweeps JOIN m USING (id) GROUP BY 1", "sweeps")
 def crv_r_squared(v: Views) -> DataFrame:
     s = v.sweeps()
@@ -309,7 +330,7 @@ _NEAR = """WITH z AS (SELECT record_id, label, len, gc, (len - avg(len) OVER ())
 
 
 def edges(v: Views, k: int) -> DataFrame:
-    z = matching.standardised(v.panel().select("record_id", "label", "len", "gc"), ["len", "gc"])
+    z = matching.standardised(v.measured().select("record_id", "label", "len", "gc"), ["len", "gc"])
     got = matching.candidates(z.where(~one()), z.where(one()), "record_id", {"len": 100, "gc": 0.05}, {"len": "z_len", "gc": "z_gc"}, k)
     return got.withColumn("cost", F.round("cost", 9))
 
@@ -391,12 +412,10 @@ def ml_block_importance(v: Views) -> DataFrame:
 @query("WITH c AS (SELECT event_id // 250 AS chunk, count(*) AS n, count(*) FILTER (value > 50) AS n_pass FROM events GROUP BY 1) SELECT chunk, CAST(n AS BIGINT) AS n, CAST(n_pass AS BIGINT) AS n_pass, CAST(sum(n) OVER (ORDER BY chunk) AS BIGINT) AS cum_n, CAST(sum(n_pass) OVER (ORDER BY chunk) AS BIGINT) AS cum_pass, round(sum(n_pass) OVER (ORDER BY chunk) / sum(n) OVER (ORDER BY chunk), 6) AS cum_ratio FROM c")
 def str_triage(v: Views) -> DataFrame:
     """The stream's totals: events are read as a stream, batch by batch, and end in the same tables as a batch job."""
-    import uuid
-
-    from tessera.staging import shared_folder
+    from tessera.staging import folder
     from tessera.streaming import triage
 
-    base = f"{shared_folder(v.spark).rstrip('/')}/tessera/{uuid.uuid4().hex}-stream"
+    base = folder(v.spark, "stream")
     events = v.table("events").select(F.col("event_id").alias("record_id"), F.col("event_id").alias("seq_no"), "value")
     events.repartitionByRange(4, "seq_no").write.parquet(f"{base}/in")
     schema = "record_id long, seq_no long, value double"

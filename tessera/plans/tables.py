@@ -250,10 +250,11 @@ def flt_text_include(v: Views) -> DataFrame:
     return v.table("part").where(g.any_like(F.col("p_name"), ["Green", "blue"]) | g.any_like(F.col("p_type"), ["BRASS"])).select("p_partkey")
 
 
-@query("SELECT p_partkey FROM part WHERE (contains(lower(p_type), 'steel') OR contains(lower(p_type), 'tin')) AND NOT contains(lower(p_type), 'promo') AND NOT regexp_matches(lower(p_name), 'red|dim')")
+@query("SELECT p_partkey FROM part WHERE (contains(lower(p_type), 'mo') OR contains(lower(p_type), 'large')) AND NOT contains(lower(p_type), 'promo') AND NOT regexp_matches(lower(p_name), 'red|hot') UNION ALL SELECT p_partkey FROM part WHERE contains(lower(p_type), 'medium') AND NOT contains(lower(p_name), 'ring')")
 def flt_text_exclude(v: Views) -> DataFrame:
-    kept = g.any_like(F.col("p_type"), ["steel", "tin"]) & ~g.any_like(F.col("p_type"), ["promo"])
-    return v.table("part").where(kept & ~F.col("p_name").rlike("(?i)red|dim")).select("p_partkey")
+    kept = g.any_like(F.col("p_type"), ["Mo", "large"]) & ~g.any_like(F.col("p_type"), ["promo"]) & ~F.col("p_name").rlike("(?i)red|hot")
+    other = g.any_like(F.col("p_type"), ["medium"]) & ~g.any_like(F.col("p_name"), ["ring"])
+    return v.table("part").where(kept | other).select("p_partkey")
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total, CAST(max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.operators.statistics import cumulative
+
 
 def chunked(df: DataFrame, number: str, stride: int = 250, seed: int = 0) -> DataFrame:
     """Rows from ``seed`` on, with the chunk of ``stride`` numbers that each belongs to."""
@@ -19,9 +21,8 @@ def chunked(df: DataFrame, number: str, stride: int = 250, seed: int = 0) -> Dat
 
 
 def rolled_up(chunks: DataFrame) -> DataFrame:
-    """Cumulative n, n_pass and ratio over ordered chunks (one row for each chunk: a small table)."""
-    w = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    full = chunks.withColumn("cum_n", F.sum("n").over(w)).withColumn("cum_pass", F.sum("n_pass").over(w))
+    """Cumulative n, n_pass and ratio over ordered chunks, by ranges of chunks."""
+    full = cumulative(chunks, [], "chunk", ["n", "n_pass"]).drop("next").withColumnRenamed("cum_n_pass", "cum_pass")
     return full.withColumn("cum_ratio", F.try_divide("cum_pass", "cum_n"))
 
 

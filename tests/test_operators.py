@@ -179,3 +179,34 @@ def test_escalated(spark):
     first = matching.greedy(matching.candidates(left, right, "k", {"len": 5.0}, {"len": "z"}, 3))
     more = matching.escalated(left, right, first, "k", "len", {"len": 10.0}, {"len": "z"}, 3)
     assert [tuple(r)[:2] for r in first.collect()] == [(1, 10)] and [tuple(r)[:2] for r in more.collect()] == [(2, 11)]
+
+
+def test_false_discovery_by_ranges(spark):
+    from tessera.operators import statistics as st
+
+    ps = [0.001, 0.04, 0.03, 0.03, 0.5, None, 0.9, 0.041]
+    got = {r.i: r for r in st.benjamini_hochberg(spark.createDataFrame(list(enumerate(ps)), "i int, p double")).collect()}
+    known = sorted(p for p in ps if p is not None)
+    for i, p in enumerate(ps):
+        want = None if p is None else min(min(q * len(known) / (sum(x <= q for x in known)) for q in known if q >= p), 1)
+        assert (got[i].q is None and got[i].significant is None) if p is None else abs(got[i].q - want) < 1e-12 and got[i].significant == (want <= 0.05)
+
+
+def test_intervals_to_sequences(spark):
+    from tessera.operators import relations as ops
+
+    contigs = spark.createDataFrame([("c", "AAAUUUGGGCCC" * 30), ("d", "AAAN" * 90)], "seqid string, seq string")
+    intervals = spark.createDataFrame([("c", 0, 360, "+"), ("c", 0, 360, "-"), ("c", 3, 40, "+"), ("d", 0, 300, "+"), ("none", 0, 300, "+")], "seqid string, a int, b int, strand string")
+    got = {r.strand: r for r in ops.extracted(intervals, contigs, 200, 250).collect()}
+    assert len(got) == 2 and (got["+"].seq_start, got["+"].seq_end) == (111, 360) and (got["-"].seq_start, got["-"].seq_end) == (1, 250)
+    whole = "AAAUUUGGGCCC" * 30
+    assert got["+"].sequence == whole[110:] and got["-"].sequence == "".join({"A": "U", "U": "A", "G": "C", "C": "G"}[x] for x in reversed(whole))[-250:]
+
+
+def test_kmers_of_any_text(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import rna
+
+    df = spark.createDataFrame([("AUGC",), ("A",), ("",), ("éAU",)], "s string")
+    assert [r[0] for r in df.select(rna.kmers(F.col("s"), 2)).collect()] == [["AU", "UG", "GC"], [], [], ["éA", "AU"]]
