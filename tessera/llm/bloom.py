@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm.text import mixed
 
 #: Bits for each key, and at most: 32 MB. More keys than that only let more other keys through.
-EACH, LEAST, MOST = 16, 1 << 20, 1 << 28
+EACH, LEAST, MOST = 32, 1 << 20, 1 << 28
 _CHUNK = 1 << 16
 
 

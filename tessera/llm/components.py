@@ -32,22 +32,28 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), *(F.bit_xor(F.xxhash64("a", "b", F.lit(k))) for k in (0, 1))).first())
 
 
+def _with_least(edges: DataFrame, least: DataFrame, degree: int, n: int) -> DataFrame:
+    """``edges`` with m, the least neighbour of a; no node has more than ``degree`` edges."""
+    if degree <= HOT:
+        return edges.join(least, "a")
+    return attached(edges, staged(least, "least"), "a", -1 - F.pmod(F.xxhash64("a", "b"), F.lit(1 << 62)), 2 * n)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for each node of ``edges(a, b)``, both longs from 0; label: the least node it is linked with.
 
     A node with very many edges is never gathered: its least neighbour is an aggregate, and comes back to its edges by
-    ``attached``.
+    ``attached``, in rounds in which there is such a node.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    apart = -1 - F.pmod(F.xxhash64("a", "b"), F.lit(1 << 62))
     told = _fingerprint(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("many")), "least")
-        large = attached(both, least, "a", apart, 2 * told[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = staged(large, "large")
-        least = staged(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("many")), "least")
-        small = attached(large, least, "a", apart, 2 * told[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
+        degree = both.groupBy("a").count().agg(F.max("count")).first()[0] or 0
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("many"))
+        large = _with_least(both, least, degree, told[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("many"))
+        small = _with_least(large, least, degree, told[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
         now = staged(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
         before, told = told, _fingerprint(now)
         if before == told:

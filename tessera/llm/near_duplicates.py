@@ -243,7 +243,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
     size = family.groupBy("label").agg(F.sum("n").alias("_total"), F.count("*").alias("many"))
     sized = attached(family, size, "label", -1 - F.col("row"), members)
     placed = _parted(sized, F.ceil(F.col("_total") / VOLUME)).select("digest", "label", "i", "j", "row")
-    full = docs.mapInArrow(again, "digest binary, members binary").join(placed, "digest")
+    full = docs.mapInArrow(again, "digest binary, members binary").join(placed.hint("merge"), "digest")
     laid = full.select("label", "i", "j", "row", "members").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +271,7 @@ def _members(docs: DataFrame, k: int, percent: int) -> DataFrame:
     thin = all_rows.select("row", "key", "doc_id", "n", "digest")
     # a class: its least row and id, and how many copies it has
     reps = staged(thin.where("n > 0").groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count("*").alias("many")), "representatives")
-    classes = staged(all_rows.join(reps.select("row"), "row", "left_semi"), "classes")
+    classes = staged(all_rows.join(reps.select("row").hint("merge"), "row", "left_semi"), "classes")  # one plan at every size
     links = _links(_candidates(classes, percent), classes, docs, k, percent)
     found = components(links).withColumnRenamed("node", "row")
     labelled = staged(reps.join(found, "row", "left").withColumn("label", F.coalesce("label", "row")), "labelled")
@@ -306,7 +306,8 @@ def kept_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
     found = _members(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_row").alias("key")), k, percent)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     chosen = staged(found.groupBy("label").agg(F.min_by("key", order).alias("_chosen"), F.count("*").alias("_rows")), "chosen")
-    left = keyed.join(chosen.select("_chosen").distinct(), F.col("_row") == F.col("_chosen"), "left_semi")
+    # one plan at every size
+    left = keyed.join(chosen.select("_chosen").distinct().hint("merge"), F.col("_row") == F.col("_chosen"), "left_semi")
     # only rows of a component of several can be repeated, or wordless ones, each of which is a component
     again = found.groupBy("key").count().where("count > 1").select(F.col("key").alias("_again"))
     again = staged(again.join(chosen, F.col("_again") == F.col("_chosen"), "left_semi"), "repeated")
