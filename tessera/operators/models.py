@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import features
 from tessera.operators.statistics import cumulative, distributed_index, two_sample
 from tessera.staging import staged
 
@@ -137,3 +138,14 @@ def balanced(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """As many rows of each label as the rarest has, in seeded-hash order."""
     n = min(r["count"] for r in df.groupBy(label).count().collect())  # one row for each label
     return distributed_index(df, [label], seed, key, "_i").where(F.col("_i") < n).drop("_i")
+
+
+def inventory(df: DataFrame, which: str, label: str) -> DataFrame:
+    """(position, feature, block, rows, missing_1, missing_0): each feature of a set that ``df`` has, with its nulls by class, in one pass."""
+    names = features.feature_columns(df.columns, which)
+    if not names:
+        raise ValueError(f"no column of the feature set {which!r}")
+    block = {c: b for b, columns in features.BLOCKS.items() for c in columns} | dict.fromkeys(features.MELTING, "melting")
+    gone = lambda c, x: F.count_if(F.col(c).isNull() & (F.col(label) == x))
+    each = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.lit(block.get(c, "other")).alias("block"), F.count("*").alias("rows"), gone(c, 1).alias("missing_1"), gone(c, 0).alias("missing_0")) for i, c in enumerate(names)]
+    return df.agg(F.array(*each).alias("x")).select(F.inline("x"))

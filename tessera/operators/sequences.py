@@ -131,3 +131,32 @@ def similar(df: DataFrame, key: str, seq: str, k: int = 9, share: float = 0.8) -
     sets = classes.select("k", "s")
     full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("both", F.size(F.array_intersect("x", "y")))
     return full.where(F.col("both") >= share * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+
+
+def collapse_report(df: DataFrame, key: str, seq: str, group: str, copies: int = 3, identity: float = 0.98, share: float = 0.2, limit: float = 0.85, unique: float = 0.05, unique_from: int = 80) -> DataFrame:
+    """(group, rows, repetitive, copies, near_pairs, near_share, errors): whether the sequences of a group have collapsed to a few.
+
+    Low-complexity rows, the largest number of copies, and the share of all pairs whose identity is ``identity`` at
+    least, copies included. Copies are counted, not paired. Empty sequences are rows, but neither copies nor pairs.
+    """
+    s, digest = F.col(seq), F.sha2(F.col(seq), 256).alias("_d")
+    pairs = [a + b for a in rna.BASES for b in rna.BASES]
+    poor = (rna.top_fraction(s, list(rna.BASES), 1) >= limit) | (rna.top_fraction(s, pairs, 2) >= limit) | ((F.length(s) >= unique_from) & (rna.unique_ratio(s) < unique))
+    each = df.select(group, key, digest, (F.length(s) > 0).alias("_full"), F.coalesce(poor, F.lit(False)).alias("_poor"))
+    per = staged(each.groupBy(group, "_d", "_full").agg(F.count("*").alias("n"), F.count_if("_poor").alias("poor"), F.min(key).alias("k")), "copies")
+    full = F.when(F.col("_full"), F.col("n"))
+    whole = per.groupBy(group).agg(F.sum("n").alias("rows"), F.sum("poor").alias("repetitive"), F.coalesce(F.max(full), F.lit(0)).alias("copies"), F.coalesce(F.sum(full * (full - 1) / 2), F.lit(0.0)).alias("_same"))
+    first = per.groupBy("_d").agg(F.min("k").alias("_k"))  # the key by which near_identical knows the class
+    held = per.where("_full").join(first, "_d").select(group, "_k", "n")
+    near = near_identical(df, key, seq, identity)
+    left, right = held.toDF(group, "a", "na"), held.toDF("_g", "_b", "nb")
+    met = near.join(left, "a").join(right, (F.col("b") == F.col("_b")) & F.col(group).eqNullSafe(F.col("_g")))
+    between = met.groupBy(group).agg(F.sum(F.col("na") * F.col("nb")).alias("_near"))
+    out = whole.join(between.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("near_pairs", (F.col("_same") + F.coalesce("_near", F.lit(0))).cast("long"))
+    out = out.withColumn("near_share", F.coalesce(F.try_divide(F.col("near_pairs") * 2, F.col("rows") * (F.col("rows") - 1)), F.lit(0.0)))
+    said = [
+        F.when(F.col("repetitive") > 0, F.concat(F.lit("repetitive sequences: "), F.col("repetitive"))),
+        F.when(F.col("copies") >= copies, F.concat(F.lit("identical copies: "), F.col("copies"))),
+        F.when(F.col("near_share") > share, F.concat(F.lit("near-identical pairs: "), F.col("near_pairs"))),
+    ]
+    return out.select(group, "rows", "repetitive", "copies", "near_pairs", "near_share", F.concat_ws("; ", *said).alias("errors"))

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import features, rna
 from tessera.functions import gates as g
-from tessera.functions import rna
-from tessera.operators import curves, matching, models, sequences
+from tessera.operators import curves, matching, models, nearest, sequences
 from tessera.operators import relations as ops
 from tessera.operators import statistics as st
 from tessera.plans.bindings import Views, query
@@ -206,12 +206,6 @@ def agg_enrichment(v: Views) -> DataFrame:
     return _rounded(x.select("mean1", "mean0", (F.col("mean1") - F.col("mean0")).alias("gap"), (F.col("mean1") > F.col("mean0")).alias("higher")), "mean1", "mean0", "gap")
 
 
-@query("SELECT source AS grp, count(*) AS rows, max(n) AS copies, max(n) >= 3 AS collapsed FROM (SELECT source, count(*) OVER (PARTITION BY source, text) AS n FROM documents) GROUP BY 1")
-def clu_collapse_report(v: Views) -> DataFrame:
-    c = v.table("documents").groupBy("source", F.sha2("text", 256).alias("d")).agg(F.count("*").alias("n"))
-    return c.groupBy(F.col("source").alias("grp")).agg(F.sum("n").alias("rows"), F.max("n").alias("copies")).withColumn("collapsed", F.col("copies") >= 3)
-
-
 # -- curves -----------------------------------------------------------------------------------------------------------
 
 
@@ -241,27 +235,42 @@ def crv_cached(v: Views) -> DataFrame:
 
 # -- audits -----------------------------------------------------------------------------------------------------------
 
-_ENN = """WITH p AS (SELECT record_id, label, len, gc, (len - avg(len) OVER ()) / stddev_pop(len) OVER () AS zl, (gc - avg(gc) OVER ()) / stddev_pop(gc) OVER () AS zg FROM panel),
- e AS (SELECT a.record_id AS a, a.label, b.label AS other, row_number() OVER (PARTITION BY a.record_id ORDER BY round(sqrt(power(a.zl - b.zl, 2) + power(a.zg - b.zg, 2)), 9), b.record_id) AS r FROM p a JOIN p b ON a.record_id <> b.record_id AND abs(a.len - b.len) <= 200 AND abs(a.gc - b.gc) <= 0.1)
- SELECT record_id FROM panel WHERE label = 0 OR record_id NOT IN (SELECT a FROM e WHERE r <= 3 GROUP BY a HAVING min(other) = 0)"""
+_ENN = """WITH g AS (SELECT record_id, substr(seq, i, k) AS w, count(*) AS n FROM (SELECT record_id, seq, k, unnest(range(1, length(seq) - k + 2)) AS i FROM panel, (VALUES (2), (3)) ks(k)) GROUP BY 1, 2),
+ q AS (SELECT p.record_id, p.label, coalesce(sum(n * n), 0) AS s FROM panel p LEFT JOIN g USING (record_id) GROUP BY 1, 2),
+ dot AS (SELECT x.record_id AS a, y.record_id AS b, sum(x.n * y.n) AS xy FROM g x JOIN g y USING (w) GROUP BY 1, 2),
+ e AS (SELECT x.record_id AS a, y.label AS other, row_number() OVER (PARTITION BY x.record_id ORDER BY x.s + y.s - 2 * coalesce(xy, 0), y.record_id) AS r FROM q x JOIN q y ON x.record_id <> y.record_id LEFT JOIN dot ON a = x.record_id AND b = y.record_id),
+ most AS (SELECT label FROM panel GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1)
+ SELECT record_id FROM panel WHERE label <> (SELECT label FROM most) OR record_id NOT IN (SELECT a FROM e WHERE r <= 3 AND other <> (SELECT label FROM most))"""
 
 
 @query(_ENN, "panel")
 def smp_edited_neighbours(v: Views) -> DataFrame:
-    """Majority rows (label 1) go if one of their three nearest rows, within the gates, isn't of the majority."""
-    z = staged(matching.standardised(v.measured().select("record_id", "label", "len", "gc"), ["len", "gc"]), "standardised")
-    near = matching.candidates(z, z, "record_id", {"len": 200, "gc": 0.1}, {"len": "z_len", "gc": "z_gc"}, 8).where("a <> b").withColumn("cost", F.round("cost", 9))
-    three = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("cost", "b"))).where("r <= 3")
-    mixed = three.join(z.select(F.col("record_id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("least")).where("least = 0")
-    return z.join(mixed.select(F.col("a").alias("record_id"), F.lit(True).alias("goes")), "record_id", "left").where("label = 0 or goes is null").select("record_id")
+    """Rows of the larger class go if one of their three nearest rows, by counts of 2-mers and 3-mers, isn't of it."""
+    return nearest.edited(v.panel(), "record_id", "seq", "label", (2, 3)).select("record_id")
+
+
+def _features(v: Views) -> DataFrame:
+    s, x = v.seqs(), rna.spacing(F.col("seq"))
+    wide = sequences.kmer_vector(s, "record_id", "seq", 2, "dinuc_").join(sequences.kmer_vector(s, "record_id", "seq", 3, "trinuc_"), "record_id").join(s, "record_id")
+    return wide.select("*", F.length("seq").alias("seq_length"), rna.gc_fraction(F.col("seq")).alias("viennarna_gc_content"), x.alias("sd_aug_spacing"), (x < 0).cast("int").alias("sd_aug_missing")).drop("seq")
 
 
 @query()
 def ml_feature_matrix(v: Views) -> DataFrame:
-    s = v.seqs()
-    wide = sequences.kmer_vector(s, "record_id", "seq", 2, "dinuc_").join(s, "record_id")
-    x = rna.spacing(F.col("seq"))
-    return wide.select("*", rna.gc_fraction(F.col("seq")).alias("gc"), x.alias("spacing"), (x < 0).cast("int").alias("spacing_missing")).drop("seq")
+    """The columns of the non-circular set that sequences alone give."""
+    x = _features(v)
+    return x.select("record_id", *features.feature_columns(x.columns, "noncircular"))
+
+
+_BLOCKS = "SELECT 0 AS position, 'seq_length' AS feature, 'composition' AS block UNION ALL SELECT 1, 'viennarna_gc_content', 'composition' UNION ALL SELECT 2 + i * 4 + j, 'dinuc_' || a || b, 'dinucleotides' FROM l1, l2 UNION ALL SELECT 18 + i * 16 + j * 4 + k, 'trinuc_' || a || b || c, 'trinucleotides' FROM l1, l2, l3 UNION ALL SELECT 82, 'sd_aug_spacing', 'spacing' UNION ALL SELECT 83, 'sd_aug_missing', 'spacing'"
+_LETTERS = ", ".join(f"l{n}({i}, {x}) AS (VALUES (0, 'A'), (1, 'U'), (2, 'G'), (3, 'C'))" for n, i, x in ((1, "i", "a"), (2, "j", "b"), (3, "k", "c")))
+
+
+@query(f"WITH {_LETTERS} SELECT position, feature, block, (SELECT count(*) FROM panel) AS rows, 0 AS missing_1, 0 AS missing_0 FROM ({_BLOCKS})", "panel")
+def ml_feature_inventory(v: Views) -> DataFrame:
+    """Every feature of the non-circular set with its block and its nulls by class."""
+    labelled = v.table("labels").select(F.col("doc_id").alias("record_id"), F.col("quality").alias("label"))
+    return models.inventory(_features(v).join(labelled, "record_id"), "noncircular", "label")
 
 
 @query()

@@ -167,7 +167,23 @@ def clu_copy_cap(v: Views) -> DataFrame:
     return ops.capped_copies(v.seqs(), "record_id", "seq", 2).select("record_id", F.col("copy").cast("long").alias("copy"))
 
 
-@query()
+@query(
+    _RULES
+    + """, s AS (SELECT record_id, source AS grp, seq, length(seq) AS n FROM seqs JOIN documents ON doc_id = record_id),
+    w AS (SELECT grp, count(*) AS rows, count(*) FILTER (mono >= 0.85 OR dimer >= 0.85 OR n >= 80 AND uniq < 0.05) AS repetitive FROM s LEFT JOIN r USING (record_id) GROUP BY 1),
+    u AS (SELECT grp, coalesce(max(m) FILTER (n > 0), 0) AS copies FROM (SELECT grp, n, count(*) AS m FROM s GROUP BY grp, seq, n) GROUP BY 1),
+    p AS (SELECT x.grp, count(*) AS near_pairs FROM s x JOIN s y ON x.grp = y.grp AND x.record_id < y.record_id AND x.n > 0 AND least(x.n, y.n) >= 0.98 * greatest(x.n, y.n)
+     WHERE least(x.n, y.n) - hamming(left(x.seq, least(x.n, y.n)), left(y.seq, least(x.n, y.n))) >= 0.98 * greatest(x.n, y.n) GROUP BY 1),
+    o AS (SELECT grp, rows, repetitive, copies, coalesce(near_pairs, 0) AS near_pairs, coalesce(coalesce(near_pairs, 0) * 2 / nullif(rows * (rows - 1), 0), 0) AS near_share FROM w JOIN u USING (grp) LEFT JOIN p USING (grp))
+    SELECT grp, rows, repetitive, copies, near_pairs, round(near_share, 6) AS near_share, concat_ws('; ', CASE WHEN repetitive > 0 THEN 'repetitive sequences: ' || repetitive END, CASE WHEN copies >= 3 THEN 'identical copies: ' || copies END, CASE WHEN near_share > 0.2 THEN 'near-identical pairs: ' || near_pairs END) AS errors FROM o""",
+    "seqs",
+)
+def clu_collapse_report(v: Views) -> DataFrame:
+    groups = v.table("documents").select(F.col("doc_id").alias("record_id"), F.col("source").alias("grp"))
+    return ops.collapse_report(v.seqs().join(groups, "record_id"), "record_id", "seq", "grp").withColumn("near_share", F.round("near_share", 6))
+
+
+@query("SELECT x.record_id AS a, y.record_id AS b FROM (SELECT min(record_id) AS record_id, seq, length(seq) AS n FROM seqs GROUP BY seq) x JOIN (SELECT min(record_id) AS record_id, seq, length(seq) AS n FROM seqs GROUP BY seq) y ON x.record_id < y.record_id AND x.n > 0 AND least(x.n, y.n) >= 0.98 * greatest(x.n, y.n) WHERE least(x.n, y.n) - hamming(left(x.seq, least(x.n, y.n)), left(y.seq, least(x.n, y.n))) >= 0.98 * greatest(x.n, y.n)", "seqs")
 def join_near_identical(v: Views) -> DataFrame:
     return ops.near_identical(v.seqs(), "record_id", "seq", 0.98)
 

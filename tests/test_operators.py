@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import gates, rna
-from tessera.operators import curves, matching, models, relations, sequences, statistics
+from tessera.functions import features, gates, rna
+from tessera.operators import curves, matching, models, nearest, relations, sequences, statistics
 from tessera.streaming import triage
 
 
@@ -210,3 +210,51 @@ def test_kmers_of_any_text(spark):
 
     df = spark.createDataFrame([("AUGC",), ("A",), ("",), ("éAU",)], "s string")
     assert [r[0] for r in df.select(rna.kmers(F.col("s"), 2)).collect()] == [["AU", "UG", "GC"], [], [], ["éA", "AU"]]
+
+
+def test_nearest_by_kmers(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("AUGC") for _ in range(rng.choice([0, 1, 5, 40, 41, 300]))), i % 3 % 2) for i in range(120)]
+    rows += [(200 + i, rows[3][1] + "A", i % 2) for i in range(40)] + [(300, "A" * 5000, 1), (301, "AXGC", None), (302, "C" * 9000, 0)]
+    df = spark.createDataFrame(rows + [(None, "AUGC", 1), (400, None, 1)], "id long, s string, y int").repartition(3)
+    count = {i: nearest.counted(s, (2, 3)) for i, s, _ in rows}
+    for i, s, _ in rows[:20]:
+        want = Counter(s[j : j + k] for k in (2, 3) for j in range(len(s) - k + 1))
+        assert sorted(count[i][count[i] > 0]) == sorted(want.values())
+    monkeypatch.setattr(nearest, "ROWS", 16)
+    got = {r.key: [(x.d2, x.key, x.tag) for x in r.near] for r in nearest.nearest_by_kmers(df, "id", "s", "y", (2, 3), 3).collect()}
+    want = {i: sorted((float(((count[i] - count[j]) ** 2).sum()), j) for j, _, _ in rows if j != i)[:3] for i, _, _ in rows}
+    assert {i: [x[:2] for x in near] for i, near in got.items()} == want
+    tags = {i: y for i, _, y in rows}
+    assert all(tags[x[1]] == x[2] for near in got.values() for x in near)
+    most = 0 if sum(y == 0 for y in tags.values()) >= sum(y == 1 for y in tags.values()) + 2 else 1
+    kept = {r.id for r in nearest.edited(df, "id", "s", "y", (2, 3)).collect()}
+    assert kept == {i for i in want if tags[i] != most or all(tags[j] == most for _, j in want[i])} and len(kept) < len(rows)
+    assert nearest.edited(df.where("false"), "id", "s", "y", (2, 3)).count() == 0
+    assert nearest.nearest_by_kmers(df.where("id = 5"), "id", "s", "y", (2, 3), 3).first().near == []
+
+
+def test_collapse_report(spark):
+    rng = random.Random(6)
+    base = "".join(rng.choice("AUGC") for _ in range(100))
+    edit = lambda at: base[:at] + ("A" if base[at] != "A" else "C") + base[at + 1 :]
+    rows = [(1, base, "g"), (2, base, "g"), (3, edit(7), "g"), (4, edit(60), "g"), (5, "", "g"), (6, "", "g"), (7, base, "h"), (8, "A" * 50, "h"), (9, edit(3), None), (10, base, None), (11, "", "e")]
+    rows += [(20 + i, "AUGC" * 30, "k") for i in range(4)]
+    got = {r.g: tuple(r)[1:] for r in sequences.collapse_report(spark.createDataFrame(rows, "id long, s string, g string"), "id", "s", "g").collect()}
+    assert got["g"][:4] == (6, 0, 2, 6) and got["g"][5] == "near-identical pairs: 6"
+    assert got["h"] == (2, 1, 1, 0, 0.0, "repetitive sequences: 1") and got["e"] == (1, 0, 0, 0, 0.0, "")
+    assert got["k"][:4] == (4, 4, 4, 6) and got["k"][5] == "repetitive sequences: 4; identical copies: 4; near-identical pairs: 6"
+    assert got[None][:4] == (2, 0, 1, 1)  # no group is a group of its own
+
+
+def test_feature_sets(spark):
+    every = [*features.MELTING, *(c for b in features.BLOCKS.values() for c in b), *features.CIRCULAR, *features.LEGACY]
+    chosen = features.feature_columns(every, "noncircular")
+    assert not set(chosen) & set(features.MELTING) and "nupack_gc_content" not in chosen and len(chosen) == len(set(chosen)) == 93
+    assert len(features.feature_columns(every, "circular")) == 20 and len(features.feature_columns(every, "legacy")) == 15
+    assert features.feature_columns(["nupack_gc_content", "x", "seq_length"], "noncircular") == ["seq_length", "nupack_gc_content"]
+    with pytest.raises(ValueError):
+        features.feature_columns(every, "other")
+    df = spark.createDataFrame([(1, None, 2.0), (0, 3.0, None), (1, None, 1.0)], "y int, nupack_Tm double, seq_length double")
+    assert [tuple(r) for r in models.inventory(df, "circular", "y").collect()] == [(0, "nupack_Tm", "melting", 3, 2, 0)]
+    assert [tuple(r) for r in models.inventory(df, "noncircular", "y").collect()] == [(0, "seq_length", "composition", 3, 0, 1)]
