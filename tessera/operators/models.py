@@ -85,6 +85,11 @@ def block_importance(model, df: DataFrame, blocks: dict[str, list[str]], label:
     return reduce(DataFrame.unionByName, parts)
 
 
+def importance_summary(drops: DataFrame) -> DataFrame:
+    """(block, repeats, mean, deviation) of the drops over repeats; the deviation is the population's."""
+    return drops.groupBy("block").agg(F.count("*").alias("repeats"), F.avg("drop").alias("mean"), F.stddev_pop("drop").alias("deviation"))
+
+
 def dinucleotide_shuffle(s: str, rng: random.Random) -> str:
     """A random sequence with the same first and last letter and the same count of every pair of neighbours.
 

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.statistics import cumulative
+from tessera.staging import staged
+
 
 def best_hit(hits: DataFrame, by: str, *order: Column) -> DataFrame:
     """The first hit of each query in the given order; a partial aggregate, so a query with very many hits is never sorted."""
@@ -105,3 +108,31 @@ def append_aligned(target: DataFrame, rows: DataFrame) -> DataFrame:
 
 def present(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if c in df.columns]
+
+
+def resumed(todo: DataFrame, done: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """Rows of ``todo`` whose key isn't done yet; with ``limit``, only the first by key that are missing to ``limit`` rows in all.
+
+    ``key`` is unique in ``todo``. Row numbers come from prefix sums over ranges of keys.
+    """
+    finished = done.select(key).distinct()
+    left = todo.join(finished, key, "left_anti")
+    if limit is None:
+        return left
+    room = max(limit - finished.count(), 0)
+    numbered = cumulative(left.withColumn("_one", F.lit(1)), [], key, ["_one"])
+    return numbered.where(F.col("cum__one") <= room).select(*left.columns)
+
+
+def picked(wanted: DataFrame, source: DataFrame, key: str, position: str, first: Column) -> DataFrame:
+    """The rows of ``source`` that ``wanted(key, position)`` asks for, each with its least position: sort by it for the asked order.
+
+    Of several rows with one key the first by ``first`` counts. A wanted key that the source doesn't have is an error.
+    """
+    asked = wanted.groupBy(key).agg(F.min(position).alias(position))
+    rows = source.groupBy(key).agg(F.min_by(F.struct(*source.columns), first).alias("_x")).select("_x.*")
+    full = staged(asked.join(rows.withColumn("_there", F.lit(True)), key, "left"), "picked")
+    missing = full.where("_there is null").select(key).limit(5).collect()
+    if missing:
+        raise ValueError(f"not in the source: {[r[0] for r in missing]}")
+    return full.drop("_there")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,35 @@ def agg_cohort_checklist(v: Views) -> DataFrame:
     return out
 
 
+_BOX = "tm_a BETWEEN 42 AND 45 AND abs(amp) >= 0.4"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT cohort, {t} AS tier, round(avg(CASE WHEN n_a > {a} THEN 1.0 ELSE 0.0 END), 6) AS nh, round(avg(CASE WHEN tm_a BETWEEN {b} AND {c} THEN 1.0 ELSE 0.0 END), 6) AS tm, round(avg(CASE WHEN abs(amp) >= {d} THEN 1.0 ELSE 0.0 END), 6) AS amp, round(avg(CASE WHEN leak <= {e} THEN 1.0 ELSE 0.0 END), 6) AS base, round(avg(CASE WHEN n_a > {a} AND tm_a BETWEEN {b} AND {c} AND abs(amp) >= {d} AND leak <= {e} THEN 1.0 ELSE 0.0 END), 6) AS every, round(avg(CASE WHEN {_BOX} THEN 1.0 ELSE 0.0 END) FILTER (tm_a IS NOT NULL AND amp IS NOT NULL), 6) AS box FROM engines AS x GROUP BY 1"
+        for t, (a, b, c, d, e) in _TIERS.items()
+    ).replace("abs(amp)", "abs(x.amp)").replace("AND amp IS", "AND x.amp IS"),
+    "engines",
+)
+def agg_cohort_fractions(v: Views) -> DataFrame:
+    """The share of each cohort that passes each gate of both tiers and all of them, and the share in the target box of the rows that have both values."""
+    box = F.when(F.col("tm_a").isNotNull() & F.col("amp").isNotNull(), F.expr(_BOX).cast("double"))
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    parts = []
+    for tier in (1, 2):
+        f = g.tier_flags(F.col("n_a"), F.col("tm_a"), F.col("amp"), F.col("leak"), tier)
+        every = f["gate_nh"] & f["gate_tm"] & f["gate_amp"] & f["gate_base"]
+        own = v.engines().groupBy("cohort").agg(*(share(f[f"gate_{c}"]).alias(c) for c in ("nh", "tm", "amp", "base")), share(every).alias("every"), F.avg(box).alias("box"))
+        parts.append(own.select("cohort", F.lit(tier).alias("tier"), "nh", "tm", "amp", "base", "every", "box"))
+    return rounded(parts[0].unionByName(parts[1]), "nh", "tm", "amp", "base", "every", "box")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (n_a > 1.5) AS snap, count(*) FILTER (n_a <= 1.0) AS ramp, count(*) FILTER (tm_a BETWEEN 42 AND 45) AS inflection, count(*) FILTER (amp >= 0.5) AS range, count(*) FILTER (leak <= 0.2) AS repression, count(*) FILTER (n_a > 1.5 AND tm_a BETWEEN 42 AND 45 AND amp >= 0.5 AND leak <= 0.2) AS all_four FROM engines", "engines")
+def agg_checklist_totals(v: Views) -> DataFrame:
+    f = g.checklist(F.col("n_a"), F.col("tm_a"), F.col("amp"), F.col("leak"), F.lit(None).cast("double"))
+    return v.engines().agg(F.count("*").alias("n"), *(F.count_if(c).alias(n) for n, c in f.items()), F.count_if(f["snap"] & f["inflection"] & f["range"] & f["repression"]).alias("all_four"))
+
+
 @query("SELECT id, coalesce(n_a > 1.5, false) AS snap, coalesce(n_a <= 1.0, false) AS ramp, coalesce(tm_a BETWEEN 42 AND 45, false) AS inflection, coalesce(amp >= 0.5, false) AS range, coalesce(leak <= 0.2, false) AS repression FROM engines", "engines")
 def flt_checklist(v: Views) -> DataFrame:
     f = g.checklist(F.col("n_a"), F.col("tm_a"), F.col("amp"), F.col("leak"), F.lit(None).cast("double"))
@@ -157,6 +188,14 @@ def sta_concordance(v: Views) -> DataFrame:
     return rounded(v.engines().agg(F.avg(F.abs(F.col("tm_a") - F.col("tm_b"))).alias("mae_tm"), F.avg(F.abs(F.col("n_a") - F.col("n_b"))).alias("mae_n"), F.corr("tm_a", "tm_b").alias("pearson")), "mae_tm", "mae_n", "pearson")
 
 
+@query("SELECT count(*) AS n, round(corr(a, b), 6) AS r, round(avg(abs(tm_a - tm_b)), 6) AS mae FROM (SELECT tm_a, tm_b, rank() OVER (ORDER BY tm_a) + (count(*) OVER (PARTITION BY tm_a) - 1) / 2 AS a, rank() OVER (ORDER BY tm_b) + (count(*) OVER (PARTITION BY tm_b) - 1) / 2 AS b FROM (SELECT round(tm_a, 6) AS tm_a, round(tm_b, 6) AS tm_b FROM engines))", "engines")
+def sta_rank_concordance(v: Views) -> DataFrame:
+    """Agreement of both engines: correlation of ranks, and the mean absolute difference."""
+    e = rounded(v.engines(), "tm_a", "tm_b").select("tm_a", "tm_b")
+    gap = e.agg(F.avg(F.abs(F.col("tm_a") - F.col("tm_b"))).alias("mae"))
+    return rounded(st.spearman(e, "tm_a", "tm_b").crossJoin(gap), "r", "mae")  # one row each
+
+
 @query("SELECT record_id, rank() OVER (ORDER BY len) + (count(*) OVER (PARTITION BY len) - 1) / 2 AS rank FROM panel", "panel")
 def win_average_rank(v: Views) -> DataFrame:
     return st.average_ranks(v.panel().select("record_id", "len"), "len", "rank").select("record_id", "rank")
@@ -182,12 +221,28 @@ def welch(v: Views) -> DataFrame:
     wide = sequences.kmer_vector(p, "record_id", "seq", 2, "").join(p.select("record_id", "label"), "record_id")
     x = wide.drop("record_id").unpivot("label", [c for c in wide.columns if c not in ("record_id", "label")], "kmer", "x")
     s = x.groupBy("kmer").agg(*(f(F.when(F.col("label") == c, F.col("x"))).alias(f"{n}{c}") for c in (0, 1) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))))
-    return s.withColumn("t", F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(F.col("v1") / F.col("n1") + F.col("v0") / F.col("n0"))))
+    a, b = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
+    df = F.try_divide(F.pow(a + b, 2), a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1))
+    return s.withColumn("t", F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(a + b))).withColumn("df", df)
 
 
-@query()
+_POLY = "0.17087277 -0.82215223 1.48851587 -1.13520398 0.27886807 -0.18628806 0.09678418 0.37409196 1.00002368 -1.26551223".split()
+_HORNER = reduce(lambda x, c: f"({x}) * u + {c}", _POLY)
+_WELCH = """WITH c AS (SELECT record_id, label, substr(seq, i, 2) AS kmer FROM (SELECT record_id, label, seq, unnest(range(1, length(seq))) AS i FROM panel)), n AS (SELECT record_id, kmer, count(*) AS n, sum(count(*)) OVER (PARTITION BY record_id) AS t FROM c GROUP BY 1, 2),
+ f AS (SELECT p.label, k.kmer, coalesce(n.n / n.t, 0) AS x FROM panel p CROSS JOIN (SELECT DISTINCT kmer FROM c) k LEFT JOIN n ON n.record_id = p.record_id AND n.kmer = k.kmer),
+ s AS (SELECT kmer, avg(x) FILTER (label = 1) - avg(x) FILTER (label = 0) AS d, var_samp(x) FILTER (label = 1) / count(*) FILTER (label = 1) AS a, var_samp(x) FILTER (label = 0) / count(*) FILTER (label = 0) AS b, count(*) FILTER (label = 1) - 1 AS na, count(*) FILTER (label = 0) - 1 AS nb FROM f GROUP BY 1),
+ w AS (SELECT kmer, d / sqrt(a + b) AS t, power(a + b, 2) / (a * a / na + b * b / nb) AS df FROM s), """
+
+
+@query(
+    _WELCH + f"z AS (SELECT kmer, (8 * df + 1) / (8 * df + 3) * sqrt(df * ln(1 + t * t / df)) / sqrt(2) AS x FROM w), u AS (SELECT kmer, x, 1 / (1 + 0.5 * x) AS u FROM z), p AS (SELECT kmer, u * exp({_HORNER} - x * x) AS p FROM u), "
+    "r AS (SELECT kmer, p, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS s FROM p), q AS (SELECT kmer, p, least(1, min(s) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r) SELECT kmer, round(p, 5) AS p, round(q, 5) AS q, q <= 0.05 AS significant FROM q",
+    "panel",
+)
 def win_false_discovery(v: Views) -> DataFrame:
-    return st.benjamini_hochberg(welch(v).select("kmer", st.normal_tail(F.col("t")).alias("p")))
+    """Welch's test of every dinucleotide between the classes, with false discovery rates."""
+    tests = welch(v).select("kmer", st.student_tail(F.col("t"), F.col("df")).alias("p"))
+    return rounded(st.benjamini_hochberg(tests), "p", "q", digits=5)
 
 
 @query("SELECT p, round(a, 4) AS a, round(b, 4) AS b FROM (SELECT unnest([i / 100 for i in range(1, 100)]) AS p, unnest(quantile_cont(len, [i / 100 for i in range(1, 100)]) FILTER (label = 1)) AS a, unnest(quantile_cont(len, [i / 100 for i in range(1, 100)]) FILTER (label = 0)) AS b FROM panel)", "panel")
@@ -295,6 +350,14 @@ def crv_half_width(v: Views) -> DataFrame:
     return curves.half_width(v.sweeps().withColumn("p", F.round("p", 4)), ["id"], "t", "p")
 
 
+@query("WITH k AS (SELECT id, any_value(cohort) AS cohort, max_by(t, p * 1000000 - t / 1000) AS pt, max(p) AS pv FROM (SELECT id, cohort, t, round(p, 4) AS p FROM sweeps) GROUP BY 1), w AS (SELECT any_value(cohort) AS cohort, min(t) FILTER (p < pv / 2 AND t > pt) - max(t) FILTER (p < pv / 2 AND t < pt) AS width FROM (SELECT id, t, round(p, 4) AS p FROM sweeps) s JOIN k USING (id) GROUP BY s.id) SELECT cohort, count(width) AS n, round(median(width), 6) AS width FROM w GROUP BY 1", "sweeps")
+def agg_median_width(v: Views) -> DataFrame:
+    """The median width at half height of each cohort's curves that fall below it on both sides."""
+    s = v.sweeps().withColumn("p", F.round("p", 4))
+    width = curves.half_width(s, ["id", "cohort"], "t", "p").withColumn("width", (F.col("right") - F.col("left")).cast("double"))
+    return rounded(width.groupBy("cohort").agg(F.count("width").alias("n"), F.percentile("width", 0.5).alias("width")), "width")
+
+
 @query("SELECT id, CASE WHEN coalesce(n_a, 1e308) <= coalesce(n_b, 1e308) THEN 'a' ELSE 'b' END AS model, round(least(n_a, n_b), 6) AS error FROM engines", "engines")
 def crv_model_choice(v: Views) -> DataFrame:
     far = F.lit(float("inf"))
@@ -403,7 +466,7 @@ def ml_out_of_fold(v: Views) -> DataFrame:
 def ml_block_importance(v: Views) -> DataFrame:
     x = models.staged(v.panel().select("record_id", "label", F.col("len").cast("double").alias("len"), "gc"), "panel")
     model = models.forest(["len", "gc"], "label", trees=20, depth=8).fit(x)
-    return models.block_importance(model, x, {"length": ["len"], "composition": ["gc"]}, "label", "record_id", repeats=2)
+    return models.importance_summary(models.block_importance(model, x, {"length": ["len"], "composition": ["gc"]}, "label", "record_id", repeats=2))
 
 
 # -- streaming -------------------------------------------------------------------------------------------------------

@@ -46,6 +46,12 @@ def yield_gates(v: Views) -> DataFrame:
     return yields(v).select("record_id", F.round("z", 6).alias("z"), (F.round("dp", 6) + 0.0).alias("dp"), F.least("e", F.lit(FAR)).alias("e"), passes().alias("passes"))
 
 
+@query("SELECT record_id FROM yields WHERE gate_z AND gate_dp AND gate_novel", "yields")
+def yield_passing(v: Views) -> DataFrame:
+    """The summary's passing ids: a table, since there may be any number of them."""
+    return yields(v).where(passes()).select("record_id")
+
+
 @query("SELECT record_id, round(z, 6) AS z, row_number() OVER (ORDER BY round(z, 6), dp DESC, record_id) AS rank FROM yields WHERE gate_z AND gate_dp AND gate_novel ORDER BY rank LIMIT 20", "yields")
 def win_ranked_passers(v: Views) -> DataFrame:
     top = yields(v).where(passes()).withColumn("z", F.round("z", 6)).orderBy("z", F.desc("dp"), "record_id").limit(20)  # a top-k report
@@ -58,6 +64,12 @@ def agg_gate_membership(v: Views) -> DataFrame:
     return yields(v).groupBy(flags.alias("flags")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT CAST(gate_z AS INT) + 2 * CAST(gate_dp AS INT) + 4 * CAST(gate_novel AS INT) AS flags, count(*) AS n FROM yields WHERE gate_z OR gate_dp OR gate_novel GROUP BY 1 ORDER BY n DESC, flags LIMIT 7", "yields")
+def agg_gate_top(v: Views) -> DataFrame:
+    """The seven largest exclusive intersections of gates, rows without any gate apart."""
+    return agg_gate_membership(v).where("flags > 0").orderBy(F.desc("n"), "flags").limit(7)  # a top-k report
+
+
 @query(
     """SELECT o_orderpriority AS cohort, 1 AS step, count(*) AS n FROM yields JOIN orders ON o_orderkey = record_id GROUP BY 1 UNION ALL SELECT o_orderpriority, 2, count(*) FILTER (gate_z) FROM yields JOIN orders ON o_orderkey = record_id GROUP BY 1
     UNION ALL SELECT o_orderpriority, 3, count(*) FILTER (gate_z AND gate_dp) FROM yields JOIN orders ON o_orderkey = record_id GROUP BY 1 UNION ALL SELECT o_orderpriority, 4, count(*) FILTER (gate_z AND gate_dp AND gate_novel) FROM yields JOIN orders ON o_orderkey = record_id GROUP BY 1""",
@@ -81,6 +93,20 @@ def agg_chunk_rollup(v: Views) -> DataFrame:
     return rolled_up(chunks).withColumn("cum_ratio", F.round("cum_ratio", 6))
 
 
+#: The pilot's rate of passing rows, which later chunks are compared with (a fixed value).
+PILOT = 0.0605
+
+
+@query(
+    f"""WITH c AS (SELECT record_id // 2500 AS chunk, count(*) AS n, count(*) FILTER (gate_z AND gate_dp AND gate_novel) AS n_pass FROM yields GROUP BY 1)
+    SELECT chunk, round(n_pass / n, 6) AS ratio, round(sum(n_pass) OVER (ORDER BY chunk) / sum(n) OVER (ORDER BY chunk) - {PILOT}, 6) AS delta FROM c""",
+    "yields",
+)
+def agg_chunk_delta(v: Views) -> DataFrame:
+    """Each chunk's own rate, and how far the rate up to it is from the pilot's."""
+    return agg_chunk_rollup(v).select("chunk", F.round(F.col("n_pass") / F.col("n"), 6).alias("ratio"), F.round(F.col("cum_pass") / F.col("cum_n") - PILOT, 6).alias("delta"))
+
+
 @query("SELECT * FROM best_a", "best_a")
 def win_best_hit_a(v: Views) -> DataFrame:
     return best(v, False)
@@ -151,6 +177,29 @@ def join_four_way(v: Views) -> DataFrame:
     return x.groupBy(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).agg(F.count("s_suppkey").alias("suppliers"), F.sum("lines").alias("lines"))
 
 
+@query("SELECT DISTINCT l_returnflag, s_nationkey AS nation, n_name, r_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
+def join_four_way_distinct(v: Views) -> DataFrame:
+    """Four tables joined and made distinct on four columns; lines are distinct before the joins, too, so that few rows meet."""
+    line = v.table("lineitem").select("l_returnflag", "l_suppkey").distinct()
+    x = line.join(v.table("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(v.table("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(v.table("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return x.select("l_returnflag", F.col("s_nationkey").alias("nation"), "n_name", "r_name").distinct()
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)) WHERE r <= (SELECT count(*) * 3 // 4 FROM documents) - (SELECT count(DISTINCT doc_id) FROM labels WHERE quality = 1)")
+def join_resume_limited(v: Views) -> DataFrame:
+    """What is left to do of three quarters of all rows, when those of quality 1 are done: the limit counts them."""
+    docs = v.table("documents").select("doc_id", "lang")
+    return ops.resumed(docs, v.table("labels").where("quality = 1").select("doc_id"), "doc_id", limit=docs.count() * 3 // 4)
+
+
+@query("SELECT doc_id, -doc_id AS position, length(text) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def join_picked(v: Views) -> DataFrame:
+    """Candidates by a list of ids, from the last id to the first; an id without a text would be an error."""
+    wanted = v.table("labels").where("toxic = 1").select("doc_id", (-F.col("doc_id")).alias("position"))
+    source = v.table("documents").select("doc_id", F.length("text").cast("long").alias("n"))
+    return ops.picked(wanted, source, "doc_id", "position", F.col("n")).select("doc_id", "position", "n")
+
+
 @query("SELECT doc_id, lang, n_chars, quality, toxic FROM labels JOIN documents USING (doc_id)")
 def join_relink(v: Views) -> DataFrame:
     return ops.strict_join(v.table("labels"), v.table("documents").select("doc_id", "lang", "n_chars"), ["doc_id"]).select("doc_id", "lang", "n_chars", "quality", "toxic")

@@ -258,3 +258,33 @@ def test_feature_sets(spark):
     df = spark.createDataFrame([(1, None, 2.0), (0, 3.0, None), (1, None, 1.0)], "y int, nupack_Tm double, seq_length double")
     assert [tuple(r) for r in models.inventory(df, "circular", "y").collect()] == [(0, "nupack_Tm", "melting", 3, 2, 0)]
     assert [tuple(r) for r in models.inventory(df, "noncircular", "y").collect()] == [(0, "seq_length", "composition", 3, 0, 1)]
+
+
+def test_resumed_counts_finished_rows(spark):
+    todo = spark.createDataFrame([(i, f"r{i}") for i in range(10)], "id long, name string")
+    done = spark.createDataFrame([(2,), (2,), (5,), (99,)], "id long")
+    assert sorted(r.id for r in relations.resumed(todo, done, "id").collect()) == [0, 1, 3, 4, 6, 7, 8, 9]
+    assert sorted(r.id for r in relations.resumed(todo, done, "id", limit=6).collect()) == [0, 1, 3]
+    assert relations.resumed(todo, done, "id", limit=2).isEmpty()
+
+
+def test_picked_keeps_order_and_misses_nothing(spark):
+    source = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, "c", 3), (3, "d", 4)], "id long, seq string, line int")
+    wanted = spark.createDataFrame([(2, 0), (1, 1), (2, 2)], "id long, position int")
+    got = relations.picked(wanted, source, "id", "position", F.col("line")).orderBy("position").collect()
+    assert [(r.id, r.seq) for r in got] == [(2, "c"), (1, "a")]
+    with pytest.raises(ValueError, match="7"):
+        relations.picked(spark.createDataFrame([(7, 0)], "id long, position int"), source, "id", "position", F.col("line"))
+
+
+def test_student_tail(spark):
+    # two-sided tail probabilities from tables of Student's t
+    for t, df, p in ((2.228, 10, 0.05), (2.764, 10, 0.02), (1.984, 100, 0.05), (-3.390, 100, 0.001), (0.0, 30, 1.0)):
+        got = spark.range(1).select(statistics.student_tail(F.lit(t), F.lit(float(df))).alias("p")).first().p
+        assert abs(got - p) < 0.02 * p
+
+
+def test_importance_summary(spark):
+    drops = spark.createDataFrame([("x", 0, 0.1), ("x", 1, 0.3), ("y", 0, 0.0)], "block string, repeat int, drop double")
+    got = {r.block: (r.repeats, round(r["mean"], 6), round(r.deviation, 6)) for r in models.importance_summary(drops).collect()}
+    assert got == {"x": (2, 0.2, 0.1), "y": (1, 0.0, 0.0)}
