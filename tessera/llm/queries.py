@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, html_text, language_id, language_model, near_duplicates, neighbours, packing, personal_data, quality, toxicity
+from tessera.llm import (
+    conversations,
+    decontamination,
+    hard_negatives,
+    html_text,
+    language_id,
+    language_model,
+    near_duplicates,
+    neighbours,
+    packing,
+    personal_data,
+    quality,
+    quality_rules,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +75,18 @@ def op10_language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audited(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(_table(spark, sf_dir, "embeddings"), label=hard_negatives.shifted_label())
+
+
 def llm_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identified(language_id.of_pages(_table(spark, sf_dir, "pages")))
     return found.withColumnRenamed("id", "page_id")
@@ -84,6 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_main_text": op8_html_main_text,
         "op9_personal_data": op9_personal_data,
         "op10_language_identification": op10_language_identification,
+        "op11_quality_rules": op11_quality_rules,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_hard_negatives": op13_hard_negatives,
         "llm_page_language": llm_page_language,
         "pipeline": pipeline,
     }
@@ -94,4 +123,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_block_matrix_neighbours": neighbours.SQL,
         "op2_signature_tree_join": near_duplicates.SQL,
         "op6_benchmark_decontamination": decontamination.SQL,
+        "op12_conversation_repair": conversations.SQL,
+        "op13_hard_negatives": hard_negatives.SQL,
     }
