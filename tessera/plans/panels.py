@@ -474,14 +474,56 @@ def ml_block_importance(v: Views) -> DataFrame:
 
 @query("WITH c AS (SELECT event_id // 250 AS chunk, count(*) AS n, count(*) FILTER (value > 50) AS n_pass FROM events GROUP BY 1) SELECT chunk, CAST(n AS BIGINT) AS n, CAST(n_pass AS BIGINT) AS n_pass, CAST(sum(n) OVER (ORDER BY chunk) AS BIGINT) AS cum_n, CAST(sum(n_pass) OVER (ORDER BY chunk) AS BIGINT) AS cum_pass, round(sum(n_pass) OVER (ORDER BY chunk) / sum(n) OVER (ORDER BY chunk), 6) AS cum_ratio FROM c")
 def str_triage(v: Views) -> DataFrame:
-    """The stream's totals: events are read as a stream, batch by batch, and end in the same tables as a batch job."""
+    """The stream's totals: events are read as a stream, file by file, and end in the same chunks as a batch job's."""
+    from tessera.streaming import triage
+
+    events = v.table("events").select(F.lit("row").alias("kind"), F.col("event_id").cast("string").alias("record_id"), F.col("event_id").alias("seq_no"))
+    values = v.table("events").select(F.col("event_id").cast("string").alias("record_id"), (F.col("value") > 50).alias("passes"))
+    out = _streamed(v, events, lambda rows: rows.join(values, "record_id", "left"), {}, [])
+    return rounded(triage.totals(v.spark, out), "cum_ratio")
+
+
+def _streamed(v: Views, events: DataFrame, judge, gates: dict[str, str], rank: list[str]) -> str:
+    """Events in four files, which cut through chunks, one a batch; then the remainder."""
     from tessera.staging import folder
     from tessera.streaming import triage
 
     base = folder(v.spark, "stream")
-    events = v.table("events").select(F.col("event_id").alias("record_id"), F.col("event_id").alias("seq_no"), "value")
-    events.repartitionByRange(4, "seq_no").write.parquet(f"{base}/in")
-    schema = "record_id long, seq_no long, value double"
-    triage.triage(v.spark, f"{base}/in", schema, f"{base}/out", f"{base}/progress", lambda df: df.withColumn("passes", F.col("value") > 50)).awaitTermination()
-    return rounded(triage.totals(v.spark, f"{base}/out"), "cum_ratio")
+    source, out = f"{base}/in", f"{base}/out"
+    types = [x.split() for x in triage.EVENTS.split(", ")]
+    full = events.select(*((F.col(n) if n in events.columns else F.lit(None)).cast(t).alias(n) for n, t in types))
+    full.repartitionByRange(4, F.col("record_id").cast("long")).write.parquet(source)
+    for last in (False, True):
+        if last:
+            triage.flush(v.spark, source, out)
+        triage.triage(v.spark, source, out, f"{base}/progress", judge, gates, rank).awaitTermination()
+    return out
+
+
+@query(
+    """WITH y AS (SELECT *, record_id // 250 AS chunk, gate_z AND gate_dp AND gate_novel AS passes FROM yields),
+    t AS (SELECT chunk, string_agg(CAST(record_id AS VARCHAR), ',' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY round(z, 6), -round(dp, 6), record_id) AS r FROM y WHERE passes) WHERE r <= 20 GROUP BY chunk)
+    SELECT chunk, count(*) AS n, count(*) FILTER (passes) AS n_pass, count(*) FILTER (gate_z) AS n_z, count(*) FILTER (gate_dp) AS n_dp, count(*) FILTER (gate_novel) AS n_novel,
+    CAST(min(record_id) AS VARCHAR) AS first_id, CAST(max(record_id) AS VARCHAR) AS last_id, coalesce(any_value(top), '') AS top, round(count(*) FILTER (passes) / count(*), 6) AS ratio, round(count(*) FILTER (passes) / count(*) - 0.05, 6) AS vs_pilot
+    FROM y LEFT JOIN t USING (chunk) GROUP BY chunk""",
+    "yields",
+)
+def str_yields(v: Views) -> DataFrame:
+    """Candidates and hits as a stream: each chunk's record equals what a batch job finds on the same rows."""
+    from tessera.streaming import triage
 
+    rows = v.table("orders").select(F.lit("row").alias("kind"), F.col("o_orderkey").alias("record_id"), F.col("o_orderkey").alias("seq_no"))
+    hits = [v.hits(odd).select(F.lit(kind).alias("kind"), F.col("query").alias("record_id"), "evalue", "ident", "target", "line") for odd, kind in ((False, "a"), (True, "b"))]
+    events = rows.unionByName(hits[0], allowMissingColumns=True).unionByName(hits[1], allowMissingColumns=True)
+    features = v.gates().withColumn("record_id", F.col("record_id").cast("string"))
+
+    def judge(closed: DataFrame) -> DataFrame:
+        e = F.least(*(F.coalesce(f"evalue_{k}", F.lit(float("inf"))) for k in "ab"))
+        full = closed.join(features, "record_id", "left").withColumn("e", e)
+        full = full.withColumn("gate_z", F.coalesce(F.col("z") <= -1, F.lit(False))).withColumn("gate_dp", F.coalesce(F.col("dp") > 0, F.lit(False))).withColumn("gate_novel", F.col("e") > 1e-3)
+        return full.withColumn("passes", F.col("gate_z") & F.col("gate_dp") & F.col("gate_novel"))
+
+    gates, rank = {"z": "gate_z", "dp": "gate_dp", "novel": "gate_novel"}, ["round(z, 6)", "-round(dp, 6)", "cast(record_id as long)"]
+    out = _streamed(v, events, judge, gates, rank)
+    told = triage.backfilled(v.spark, out, gates, rank, pilot=0.05)
+    return told.select("chunk", "n", "n_pass", "n_z", "n_dp", "n_novel", "first_id", "last_id", F.concat_ws(",", "top_ids").alias("top"), F.round("ratio", 6).alias("ratio"), F.round("vs_pilot", 6).alias("vs_pilot"))

@@ -1,23 +1,132 @@
-"""Stream triage: a growing source of candidates, gated batch by batch into append-only tables.
+"""Stream triage: a growing source of candidates and of their hits, taken in chunks of a fixed stride.
 
-Progress is Spark's checkpoint. Each batch writes its rows under its batch id (overwriting what a failed attempt of the
-same batch left), so rows and chunk summaries are there once, and totals are taken over the chunk table.
+All progress is Spark's: the checkpoint holds what was read, and two keyed states hold the rest. By record, the first
+place a record had and the best hit of each tool so far. By chunk, the rows of the open chunk with their best hits; it
+is handed on as a whole when it is full, or when a flush asks for the remainder. A batch so reads and writes the state
+of its own keys alone, never the rows of earlier batches. What is handed on is gated and written under its batch id,
+over what a failed attempt of the same batch left, so each chunk has one record.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tessera.operators.statistics import cumulative
 
-
-def chunked(df: DataFrame, number: str, stride: int = 250, seed: int = 0) -> DataFrame:
-    """Rows from ``seed`` on, with the chunk of ``stride`` numbers that each belongs to."""
-    return df.where(F.col(number) >= seed).withColumn("chunk", F.floor((F.col(number) - seed) / stride))
+#: What the stream's files hold: candidates ('row'), hits of two tools ('a', 'b'), and flush marks.
+EVENTS = "kind string, record_id string, seq_no long, evalue double, ident double, target long, line long"
+_HIT = "evalue double, ident double, target long, line long"
+_PLACED = f"chunk long, kind string, record_id string, seq_no long, again boolean, a struct<{_HIT}>, b struct<{_HIT}>"
+#: What chunks hand on: 'row' of a closed chunk, 'late' hit for one, and how many rows an open chunk ('open') holds.
+CLOSED = "chunk long, part int, kind string, record_id string, seq_no long, again boolean, evalue_a double, ident_a double, target_a long, evalue_b double, ident_b double, target_b long, held long"
+TOP = 20
+
+
+def _better(new: tuple | None, old: tuple | None) -> bool:
+    """The order of hits: least e-value, greatest identity, least target and line; missing numbers last."""
+
+    def order(h: tuple) -> tuple:
+        e, i, t, n = h
+        return (e is None, e or 0.0, i is None, -(i or 0.0), t is None, t or 0, n is None, n or 0)
+
+    return new is not None and (old is None or order(new) < order(old))
+
+
+def _hit(x) -> tuple | None:
+    """A hit as a tuple, however Spark hands it over: as a dict in rows, as a Row in states."""
+    return None if x is None else tuple(x.values()) if isinstance(x, dict) else tuple(x)
+
+
+def _told(x: tuple | None) -> dict | None:
+    return None if x is None else dict(zip(("evalue", "ident", "target", "line"), x, strict=True))
+
+
+class Records(StatefulProcessor):
+    """By record: whether it was seen before, under which numbers, and its best hits."""
+
+    def __init__(self, stride: int, seed: int):
+        self.stride, self.seed = stride, seed
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("record", f"seqs array<long>, a struct<{_HIT}>, b struct<{_HIT}>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:  # noqa: N802  Spark's name
+        seqs, best = [], {"a": None, "b": None}
+        if self.state.exists():
+            held = self.state.get()
+            seqs, best = list(held[0] or []), {"a": _hit(held[1]), "b": _hit(held[2])}
+        known, new, improved, flushed = set(seqs), set(), False, []
+        for r in rows:
+            if r.kind == "row":
+                if r.seq_no is not None and r.seq_no >= self.seed and r.seq_no not in known:
+                    new.add(r.seq_no)
+            elif r.kind == "flush":
+                flushed.append(r.seq_no)
+            else:
+                hit = (r.evalue, r.ident, r.target, r.line)
+                if _better(hit, best[r.kind]):
+                    best[r.kind], improved = hit, True
+        out = [(s, "row", bool(i or seqs)) for i, s in enumerate(sorted(new))]
+        out += [(s, "hit", False) for s in seqs] if improved else []
+        if new or improved:
+            self.state.update((seqs + sorted(new), best["a"], best["b"]))
+        for s, kind, again in [*out, *((s, "flush", False) for s in flushed)]:
+            yield Row(chunk=(s - self.seed) // self.stride, kind=kind, record_id=key[0], seq_no=s, again=again, a=_told(best["a"]), b=_told(best["b"]))
+
+    def close(self) -> None:
+        pass
+
+
+class Chunks(StatefulProcessor):
+    """By chunk: the rows of the open chunk; all of them leave when the last place is filled, or at a flush."""
+
+    def __init__(self, stride: int):
+        self.stride = stride
+
+    def init(self, handle) -> None:
+        self.rows = handle.getMapState("rows", "seq_no long", f"record_id string, again boolean, a struct<{_HIT}>, b struct<{_HIT}>, gone boolean")
+        self.progress = handle.getValueState("progress", "part int, held long, gone long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:  # noqa: N802  Spark's name
+        part, held, gone = self.progress.get() if self.progress.exists() else (0, 0, 0)
+        flush, late = False, []
+        for r in rows:
+            if r.kind == "flush":
+                flush = True
+                continue
+            at = (r.seq_no,)
+            old = self.rows.getValue(at) if self.rows.containsKey(at) else None
+            if r.kind == "row" and old is None:
+                self.rows.updateValue(at, (r.record_id, r.again, _hit(r.a), _hit(r.b), False))
+                held += 1
+            elif r.kind == "hit" and old is not None:
+                if old[4]:
+                    late.append(r)
+                else:
+                    self.rows.updateValue(at, (old[0], old[1], _hit(r.a), _hit(r.b), False))
+        for r in late:
+            yield Row(**self._row(key[0], part, "late", r.record_id, r.seq_no, False, r.a, r.b, 0))
+        if held and (flush or held + gone == self.stride):
+            leaving = [(at[0], v) for at, v in self.rows.iterator() if not v[4]]
+            for seq, v in leaving:
+                yield Row(**self._row(key[0], part, "row", v[0], seq, v[1], v[2], v[3], 0))
+            for seq, _ in leaving:  # the place stays known, so that nothing fills it twice
+                self.rows.updateValue((seq,), (None, False, None, None, True))
+            part, held, gone = part + 1, 0, gone + held
+        self.progress.update((part, held, gone))
+        yield Row(**self._row(key[0], part, "open", None, None, False, None, None, held))
+
+    @staticmethod
+    def _row(chunk: int, part: int, kind: str, record: str | None, seq: int | None, again: bool, a, b, held: int) -> dict:
+        (ea, ia, ta), (eb, ib, tb) = (x[:3] if x else (None, None, None) for x in (_hit(a), _hit(b)))
+        return {"chunk": chunk, "part": part, "kind": kind, "record_id": record, "seq_no": seq, "again": again, "evalue_a": ea, "ident_a": ia, "target_a": ta, "evalue_b": eb, "ident_b": ib, "target_b": tb, "held": held}
+
+    def close(self) -> None:
+        pass
 
 
 def rolled_up(chunks: DataFrame) -> DataFrame:
@@ -26,38 +135,93 @@ def rolled_up(chunks: DataFrame) -> DataFrame:
     return full.withColumn("cum_ratio", F.try_divide("cum_pass", "cum_n"))
 
 
+def analysed(rows: DataFrame, gates: dict[str, str], rank: list[str], pilot: float | None = None, top: int = TOP) -> DataFrame:
+    """One record for each (chunk, part) of gated ``rows``: counts of rows, gates and passes, first and last id, the best passers.
+
+    ``gates`` and ``rank`` (ascending): SQL expressions over the rows.
+
+    A chunk has at most ``stride`` rows, so its best passers are sorted within their group.
+    """
+    passer = F.when(F.col("passes"), F.struct(*(F.expr(r).alias(f"r{i}") for i, r in enumerate(rank)), "record_id"))
+    full = rows.groupBy("chunk", "part").agg(
+        F.count("*").alias("n"),
+        F.count_if("passes").alias("n_pass"),
+        *(F.count_if(F.expr(c)).alias(f"n_{name}") for name, c in gates.items()),
+        F.min_by("record_id", "seq_no").alias("first_id"),
+        F.max_by("record_id", "seq_no").alias("last_id"),
+        F.transform(F.slice(F.array_sort(F.collect_list(passer)), 1, top), lambda x: x["record_id"]).alias("top_ids"),
+    )
+    ratio = F.try_divide("n_pass", "n")
+    return full.withColumn("ratio", ratio).withColumn("vs_pilot", (ratio - F.lit(pilot) if pilot is not None else F.lit(None)).cast("double"))
+
+
 def triage(
-    spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, gate: Callable[[DataFrame], DataFrame], key: str = "record_id", number: str = "seq_no", stride: int = 250, seed: int = 0, files: int = 1
+    spark: SparkSession,
+    source: str,
+    out: str,
+    checkpoint: str,
+    judge: Callable[[DataFrame], DataFrame],
+    gates: dict[str, str] | None = None,
+    rank: list[str] | None = None,
+    stride: int = 250,
+    seed: int = 0,
+    files: int = 1,
+    pilot: float | None = None,
 ) -> StreamingQuery:
-    """Read new Parquet files below ``source``, gate them (``gate`` adds a boolean column passes), and end when all is read.
+    """Read new Parquet files of EVENTS below ``source``, triage every chunk that fills up, and end when all is read.
 
-    Writes ``out/rows`` (each id once, the first batch that holds it wins) and ``out/chunks`` (batch, chunk, n, n_pass).
+    Candidates are numbered without gaps; those below ``seed`` count as done. ``judge`` gets the rows of closed chunks
+    (CLOSED: each with its best hits of both tools) and joins what it needs of static tables; it adds ``passes``. A hit
+    counts when it comes before its chunk is closed; later improvements are written apart. A record met again has a place
+    in its chunk, as its number is taken, but isn't appended to the master. A number met again is nothing new.
+
+    Writes ``out/rows`` (gated rows of closed chunks; ``again`` marks those that aren't in the master), ``out/analysis`` (one
+    record for each closed chunk), ``out/late`` and ``out/open``, each by batch.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(source)
+    keyed = stream.withColumn("record_id", F.coalesce("record_id", F.lit("")))
+    placed = keyed.groupBy("record_id").transformWithState(Records(stride, seed), _PLACED, "append", "none")
+    closed = placed.groupBy("chunk").transformWithState(Chunks(stride), CLOSED, "append", "none")
 
-    def batch(df: DataFrame, number_of_batch: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         s = df.sparkSession
-        rows = gate(chunked(df, number, stride, seed)).dropDuplicates([key])
-        try:
-            old = s.read.parquet(f"{out}/rows").where(F.col("batch") != number_of_batch)
-            rows = rows.join(old.select(key), key, "left_anti")
-        except Exception as none_yet:
-            if "PATH_NOT_FOUND" not in str(none_yet):
-                raise
-        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={number_of_batch}")
-        mine = s.read.parquet(f"{out}/rows/batch={number_of_batch}")
-        mine.groupBy("chunk").agg(F.count("*").alias("n"), F.count_if("passes").alias("n_pass")).write.mode("overwrite").parquet(f"{out}/chunks/batch={number_of_batch}")
+        df.write.mode("overwrite").partitionBy("kind").parquet(f"{out}/closed/batch={number}")  # once: the state isn't worked out again
+        own = s.read.schema(CLOSED).parquet(f"{out}/closed/batch={number}")
+        judge(own.where("kind = 'row'").drop("kind", "held")).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        rows = s.read.parquet(f"{out}/rows/batch={number}")
+        analysed(rows, gates or {}, rank or ["seq_no"], pilot).write.mode("overwrite").parquet(f"{out}/analysis/batch={number}")
+
+    return closed.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def open_chunks(spark: SparkSession, out: str) -> DataFrame:
+    """(chunk, held) of the chunks that hold rows."""
+    told = spark.read.schema(f"{CLOSED}, batch long").parquet(f"{out}/closed").where("kind = 'open'")
+    return told.groupBy("chunk").agg(F.max_by("held", "batch").alias("held")).where("held > 0")
+
+
+def flush(spark: SparkSession, source: str, out: str, stride: int = 250, seed: int = 0) -> None:
+    """Ask for the remainder: writes a mark for each open chunk to the source; the next run of ``triage`` takes them.
+
+    Rows that come afterwards under numbers of a flushed chunk are its next part.
+    """
+    marks = open_chunks(spark, out).select(F.lit("flush").alias("kind"), F.lit(None).cast("string").alias("record_id"), (F.col("chunk") * stride + seed).alias("seq_no"))
+    full = marks.select("*", *(F.lit(None).cast(t).alias(n) for n, t in (("evalue", "double"), ("ident", "double"), ("target", "long"), ("line", "long"))))
+    full.coalesce(1).write.mode("append").parquet(source)
 
 
 def totals(spark: SparkSession, out: str) -> DataFrame:
-    """The rolling yield over all batches so far."""
-    chunks = spark.read.parquet(f"{out}/chunks").groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("n_pass").alias("n_pass"))
+    """The rolling yield over all closed chunks so far."""
+    chunks = spark.read.parquet(f"{out}/analysis").groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("n_pass").alias("n_pass"))
     return rolled_up(chunks)
 
 
-def backfilled(spark: SparkSession, out: str) -> DataFrame:
-    """Chunk summaries worked out anew from the stored rows of every batch."""
-    rows = spark.read.parquet(f"{out}/rows")
-    return rolled_up(rows.groupBy("chunk").agg(F.count("*").alias("n"), F.count_if("passes").alias("n_pass")))
+def master(spark: SparkSession, out: str) -> DataFrame:
+    """Every record of a closed chunk once, as it was gated."""
+    return spark.read.parquet(f"{out}/rows").where(~F.col("again")).drop("again", "batch")
+
+
+def backfilled(spark: SparkSession, out: str, gates: dict[str, str] | None = None, rank: list[str] | None = None, pilot: float | None = None) -> DataFrame:
+    """The analysis records worked out anew from the stored rows of every batch."""
+    return analysed(spark.read.parquet(f"{out}/rows"), gates or {}, rank or ["seq_no"], pilot)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import features, gates, rna
 from tessera.operators import curves, matching, models, nearest, relations, sequences, statistics
-from tessera.streaming import triage
 
 
 def test_vectors(spark):
@@ -127,19 +126,6 @@ def test_folds(spark):
     assert models.undersampled(df, F.col("label") == 1, "id", ratio=1).groupBy("label").count().select("count").distinct().count() == 1
 
 
-def test_stream_equals_batch_and_restarts(spark, tmp_path):
-    rows = spark.createDataFrame([(i, i, float(i % 7)) for i in range(700)] + [(3, 3, 3.0)], "record_id long, seq_no long, value double")
-    src, out, mark = (f"{tmp_path}/{x}" for x in ("in", "out", "mark"))
-    run = lambda: triage.triage(spark, src, "record_id long, seq_no long, value double", out, mark, lambda d: d.withColumn("passes", F.col("value") > 3), seed=100).awaitTermination()
-    rows.where("seq_no < 400").coalesce(1).write.parquet(src)
-    run()
-    rows.where("seq_no >= 380").coalesce(1).write.mode("append").parquet(src)  # some rows come again
-    run()
-    got = triage.totals(spark, out).orderBy("chunk").collect()
-    want = [(c, len(x), sum(v % 7 > 3 for v in x)) for c, x in ((c, range(100 + 250 * c, min(350 + 250 * c, 700))) for c in range(3))]
-    assert [(r.chunk, r.n, r.n_pass) for r in got] == want and got[-1].cum_n == 600
-    assert [tuple(r) for r in triage.backfilled(spark, out).orderBy("chunk").collect()] == [tuple(r) for r in got]
-
 
 def test_representatives(spark):
     rng = random.Random(8)
