@@ -19,18 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# No alternative looks beyond the next "<" or ">" without taking all that it saw, so a page is read in linear time.
 _PART = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|select|object|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"""|<(/?)([A-Za-z][^\s/<>]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([A-Za-z][^\s/<>]*)([^<>]*)>""",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>"
+    r"""|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([A-Za-z][^\s/<>]*+)([^<>]*+)>""",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""(?<![A-Za-z-])([A-Za-z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++))""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；！？]")
 # Elements and names in markup.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _EMPTY = frozenset("area base col embed hr input link meta param source track".split())
-_OUT = frozenset("head title nav header footer aside form button menu dialog fieldset legend map".split())
+#: Their text is no markup; of these, the last two end with the page if nothing ends them before.
+_RAW = frozenset("iframe noscript textarea title script style".split())
+#: Left out with all inside if an end tag closes them; one that is closed by nothing holds nothing.
+_EMBEDDED = frozenset("audio canvas iframe math noscript object select svg template textarea title video".split())
+_OUT = frozenset("head nav header footer aside form button menu dialog fieldset legend map".split())
 _NEVER_OUT = frozenset("html body main article".split())
 _NAMES_OUT = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal "
@@ -38,6 +42,11 @@ _NAMES_OUT = frozenset(
 )
 # Of these, names that wrappers and parts of an article bear too.
 _LAYOUT = frozenset("banner footer header masthead menu nav navbar navigation notice notices related reply replies respond search sidebar skip toolbar widget".split())
+# What else may stand in a name beside these without another meaning: names of places and parts.
+_PLACES = frozenset(
+    "area aside bar block body bottom box btn button buttons column container content entry field foot form group head heading icon icons inline inner item items label left link links list main message "
+    "module outer overlay page panel part popup post posts right row section site slot small sticky text title top unit wrap wrapper zone".split()
+)
 _STATES = frozenset("has is no with without".split())
 _ROLES_OUT = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 # What an opening element closes, up to the element that bounds the search.
@@ -108,7 +117,7 @@ def _named(name: str) -> int:
     if parts[0] in _STATES:
         return DOUBTFUL
     if not told <= _LAYOUT:
-        return 1
+        return 1 if told | _PLACES >= set(parts) else DOUBTFUL  # share-buttons says it, share-price may be content
     return WRAPPING if len(told) == len(set(parts)) else DOUBTFUL
 
 
@@ -116,7 +125,7 @@ def _outside(tag: str, attributes: str) -> int:
     """2: the element says so itself, 1: its names do, 0: content, DOUBTFUL or WRAPPING: its text decides."""
     if tag in _NEVER_OUT:
         return 0
-    if tag in _OUT:
+    if tag in _OUT or tag in _EMBEDDED:
         return 2
     if not attributes.strip():
         return 0
@@ -138,6 +147,7 @@ def read(html: str) -> Page:
     stack, open_ = [0], defaultdict(int)
     parts: list[str] = []
     links, in_link, at = 0, False, 0
+    endless: set[str] = set()
 
     def end() -> None:
         nonlocal links
@@ -155,19 +165,34 @@ def read(html: str) -> Page:
             if in_link:
                 links += len(piece)
 
-    def close(i: int) -> None:
+    def close(i: int, ended: bool = False) -> None:
+        """Close elements from the i-th on; an end tag ended the i-th itself, or none did."""
+        for e in stack[i + ended :]:
+            if page.tags[e] in _EMBEDDED:
+                page.said[e] = 0
         for e in stack[i:]:
             open_[page.tags[e]] -= 1
         del stack[i:]
 
-    for m in _PART.finditer(html):
+    def after_raw(tag: str, start: int) -> int | None:
+        """Where the end tag of raw text ends, or the page; None: the tag has no end, so its text is markup."""
+        m = None if tag in endless else re.compile(rf"</{tag}\s*+[^<>]*+>", re.I).search(html, start)
+        if m:
+            return m.end()
+        endless.add(tag)
+        return len(html) if tag in ("script", "style") else None
+
+    while m := _PART.search(html, at):
         say(html[at : m.start()])
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m[2] or m[5]
         if tag is None:
-            parts.append(" " if m[1] else "")
             continue
-        tag, closing, attributes = tag.lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
+        tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if tag in _RAW and not closing and (raw_end := after_raw(tag, at)) is not None:
+            parts.append(" ")
+            at = raw_end
+            continue
         if tag in _INLINE:
             if tag == "a":
                 in_link = not closing
@@ -178,9 +203,9 @@ def read(html: str) -> Page:
         in_link = False
         if closing:
             if open_[tag]:
-                close(next(i for i in range(len(stack) - 1, 0, -1) if page.tags[stack[i]] == tag))
+                close(next(i for i in range(len(stack) - 1, 0, -1) if page.tags[stack[i]] == tag), True)
             continue
-        if tag in _EMPTY:
+        if tag in _EMPTY or tag in _EMBEDDED and attributes.endswith("/"):
             continue
         goes, bound = _CLOSES.get(tag, ((), ()))
         if any(open_[x] for x in goes):
@@ -198,6 +223,7 @@ def read(html: str) -> Page:
         open_[tag] += 1
     say(html[at:])
     end()
+    close(1)
     return page
 
 

@@ -35,7 +35,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")  # a later
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
+_TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")  # words that hold one of these; tried once a word
 _EDGE = ".,;:!?\"'<>[]{}|"
 
 
@@ -81,7 +81,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def _shape(core: str) -> int:
     digits = re.sub(r"[^0-9]", "", core)
     shape = re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 30)}", re.sub(r"[^\W\d_]+", "a", core))
-    return zlib.crc32(f"{shape[:80]}|{len(digits)}|{12 <= len(digits) <= 19 and luhn(digits)}".encode("utf-8", "surrogatepass")) % SHAPES
+    return zlib.crc32(f"{shape}|{len(digits)}|{12 <= len(digits) <= 19 and luhn(digits)}".encode("utf-8", "surrogatepass")) % SHAPES
 
 
 def _key(core: str) -> str:

@@ -37,6 +37,38 @@ def test_nothing_of_an_article_is_cut():
     assert says(f'<div class="site-header"><a href=x>Home</a></div><div class="related-posts"><a href=x>More</a></div><div><p>{long}</p></div>') == [long]
 
 
+def test_embedded_elements_take_no_text_with_them():
+    says = lambda page: h.main_text(f"<body>{page}</body>").split("\n\n")
+    assert says('<article><p>A</p><svg width="1" height="1"/><p>B</p></article>') == ["A", "B"]
+    assert says("<article><p>A</p><video src=x><p>B</p></article>") == ["A", "B"]
+    for tag in ("svg", "math", "select", "object", "canvas", "audio", "video", "template", "noscript", "iframe", "textarea"):
+        assert says(f"<article><p>A</p><{tag} a=b><i>no</i> <b>no</b></{tag}><p>B</p></article>") == ["A", "B"], tag
+        assert says(f"<article><p>A</p><{tag} a=b/><p>B</p></article>")[-1] == "B", tag
+        assert says(f"<article><p>A</p><{tag} a=b><p>B</p></article>") == ["A", "B"], tag
+    assert says("<article><p>A</p><textarea></p></article></textarea><p>B</p></article>") == ["A", "B"]
+    assert says("<article><p>A</p><svg><g><text>no</text></g></svg> B</article>") == ["A", "B"]
+
+
+def test_names_decide_with_links_or_with_all_their_parts():
+    long = "A long paragraph, with marks, and more of it. " * 3
+    says = lambda page: [x.strip() for x in h.main_text(f"<body>{page}</body>").split("\n\n")]
+    for name in ('class="share-price"', 'id="social-history"', 'class="ad-lib notes"', 'class="cookie-recipe"'):
+        assert says(f"<article><p>{long}</p><section {name}><p>{long}</p></section></article>") == [long.strip()] * 2, name
+    for name in ("share-buttons", "comment-list", "newsletter-signup", "ads", "cookie-bar"):
+        assert says(f"<article><p>{long}</p><div class='{name}'><p>{long}</p></div></article>") == [long.strip()], name
+    assert says(f"<article><p>{long}</p><div class='share-now'><a href=x>{long}</a></div></article>") == [long.strip()]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    n = 1_000_000
+    for page in ("<p " + "a" * n + ">x", "<" + "a" * n, "<?" * (n // 2), "<a b='" * (n // 6), "<iframe>" * (n // 8) + "x", "<p class='" + "share-" * (n // 6) + "'>x", "<p a" + " " * n + ">x", "<!" * (n // 2), "<p a=\"" * (n // 6), "</" * (n // 2)):
+        began = time.time()
+        h.main_text(page)
+        assert time.time() - began < 4, page[:20]
+
+
 def test_bare_and_broken():
     assert h.main_text(None) == h.main_text("") == h.main_text("<p> &nbsp; </p><!-- a") == ""
     assert h.main_text("just text, 1 < 2") == "just text, 1 < 2"

@@ -125,3 +125,22 @@ def test_one_long_document():
     field.added(text, pd_.Graph(text, []))
     assert time.time() - began < 120 and tracemalloc.get_traced_memory()[1] < 400e6
     tracemalloc.stop()
+
+
+def test_long_words_take_linear_time():
+    import time
+
+    for text in ("1 " + "漢" * 1_000_000, "漢" * 1_000_000 + "1", "a@" * 300_000, "1-" * 500_000, "+1(" * 300_000, "1." * 400_000):
+        began = time.time()
+        pd_.Graph(text, pd_.base_spans(text))
+        assert time.time() - began < 4, text[:8]
+
+
+def test_tokens_are_words_with_a_digit_or_at():
+    text = "ab c1d\u3000@x yz 12 q\n5,"
+    graph = pd_.Graph(text, [])
+    assert [text[a:b] for a, b in graph.tokens] == ["c1d", "@x", "12", "5"]
+
+
+def test_shapes_are_whole():
+    assert pd_._shape("-" * 90 + "1") != pd_._shape("-" * 91 + "1")
