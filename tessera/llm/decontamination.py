@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bloom
-from tessera.llm.text import grams, hashed, mixed, raw, row_key
+from tessera.llm.rows import keyed, settled
+from tessera.llm.text import grams, hashed, mixed, raw
 from tessera.staging import staged
 
 SIZE, GRAM = 10, 5
@@ -70,12 +71,12 @@ def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     return of.mapInArrow(cut, f"item_id {of.schema['item_id'].dataType.simpleString()}, size int, fp long, win long").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, *carried: str) -> DataFrame:
     """What of each document of ``docs(doc_id, text)`` lies in windows of ``items(item_id, text)``.
 
     Gives doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each row of ``docs``, repeated
     ids included. Null, empty or wordless texts have 0 words. Items without words have no window; a null item id
-    can hit words but is not listed. Repeated items count once. Other columns are not looked at.
+    can hit words but is not listed. Repeated items count once. Other columns are not looked at; those named are carried along.
     """
     each = staged(item_windows(items, size), "item-windows")
     # windows with the same items share a number: a text that holds one of them holds those items
@@ -102,14 +103,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
                 counts.append(len(h))
                 found.append(own)
                 row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["row", "doc_id", "n_words", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind), *batch.columns[2:]], names=["row", "doc_id", "n_words", "found", *carried])
 
-    scanned = staged(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            scan, "row long, doc_id long, n_words long, found array<struct<size:int,start:int,fp:long,win:long>>"
-        ),
-        "document-windows",
-    )
+    of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in of.schema[2:])
+    scanned = staged(of.mapInArrow(scan, "row long, doc_id long, n_words long, found array<struct<size:int,start:int,fp:long,win:long>>" + more), "document-windows")
     salt, salts = F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"), F.explode(F.array(*map(F.lit, range(SALTS))).cast("array<long>")).alias("salt")
     hits = scanned.select("row", salt, F.explode("found").alias("x")).select("row", "salt", "x.*")
     hits = hits.join(bench.select("fp", "size", "win", "of", salts), ["fp", "size", "win", "salt"])
@@ -127,13 +125,14 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
     named = per_row.select("row", salt, F.explode("of").alias("of")).join(sets, ["of", "salt"]).select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     per_row = per_row.drop("of").join(named, "row", "left")
     none = F.array().cast("array<string>")
-    return scanned.select("row", "doc_id", "n_words").join(per_row, "row", "left").select(
+    return scanned.select("row", "doc_id", "n_words", *carried).join(per_row, "row", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        *carried,
     )
 
 
@@ -142,9 +141,9 @@ def decontaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataF
 
     A null text and an empty table of items drop nothing. An empty table gives no rows; other columns are kept.
     """
-    keyed = docs.withColumn("_row", row_key(docs))
-    bad = contamination(keyed.select(F.col("_row").alias("doc_id"), "text"), items, size).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return keyed.join(bad, F.col("_row") == F.col("_bad"), "left_anti").drop("_row")
+    rows, key = keyed(docs)
+    bad = contamination(rows, items, size, key).where("contaminated")
+    return settled(rows, key, bad.groupBy(F.col(key).alias("key")).agg(F.lit(False).alias("once"), F.count("*").alias("many")))
 
 
 SQL = r"""

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import attached
-from tessera.llm.text import CACHE, CACHE_BYTES, row_key, words
+from tessera.llm.rows import keyed, settled
+from tessera.llm.text import CACHE, CACHE_BYTES, words
 from tessera.staging import staged
 
 BUCKETS = 1 << 15
@@ -87,15 +88,15 @@ def likelihoods(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return languages, np.log((counts + 200 * common) / (counts.sum(1, keepdims=True) + 200))
 
 
-def identified(docs: DataFrame) -> DataFrame:
+def identified(docs: DataFrame, *carried: str) -> DataFrame:
     """(id, language, posterior, text_language, accepted) of each row of ``docs(id, text, declared, suffix, host)``.
 
     The last three are strings and may be null, which is no evidence. A text without a word with letters, null and
     empty ones included, has null text_language; it is not accepted, nor is one whose best language has a posterior
     under ACCEPTED among all languages and none of them. Region and script tags (en-us) count as their language. With no declared language at all nothing is accepted. One row for each row, repeated ids included.
-    An empty table gives no rows. Other columns are not looked at.
+    An empty table gives no rows. Other columns are not looked at; those named are carried along.
     """
-    docs = docs.select(F.col("id").cast("long").alias("id"), *(F.col(c).cast("string").alias(c) for c in ("text", "declared", "suffix", "host")))
+    docs = docs.select(F.col("id").cast("long").alias("id"), *(F.col(c).cast("string").alias(c) for c in ("text", "declared", "suffix", "host")), *carried)
     tag = F.lower(F.trim("declared"))
     docs = docs.withColumn("declared", F.regexp_replace(tag, r"^([a-z]{2,3})[-_].*$", "$1"))
     languages, table = likelihoods(docs)
@@ -117,10 +118,11 @@ def identified(docs: DataFrame) -> DataFrame:
                     said.append(None)
                     none.append(None)
                     best.append(None)
-            columns = [batch.column(0), *(batch.column(i) for i in (2, 3, 4)), pa.array(said, pa.list_(pa.float64())), pa.array(best, pa.string()), pa.array(none, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "declared", "suffix", "host", "said", "text_language", "none"])
+            columns = [batch.column(0), *(batch.column(i) for i in (2, 3, 4)), pa.array(said, pa.list_(pa.float64())), pa.array(best, pa.string()), pa.array(none, pa.float64()), *batch.columns[5:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "declared", "suffix", "host", "said", "text_language", "none", *carried])
 
-    told = staged(docs.mapInArrow(score, "id long, declared string, suffix string, host string, said array<double>, text_language string, none double"), "text-evidence")
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema[5:])
+    told = staged(docs.mapInArrow(score, "id long, declared string, suffix string, host string, said array<double>, text_language string, none double" + more), "text-evidence")
     names = F.array(*map(F.lit, languages)).cast("array<string>")
     parent = F.when(F.instr("host", ".") > 0, F.substring_index("host", ".", -2)).when(F.col("host").isNotNull(), F.lit(""))
     seen = told.where("text_language is not null").withColumn("parent", parent)
@@ -150,7 +152,7 @@ def identified(docs: DataFrame) -> DataFrame:
     found = full
     for by in ("declared", "suffix", "host", "parent"):
         # rows without a value match nothing; a key of their own spreads them over tasks
-        own = F.concat(F.lit("\x00"), F.xxhash64("id", "text_language", "host", "none").cast("string"))
+        own = F.concat(F.lit("\x00"), F.xxhash64(F.monotonically_increasing_id()).cast("string"))
         keyed = found.withColumn("_key", F.coalesce(F.col(by), own))
         found = attached(keyed, staged(counted(by), f"seen-by-{by}"), "_key", own, rows).drop("_key")
     of_parent = F.coalesce(smoothed(F.col("by_parent"), prior), prior)
@@ -163,12 +165,12 @@ def identified(docs: DataFrame) -> DataFrame:
     weight = F.aggregate(F.col("logs"), others, lambda a, x: a + F.exp(x - F.col("top")))
     out = found.withColumn("logs", logs).withColumn("top", top).withColumn("posterior", 1 / weight)
     language = F.get(names, (F.array_position("logs", F.col("top")) - 1).cast("int"))
-    return out.select("id", language.alias("language"), "posterior", "text_language", F.coalesce((F.col("posterior") >= ACCEPTED) & F.lit(known), F.lit(False)).alias("accepted"))
+    return out.select("id", language.alias("language"), "posterior", "text_language", F.coalesce((F.col("posterior") >= ACCEPTED) & F.lit(known), F.lit(False)).alias("accepted"), *carried)
 
 
-def of_documents(documents: DataFrame) -> DataFrame:
+def of_documents(documents: DataFrame, *carried: str) -> DataFrame:
     """Evidence of ``documents(doc_id, text, lang, source)``: lang is the declaration, source the host."""
-    return documents.select(F.col("doc_id").alias("id"), "text", F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.lower("source").alias("host"))
+    return documents.select(F.col("doc_id").alias("id"), "text", F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.lower("source").alias("host"), *carried)
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
@@ -189,7 +191,6 @@ def identified_rows(documents: DataFrame) -> DataFrame:
 
     Rows without a word with letters go, null and empty texts among them. An empty table gives no rows; other columns are kept.
     """
-    keyed = documents.withColumn("_row", row_key(documents))
-    of = of_documents(keyed.drop("doc_id").withColumnRenamed("_row", "doc_id"))
-    bad = identified(of).where("not accepted").select(F.col("id").alias("_bad")).distinct()
-    return keyed.join(bad, F.col("_row") == F.col("_bad"), "left_anti").drop("_row")
+    rows, key = keyed(documents)
+    bad = identified(of_documents(rows, key), key).where("not accepted")
+    return settled(rows, key, bad.groupBy(F.col(key).alias("key")).agg(F.lit(False).alias("once"), F.count("*").alias("many")))

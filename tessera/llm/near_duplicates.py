@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from tessera.llm import bloom
 from tessera.llm.components import attached, components
 from tessera.llm.signature_tree import candidates, signature
-from tessera.llm.text import grams, hashed, row_key, words
+from tessera.llm.rows import keyed, settled
+from tessera.llm.text import grams, hashed, words
 from tessera.staging import staged
 
 WORDS, PERCENT = 5, 80
@@ -95,7 +96,7 @@ def described(docs: DataFrame, often, k: int, percent: int) -> DataFrame:
             row += len(sets)
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n", "digest", "signature", "prefix", "key"])
 
-    return docs.mapInArrow(run, "row long, doc_id long, n long, digest binary, signature binary, prefix binary, key long")
+    return docs.mapInArrow(run, "row long, doc_id long, n long, digest binary, signature binary, prefix binary, key " + docs.schema["key"].dataType.simpleString())
 
 
 def _tokens(classes: DataFrame, among=None) -> DataFrame:
@@ -302,17 +303,15 @@ def kept_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
     Rows without a word stay. Rows that are equal in every column count as one document: one of them stays. An empty
     table gives no rows; other columns are kept as they are.
     """
-    keyed = docs.withColumn("_row", row_key(docs))
-    found = _members(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_row").alias("key")), k, percent)
+    rows, key = keyed(docs)
+    found = _members(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(key).alias("key")), k, percent)
+    found = staged(found.select("key", "doc_id", "label"), "members")
+    # equal rows are of one component, or wordless: then each is a component, and one of them stays all the same
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    chosen = staged(found.groupBy("label").agg(F.min_by("key", order).alias("_chosen"), F.count("*").alias("_rows")), "chosen")
-    # one plan at every size
-    left = keyed.join(chosen.select("_chosen").distinct().hint("merge"), F.col("_row") == F.col("_chosen"), "left_semi")
-    # only rows of a component of several can be repeated, or wordless ones, each of which is a component
-    again = found.groupBy("key").count().where("count > 1").select(F.col("key").alias("_again"))
-    again = staged(again.join(chosen, F.col("_again") == F.col("_chosen"), "left_semi"), "repeated")
-    once = left.join(again, F.col("_row") == F.col("_again"), "left_semi").dropDuplicates(["_row"])
-    return left.join(again, F.col("_row") == F.col("_again"), "left_anti").unionByName(once).drop("_row")
+    chosen = found.groupBy("label").agg(F.min_by("key", order).alias("chosen"), F.count("*").alias("many"))
+    members = attached(found, chosen, "label", -1 - F.monotonically_increasing_id(), found.count())
+    decided = members.groupBy("key").agg(F.max(F.col("key") == F.col("chosen")).alias("once"), F.count("*").alias("many"))
+    return settled(rows, key, decided.where("not once or many > 1"))
 
 
 SQL = r"""

@@ -66,7 +66,17 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def row_key(df: DataFrame) -> Column:
-    """A 64-bit hash of all of a row's columns (maps apart): what a decision on the row is joined back by. Equal rows share it; nulls count."""
-    columns = [c for c, kind in df.dtypes if "map<" not in kind]
-    marks = [F.col(f"`{c}`").isNull() for c in columns]  # a null alone leaves the hash as it is
-    return F.xxhash64(*(x for c, m in zip(columns, marks, strict=True) for x in (m, F.col(f"`{c}`"))))
+    """A 128-bit hash of all of a row's columns: what a decision on the row is joined back by. Equal rows share it; nulls count.
+
+    Maps count as their sorted entries. Values with maps further inside count as JSON: such rows with equal maps in another order
+    may be taken for different rows, never different ones for equal.
+    """
+    marks = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name.replace('`', '``')}`")
+        value = c
+        if "map<" in kind:
+            value = F.array_sort(F.map_entries(c)) if kind.startswith("map<") and kind.count("map<") == 1 else F.to_json(F.struct(c))
+        marks += [c.isNull(), value]  # a null alone leaves the hash as it is
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *marks)), 16, "0") for seed in (0, 1)]
+    return F.unhex(F.concat(*halves))

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import near_duplicates as nd
 from tessera.llm import signature_tree
@@ -173,3 +174,26 @@ def test_kept_one_by_row(spark):
     got = sorted((r.doc_id or 0, r.text or "", r.key) for r in nd.kept_one(df).collect())
     assert got == sorted([(8, text.upper(), 2), (8, rows[3][1], 2), (0, rows[4][1], 3), (0, "", 4), (0, "", 5), (1, "", 6), (4, "x", 7)])
     assert nd.kept_one(df).columns == df.columns and nd.kept_one(df.limit(0)).count() == 0
+
+
+def test_rows_that_differ_in_a_map_alone(spark):
+    from tessera.llm.rows import keyed
+
+    rows = [(1, "w " * 9, {"a": 1, "b": 2}), (1, "w " * 9, {"b": 2, "a": 1}), (2, None, {"a": 1}), (2, None, {"a": 2}), (2, None, {"a": 2}), (2, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    key = [bytes(r._row) for r in keyed(df)[0].collect()]
+    assert len(set(key)) == 4 and key[0] == key[1] and key[3] == key[4] and len(key[0]) == 16
+    assert sorted((r.doc_id, str(r.m)) for r in nd.kept_one(df).collect() if r.text is None) == [(2, "None"), (2, "{'a': 1}"), (2, "{'a': 2}")]
+    assert keyed(df.withColumn("_ROW", F.lit(1)))[1] == "_row_"
+
+
+def test_decisions_on_hot_keys(spark, monkeypatch):
+    from tessera.llm import components
+    from tessera.llm.rows import keyed, settled
+
+    monkeypatch.setattr(components, "HOT", 3)
+    df = spark.createDataFrame([(i % 7 if i % 3 else 1, "x" if i % 3 else "hot") for i in range(300)], "doc_id long, text string")
+    rows, key = keyed(df)
+    decided = rows.groupBy(F.col(key).alias("key")).agg((F.first("text") == "hot").alias("once"), F.count("*").alias("many"), F.first("doc_id").alias("d")).where("once or d < 3")
+    got = sorted((r.doc_id, r.text) for r in settled(rows, key, decided).collect())
+    assert got == sorted([(1, "hot")] + [(r.doc_id, r.text) for r in df.collect() if r.text == "x" and r.doc_id >= 3])
