@@ -35,23 +35,61 @@ def candidates(left: DataFrame, right: DataFrame, key: str, within: dict[str, fl
     return ranked.where(F.col("_r") <= k).select("a", "b", "cost")
 
 
-def greedy(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(a, b, cost): edges taken cheapest first, each end once; ties by a, then b.
+#: Below this share of what is left, a round that decides so little also follows chains.
+_SLOW = 0.25
+
 
-    Each round takes all edges that are the cheapest at both ends; these are what a sequential pass would take, too.
+def along_chains(pointers: DataFrame, known: DataFrame) -> DataFrame:
+    """(n, yes) for each n of ``pointers(n, f)`` whose chain ends at ``known(n, yes)``: the opposite of what holds for f.
+
+    Pointers lead to what comes earlier, so chains end. Each pass doubles the way that every pointer leads.
     """
-    left, taken = staged(edges.select("a", "b", "cost"), "edges"), None
+    hops = staged(pointers.select("n", F.col("f").alias("to"), F.lit(True).alias("odd")), "chains")
+    while True:
+        far = hops.select(F.col("n").alias("to"), F.col("to").alias("_to"), F.col("odd").alias("_odd"))
+        longer = hops.join(far, "to", "left")
+        moved = staged(longer.select("n", F.coalesce("_to", "to").alias("to"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"), F.col("_to").isNotNull().alias("moved")), "chains")
+        hops = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
+    return hops.join(known.select(F.col("n").alias("to"), "yes"), "to").select("n", (F.col("yes") != F.col("odd")).alias("yes"))
+
+
+def _chained(left: DataFrame, best_a: DataFrame, best_b: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges that are taken because all on the chain of their only cheaper neighbours is decided by an edge of ``new``."""
     order = F.struct("cost", "a", "b")
-    for _ in range(rounds):
-        best_a = left.groupBy("a").agg(F.min(order).alias("x")).select("x.*")
-        best_b = left.groupBy("b").agg(F.min(order).alias("x")).select("x.*")
+    second_a = left.join(best_a, ["a", "b", "cost"], "left_anti").groupBy("a").agg(F.min(order).alias("x")).select("x.*")
+    second_b = left.join(best_b, ["a", "b", "cost"], "left_anti").groupBy("b").agg(F.min(order).alias("x")).select("x.*")
+    edge = F.struct("a", "b").alias("n")
+    at_b = best_a.join(second_b, ["a", "b", "cost"], "left_semi").join(best_b.select("b", F.struct("a", "b").alias("f")), "b").select(edge, "f")
+    at_a = best_b.join(second_a, ["a", "b", "cost"], "left_semi").join(best_a.select("a", F.struct("a", "b").alias("f")), "a").select(edge, "f")
+    told = along_chains(at_b.unionByName(at_a), new.select(edge, F.lit(True).alias("yes"))).where("yes")
+    return told.join(left.withColumn("n", F.struct("a", "b")), "n").select("a", "b", "cost")
+
+
+def greedy(edges: DataFrame) -> DataFrame:
+    """(a, b, cost): edges taken cheapest first, each end once; ties by a, then b.
+
+    Each round takes all edges that are the cheapest at both ends; these are what a sequential pass would take, too. An
+    edge with one cheaper neighbour is taken if and only if that one isn't: where rounds decide little, as on a path of rising
+    costs, such chains are followed by doubling pointers, a path of n edges in log n passes. There is no limit of rounds;
+    each takes the cheapest edge that is left, at least.
+    """
+    taken = None
+    left = staged(edges.groupBy("a", "b").agg(F.min("cost").alias("cost")), "edges")
+    order, n, slow = F.struct("cost", "a", "b"), left.count(), False
+    while n:
+        best_a = left.groupBy("a").agg(F.min(order).alias("x")).select("x.a", "x.b", "x.cost")
+        best_b = left.groupBy("b").agg(F.min(order).alias("x")).select("x.a", "x.b", "x.cost")
+        if slow:
+            best_a, best_b = staged(best_a, "best"), staged(best_b, "best")
         new = staged(best_a.join(best_b, ["a", "b", "cost"], "left_semi").select("a", "b", "cost"), "matched")
-        if new.isEmpty():
-            break
+        if slow:
+            new = staged(new.unionByName(_chained(left, best_a, best_b, new)), "matched")
         taken = new if taken is None else taken.unionByName(new)
         left = staged(left.join(new.select("a"), "a", "left_anti").join(new.select("b"), "b", "left_anti").select("a", "b", "cost"), "edges")
-    else:
-        raise RuntimeError(f"matching did not end in {rounds} rounds")
+        before, n = n, left.count()
+        slow = before - n < _SLOW * before
     return left if taken is None else taken
 
 
@@ -92,23 +130,31 @@ def auction(edges: DataFrame, epsilon: float, rounds: int = 60) -> DataFrame:
     return matched.unionByName(greedy(rest).withColumn("phase", F.lit("greedy")))
 
 
-def first_independent(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 100) -> DataFrame:
+def first_independent(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, kept): a node is kept when no kept node before it is its neighbour; ``edges(a, b)``: a is before b.
 
-    Each round decides the nodes whose earlier neighbours are all decided.
+    Each round decides the nodes whose earlier neighbours are all decided, or one of them kept. A node with one undecided
+    earlier neighbour is the opposite of it: where rounds decide little, such chains are followed by doubling
+    pointers. There is no limit of rounds; each decides the first node that is left, at least.
     """
     edges = staged(edges.select("a", "b").distinct(), "edges")
     state = staged(nodes.select(F.col(key).alias("n")).join(edges.select(F.col("b").alias("n")).distinct(), "n", "left_anti").withColumn("kept", F.lit(True)), "decided")
     left = staged(edges.select(F.col("b").alias("n")).distinct(), "undecided")
-    for _ in range(rounds):
-        if left.isEmpty():
-            return state.withColumnRenamed("n", key)
+    n, slow = left.count(), False
+    while n:
         seen = edges.join(left, F.col("b") == F.col("n")).drop("n").join(state.toDF("a", "kept"), "a", "left")
-        said = seen.groupBy("b").agg(F.count_if(F.col("kept").isNull()).alias("open"), F.max(F.coalesce("kept", F.lit(False))).alias("hit"))
+        unknown = F.col("kept").isNull()
+        said = seen.groupBy("b").agg(F.count_if(unknown).alias("open"), F.min(F.when(unknown, F.col("a"))).alias("first"), F.max(F.coalesce("kept", F.lit(False))).alias("hit"))
+        said = staged(said, "said") if slow else said
         new = staged(said.where("open = 0 or hit").select(F.col("b").alias("n"), (~F.col("hit")).alias("kept")), "new")
+        if slow:
+            chains = along_chains(said.where("open = 1 and not hit").select(F.col("b").alias("n"), F.col("first").alias("f")), new.withColumnRenamed("kept", "yes"))
+            new = staged(new.unionByName(chains.toDF("n", "kept")), "new")
         state = staged(state.unionByName(new), "decided")
         left = staged(left.join(new.select("n"), "n", "left_anti"), "undecided")
-    raise RuntimeError(f"not all nodes were decided in {rounds} rounds")
+        before, n = n, left.count()
+        slow = before - n < _SLOW * before
+    return state.withColumnRenamed("n", key)
 
 
 def escalated(left: DataFrame, right: DataFrame, matched: DataFrame, key: str, length: str, within: dict[str, float], distance: dict[str, str], k: int, factor: float = 1.5) -> DataFrame:
