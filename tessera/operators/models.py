@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -74,15 +74,23 @@ def permuted(df: DataFrame, block: list[str], key: str, seed: int) -> DataFrame:
 
 
 def block_importance(model, df: DataFrame, blocks: dict[str, list[str]], label: str, key: str, repeats: int = 5, seed: int = 42) -> DataFrame:
-    """(block, repeat, drop): how much the AUC falls when a block of columns is permuted."""
-    df = staged(df, "rows")
-    whole = two_sample(scored(model, df), [], "score", F.col(label) == 1).first()["auc"]
-    parts = []
-    for name, block in blocks.items():
-        for r in range(repeats):
-            got = two_sample(scored(model, permuted(df, block, key, seed + 2 * r)), [], "score", F.col(label) == 1)
-            parts.append(got.select(F.lit(name).alias("block"), F.lit(r).alias("repeat"), (F.lit(whole) - F.col("auc")).alias("drop")))
-    return reduce(DataFrame.unionByName, parts)
+    """(block, repeat, drop): how much the AUC falls when a block of columns is permuted, the block's columns by one shared permutation.
+
+    All permutations are one table, a copy of the rows for each block and repeat: every copy takes the block's values from the
+    row that a seeded order of that copy puts in its place. They are scored and ranked in one pass each.
+    """
+    df = staged(distributed_index(df, [], seed, key, "_place"), "rows")
+    columns = sorted({c for b in blocks.values() for c in b})
+    copies = F.explode(F.array(*(F.struct(F.lit(b).alias("block"), F.lit(r).alias("repeat")) for b in blocks for r in range(repeats)))).alias("_c")
+    own = df.select("*", copies).select(*df.columns, "_c.*")
+    donor = df.select(key, *(F.col(c).alias(f"_d_{c}") for c in columns), copies).select("*", "_c.*").withColumn("_k", F.xxhash64("block", "repeat", key)).drop("_c", key)
+    donor = distributed_index(donor, ["block", "repeat"], seed + 1, "_k", "_place").drop("_k")
+    met = own.join(donor, ["block", "repeat", "_place"])
+    moved = {c: F.when(F.col("block").isin([b for b, of in blocks.items() if c in of]), F.col(f"_d_{c}")).otherwise(F.col(c)) for c in columns}
+    table = staged(met.select("block", "repeat", *((moved[c] if c in moved else F.col(c)).alias(c) for c in df.columns if c != "_place")), "permuted")
+    whole = two_sample(scored(model, df), [], "score", F.col(label) == 1).select(F.col("auc").alias("_whole"))
+    each = two_sample(scored(model, table), ["block", "repeat"], "score", F.col(label) == 1)
+    return each.join(F.broadcast(whole)).select("block", "repeat", (F.col("_whole") - F.col("auc")).alias("drop"))  # one row
 
 
 def importance_summary(drops: DataFrame) -> DataFrame:
@@ -90,53 +98,103 @@ def importance_summary(drops: DataFrame) -> DataFrame:
     return drops.groupBy("block").agg(F.count("*").alias("repeats"), F.avg("drop").alias("mean"), F.stddev_pop("drop").alias("deviation"))
 
 
-def dinucleotide_shuffle(s: str, rng: random.Random) -> str:
-    """A random sequence with the same first and last letter and the same count of every pair of neighbours.
+#: Letters shuffled at once, and orders of exits that are tried before a sequence is shuffled letter by letter.
+LETTERS, TRIES = 1 << 21, 64
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads every bit of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    Last exits are drawn until they form a tree into the last letter (then an Eulerian walk always ends well), the
-    other exits are shuffled.
+
+def shuffled(codes: list[np.ndarray], seeds: np.ndarray, tries: int = TRIES) -> tuple[list[np.ndarray], np.ndarray]:
+    """A shuffle of each sequence of small numbers, and whether it kept the count of every pair of neighbours.
+
+    The exits of each letter are put in a random order until the last ones form a tree into the last letter; then the
+    walk that takes exits in this order uses all of them and ends there. All sequences take one step at a time
+    together. Where no order fits within ``tries``, and under two letters, only the letters' counts are kept. The
+    result depends on a sequence and its seed alone.
     """
-    if len(s) < 3:
-        return s
-    exits: dict[str, list[str]] = {}
-    for a, b in zip(s, s[1:], strict=False):
-        exits.setdefault(a, []).append(b)
-    end = s[-1]
-    while True:
-        last = {a: rng.choice(x) for a, x in exits.items() if a != end}
-        ok = True
-        for a in last:
-            seen, at = set(), a
-            while at != end and at not in seen:
-                seen.add(at)
-                at = last[at]
-            ok &= at == end
-        if ok:
-            break
-    for a, x in exits.items():
-        if a in last:
-            x.remove(last[a])
-        rng.shuffle(x)
-        if a in last:
-            x.append(last[a])
-    out, at = [s[0]], dict.fromkeys(exits, 0)
-    while len(out) < len(s):
-        a = out[-1]
-        out.append(exits[a][at[a]])
-        at[a] += 1
-    return "".join(out)
+    rows, kinds = len(codes), int(max((c.max() for c in codes if len(c)), default=0)) + 1
+    n = np.array([len(c) for c in codes])
+    out, kept = [c.copy() for c in codes], n >= 2
+    some = np.flatnonzero(kept)
+    if len(some):
+        flat = np.concatenate([codes[i] for i in some]).astype(np.int64)
+        row = np.repeat(np.arange(len(some)), n[some])
+        first = np.concatenate([[0], np.cumsum(n[some])])[:-1]
+        place = np.arange(len(flat)) - first[row]
+        edge = np.flatnonzero(place < n[some][row] - 1)  # each letter but the last has an exit, to the next
+        source, target, owner = flat[edge], flat[edge + 1], row[edge]
+        end = flat[first + n[some] - 1]
+        cell = owner * kinds + source
+        starts = np.searchsorted(np.sort(cell), np.arange(len(some) * kinds + 1))
+        order, open_ = np.zeros(len(edge), np.int64), np.ones(len(some), bool)
+        base = _mixed(seeds[some].astype(np.uint64))
+        for attempt in range(tries):
+            todo = np.flatnonzero(open_[owner])
+            if not len(todo):
+                break
+            with np.errstate(over="ignore"):
+                keys = _mixed(base[owner[todo]] + np.uint64(0x9E3779B97F4A7C15) * (place[edge[todo]].astype(np.uint64) + np.uint64(1)) + np.uint64(attempt) * np.uint64(0xD6E8FEB86659FD93))
+            order[todo] = todo[np.lexsort((keys, cell[todo]))]
+            # rows keep their own stretch of ``order``, as cells are sorted by row
+            last = np.full((len(some), kinds), -1)
+            full = np.flatnonzero(starts[1:] > starts[:-1])
+            last.ravel()[full] = target[order[starts[full + 1] - 1]]
+            at = np.where(last >= 0, np.arange(kinds)[None], end[:, None])
+            for _ in range(kinds):
+                step = np.take_along_axis(last, at, 1)
+                at = np.where((at == end[:, None]) | (step < 0), at, step)
+            open_ &= ~(at == end[:, None]).all(1)
+        exits, used = target[order], starts[:-1].copy()
+        walk, now = np.zeros(len(flat), np.int64), flat[first]
+        walk[first] = now
+        going = np.flatnonzero(~open_)
+        for step in range(1, int(n[some].max())):
+            going = going[n[some][going] > step]
+            slot = going * kinds + now[going]
+            now[going] = exits[used[slot]]
+            used[slot] += 1
+            walk[first[going] + step] = now[going]
+        for k, i in enumerate(some):
+            out[i] = walk[first[k] : first[k] + n[i]].astype(codes[i].dtype)
+        kept[some[open_]] = False
+    for i in range(rows):
+        if not kept[i]:
+            with np.errstate(over="ignore"):
+                out[i] = codes[i][np.argsort(_mixed(_mixed(seeds[i : i + 1].astype(np.uint64)) + np.arange(n[i], dtype=np.uint64)), kind="stable")]
+    return out, kept
 
 
 def null_model(df: DataFrame, key: str, seq: str, n: int, seed: int = 42) -> DataFrame:
-    """(key, shuffle, sequence): ``n`` shuffles of each sequence that keep its dinucleotides, seeded by key."""
-    expanded = df.select(F.col(key).cast("string").alias("key"), F.col(seq).alias("sequence"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shuffle"))
+    """(key, shuffle, sequence, mode): ``n`` shuffles of each sequence that keep its dinucleotides (mode 'dinuc'), or where that can't be done its letters ('mono'); seeded by key.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            made = [dinucleotide_shuffle(s, random.Random(f"{seed}/{k}/{i}")) for k, s, i in zip(pdf["key"], pdf["sequence"], pdf["shuffle"], strict=True)]
-            yield pdf.assign(sequence=made)[["key", "shuffle", "sequence"]]
-
-    return expanded.mapInPandas(run, "key string, shuffle int, sequence string")
+    A null sequence is an empty one.
+    """
+    key_text, salt = F.col(key).cast("string"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shuffle")
+    expanded = df.select(key_text.alias("key"), F.coalesce(seq, F.lit("")).alias("sequence"), salt).withColumn("seed", F.xxhash64(F.lit(seed), "key", "shuffle"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            seeds, at = batch.column(3).to_numpy(), 0
+            while at < len(texts):
+                stop, size = at, 0
+                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= LETTERS):
+                    size, stop = size + len(texts[stop]), stop + 1
+                letters = sorted(set().union(*texts[at:stop]))
+                code = {c: i for i, c in enumerate(letters)}
+                made, kept = shuffled([np.fromiter(map(code.__getitem__, s), np.int64, len(s)) for s in texts[at:stop]], seeds[at:stop])
+                written = ["".join(map(letters.__getitem__, m.tolist())) for m in made]
+                part = batch.slice(at, stop - at)
+                modes = pa.array(["dinuc" if k else "mono" for k in kept])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(written, pa.string()), modes], names=["key", "shuffle", "sequence", "mode"])
+                at = stop
+
+    return expanded.mapInArrow(run, "key string, shuffle int, sequence string, mode string")
 
 
 def balanced(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:

@@ -58,15 +58,16 @@ def upstream_gaps(intervals: DataFrame) -> DataFrame:
 
     Gives gap_start and gap_stop, inclusive; an interval that overlaps the start is no neighbour. On the plus strand
     the gap runs from the greatest end below the start; on the minus strand to the least start above the stop, null
-    if there is none.
+    if there is none. A contig of any length is worked on in ranges of positions.
     """
-    ends = intervals.select("seqid", F.col("stop").alias("pos"), F.col("stop").alias("end"), F.lit(None).cast("long").alias("begin"))
-    starts = intervals.select("seqid", F.col("start").alias("pos"), F.lit(None).cast("long").alias("end"), F.col("start").alias("begin"))
-    asks = intervals.select("seqid", F.when(F.col("strand") == "+", F.col("start") - 1).otherwise(F.col("stop") + 1).alias("pos"), "start", "stop", "strand")
+    from tessera.operators.statistics import nearest_on_line
+
+    none = F.lit(None).cast("long")
+    ends = intervals.select("seqid", F.col("stop").cast("long").alias("pos")).distinct().select("seqid", "pos", F.col("pos").alias("end"), none.alias("begin"))
+    starts = intervals.select("seqid", F.col("start").cast("long").alias("pos")).distinct().select("seqid", "pos", none.alias("end"), F.col("pos").alias("begin"))
+    asks = intervals.select("seqid", F.when(F.col("strand") == "+", F.col("start") - 1).otherwise(F.col("stop") + 1).cast("long").alias("pos"), "start", "stop", "strand")
     events = ends.unionByName(starts).unionByName(asks, allowMissingColumns=True)
-    before = Window.partitionBy("seqid").orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("seqid").orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = events.withColumn("low", F.max("end").over(before)).withColumn("high", F.min("begin").over(after)).where("strand is not null")
+    seen = nearest_on_line(events, "seqid", "pos", "end", "begin").where("strand is not null")
     plus = F.col("strand") == "+"
     return seen.select(
         "seqid", "start", "stop", "strand",

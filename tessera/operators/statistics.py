@@ -109,6 +109,30 @@ def roc(df: DataFrame, score: str, label: Column) -> DataFrame:
     return at.crossJoin(F.broadcast(total)).select((-F.col("x")).alias("threshold"), F.try_divide("cum_n1", "t1").alias("tpr"), F.try_divide("cum_n0", "t0").alias("fpr"))
 
 
+def nearest_on_line(events: DataFrame, by: str, order: str, below: str, above: str) -> DataFrame:
+    """Adds low (the greatest ``below`` up to each row's place) and high (the least ``above`` from it on), within ``by``, by the order of a column; equal places see each other.
+
+    A line of any length is cut into ranges of places. Each range is scanned on its own; a line in several ranges also
+    takes over what the ranges before and after it hold, of which there is one row for each range.
+    """
+    laid = staged(events.repartitionByRange(by, order).withColumn("_p", F.spark_partition_id()), "ranges")
+    part = Window.partitionBy("_p", by)
+    so_far = lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = laid.withColumn("_low", F.max(below).over(so_far(part.orderBy(order)))).withColumn("_high", F.min(above).over(so_far(part.orderBy(F.desc(order)))))
+    per = laid.groupBy(by, "_p").agg(F.max(below).alias("_b"), F.min(above).alias("_a"))
+    cut = per.groupBy(by).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    line = Window.partitionBy(by).orderBy("_p")
+    carried = per.join(cut, by, "left_semi").select(
+        F.col(by).alias("_by"),
+        F.col("_p").alias("_at"),
+        F.max("_b").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.min("_a").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    # only the first and the last line of a range can go on beyond it
+    full = own.join(F.broadcast(carried), (F.col("_by") == F.col(by)) & (F.col("_at") == F.col("_p")), "left")
+    return full.select(*events.columns, F.greatest("_low", "_before").alias("low"), F.least("_high", "_after").alias("high"))
+
+
 def suffix_min(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """Adds the least ``value`` of the rows from each one on, in the order of a column; each range of rows on its own, and the least of all later ranges."""
     laid = staged(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "ranges")

@@ -62,6 +62,25 @@ def src_csv(v: Views) -> DataFrame:
 # -- derived columns and rules ----------------------------------------------------------------------------------------
 
 
+@query(
+    "SELECT r_name AS region, n_name AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal > 0 GROUP BY 1, 2"
+)
+def src_catalogue(v: Views) -> DataFrame:
+    """Tables of a relational database, the largest read in ranges of its key; the filter runs in the database.
+
+    The database is the one that ships with Spark and lives in the driver, so this plan is for a local session.
+    """
+    import uuid
+
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    columns = {"customer": ("c_custkey", "c_nationkey", "c_acctbal"), "nation": ("n_nationkey", "n_regionkey", "n_name"), "region": ("r_regionkey", "r_name")}
+    for name, of in columns.items():
+        v.table(name).select(*of).write.format("jdbc").options(url=url, dbtable=name, driver=driver).save()
+    t = readers.catalogue(v.spark, url, {"customer": '"c_custkey"', "nation": None, "region": None}, driver=driver)
+    full = t["customer"].where("c_acctbal > 0").join(t["nation"], F.col("n_nationkey") == F.col("c_nationkey")).join(t["region"], F.col("r_regionkey") == F.col("n_regionkey"))
+    return full.groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
 @query("SELECT id, round(amp / nullif(leak, 0), 6) AS per_leak, round(1 - leak, 6) AS paired FROM engines", "engines")
 def prj_intensive(v: Views) -> DataFrame:
     return _rounded(v.engines().select("id", F.try_divide("amp", "leak").alias("per_leak"), (1 - F.col("leak")).alias("paired")), "per_leak", "paired")

@@ -437,9 +437,20 @@ def smp_undersampled(v: Views) -> DataFrame:
     return models.undersampled(v.panel().select("record_id", "label"), F.col("label") == 0, "record_id", ratio=2)
 
 
-@query()
+_PAIRS_TOLD, _LETTERS_TOLD = ("AU", "UA", "GC", "CG", "AG", "GA", "UC"), ("A", "U", "G")
+
+
+@query(
+    "SELECT CAST(record_id AS VARCHAR) AS key, CAST(x AS INTEGER) AS shuffle, CASE WHEN length(seq) >= 2 THEN 'dinuc' ELSE 'mono' END AS mode, length(seq) AS n, left(seq, 1) AS first, right(seq, 1) AS last, "
+    + ", ".join(f"(length(seq) - length(replace(seq, '{p}', ''))) // {len(p)} AS n_{p.lower()}" for p in (*_PAIRS_TOLD, *_LETTERS_TOLD))
+    + " FROM seqs, (VALUES (0), (1)) g(x)",
+    "seqs",
+)
 def smp_null_model(v: Views) -> DataFrame:
-    return models.null_model(v.seqs(), "record_id", "seq", 2).select("key", "shuffle", F.md5("sequence").alias("digest"), F.length("sequence").alias("n"))
+    """What a null sequence must share with its own: length, ends, letters and pairs of neighbours."""
+    s = F.col("sequence")
+    counts = [F.floor((F.length(s) - F.length(F.replace(s, F.lit(p), F.lit("")))) / len(p)).alias(f"n_{p.lower()}") for p in (*_PAIRS_TOLD, *_LETTERS_TOLD)]
+    return models.null_model(v.seqs(), "record_id", "seq", 2).select("key", "shuffle", "mode", F.length(s).alias("n"), F.left(s, F.lit(1)).alias("first"), F.right(s, F.lit(1)).alias("last"), *counts)
 
 
 @query()
@@ -464,9 +475,12 @@ def ml_out_of_fold(v: Views) -> DataFrame:
 
 @query()
 def ml_block_importance(v: Views) -> DataFrame:
-    x = models.staged(v.panel().select("record_id", "label", F.col("len").cast("double").alias("len"), "gc"), "panel")
-    model = models.forest(["len", "gc"], "label", trees=20, depth=8).fit(x)
-    return models.importance_summary(models.block_importance(model, x, {"length": ["len"], "composition": ["gc"]}, "label", "record_id", repeats=2))
+    """The fall of the AUC by blocks of columns, five permutations each; the model is of the reference's size."""
+    pairs = sequences.kmer_vector(v.seqs(), "record_id", "seq", 2, "k_")
+    names = [c for c in pairs.columns if c != "record_id"]
+    x = models.staged(v.measured().select("record_id", "label", F.col("len").cast("double").alias("len"), "gc").join(pairs, "record_id"), "panel")
+    model = models.forest(["len", "gc", *names], "label").fit(x)
+    return models.importance_summary(models.block_importance(model, x, {"length": ["len"], "composition": ["gc"], "pairs": names}, "label", "record_id"))
 
 
 # -- streaming -------------------------------------------------------------------------------------------------------

@@ -107,13 +107,6 @@ def test_hill_fit_recovers(spark):
     assert (got[1].tm, got[1].n, got[1].status) == (43.5, 12.0, "ok") and abs(got[1].bottom - 0.1) < 1e-6 and got[2].status == "flat" and got[2].tm is None
 
 
-def test_shuffles_keep_pairs():
-    rng = random.Random(5)
-    for n in (1, 2, 3, 50, 400):
-        s = "".join(rng.choice("AUGC") for _ in range(n))
-        t = models.dinucleotide_shuffle(s, rng)
-        assert len(t) == n and t[0] == s[0] and t[-1] == s[-1] and Counter(zip(s, s[1:])) == Counter(zip(t, t[1:]))
-
 
 def test_folds(spark):
     df = spark.createDataFrame([(i, i % 3 == 0 and 1 or 0, f"g{i % 11}") for i in range(200)], "id long, label int, grp string")
