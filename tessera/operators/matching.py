@@ -15,24 +15,79 @@ def standardised(df: DataFrame, columns: list[str], floor: float = 1e-9) -> Data
     return full.select(*df.columns, *((F.col(c) - F.col(f"_m_{c}")) / F.greatest(F.col(f"_s_{c}"), F.lit(floor)) for c in columns)).toDF(*df.columns, *(f"z_{c}" for c in columns))
 
 
+#: Points of a cell that a level may begin with, levels that are counted, and salts of copies.
+_CELL, _LEVELS, _SALTS = 64, 12, 64
+
+
+def _slopes(rows: DataFrame, distance: dict[str, str]) -> dict[str, float]:
+    """How much a distance column grows with its gate column at least; 0 where it isn't a line of it, so that nothing is concluded."""
+    names = list(distance)
+    corner = lambda f, c: f(F.struct(F.col(c).cast("double").alias("x"), F.col(distance[c]).cast("double").alias("z")))
+    ends = rows.agg(*(corner(f, c).alias(f"{n}_{c}") for c in names for n, f in (("a", F.min), ("b", F.max)))).first()
+    slope, off = {}, []
+    for c in names:
+        a, b = ends[f"a_{c}"], ends[f"b_{c}"]
+        known = a is not None and None not in (*a, *b) and b[0] > a[0]
+        slope[c] = (b[1] - a[1]) / (b[0] - a[0]) if known else 0.0
+        line = F.lit(a[1] if known else 0.0) + (F.col(c) - F.lit(a[0] if known else 0.0)) * slope[c]
+        off.append(F.max(F.abs(F.col(distance[c]) - line)).alias(c))
+    worst = rows.agg(*off).first()
+    return {c: abs(slope[c]) * (1 - 1e-9) if worst[c] is not None and worst[c] <= 1e-9 * max(1.0, abs(slope[c])) else 0.0 for c in names}
+
+
 def candidates(left: DataFrame, right: DataFrame, key: str, within: dict[str, float], distance: dict[str, str], k: int) -> DataFrame:
-    """(a, b, cost): for each left row the ``k`` right rows nearest by the distance columns, among those within the gates.
+    """(a, b, cost): for each left row the ``k`` right rows nearest by the distance columns, among those within the gates; ties to the smaller b.
 
-    Rows meet in grid cells as wide as the gates: a left row asks its own cell and those around it, so the join is on
-    equal cells and loses nothing. ``distance`` names, for each gate column, the column whose difference counts.
+    ``distance`` names, for each gate column, the column whose difference counts. Equal points are one, of which the first
+    ``k`` rows can be wanted; equal askers ask once. Cells are cut finer and finer until few points share one. A point
+    asks its own cell and those around it, level by level from the finest: once its k-th distance is below all that
+    such a block of cells leaves out, it has its nearest and stops. At the coarsest level cells are as wide as the
+    gates, so the block holds all that is allowed. Rows with a missing value take no part.
     """
-    cell = lambda c: F.floor(F.col(c) / within[c])
     names = list(within)
-    right_cells = right.select(F.col(key).alias("b"), *(F.col(c).alias(f"b_{c}") for c in names), *(F.col(distance[c]).alias(f"bd_{c}") for c in names), *(cell(c).alias(f"g_{c}") for c in names))
-    asked = left.select(F.col(key).alias("a"), *(F.col(c).alias(f"a_{c}") for c in names), *(F.col(distance[c]).alias(f"ad_{c}") for c in names), *(F.array(*(cell(c) + d for d in (-1, 0, 1))).alias(f"g_{c}") for c in names))
-    for c in names:
-        asked = asked.withColumn(f"g_{c}", F.explode(f"g_{c}"))
-    near = asked.join(right_cells, [f"g_{c}" for c in names])
-    for c in names:
-        near = near.where(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= within[c])
-    cost = sum((F.pow(F.col(f"ad_{c}") - F.col(f"bd_{c}"), 2) for c in names), F.lit(0.0))
-    ranked = near.withColumn("cost", F.sqrt(cost)).withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("cost", "b")))
-    return ranked.where(F.col("_r") <= k).select("a", "b", "cost")
+    columns = [*names, *distance.values()]
+    known = " and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in columns)
+    point = F.concat_ws("|", *(F.col(c).cast("string") for c in columns))
+    r, a = (side.where(known).select(F.col(key).alias("id"), *(F.col(c).cast("double").alias(c) for c in columns), point.alias("pt")) for side in (right, left))
+    r, a = staged(r, "points"), staged(a, "askers")
+    slope = _slopes(r.unionByName(a), distance)
+
+    salted = r.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)))
+    few = salted.withColumn("_r", F.row_number().over(Window.partitionBy("pt", "_salt").orderBy("id"))).where(F.col("_r") <= k)
+    few = few.withColumn("_r", F.row_number().over(Window.partitionBy("pt").orderBy("id"))).where(F.col("_r") <= k)
+    points = staged(few.groupBy("pt").agg(*(F.first(c).alias(c) for c in columns), F.array_sort(F.collect_list("id")).alias("ids")), "distinct_points")
+
+    def cell(c: str, level: int) -> F.Column:
+        return F.floor(F.col(c) / F.lit(within[c] / 2**level))
+
+    crowd = points.select(F.explode(F.array(*(F.struct(F.lit(n).alias("level"), *(cell(c, n).alias(f"g_{c}") for c in names)) for n in range(_LEVELS)))).alias("x")).select("x.*")
+    most = {x["level"]: x["most"] for x in crowd.groupBy("level", *(f"g_{c}" for c in names)).count().groupBy("level").agg(F.max("count").alias("most")).collect()}
+    level = next((n for n in range(_LEVELS) if most.get(n, 0) <= _CELL), _LEVELS - 1) if min(slope.values()) > 0 else 0
+
+    left_over, found = staged(a.groupBy("pt").agg(*(F.first(c).alias(c) for c in columns)), "distinct_askers"), None
+    while True:
+        asked = left_over.select(F.col("pt").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns), *(F.array(*(cell(c, level) + d for d in (-1, 0, 1))).alias(f"g_{c}") for c in names))
+        for c in names:
+            asked = asked.withColumn(f"g_{c}", F.explode(f"g_{c}"))
+        near = asked.join(points.select("*", *(cell(c, level).alias(f"g_{c}") for c in names)), [f"g_{c}" for c in names])
+        for c in names:
+            near = near.where(F.abs(F.col(f"a_{c}") - F.col(c)) <= within[c])
+        cost = F.sqrt(sum((F.pow(F.col(f"a_{z}") - F.col(z), 2) for z in distance.values()), F.lit(0.0)))
+        each = near.select("a", cost.alias("cost"), F.explode("ids").alias("b"))
+        best = each.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("cost", "b"))).where(F.col("_r") <= k)
+        best = staged(best, "nearest")
+        sure = min(within[c] / 2**level * slope[c] for c in names)  # what lies outside the block is at least that far
+        done = best.groupBy("a").agg(F.count("*").alias("n"), F.max("cost").alias("cost")).where((F.col("n") >= k) & (F.col("cost") < sure)).select("a")
+        done = left_over.select(F.col("pt").alias("a")) if level == 0 else staged(done, "settled")
+        now = best.join(done, "a", "left_semi")
+        found = now if found is None else found.unionByName(now)
+        if level == 0:
+            break
+        left_over = staged(left_over.join(done.withColumnRenamed("a", "pt"), "pt", "left_anti"), "distinct_askers")
+        if left_over.isEmpty():
+            break
+        level -= 1
+    return a.select(F.col("id").alias("_id"), F.col("pt").alias("a")).join(found, "a").select(F.col("_id").alias("a"), "b", "cost")
 
 
 #: Below this share of what is left, a round that decides so little also follows chains.
@@ -93,41 +148,95 @@ def greedy(edges: DataFrame) -> DataFrame:
     return left if taken is None else taken
 
 
-def auction(edges: DataFrame, epsilon: float, rounds: int = 60) -> DataFrame:
-    """(a, b, cost, phase): nearly cheapest one-to-one assignment on sparse edges, by auction rounds.
+def auction(edges: DataFrame, epsilon: float, shrink: float = 8.0) -> DataFrame:
+    """(a, b, cost, price): a one-to-one assignment on sparse edges, as many rows as can be matched, at a cost within ``epsilon`` for each row of the least.
 
-    A free row bids on the column of best value (minus cost minus price), by how much it beats the second best, plus
-    epsilon; each column goes to its highest bidder. A row may stay alone at a cost above all edges. After ``rounds``
-    the rest is matched greedily, and phase says so.
+    A row may stay alone at a cost above that of any assignment. Rows bid in rounds: a free one takes the column of best value
+    (minus cost minus price) from whoever has it, and raises its price by how much it beats the second best, plus a step. The step
+    begins large and shrinks by phases down to ``epsilon``; prices are kept over phases. At the end of a phase columns that nobody
+    has but that still have a price bid back, for the rows that gain most, or give the price up. Each bid moves a price or a gain by a step
+    at least, so both parts end; there is no limit of rounds. ``assignment_gap`` certifies the cost.
     """
-    edges = staged(edges.select("a", "b", "cost"), "edges")
-    most = edges.agg(F.max("cost").alias("c"), F.countDistinct("a").alias("n")).first()
-    if most["c"] is None:
-        return edges.withColumn("phase", F.lit("auction"))
-    alone = 1.0 + (most["n"] + 1) * float(most["c"])
+    edges = staged(edges.groupBy("a", "b").agg(F.min("cost").cast("double").alias("cost")), "edges")
+    alone = alone_cost(edges)
     spark = edges.sparkSession
-    owned = spark.createDataFrame([], "a long, b long, cost double, price double")
-    out = spark.createDataFrame([], "a long")  # rows that gave up
-    done = False
-    for _ in range(rounds):
-        free = edges.join(owned.select("a"), "a", "left_anti").join(out, "a", "left_anti")
-        valued = free.join(owned.select("b", "price"), "b", "left").withColumn("v", -F.col("cost") - F.coalesce("price", F.lit(0.0)))
-        w = Window.partitionBy("a").orderBy(F.desc("v"), "b")
-        bids = valued.withColumn("r", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("v").over(w), F.lit(-alone))).where("r = 1")
-        bids = staged(bids.select("a", "b", "cost", "v", F.greatest("second", F.lit(-alone)).alias("second"), F.coalesce("price", F.lit(0.0)).alias("old")), "bids")
-        if bids.isEmpty():
-            done = True
+    shape = f"b {edges.schema['b'].dataType.simpleString()}, price double, a {edges.schema['a'].dataType.simpleString()}, cost double"
+    state = spark.createDataFrame([], shape)  # columns with a price or an owner
+    if alone is None:
+        return edges.select("a", "b", "cost", F.lit(0.0).alias("price"))
+    step = max(alone / 4, epsilon)
+    while True:
+        state = _forward(edges, staged(state.select("b", "price", *(F.lit(None).cast(state.schema[c].dataType).alias(c) for c in ("a", "cost"))), "prices"), alone, step)
+        state = _backward(edges, state, alone, step)
+        if step <= epsilon:
             break
-        gave_up = bids.where(F.col("v") < -alone).select("a")
-        offers = bids.where(F.col("v") >= -alone).withColumn("price", F.col("old") + F.col("v") - F.col("second") + epsilon)
-        won = offers.groupBy("b").agg(F.max_by(F.struct("a", "cost", "price"), F.struct("price", -F.col("a"))).alias("x")).select("x.a", "b", "x.cost", "x.price")
-        out = staged(out.unionByName(gave_up), "alone")
-        owned = staged(owned.join(won.select("b"), "b", "left_anti").select("a", "b", "cost", "price").unionByName(won), "owned")
-    matched = owned.select("a", "b", "cost").withColumn("phase", F.lit("auction"))
-    if done:
-        return matched
-    rest = edges.join(owned.select("a"), "a", "left_anti").join(owned.select("b"), "b", "left_anti")
-    return matched.unionByName(greedy(rest).withColumn("phase", F.lit("greedy")))
+        step = max(step / shrink, epsilon)
+    return state.where("a is not null").select("a", "b", "cost", "price")
+
+
+def alone_cost(edges: DataFrame) -> float | None:
+    """What a row that stays alone is taken to cost: more than all rows' dearest edges."""
+    most = edges.agg(F.max("cost").alias("c"), F.countDistinct("a").alias("n")).first()
+    return None if most["c"] is None else 1.0 + (most["n"] + 1) * max(float(most["c"]), 0.0)
+
+
+def assignment_gap(edges: DataFrame, matched: DataFrame) -> DataFrame:
+    """(rows, cost, bound): the assignment's cost, alone rows included, and what no assignment can cost less than, by the prices' dual."""
+    alone = alone_cost(edges) or 0.0
+    gain = F.max(-F.col("cost") - F.coalesce("price", F.lit(0.0)))
+    rows = edges.join(matched.select("b", "price"), "b", "left").groupBy("a").agg(F.greatest(gain, F.lit(-alone)).alias("gain")).agg(F.count("*").alias("rows"), F.sum("gain").alias("gains"))
+    own = matched.agg(F.count("*").alias("n"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"), F.coalesce(F.sum("price"), F.lit(0.0)).alias("prices"))
+    both = rows.join(F.broadcast(own))  # one row each
+    return both.select("rows", (F.col("cost") + (F.col("rows") - F.col("n")) * alone).alias("cost"), (-F.col("gains") - F.col("prices")).alias("bound"))
+
+
+def _two_best(df: DataFrame, by: str, value: str, other: str) -> DataFrame:
+    """Each ``by``'s row of greatest ``value`` (ties to the smaller ``other``), with the second greatest value."""
+    w = Window.partitionBy(by).orderBy(F.desc(value), other)
+    top = df.withColumn("_r", F.row_number().over(w)).where("_r <= 2")
+    full = F.struct(*(F.col(c) for c in df.columns))
+    both = top.groupBy(by).agg(F.max(F.when(F.col("_r") == 1, full)).alias("x"), F.max(F.when(F.col("_r") == 2, F.col(value))).alias("second"))
+    return both.select("x.*", "second")
+
+
+def _forward(edges: DataFrame, state: DataFrame, alone: float, step: float) -> DataFrame:
+    """Rounds of bids of free rows, until each has a column or would rather be alone."""
+    out = None  # rows that stay alone
+    while True:
+        free = edges.join(state.where("a is not null").select("a"), "a", "left_anti")
+        free = free if out is None else free.join(out, "a", "left_anti")
+        valued = free.join(state.select("b", "price"), "b", "left").withColumn("v", -F.col("cost") - F.coalesce("price", F.lit(0.0)))
+        bids = staged(_two_best(valued, "a", "v", "b"), "bids")
+        if bids.isEmpty():
+            return state
+        gave_up = bids.where(F.col("v") < -alone)
+        second = F.greatest(F.coalesce("second", F.lit(-alone)), F.lit(-alone))
+        offers = bids.where(F.col("v") >= -alone).withColumn("price", F.coalesce("price", F.lit(0.0)) + F.col("v") - second + step)
+        won = offers.groupBy("b").agg(F.max_by(F.struct("a", "cost", "price"), F.struct("price", -F.hash("a"), "a")).alias("x")).select("b", "x.price", "x.a", "x.cost")
+        state = staged(state.join(won.select("b"), "b", "left_anti").unionByName(won), "prices")
+        if not gave_up.isEmpty():
+            out = staged(gave_up.select("a") if out is None else out.unionByName(gave_up.select("a")), "alone")
+
+
+def _backward(edges: DataFrame, state: DataFrame, alone: float, step: float) -> DataFrame:
+    """Rounds of bids of columns that have a price and no owner; a row goes to the one it gains most by, and its own column is left."""
+    while True:
+        empty = state.where("a is null and price > 0").select("b", "price")
+        gains = state.where("a is not null").select("a", (-F.col("cost") - F.col("price")).alias("gain"))
+        met = edges.join(empty, "b").join(gains, "a", "left").withColumn("v", -F.col("cost") - F.coalesce("gain", F.lit(-alone)))
+        bids = staged(_two_best(met.select("b", "a", "cost", "v"), "b", "v", "a"), "bids")
+        if bids.isEmpty():
+            return state
+        given_up = bids.where(F.col("v") <= step).select("b")
+        price = F.greatest(F.lit(0.0), F.coalesce("second", F.lit(float("-inf"))) - step)
+        offers = bids.where(F.col("v") > step).withColumn("price", price)
+        won = offers.groupBy("a").agg(F.max_by(F.struct("b", "price", "cost"), F.struct(F.col("v") - F.col("price"), -F.hash("b"), "b")).alias("x")).select("x.b", "x.price", "a", "x.cost")
+        won = staged(won, "won")
+        left = state.join(won.select("b"), "b", "left_anti").join(given_up, "b", "left_anti")
+        moved = left.join(won.select(F.col("a").alias("_a")), F.col("a") == F.col("_a"), "left")
+        gone = F.col("_a").isNotNull()
+        kept = moved.select("b", "price", F.when(~gone, F.col("a")).alias("a"), F.when(~gone, F.col("cost")).alias("cost"))
+        state = staged(kept.unionByName(won.select("b", "price", "a", "cost")), "prices")
 
 
 def first_independent(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:

@@ -14,8 +14,9 @@ from tessera.functions import rna
 from tessera.operators.sequences import capped_copies
 from tessera.staging import staged
 
-ROWS, CELL, SALTS = 256, 256, 16
-_PACKS = "block long, low double, high double, least long, most long, ids array<long>, pack binary"
+#: Rows of a pack, pivots, and salts of a class's rows.
+ROWS, PIVOTS, SALTS = 256, 12, 16
+_PACKS = "block long, least array<double>, most array<double>, low array<double>, high array<double>, ids array<long>, pack binary"
 _NEAR = "a long, b long, d2 double"
 
 
@@ -39,69 +40,121 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T)
 
 
-def _packs(ks: tuple[int, ...], n: int):
+def _away(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(_squares(x, pivots), 0))
+
+
+def _placed(ks: tuple[int, ...], pivots: np.ndarray):
+    """(c, at, away, v): each row's counts, its nearest pivot and how far that is."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = [counted(s, ks) for s in batch.column("seq").to_pylist()]
+            d = _away(np.stack(v).astype(float), pivots)
+            at = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(at, pa.int32()), pa.array(d[np.arange(len(at)), at]), pa.array([x.tobytes() for x in v])], ["c", "at", "away", "v"])
+
+    return place
+
+
+def _packs(pivots: np.ndarray, n: int):
+    """Packs of neighbouring rows: where their distances from each pivot lie, and those of any row that one of theirs may have among its n nearest."""
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                v = np.stack([counted(s, ks) for s in part.column("seq").to_pylist()])
-                s, wide = v[:, : 4 ** ks[0]].sum(1, dtype=np.int64), v.astype(float)
-                reach = np.full(len(v), np.inf)
-                if len(v) > n:
+                blob = part.column("v").to_pylist()
+                wide = np.frombuffer(b"".join(blob), np.int32).reshape(len(blob), -1).astype(float)
+                away, reach = _away(wide, pivots), np.full(len(wide), np.inf)
+                if len(wide) > n:
                     d = _squares(wide, wide)
                     np.fill_diagonal(d, np.inf)
-                    reach = 2 ** ks[0] * np.sqrt(np.partition(d, n - 1, axis=1)[:, n - 1]) + 1  # rounding
-                one = [[block], [float((s - reach).min())], [float((s + reach).max())], [int(s.min())], [int(s.max())], [part.column("c").to_pylist()], [v.tobytes()]]
-                kinds = [pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, kinds)], ["block", "low", "high", "least", "most", "ids", "pack"])
+                    reach = np.sqrt(np.partition(d, n - 1, axis=1)[:, n - 1]) * (1 + 1e-9) + 1e-6 * (1 + away.max())  # rounding
+                sides = [away.min(0), away.max(0), (away - reach[:, None]).min(0), (away + reach[:, None]).max(0)]
+                one = [[block], *([x.tolist()] for x in sides), [part.column("c").to_pylist()], [b"".join(blob)]]
+                kinds = [pa.int64(), *[pa.list_(pa.float64())] * 4, pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, kinds, strict=True)], ["block", "least", "most", "low", "high", "ids", "pack"])
                 block += 1
 
     return pack
 
 
 def _best(n: int):
+    """Packs that are asked stay, those that ask stream past; rows come as (block, asks, ids, pack), the asked one first."""
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                a, b = np.array(row["ids"]), np.array(row["ids_b"])
-                d = _squares(*(np.frombuffer(row[p], np.int32).reshape(len(k), -1).astype(float) for p, k in (("pack", a), ("pack_b", b))))
-                d[a[:, None] == b[None]] = np.inf
-                order = np.argsort(b)  # ties to the smaller id
-                at = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :n]]
+                ids, x = np.array(row["ids"]), np.frombuffer(row["pack"], np.int32).reshape(len(row["ids"]), -1).astype(float)
+                if not row["asks"]:
+                    order = np.argsort(ids)  # ties to the smaller id
+                    held = row["block"], ids[order], x[order]
+                    continue
+                assert held is not None and held[0] == row["block"]
+                d = _squares(x, held[2])
+                d[ids[:, None] == held[1][None]] = np.inf
+                at = np.argsort(d, axis=1, kind="stable")[:, :n]
                 near = np.take_along_axis(d, at, 1)
                 ok = np.isfinite(near)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, at.shape[1])[ok.ravel()]), pa.array(b[at][ok]), pa.array(near[ok])], ["a", "b", "d2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, at.shape[1])[ok.ravel()]), pa.array(held[1][at][ok]), pa.array(near[ok])], ["a", "b", "d2"])
 
     return best
 
 
+def _pairs(packs: DataFrame) -> DataFrame:
+    """(block, block_b): packs that must be compared: on every pivot the second one's distances reach into what the first one asks for.
+
+    They meet in cells of the distance from the one pivot that tells most packs apart; only numbers are moved here.
+    """
+    pivots = len(packs.select(F.max("least")).first()[0] or [])
+    if not pivots:
+        return packs.select("block", F.col("block").alias("block_b"))
+    told = packs.agg(
+        *(F.min(F.get("least", F.lit(p))).alias(f"a{p}") for p in range(pivots)), *(F.max(F.get("most", F.lit(p))).alias(f"b{p}") for p in range(pivots)),
+        *(F.avg(F.least(F.get("high", F.lit(p)), F.lit(1e300)) - F.greatest(F.get("low", F.lit(p)), F.lit(-1e300))).alias(f"w{p}") for p in range(pivots)),
+    ).first()
+    best = min(range(pivots), key=lambda p: told[f"w{p}"] / max(told[f"b{p}"] - told[f"a{p}"], 1e-9))
+    low, high = told[f"a{best}"], told[f"b{best}"]
+    width = max(min(told[f"w{best}"], high - low), (high - low) / 4096, 1e-6)
+    cell = lambda x: F.floor((F.greatest(F.least(x, F.lit(high)), F.lit(low)) - low) / width)
+    cells = lambda a, b: F.explode(F.sequence(cell(F.get(a, F.lit(best))), cell(F.get(b, F.lit(best))))).alias("cell")
+    asks = packs.select("block", "low", "high", cells("low", "high"))
+    held = packs.select(F.col("block").alias("block_b"), "least", "most", cells("least", "most"))
+    inside = F.forall(F.arrays_zip("low", "high", "least", "most"), lambda x: (x["least"] <= x["high"]) & (x["most"] >= x["low"]))
+    return asks.join(held, "cell").where(inside).select("block", "block_b").distinct()
+
+
 def nearest_by_kmers(df: DataFrame, key: str, seq: str, tag: str, ks: tuple[int, ...], n: int) -> DataFrame:
     """(key, tag, near): the ``n`` nearest other rows as (d2, key, tag), by squared distance of k-mer counts, ties to the smaller key; exact.
 
-    Equal sequences are one class, of which the first ``n + 1`` keys are candidates. Classes are packed in blocks in
-    order of their sum of counts for the least k. The n-th distance within a block bounds the true one, and sums of
-    4^k counts differ by at most 2^k times a distance, so only blocks whose sums come that near are compared. Rows
+    Equal sequences are one class, of which the first ``n + 1`` keys are candidates. Classes are packed by their nearest
+    pivot and the distance from it; pivots are a fixed number of classes, and nothing at all (whose distance tells
+    lengths apart). The n-th distance within a pack bounds the true one, and by the triangle inequality distances from
+    a pivot differ by no more than the distance of two rows, so packs beyond that on any pivot are never compared. Rows
     without a sequence or a key take no part.
     """
+    ks = tuple(sorted(ks))
     z = df.select(F.col(key).cast("long").alias("key"), F.col(seq).alias("seq"), F.col(tag).alias("tag")).where("key is not null and seq is not null")
     z = z.withColumn("digest", F.sha2("seq", 256))
     heads = F.array_sort(F.collect_list(F.struct("key", "tag"))).alias("heads")  # n + 1 at most
     classes = capped_copies(z, "key", "seq", n + 1).groupBy("digest").agg(F.min("key").alias("c"), F.first("seq").alias("seq"), heads)
     classes = staged(classes, "classes")
-    in_order = classes.select("c", "seq").repartitionByRange(F.length("seq"), "c").sortWithinPartitions(F.length("seq"), "c")
-    packs = staged(in_order.mapInArrow(_packs(tuple(sorted(ks)), n), _PACKS), "packs")
-    top = packs.agg(F.max("most")).first()[0] or 0
-    cells = lambda low, high: F.explode(F.sequence(F.floor(low / CELL), F.floor(high / CELL))).alias("cell")
-    asks = packs.select("block", F.greatest("low", F.lit(0.0)).alias("low"), F.least("high", F.lit(float(top))).alias("high"))
-    asks = asks.select("*", cells(F.col("low"), F.col("high")))
-    held = packs.select(F.col("block").alias("block_b"), "least", "most", cells(F.col("least"), F.col("most")))
-    pairs = asks.join(held, "cell").where("least <= high and most >= low").select("block", "block_b").distinct()
+    some = classes.select("c", "seq").orderBy(F.xxhash64("c"), "c").limit(PIVOTS)
+    none = np.zeros((1, sum(4**k for k in ks)))
+    vectors = some.mapInArrow(_placed(ks, none), "c long, at int, away double, v binary").select("v").collect()  # PIVOTS small rows
+    pivots = np.concatenate([none, *(np.frombuffer(r["v"], np.int32).astype(float)[None] for r in vectors)])
+    in_order = classes.select("c", "seq").mapInArrow(_placed(ks, pivots), "c long, at int, away double, v binary")
+    in_order = staged(in_order, "counts").repartitionByRange("at", "away", "c").sortWithinPartitions("at", "away", "c")
+    packs = staged(in_order.mapInArrow(_packs(pivots, n), _PACKS), "packs")
     own = packs.select("block", "ids", "pack")
-    full = pairs.join(own, "block").join(own.toDF("block_b", "ids_b", "pack_b"), "block_b").select("ids", "pack", "ids_b", "pack_b")
+    asking = _pairs(packs).join(own, "block").select(F.col("block_b").alias("block"), F.lit(1).alias("asks"), "ids", "pack")
+    met = own.select("block", F.lit(0).alias("asks"), "ids", "pack").unionByName(asking).repartition("block").sortWithinPartitions("block", "asks")
     by = Window.partitionBy("a").orderBy("d2", "b")
-    best = full.mapInArrow(_best(n), _NEAR).withColumn("r", F.row_number().over(by)).where(F.col("r") <= n)
+    best = met.mapInArrow(_best(n), _NEAR).withColumn("r", F.row_number().over(by)).where(F.col("r") <= n)
     entry = lambda d2: F.transform("heads", lambda x: F.struct(d2.alias("d2"), x["key"].alias("key"), x["tag"].alias("tag")))
     others = best.join(classes.select(F.col("c").alias("b"), "heads"), "b").select(F.col("a").alias("c"), entry(F.col("d2")).alias("x"))
     both = others.unionByName(classes.select("c", entry(F.lit(0.0)).alias("x")))

@@ -1,4 +1,7 @@
 import random
+from functools import lru_cache
+
+import numpy as np
 
 from tessera.operators import matching
 
@@ -43,3 +46,69 @@ def test_first_independent_on_a_long_path_and_at_random(spark):
         kept.append(not any(kept[a] for a, b in pairs if b == i))
     got = matching.first_independent(spark.range(80), spark.createDataFrame(pairs, "a long, b long"), "id").collect()
     assert {r.id: r.kept for r in got} == dict(enumerate(kept))
+
+
+def cheapest(edges):
+    """(matched, cost) of the largest, then cheapest assignment, by trying all."""
+    of = {}
+    for a, b, c in edges:
+        of.setdefault(a, []).append((b, c))
+    rows, columns = sorted(of), sorted({b for _, b, _ in edges})
+
+    @lru_cache(None)
+    def best(i, used):
+        if i == len(rows):
+            return (0, 0.0)
+        n, c = best(i + 1, used)
+        options = [(n, c)]
+        for b, cost in of[rows[i]]:
+            bit = 1 << columns.index(b)
+            if not used & bit:
+                n, c = best(i + 1, used | bit)
+                options.append((n - 1, c + cost))
+        return min(options)
+
+    n, c = best(0, 0)
+    return -n, c
+
+
+def test_assignment_is_nearly_the_cheapest_and_certified(spark):
+    rng = random.Random(9)
+    crowded = [(a, b, round(rng.random(), 3)) for a in range(9) for b in range(5) if rng.random() < 0.7]  # more rows than columns
+    roomy = [(100 + a, 100 + b, round(rng.random() * 9, 3)) for a in range(6) for b in range(9) if rng.random() < 0.6]
+    war = [(200 + a, 200 + b, 1.0) for a in range(4) for b in range(3)] + [(300, 300, 5.0), (300, 301, 1.0), (301, 301, 1.0)]
+    edges = crowded + roomy + war
+    df = spark.createDataFrame(edges, "a long, b long, cost double")
+    got = matching.auction(df, 0.05)
+    rows = [tuple(r)[:3] for r in got.collect()]
+    assert set(rows) <= set(edges) and len({r[0] for r in rows}) == len(rows) == len({r[1] for r in rows})
+    want = [cheapest(e) for e in (crowded, roomy, war)]
+    n = len({a for a, _, _ in edges})
+    assert len(rows) == sum(w[0] for w in want) and sum(r[2] for r in rows) <= sum(w[1] for w in want) + n * 0.05
+    gap = matching.assignment_gap(df, got).first()
+    assert gap["rows"] == n and gap["bound"] <= gap["cost"] + 1e-9 and gap["cost"] - gap["bound"] <= n * 0.05 + 1e-9
+    assert matching.auction(df.limit(0), 0.05).count() == 0
+
+
+def test_nearest_by_levels_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(matching, "_CELL", 3)
+    rng = np.random.default_rng(7)
+
+    def made(n, first):
+        x = np.concatenate([rng.normal(50, 2, (n, 1)) for _ in range(1)] + [rng.normal(0.5, 0.1, (n, 1))], axis=1)
+        x[: n // 3] = [50.0, 0.5]  # a third at one point
+        x[n // 3 : n // 2, 0] = rng.uniform(0, 400, n // 2 - n // 3)  # and some far apart
+        return [(first + i, float(round(a)), float(b)) for i, (a, b) in enumerate(x)]
+
+    left, right = made(90, 0), made(240, 1000)
+    for line in (True, False):
+        z = (lambda a, b: (a / 30, b * 4)) if line else (lambda a, b: (np.sin(a), b * b))
+        dfs = [spark.createDataFrame([(i, a, b, *map(float, z(a, b))) for i, a, b in side], "k long, len double, gc double, zl double, zg double") for side in (left, right)]
+        got = matching.candidates(*dfs, "k", {"len": 40.0, "gc": 0.2}, {"len": "zl", "gc": "zg"}, 4).collect()
+        want = []
+        for i, a, b in left:
+            near = sorted((float(np.hypot(*(np.array(z(a, b)) - np.array(z(c, d))))), j) for j, c, d in right if abs(a - c) <= 40 and abs(b - d) <= 0.2)
+            want += [(i, j) for _, j in near[:4]]
+        costs = {(r.a, r.b): r.cost for r in got}
+        assert len(got) == len(costs) == len(want)
+        assert sorted(costs) == sorted(want)

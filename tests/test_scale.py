@@ -83,3 +83,28 @@ def test_catalogue_reads_in_parts_and_pushes_filters(spark):
     assert "LessThan(region,100)" in plan and "EqualTo(significant,1)" in plan
     want = Counter(f"name{i % 7}" for i in range(0, 100, 3))
     assert {r["name"]: r["count"] for r in some.collect()} == want
+
+
+def test_pivots_prune_packs_of_equal_length(spark, monkeypatch):
+    from tessera.operators import nearest
+
+    monkeypatch.setattr(nearest, "ROWS", 8)
+    rng = random.Random(3)
+    centres = ["".join(rng.choice(w) for _ in range(120)) for w in ("AAAU", "GGGC", "AUAU", "GCAA", "CCCU", "UUUG")]
+    seqs = []
+    for i in range(300):
+        s = list(centres[i % 6])
+        for _ in range(rng.randrange(6)):
+            s[rng.randrange(120)] = rng.choice("AUGC")
+        seqs.append((i, "".join(s), i % 2))
+    df = spark.createDataFrame(seqs, "id long, seq string, label int")
+    got = {r.key: [(x.d2, x.key) for x in r.near] for r in nearest.nearest_by_kmers(df, "id", "seq", "label", (2, 3), 3).collect()}
+    v = np.stack([nearest.counted(s, (2, 3)) for _, s, _ in seqs]).astype(float)
+    d = nearest._squares(v, v)
+    for i in range(300):
+        assert got[i] == [(d[i, j], j) for j in sorted((j for j in range(300) if j != i), key=lambda j: (d[i, j], j))[:3]]
+    seen = {}
+    monkeypatch.setattr(nearest, "_pairs", lambda packs, f=nearest._pairs: seen.setdefault("pairs", f(packs)) if seen.setdefault("packs", packs) is not None else None)
+    nearest.nearest_by_kmers(df, "id", "seq", "label", (2, 3), 3)
+    packs = seen["packs"].count()
+    assert packs >= 25 and seen["pairs"].count() < packs**2 / 2
