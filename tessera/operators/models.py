@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import features
@@ -19,6 +19,10 @@ from tessera.operators.statistics import cumulative, distributed_index, two_samp
 from tessera.staging import staged
 
 
+#: Groups, one row each, that one window may number.
+FEW_GROUPS = 100_000
+
+
 def undersampled(df: DataFrame, positive: Column, key: str, ratio: int = 10, seed: int = 42) -> DataFrame:
     """All positives, and ``min(ratio * positives, negatives)`` negatives in seeded-hash order: an exact, repeatable sample."""
     n = df.agg(F.count_if(positive).alias("p")).first()["p"]
@@ -34,12 +38,15 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42
 def group_folds(df: DataFrame, group: str, label: str, k: int) -> DataFrame:
     """Adds fold: a group is in one fold only; groups, largest first within their main label, are dealt out back and forth."""
     g = df.groupBy(group).agg(F.count("*").alias("n"), (F.avg(F.col(label)) >= 0.5).alias("main"))
-    ordered = g.withColumn("_o", F.struct((-F.col("n")).alias("n"), F.col(group).alias("g"))).withColumn("_one", F.lit(1))
-    g = cumulative(ordered, ["main"], "_o", ["_one"])
-    turn = F.col("cum__one") - 1
+    g = staged(g, "groups")
+    if g.count() <= FEW_GROUPS:
+        turn = F.row_number().over(Window.partitionBy("main").orderBy(F.desc("n"), group)) - 1
+    else:  # by ranges
+        ordered = g.withColumn("_o", F.struct((-F.col("n")).alias("n"), F.col(group).alias("g"))).withColumn("_one", F.lit(1))
+        g, turn = cumulative(ordered, ["main"], "_o", ["_one"]), F.col("cum__one") - 1
     lap = F.floor(turn / k)
     fold = F.when(lap % 2 == 0, turn % k).otherwise(k - 1 - turn % k).cast("int")
-    return df.join(g.select(group, fold.alias("fold")), group)
+    return df.join(g.withColumn("fold", fold).select(group, "fold"), group)
 
 
 def forest(features: list[str], label: str, trees: int = 200, depth: int = 30, seed: int = 42) -> Pipeline:

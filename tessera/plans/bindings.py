@@ -50,6 +50,8 @@ def with_views(sql: str, *views: str) -> str:
     if sql.upper().startswith("WITH "):
         sql = sql[5:]
         more = ", "
+    if sql.upper().startswith("RECURSIVE "):
+        sql, recursive = sql[10:], "RECURSIVE "
     return f"WITH {recursive}{', '.join(f'{v} AS ({_SQL[v]})' for v in wanted)}{more or ' '}{sql}"
 
 

@@ -403,11 +403,29 @@ def join_nearest(v: Views) -> DataFrame:
     return rounded(edges(v, 5), "cost", digits=5)
 
 
-@query()
+_EIGHT = _NEAR.replace("WITH z", "WITH RECURSIVE z") + ", k AS (SELECT a, b, round(cost, 9) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cost, b) AS r FROM e) WHERE r <= 8)"
+
+
+@query(
+    _EIGHT
+    + """, o AS (SELECT *, row_number() OVER (ORDER BY cost, a, b) AS n FROM k),
+    g AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS ua, CAST([] AS BIGINT[]) AS ub, false AS took
+     UNION ALL SELECT o.n, CASE WHEN list_contains(ua, a) OR list_contains(ub, b) THEN ua ELSE list_append(ua, a) END, CASE WHEN list_contains(ua, a) OR list_contains(ub, b) THEN ub ELSE list_append(ub, b) END, NOT (list_contains(ua, a) OR list_contains(ub, b)) FROM g JOIN o ON o.n = g.n + 1)
+    SELECT a, b, cost FROM o JOIN g USING (n) WHERE took""",
+    "panel",
+)
 def join_greedy_match(v: Views) -> DataFrame:
     return matching.greedy(edges(v, 8))
 
 
+@query(_EIGHT + " SELECT count(DISTINCT a) AS rows, true AS certified FROM k", "panel")
+def join_assignment_gap(v: Views) -> DataFrame:
+    """The assignment's cost against what its prices show that none can cost less than."""
+    e = models.staged(edges(v, 8), "edges")
+    gap = matching.assignment_gap(e, models.staged(matching.auction(e, epsilon=0.05), "assigned"))
+    return gap.select("rows", (F.col("cost") - F.col("bound")).between(-1e-6, F.col("rows") * 0.05 + 1e-6).alias("certified"))
+
+
 @query()
 def join_assignment(v: Views) -> DataFrame:
     return matching.auction(edges(v, 8), epsilon=0.05)

@@ -24,4 +24,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from tessera.staging import drop_staged
+
+    drop_staged(s)
     s.stop()
