@@ -87,3 +87,19 @@ def lead_score(steepness: Column, amplitude: Column, tm: Column, leak: Column, o
 def any_like(c: Column, parts: list[str]) -> Column:
     """Any of the parts occurs, whatever the case."""
     return F.coalesce(reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(p.lower())) for p in parts)), F.lit(False))
+
+
+# What names a heat-sensing family, wherever it stands and whatever the case, and what rules one out.
+HEAT_TYPES = ["thermoregulator", "thermometer"]
+HEAT_TEXTS = ["thermoregulator", "thermometer", "thermoswitch", "heat shock", "heat-shock"]
+HEAT_IDS = [
+    "ROSE", "FourU", "ToxT", "AilA", "cIII", "agsA", "groES", "clpB", "shuA", "chuA", "cnfY", "cnf1", "ibpA", "IpbA", "rhlA", "lasI", "lsdI", "katA", "cysK-2", "sodB", "pepN", "trxA",
+    "hsp17", "sctS", "sctT", "Cyanobacterial",
+]
+HEAT_NOT = ["Eukaryota"]
+
+
+def heat_family(kind: Column, description: Column, name: Column, significant: Column, taxonomy: Column) -> Column:
+    """A significant region of a heat-sensing family outside the excluded taxa; a missing taxonomy or significance is no."""
+    said = any_like(kind, HEAT_TYPES) | any_like(description, HEAT_TEXTS) | any_like(name, HEAT_IDS)
+    return said & F.coalesce(significant == 1, F.lit(False)) & taxonomy.isNotNull() & ~any_like(taxonomy, HEAT_NOT)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import audits, bindings, fitted, panels, sequences, tables  # noqa: F401  registering
+from tessera.plans import audits, bindings, fitted, panels, reports, sequences, tables  # noqa: F401  registering
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
