@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import attached
+from tessera.llm.rows import may_be
 from tessera.staging import staged
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -227,7 +228,11 @@ def _faulty(rows: DataFrame) -> DataFrame:
     order = F.struct(F.col("turn").isNotNull().alias("set"), F.col("turn").alias("turn"))
     first = once.where("n > 0").groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("many")).where("many > 1")
     apart = F.struct(F.xxhash64("key", "turn").alias("a"), F.xxhash64("turn", "key").alias("b"), F.lit(1).alias("c"))
-    marked = attached(once, first, "key", apart, once.count())
+    first = staged(first, "first-turns")
+    # rows whose role and text stand there once are not shuffled for this
+    asked = may_be(once, "key", first, first.count())
+    alone = asked.where(~F.col("_may")).drop("_may").withColumn("first", F.lit(None).cast(first.schema["first"].dataType))
+    marked = alone.unionByName(attached(asked.where("_may").drop("_may"), first, "key", apart, once.count()))
     body = F.rtrim("text", F.lit(BLANKS))
     fault = (
         F.when(F.col("n") == 0, "gone")

@@ -187,11 +187,14 @@ def test_rows_that_differ_in_a_map_alone(spark):
     assert keyed(df.withColumn("_ROW", F.lit(1)))[1] == "_row_"
 
 
-def test_decisions_on_hot_keys(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 1 << 22])
+def test_decisions_on_hot_keys(spark, monkeypatch, few):
     from tessera.llm import components
+    from tessera.llm import rows as filters
     from tessera.llm.rows import keyed, settled
 
     monkeypatch.setattr(components, "HOT", 3)
+    monkeypatch.setattr(filters, "BROADCAST_KEYS", few)  # by a Bloom filter, and by the hashes themselves
     df = spark.createDataFrame([(i % 7 if i % 3 else 1, "x" if i % 3 else "hot") for i in range(300)], "doc_id long, text string")
     rows, key = keyed(df)
     decided = rows.groupBy(F.col(key).alias("key")).agg((F.first("text") == "hot").alias("once"), F.count("*").alias("many"), F.first("doc_id").alias("d")).where("once or d < 3")
