@@ -162,5 +162,5 @@ def yates(df: DataFrame, a: Column, b: Column) -> DataFrame:
 
 def distributed_index(df: DataFrame, by: list[str], seed: int, key: str, out: str) -> DataFrame:
     """Adds the row's number, from 0, within ``by`` in seeded-hash order."""
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_one", F.lit(1))
+    hashed = df.withColumn("_h", F.struct(F.xxhash64(F.lit(seed), key).alias("h"), F.col(key).alias("k"))).withColumn("_one", F.lit(1))  # ties of the hash by the key
     return cumulative(hashed, by, "_h", ["_one"]).withColumn(out, F.col("cum__one") - 1).drop("_h", "_one", "cum__one", "next")
