@@ -77,12 +77,17 @@ def _prefix(members: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     return ordered[: n - -(-percent * n // 100) + 1]
 
 
+#: Texts whose shingles are held at once.
+SLICE = 1024
+
+
 def described(docs: DataFrame, often, k: int, percent: int) -> DataFrame:
     """(row, doc_id, n, digest, signature, prefix, key) of every row; prefix: 8 bytes for each shingle; key: carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        # the sets of SLICE texts are held at once
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
             columns = [
                 pa.array(np.arange(row, row + len(sets)), pa.int64()),
