@@ -9,11 +9,27 @@ from tessera.llm.queries import tokenizer_path
 from tessera.staging import staged
 
 
+#: Bytes of texts that travel to a Python worker at once.
+BATCH_BYTES = 1 << 22
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds a batch of texts by BATCH_BYTES, where the session sets no bound of its own; the setting stays in the session.
+
+    By default a batch has 10000 rows, however long: executor and worker would each hold several copies of some 20 MB, and
+    more where texts are long. One text longer than the bound is a batch of its own.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told, wordless, empty and null texts among them.
 
     A row is judged by its own columns, whatever its id: ids may be null or repeated, and equal rows share their fate.
     """
+    bounded(spark)
     return language_id.identified_rows(docs)
 
 
@@ -22,21 +38,25 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows equal in every column count as one document.
     """
+    bounded(spark)
     return near_duplicates.kept_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows whose text holds a benchmark window; a null id or a repeated one changes nothing."""
+    bounded(spark)
     return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by the names of their kinds, and n_chars to match; null texts stay null."""
+    bounded(spark)
     return personal_data.redacted(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs every row in sequences of 4096 tokens: repeated ids as often as they come, a null or empty text as its end alone."""
+    bounded(spark)
     return packing.pack(docs, tokenizer_path())
 
 
