@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import attached
 from tessera.llm.rows import keyed, settled
-from tessera.llm.text import CACHE, CACHE_BYTES, words
+from tessera.llm.text import words
 from tessera.staging import staged
 
 BUCKETS = 1 << 15
 TEMPER, SMOOTH, STRENGTH, ACCEPTED = 4.0, 0.5, 20.0, 0.5
 #: Prior of a text in none of the declared languages, all buckets alike, and languages that a task counts at once.
 NONE, HELD = 0.01, 64
+#: Words, and bytes of them, whose buckets a task remembers before it begins anew: some 25 MB.
+MET, MET_BYTES = 1 << 17, 1 << 23
 
 
 class Features(dict):
@@ -45,7 +47,7 @@ class Features(dict):
 
     def of(self, text: str | None) -> np.ndarray:
         """Buckets of the words that hold a letter or anything beyond ASCII."""
-        if len(self) > CACHE or self.size > CACHE_BYTES:
+        if len(self) > MET or self.size > MET_BYTES:
             self.clear()
             self.__init__()
         ws = words(text)
