@@ -20,7 +20,7 @@ def yields(v: Views) -> DataFrame:
     """Three gates for each candidate: z at most -1, a positive change, and no close hit in either tool; order lines are read and grouped once."""
     hit = F.struct(F.col("l_discount").alias("evalue"), (-F.col("l_quantity") / 50).alias("ident"), "l_partkey", "l_linenumber")
     best = [F.min(F.when(F.col("l_linenumber") % 2 == odd, hit))["evalue"].alias(f"e{odd}") for odd in (0, 1)]
-    lines = v.table("lineitem").groupBy("l_orderkey").agg((F.sum("l_tax") - F.sum("l_discount")).alias("dp"), *best)
+    lines = v.table("lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_tax") - F.sum("l_discount"), 9).alias("dp"), *best)
     orders = v.table("orders").select("o_orderkey", "o_totalprice")
     whole = orders.agg(F.avg("o_totalprice").alias("m"), F.stddev_pop("o_totalprice").alias("s"))
     z = orders.join(F.broadcast(whole)).select(F.col("o_orderkey").alias("record_id"), ((F.col("o_totalprice") - F.col("m")) / F.col("s")).alias("z"))  # one row
