@@ -125,8 +125,8 @@ def prj_restriction_sites(v: Views) -> DataFrame:
     "seqs",
 )
 def prj_stem_mutations(v: Views) -> DataFrame:
-    full = v.seqs().withColumn("b", F.translate(_s(), "AUGC", "().."))
-    return ops.stem_mutations(full, ops.base_pairs(full, "record_id", "b"), "record_id", "seq").select("record_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "broken", "rescued")
+    full = ops.with_pairs(v.seqs().withColumn("b", F.translate(_s(), "AUGC", "()..")), "b")
+    return ops.stem_mutations(full, "record_id", "seq").select("record_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "broken", "rescued")
 
 
 @query("SELECT record_id FROM seqs WHERE regexp_full_match(seq, '[AUGC]+')", "seqs")
