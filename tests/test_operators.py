@@ -146,6 +146,20 @@ def test_representatives(spark):
     assert sorted(r.id for r in got) == sorted(i for i, _ in kept)
 
 
+def test_signatures_meet_rarely():
+    """Sequences of four letters share single k-mers with most others; on signatures only similar ones meet often enough."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("AUGC", weights=(5, 3, 1, 1), k=3000)) for _ in range(40)]
+    texts += [t[:1400] + "G" + t[1401:2900] for t in texts[:10]]
+    sets = [sequences.kmer_set(t, 9) for t in texts]
+    told = [{int(t) for got in sequences.signatures(s, 0.8, np.empty(0, np.uint64), np.empty(0, np.int64)) for t in got} for s in sets]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        common = told[i] & told[j]
+        enough = any(sum(t % 32 == level for t in common) >= sequences.needed(level, 0.8) for level in {t % 32 for t in common})
+        assert enough == (both >= 0.8 * (len(sets[i]) + len(sets[j]) - both))
+
+
 def test_clamped(spark):
     df = spark.createDataFrame([(1, "AAGCAAUUGC", "((....))..")], "id int, seq string, b string")
     got = sequences.clamped(df, sequences.base_pairs(df, "id", "b"), "id", "seq", 2).first()
