@@ -106,7 +106,7 @@ def importance_summary(drops: DataFrame) -> DataFrame:
 
 
 #: Letters shuffled at once, and orders of exits that are tried before a sequence is shuffled letter by letter.
-LETTERS, TRIES = 1 << 21, 64
+LETTERS, TRIES = 1 << 18, 64
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -120,8 +120,8 @@ def shuffled(codes: list[np.ndarray], seeds: np.ndarray, tries: int = TRIES) ->
     """A shuffle of each sequence of small numbers, and whether it kept the count of every pair of neighbours.
 
     The exits of each letter are put in a random order until the last ones form a tree into the last letter; then the
-    walk that takes exits in this order uses all of them and ends there. All sequences take one step at a time
-    together. Where no order fits within ``tries``, and under two letters, only the letters' counts are kept. The
+    walk that takes exits in this order uses all of them and ends there. Exits are put in order for all
+    sequences at once. Where no order fits within ``tries``, and under two letters, only the letters' counts are kept. The
     result depends on a sequence and its seed alone.
     """
     rows, kinds = len(codes), int(max((c.max() for c in codes if len(c)), default=0)) + 1
@@ -137,7 +137,7 @@ def shuffled(codes: list[np.ndarray], seeds: np.ndarray, tries: int = TRIES) ->
         source, target, owner = flat[edge], flat[edge + 1], row[edge]
         end = flat[first + n[some] - 1]
         cell = owner * kinds + source
-        starts = np.searchsorted(np.sort(cell), np.arange(len(some) * kinds + 1))
+        starts = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(some) * kinds))])
         order, open_ = np.zeros(len(edge), np.int64), np.ones(len(some), bool)
         base = _mixed(seeds[some].astype(np.uint64))
         for attempt in range(tries):
@@ -146,7 +146,8 @@ def shuffled(codes: list[np.ndarray], seeds: np.ndarray, tries: int = TRIES) ->
                 break
             with np.errstate(over="ignore"):
                 keys = _mixed(base[owner[todo]] + np.uint64(0x9E3779B97F4A7C15) * (place[edge[todo]].astype(np.uint64) + np.uint64(1)) + np.uint64(attempt) * np.uint64(0xD6E8FEB86659FD93))
-            order[todo] = todo[np.lexsort((keys, cell[todo]))]
+            bits = np.uint64(max(int(len(some) * kinds).bit_length(), 1))
+            order[todo] = todo[np.argsort((cell[todo].astype(np.uint64) << (np.uint64(64) - bits)) | (keys >> bits))]  # by cell, then key
             # rows keep their own stretch of ``order``, as cells are sorted by row
             last = np.full((len(some), kinds), -1)
             full = np.flatnonzero(starts[1:] > starts[:-1])
@@ -156,18 +157,11 @@ def shuffled(codes: list[np.ndarray], seeds: np.ndarray, tries: int = TRIES) ->
                 step = np.take_along_axis(last, at, 1)
                 at = np.where((at == end[:, None]) | (step < 0), at, step)
             open_ &= ~(at == end[:, None]).all(1)
-        exits, used = target[order], starts[:-1].copy()
-        walk, now = np.zeros(len(flat), np.int64), flat[first]
-        walk[first] = now
-        going = np.flatnonzero(~open_)
-        for step in range(1, int(n[some].max())):
-            going = going[n[some][going] > step]
-            slot = going * kinds + now[going]
-            now[going] = exits[used[slot]]
-            used[slot] += 1
-            walk[first[going] + step] = now[going]
-        for k, i in enumerate(some):
-            out[i] = walk[first[k] : first[k] + n[i]].astype(codes[i].dtype)
+        exits = target[order]
+        for k in np.flatnonzero(~open_):
+            at = [exits[starts[c] : starts[c + 1]].tolist() for c in range(k * kinds, (k + 1) * kinds)]
+            exit_of, now = [iter(x).__next__ for x in at], int(flat[first[k]])
+            out[some[k]] = np.array([now, *[now := exit_of[now]() for _ in range(n[some[k]] - 1)]], codes[some[k]].dtype)
         kept[some[open_]] = False
     for i in range(rows):
         if not kept[i]:
@@ -192,10 +186,14 @@ def null_model(df: DataFrame, key: str, seq: str, n: int, seed: int = 42) -> Dat
                 stop, size = at, 0
                 while stop < len(texts) and (stop == at or size + len(texts[stop]) <= LETTERS):
                     size, stop = size + len(texts[stop]), stop + 1
-                letters = sorted(set().union(*texts[at:stop]))
-                code = {c: i for i, c in enumerate(letters)}
-                made, kept = shuffled([np.fromiter(map(code.__getitem__, s), np.int64, len(s)) for s in texts[at:stop]], seeds[at:stop])
-                written = ["".join(map(letters.__getitem__, m.tolist())) for m in made]
+                plain = np.frombuffer("".join(texts[at:stop]).encode("utf-32-le", "surrogatepass"), np.uint32)
+                code = np.zeros(int(plain.max(initial=0)) + 1, np.int64)
+                code[plain] = 1
+                letters = np.flatnonzero(code).astype(np.uint32)
+                code[letters] = np.arange(len(letters))
+                ends = np.cumsum([len(t) for t in texts[at:stop]])
+                made, kept = shuffled(np.split(code[plain], ends[:-1]), seeds[at:stop])
+                written = [letters[m].tobytes().decode("utf-32-le", "surrogatepass") for m in made]
                 part = batch.slice(at, stop - at)
                 modes = pa.array(["dinuc" if k else "mono" for k in kept])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(written, pa.string()), modes], names=["key", "shuffle", "sequence", "mode"])

@@ -1,6 +1,7 @@
 """Operators whose plans bear long lines, many copies and large batches, against plain versions."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -49,6 +50,16 @@ def test_shuffles_are_uniform():
     assert len(n) > 5 and max(n.values()) < 1.25 * min(n.values())
 
 
+def test_one_long_sequence_does_not_hold_up_a_shuffle():
+    """A walk costs a sequence's own letters: steps shared by all took seconds for one sequence of many letters."""
+    rng = np.random.default_rng(3)
+    codes, began = [rng.integers(0, 4, n) for n in (1_000_000, 10)], time.process_time()
+    made, kept = models.shuffled(codes, np.arange(2))
+    assert time.process_time() - began < 4 and kept.all()
+    pairs = lambda c: np.bincount(c[:-1] * 4 + c[1:], minlength=16).tolist()
+    assert all(pairs(c) == pairs(m) and c[0] == m[0] and c[-1] == m[-1] for c, m in zip(codes, made, strict=True))
+
+
 def test_null_model_is_the_same_however_it_is_cut(spark):
     df = spark.createDataFrame([(i, "AUGCC" * (i % 9) + "AAUGCA" * (i % 4)) for i in range(60)] + [(99, None)], "id long, seq string")
     a = {(r.key, r.shuffle): (r.sequence, r["mode"]) for r in models.null_model(df.repartition(7), "id", "seq", 3).collect()}
