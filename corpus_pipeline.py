@@ -6,24 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, language_id, near_duplicates, packing, personal_data
 from tessera.llm.queries import tokenizer_path
+from tessera.llm.text import bounded
 from tessera.staging import staged
 
 
-#: Bytes of texts that travel to a Python worker at once.
-BATCH_BYTES = 1 << 22
-
-
-def bounded(spark: SparkSession) -> None:
-    """Bounds a batch of texts by BATCH_BYTES, where the session sets no bound of its own; the setting stays in the session.
-
-    By default a batch has 10000 rows, however long: executor and worker would each hold several copies of some 20 MB, and
-    more where texts are long. One text longer than the bound is a batch of its own.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told, wordless, empty and null texts among them.
 

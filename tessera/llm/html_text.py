@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.text import pieces
+
 # No alternative looks beyond the next "<" or ">" without taking all that it saw, so a page is read in linear time.
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>"
@@ -289,7 +291,7 @@ def extracted(pages: DataFrame, *carried: str) -> DataFrame:
     names = ["page_id", "url", "text", "n_chars", *carried]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), *batch.columns[3:]]
             yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import attached
 from tessera.llm.rows import keyed, settled
-from tessera.llm.text import words
+from tessera.llm.text import bounded, pieces, words
 from tessera.staging import staged
 
 BUCKETS = 1 << 15
@@ -72,7 +72,7 @@ def likelihoods(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(at + i * BUCKETS), pa.array(total[at])], names=["cell", "n"])
             totals.clear()
 
-        for batch in batches:
+        for batch in pieces(batches):
             for text, declared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if declared in number:
                     if number[declared] not in totals:
@@ -101,13 +101,14 @@ def identified(docs: DataFrame, *carried: str) -> DataFrame:
     docs = docs.select(F.col("id").cast("long").alias("id"), *(F.col(c).cast("string").alias(c) for c in ("text", "declared", "suffix", "host")), *carried)
     tag = F.lower(F.trim("declared"))
     docs = docs.withColumn("declared", F.regexp_replace(tag, r"^([a-z]{2,3})[-_].*$", "$1"))
+    bounded(docs.sparkSession)
     languages, table = likelihoods(docs)
     known, languages = bool(languages), languages or ["und"]
     shared = docs.sparkSession.sparkContext.broadcast(table.T.astype(np.float32).copy())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, rows = Features(), shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             said, best, none = [], [], []
             for text in batch.column(1).to_pylist():
                 at = features.of(text)

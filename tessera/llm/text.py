@@ -6,9 +6,12 @@ x20 and x09-x0D alone, which is just what the contracts of the word operators sa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries and bytes of keys of a per-process cache before it is dropped and filled anew, and the longest key that is kept.
@@ -17,6 +20,28 @@ CACHE, CACHE_BYTES, LONGEST = 400_000, 1 << 25, 256
 KEPT = 1 << 16
 
 
+#: Bytes of texts that travel to a Python worker at once, and rows whose texts it holds as strings at once.
+BATCH_BYTES, PIECE = 1 << 22, 64
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds a batch of texts by BATCH_BYTES, where the session sets no bound of its own; the setting stays in the session.
+
+    By default a batch has 10000 rows, however long: executor and worker would each hold several copies of some 20 MB, and
+    more where texts are long. One text longer than the bound is a batch of its own.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to PIECE rows: a worker holds no more texts than these as strings, however many rows a batch has."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, PIECE):
+            yield whole.slice(at, PIECE)
+
+
 def raw(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

@@ -113,3 +113,22 @@ def test_rows_keep_their_own_fate(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, id int")
     assert sorted(r.id for r in li.identified_rows(df).collect()) == [1, 3, 5, 7, 7] and li.identified_rows(df).columns == df.columns
     assert li.identified_rows(df.limit(0)).count() == 0
+
+
+def test_pages_travel_in_bounded_batches(spark):
+    """However many rows a batch could have, a worker gets some megabytes at once and holds few texts as strings."""
+    import pyarrow as pa
+
+    from tessera.llm import text
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        page = spark.createDataFrame([(1, "http://a.b/en/x", "<p>" + " ".join(WORDS["en"] * 6) + "</p>")], "page_id long, url string, html string")
+        assert li.identified(li.of_pages(page)).count() == 1 and spark.conf.get(name) == str(text.BATCH_BYTES)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    whole = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["x"])
+    cut = list(text.pieces(iter([whole])))
+    assert max(b.num_rows for b in cut) == text.PIECE and sum((b.column(0).to_pylist() for b in cut), []) == list(range(1000))
