@@ -14,8 +14,10 @@ from tessera.functions import rna
 from tessera.operators.sequences import capped_copies
 from tessera.staging import staged
 
+#: Bytes of packs that travel to a Python worker at once: by default 10000 packs would, however large.
+BATCH_BYTES = 1 << 24
 #: Rows of a pack, pivots, and salts of a class's rows.
-ROWS, PIVOTS, SALTS = 256, 12, 16
+ROWS, PIVOTS, SALTS = 1024, 12, 16
 _PACKS = "block long, least array<double>, most array<double>, low array<double>, high array<double>, ids array<long>, pack binary"
 _NEAR = "a long, b long, d2 double"
 
@@ -137,7 +139,9 @@ def nearest_by_kmers(df: DataFrame, key: str, seq: str, tag: str, ks: tuple[int,
     a pivot differ by no more than the distance of two rows, so packs beyond that on any pivot are never compared. Rows
     without a sequence or a key take no part.
     """
-    ks = tuple(sorted(ks))
+    ks, bound = tuple(sorted(ks)), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(bound, None) is None:
+        df.sparkSession.conf.set(bound, str(BATCH_BYTES))  # stays in the session
     z = df.select(F.col(key).cast("long").alias("key"), F.col(seq).alias("seq"), F.col(tag).alias("tag")).where("key is not null and seq is not null")
     z = z.withColumn("digest", F.sha2("seq", 256))
     heads = F.array_sort(F.collect_list(F.struct("key", "tag"))).alias("heads")  # n + 1 at most

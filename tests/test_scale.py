@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import models, relations
+from tessera.operators import models, nearest, relations
 
 
 def test_gaps_on_one_contig_in_many_ranges(spark):
@@ -119,3 +119,15 @@ def test_pivots_prune_packs_of_equal_length(spark, monkeypatch):
     nearest.nearest_by_kmers(df, "id", "seq", "label", (2, 3), 3)
     packs = seen["packs"].count()
     assert packs >= 25 and seen["pairs"].count() < packs**2 / 2
+
+
+def test_packs_travel_in_bounded_batches(spark):
+    """By default a worker would get 10000 packs at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        df = spark.createDataFrame([(i, "AUGC" * (i + 2), i % 2) for i in range(6)], "id long, s string, label int")
+        assert nearest.nearest_by_kmers(df, "id", "s", "label", (2,), 1).count() == 6 and spark.conf.get(name) == str(nearest.BATCH_BYTES)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
