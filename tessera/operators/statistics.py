@@ -82,7 +82,8 @@ def with_p_values(tests: DataFrame) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Adds the rank of a column, ties averaged; missing values have none."""
+    """Adds the rank of a column, ties averaged; missing values have none. Rows are staged, as the column is joined on."""
+    df = staged(df, "ranked")
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_x")).agg(F.count("*").alias("n"))
     ranks = cumulative(counts, [], "_x", ["n"]).select("_x", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias(out))
     return df.join(ranks, F.col(column) == F.col("_x"), "left").drop("_x")
@@ -143,7 +144,11 @@ def suffix_min(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", level: float = 0.05) -> DataFrame:
-    """Adds q (p * m / rank, made monotone from the top, at most 1) and significant (q up to ``level``). Tests without p have neither."""
+    """Adds q (p * m / rank, made monotone from the top, at most 1) and significant (q up to ``level``). Tests without p have neither.
+
+    Tests are staged: p is joined on, and worked out twice it may differ in its last bits.
+    """
+    tests = staged(tests, "tests")
     at = cumulative(tests.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_x")).agg(F.count("*").alias("n")), [], "_x", ["n"])
     m = at.agg(F.sum("n").alias("_m"))
     scaled = at.crossJoin(F.broadcast(m)).select("_x", (F.col("_x") * F.col("_m") / F.col("cum_n")).alias("_s"))  # one row

@@ -185,6 +185,18 @@ def test_false_discovery_by_ranges(spark):
         assert (got[i].q is None and got[i].significant is None) if p is None else abs(got[i].q - want) < 1e-12 and got[i].significant == (want <= 0.05)
 
 
+def test_ranks_of_values_that_differ_when_worked_out_again(spark):
+    import random as rnd
+
+    from pyspark.sql import functions as F
+    from tessera.operators import statistics as st
+
+    noisy = F.udf(lambda i: (i + 1) / 20 * (1 + rnd.random() * 1e-9), "double").asNondeterministic()
+    tests = spark.range(16).select("id", noisy("id").alias("p"))  # as sums of doubles, whose rows come in any order
+    assert st.benjamini_hochberg(tests).where("q is null or significant is null").isEmpty()
+    assert {r.id: r["rank"] for r in st.average_ranks(tests, "p", "rank").collect()} == {i: i + 1 for i in range(16)}
+
+
 def test_intervals_to_sequences(spark):
     from tessera.operators import relations as ops
 
