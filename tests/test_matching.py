@@ -3,6 +3,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tessera.operators import matching
 
 
@@ -90,6 +92,21 @@ def test_assignment_is_nearly_the_cheapest_and_certified(spark):
     assert matching.auction(df.limit(0), 0.05).count() == 0
 
 
+def test_assignment_settles_within_parts(spark, monkeypatch):
+    rounds, two_best = [], matching._two_best
+    monkeypatch.setattr(matching, "_two_best", lambda *a: rounds.append(1) or two_best(*a))
+    rng = random.Random(3)
+    edges = [(a, b, round(rng.random(), 3)) for a in range(60) for b in range(a // 2, a // 2 + 4)]  # more rows than columns
+    df = spark.createDataFrame(edges, "a long, b long, cost double")
+    gap = matching.assignment_gap(df, matching.staged(matching.auction(df.withColumn("near", F.col("a")), 0.05, place="near"), "assigned")).first()
+    assert gap["cost"] - gap["bound"] <= 60 * 0.05 + 1e-9 and len(rounds) <= 16  # two a phase; rounds of single bids before
+    monkeypatch.setattr(matching, "PART", 120)
+    got = matching.staged(matching.auction(df.withColumn("near", F.col("a")), 0.05, place="near"), "assigned")
+    parts = matching.assignment_gap(df, got).first()
+    assert abs(parts["cost"] - gap["cost"]) <= 60 * 0.05 and parts["cost"] - parts["bound"] <= 60 * 0.05 + 1e-9
+    assert got.count() == 33 == got.select("a").distinct().count() == got.select("b").distinct().count()
+
+
 def test_nearest_by_levels_equals_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(matching, "_CELL", 3)
     rng = np.random.default_rng(7)
