@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -54,6 +54,21 @@ def forest(features: list[str], label: str, trees: int = 200, depth: int = 30, s
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"), model])
 
 
+#: Rows times trees of one fit, whose nodes the driver holds.
+GROWN = 2_000_000
+
+
+def forests(df: DataFrame, features: list[str], label: str, trees: int = 200, depth: int = 30, seed: int = 42) -> Iterator[tuple[int, PipelineModel]]:
+    """(trees, model): a forest in groups of trees, each fitted when it is asked for; the more rows, the fewer trees at once, as grown trees have nodes in proportion to rows.
+
+    A forest's score is the mean of its trees' shares, so the groups' scores, weighted by their trees, have the whole forest's as their mean.
+    """
+    at_once = max(1, GROWN // max(df.count(), 1))
+    for at in range(0, trees, at_once):
+        n = min(at_once, trees - at)
+        yield n, forest(features, label, n, depth, seed + at).fit(df)
+
+
 def scored(model, df: DataFrame) -> DataFrame:
     """Adds score: the probability of class 1, 0 if the model has never seen it."""
     p = vector_to_array("_p")
@@ -85,6 +100,8 @@ def block_importance(model, df: DataFrame, blocks: dict[str, list[str]], label:
 
     All permutations are one table, a copy of the rows for each block and repeat: every copy takes the block's values from the
     row that a seeded order of that copy puts in its place. They are scored and ranked in one pass each.
+
+    ``model`` may be ``forests``: each of its groups scores all rows and copies, and is let go before the next is fitted.
     """
     df = staged(distributed_index(df, [], seed, key, "_place"), "rows")
     columns = sorted({c for b in blocks.values() for c in b})
@@ -94,9 +111,17 @@ def block_importance(model, df: DataFrame, blocks: dict[str, list[str]], label:
     donor = distributed_index(donor, ["block", "repeat"], seed + 1, "_k", "_place").drop("_k")
     met = own.join(donor, ["block", "repeat", "_place"])
     moved = {c: F.when(F.col("block").isin([b for b, of in blocks.items() if c in of]), F.col(f"_d_{c}")).otherwise(F.col(c)) for c in columns}
-    table = staged(met.select("block", "repeat", *((moved[c] if c in moved else F.col(c)).alias(c) for c in df.columns if c != "_place")), "permuted")
-    whole = two_sample(scored(model, df), [], "score", F.col(label) == 1).select(F.col("auc").alias("_whole"))
-    each = two_sample(scored(model, table), ["block", "repeat"], "score", F.col(label) == 1)
+    copied = met.select("block", "repeat", *((moved[c] if c in moved else F.col(c)).alias(c) for c in df.columns if c != "_place"))
+    table = staged(copied.unionByName(df.drop("_place"), allowMissingColumns=True).withColumn("_row", F.monotonically_increasing_id()), "permuted")
+    parts, weight = [], 0
+    for n, group in [(1, model)] if hasattr(model, "transform") else model:
+        parts.append(staged(scored(group, table).select("_row", (F.col("score") * n).alias("score")), "scores"))
+        weight += n
+    # rounded, as equal rows' shares may be summed in any order
+    score = F.round(F.sum("score") / weight, 12).alias("score")
+    full = staged(table.select("_row", "block", "repeat", label).join(reduce(DataFrame.unionByName, parts).groupBy("_row").agg(score), "_row"), "scores")
+    whole = two_sample(full.where("block is null"), [], "score", F.col(label) == 1).select(F.col("auc").alias("_whole"))
+    each = two_sample(full.where("block is not null"), ["block", "repeat"], "score", F.col(label) == 1)
     return each.join(F.broadcast(whole)).select("block", "repeat", (F.col("_whole") - F.col("auc")).alias("drop"))  # one row
 
 

@@ -79,6 +79,23 @@ def test_block_importance_finds_the_block_that_matters(spark):
     assert shares == {"first": 3, "rest": 3}
 
 
+def test_forest_is_grown_in_groups_whose_rows_times_trees_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(models, "GROWN", 900)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, int(x > 0.5), float(x), float(rng.uniform())) for i, x in enumerate(rng.uniform(size=300))], "id long, label int, a double, b double")
+    sizes = []
+
+    def noted():
+        for n, model in models.forests(df, ["a", "b"], "label", trees=7, depth=4):
+            sizes.append((n, model.stages[-1].getNumTrees))
+            yield n, model
+
+    got = models.block_importance(noted(), df, {"first": ["a"], "rest": ["b"]}, "label", "id", repeats=2).collect()
+    assert sizes == [(3, 3), (3, 3), (1, 1)]
+    drops = {(r.block, r.repeat): r["drop"] for r in got}
+    assert len(drops) == 4 and all(drops["first", r] > 0.3 and abs(drops["rest", r]) < 0.1 for r in range(2))
+
+
 def test_catalogue_reads_in_parts_and_pushes_filters(spark):
     from tessera.sources.readers import catalogue
 
