@@ -56,8 +56,8 @@ class Records(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:  # noqa: N802  Spark's name
         seqs, best = [], {"a": None, "b": None}
-        if self.state.exists():
-            held = self.state.get()
+        held = self.state.get()  # none for a new record; each call to the state is a way to the JVM and back
+        if held is not None:
             seqs, best = list(held[0] or []), {"a": _hit(held[1]), "b": _hit(held[2])}
         known, new, improved, flushed = set(seqs), set(), False, []
         for r in rows:
@@ -82,43 +82,39 @@ class Records(StatefulProcessor):
 
 
 class Chunks(StatefulProcessor):
-    """By chunk: the rows of the open chunk; all of them leave when the last place is filled, or at a flush."""
+    """By chunk: the rows of the open chunk; all of them leave when the last place is filled, or at a flush.
+
+    A chunk has ``stride`` places at most, so its state is one value, read and written once a batch.
+    """
 
     def __init__(self, stride: int):
         self.stride = stride
 
     def init(self, handle) -> None:
-        self.rows = handle.getMapState("rows", "seq_no long", f"record_id string, again boolean, a struct<{_HIT}>, b struct<{_HIT}>, gone boolean")
-        self.progress = handle.getValueState("progress", "part int, held long, gone long")
+        row = f"struct<seq_no long, record_id string, again boolean, a struct<{_HIT}>, b struct<{_HIT}>>"
+        self.state = handle.getValueState("chunk", f"part int, rows array<{row}>, gone array<long>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:  # noqa: N802  Spark's name
-        part, held, gone = self.progress.get() if self.progress.exists() else (0, 0, 0)
+        told = self.state.get()
+        part, held, gone = (0, {}, set()) if told is None else (told[0], {x[0]: (x[1], x[2], _hit(x[3]), _hit(x[4])) for x in told[1]}, set(told[2]))
         flush, late = False, []
         for r in rows:
             if r.kind == "flush":
                 flush = True
-                continue
-            at = (r.seq_no,)
-            old = self.rows.getValue(at) if self.rows.containsKey(at) else None
-            if r.kind == "row" and old is None:
-                self.rows.updateValue(at, (r.record_id, r.again, _hit(r.a), _hit(r.b), False))
-                held += 1
-            elif r.kind == "hit" and old is not None:
-                if old[4]:
-                    late.append(r)
-                else:
-                    self.rows.updateValue(at, (old[0], old[1], _hit(r.a), _hit(r.b), False))
+            elif r.kind == "row" and r.seq_no not in held and r.seq_no not in gone:
+                held[r.seq_no] = (r.record_id, r.again, _hit(r.a), _hit(r.b))
+            elif r.kind == "hit" and r.seq_no in held:
+                held[r.seq_no] = (*held[r.seq_no][:2], _hit(r.a), _hit(r.b))
+            elif r.kind == "hit" and r.seq_no in gone:
+                late.append(r)
         for r in late:
             yield Row(**self._row(key[0], part, "late", r.record_id, r.seq_no, False, r.a, r.b, 0))
-        if held and (flush or held + gone == self.stride):
-            leaving = [(at[0], v) for at, v in self.rows.iterator() if not v[4]]
-            for seq, v in leaving:
+        if held and (flush or len(held) + len(gone) == self.stride):
+            for seq, v in held.items():
                 yield Row(**self._row(key[0], part, "row", v[0], seq, v[1], v[2], v[3], 0))
-            for seq, _ in leaving:  # the place stays known, so that nothing fills it twice
-                self.rows.updateValue((seq,), (None, False, None, None, True))
-            part, held, gone = part + 1, 0, gone + held
-        self.progress.update((part, held, gone))
-        yield Row(**self._row(key[0], part, "open", None, None, False, None, None, held))
+            part, held, gone = part + 1, {}, gone | held.keys()  # the place stays known, so that nothing fills it twice
+        self.state.update((part, [(seq, *v) for seq, v in held.items()], sorted(gone)))
+        yield Row(**self._row(key[0], part, "open", None, None, False, None, None, len(held)))
 
     @staticmethod
     def _row(chunk: int, part: int, kind: str, record: str | None, seq: int | None, again: bool, a, b, held: int) -> dict:

@@ -103,3 +103,33 @@ def test_order_of_hits():
     for h in hits:
         best = h if triage._better(h, best) else best
     assert best == (0.1, 0.9, 2, 4)
+
+
+def test_a_chunk_reads_and_writes_its_state_once_a_batch():
+    from pyspark.sql import Row
+
+    from tessera.streaming.triage import Chunks
+
+    calls, values = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return values.get("x")
+
+        def update(self, x):
+            calls.append("update")
+            values["x"] = x
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802  Spark's name
+            return Value()
+
+    chunks = Chunks(250)
+    chunks.init(Handle())
+    rows = [Row(kind="row", record_id=str(i), seq_no=i, again=False, a=None, b=None) for i in range(250)]
+    first = list(chunks.handleInputRows((0,), iter(rows[:100]), None))
+    assert [r.kind for r in first] == ["open"] and first[0].held == 100 and calls == ["get", "update"]
+    second = list(chunks.handleInputRows((0,), iter([*rows[90:], rows[3]]), None))
+    assert sorted(r.seq_no for r in second if r.kind == "row") == list(range(250)) and calls == ["get", "update"] * 2
+    assert [r.kind for r in chunks.handleInputRows((0,), iter(rows[:5]), None)] == ["open"]
