@@ -35,6 +35,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Characters of a part of a text up to which a task keeps its ids.
 LONGEST = 64
+#: Parts of texts in each of the two generations that a worker keeps, between tasks too: some 25 MB a generation.
+KEPT = 1 << 17
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long"
 
@@ -56,7 +58,7 @@ class TokenIds(dict):
     The tokenizer cuts at white space before anything else, so a text's ids are those of its parts.
     """
 
-    def __init__(self, path: str, keep: int = 350_000):
+    def __init__(self, path: str, keep: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

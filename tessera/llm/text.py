@@ -20,19 +20,21 @@ CACHE, CACHE_BYTES, LONGEST = 400_000, 1 << 25, 256
 KEPT = 1 << 16
 
 
-#: Bytes of texts that travel to a Python worker at once, and rows whose texts it holds as strings at once.
-BATCH_BYTES, PIECE = 1 << 22, 64
+#: Bytes of texts that travel to a Python worker at once, rows whose texts it holds as strings at once, and rows that Spark's
+#: Parquet reader decodes at once.
+BATCH_BYTES, PIECE, READ_ROWS = 1 << 22, 64, 512
 
 
 def bounded(spark: SparkSession) -> None:
-    """Bounds a batch of texts by BATCH_BYTES, where the session sets no bound of its own; the setting stays in the session.
+    """Bounds a batch of texts by BATCH_BYTES and READ_ROWS, where the session sets no bounds of its own; the settings stay in the session.
 
     By default a batch has 10000 rows, however long: executor and worker would each hold several copies of some 20 MB, and
-    more where texts are long. One text longer than the bound is a batch of its own.
+    more where texts are long. One text longer than the bound is a batch of its own. The reader's batches have 4096 rows by
+    default: some 8 MB in one array, which the executor's heap grows for.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(BATCH_BYTES))
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(most))
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

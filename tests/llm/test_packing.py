@@ -112,3 +112,11 @@ def test_pack(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_worker_keeps_few_parts():
+    """What a worker remembers between tasks is bounded: its memory counts for the executor that it belongs to."""
+    ids = packing.TokenIds(public_tokenizers.path("word_bpe_49k.json"))
+    for i in range(300_000):
+        ids.of(str(i))
+    assert len(ids) + len(ids.old) <= 2 * packing.KEPT <= 262_144

@@ -59,3 +59,20 @@ def test_empty_table(spark, odd, at):
     docs = spark.read.parquet(f"{odd}/documents.parquet").limit(0)
     got = stage(spark, docs, odd)
     assert got.count() == 0 and (name == "best_fit_packing" or got.columns == docs.columns)
+
+
+def test_texts_are_read_in_small_batches(spark):
+    """The Parquet reader's rows at once are bounded too, where the session sets no bound of its own."""
+    from tessera.llm import text
+
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        text.bounded(spark)
+        assert spark.conf.get(name) == str(text.READ_ROWS) and text.READ_ROWS <= 1024
+        spark.conf.set(name, "77")
+        text.bounded(spark)
+        assert spark.conf.get(name) == "77"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
