@@ -23,15 +23,17 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import CACHE, CACHE_BYTES, words
+from tessera.llm.text import CACHE, CACHE_BYTES
 from tessera.staging import staged
 
 #: Outcomes of each softmax; groups * groups classes, and places of a class besides place 0.
@@ -46,31 +48,30 @@ END = b""
 ALPHA = 0.1
 #: Words whose counts reach every task.
 HEAD = 1 << 17
+#: Bytes of texts whose words a task looks up at once.
+TOGETHER = 1 << 22
 #: Rounds, rate and minibatch of the training, rows told at once, and tokens of a training task.
 ROUNDS, RATE, BATCH, BLOCK, SHARE = 4, 0.8, 8192, 256, 4_000_000
 _K = np.uint32(0x9E3779B1)
 
 
-class Words(dict):
-    """Running numbers of the words a task has met; bounded in entries and in bytes by ``full``."""
+def _tokens(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Runs of ``TOGETHER`` bytes of texts, or one longer text: different tokens, the place there of each token, where each text ends.
 
-    def __init__(self):
-        super().__init__()
-        self.seen: list[bytes] = []
-        self.size = 0
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.seen)
-        self.seen.append(word)
-        self.size += len(word)
-        return n
-
-    def numbers(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), np.int32, len(ws))
-
-    @property
-    def full(self) -> bool:
-        return len(self.seen) > CACHE or self.size > CACHE_BYTES
+    White space and A-Z are those of ``text.words``; each text has its end as its last token.
+    """
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        till = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, "right")))
+        closed = pc.binary_join_element_wise(pc.fill_null(texts.slice(at, till - at), ""), " ", "")  # what stands after the blank is empty, as END is
+        each = pc.ascii_split_whitespace(pc.ascii_lower(closed))
+        ends, coded = np.cumsum(pc.list_value_length(each).to_numpy()), each.flatten().dictionary_encode()
+        index = coded.indices.to_numpy()
+        kept = index != index[-1]
+        kept[ends - 1] = True  # white space at a text's beginning leaves an empty word, which is none
+        yield coded.dictionary.cast(pa.binary()), index[kept], np.cumsum(kept)[ends - 1]
+        at = till
 
 
 def _held_out() -> F.Column:
@@ -81,31 +82,19 @@ def counted(docs: DataFrame) -> DataFrame:
     """Partial counts (word, n) of the training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts, waiting, size = Words(), np.zeros(0, np.int64), [], 0
-
-        def settle() -> None:
-            nonlocal counts, size
-            if waiting:
-                add = np.bincount(np.concatenate(waiting), minlength=len(vocabulary))
-                add[: len(counts)] += counts
-                counts, size = add, 0
-                waiting.clear()
-
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(vocabulary.seen, pa.binary()), pa.array(counts)], names=["word", "n"])
-
+        held, rows, size = [], 0, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                waiting.append(vocabulary.numbers([*words(text), END]))
-                size += len(waiting[-1])
-                if size > 1_000_000 or vocabulary.full:
-                    settle()
-                    if vocabulary.full:
-                        yield told()
-                        vocabulary, counts = Words(), np.zeros(0, np.int64)
-        settle()
-        if len(vocabulary):
-            yield told()
+            for known, index, _ in _tokens(batch.column(0)):
+                held.append(pa.table({"word": known, "n": np.bincount(index, minlength=len(known))}))
+                rows, size = rows + len(known), size + known.nbytes
+                if rows > CACHE or size > CACHE_BYTES:
+                    held = [pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])]
+                    rows, size = held[0].num_rows, held[0].nbytes
+                    if rows > CACHE // 2 or size > CACHE_BYTES // 2:
+                        yield from held[0].to_batches()
+                        held, rows, size = [], 0, 0
+        if held:
+            yield from pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).to_batches()
 
     return docs.where(~_held_out()).select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long")
 
@@ -128,10 +117,13 @@ class Lexicon:
     def of_class(self, word: bytes) -> int:
         return max(bisect_right(self.starts, word[::-1]) - 1, 0)
 
+    def codes(self, ws: list[bytes]) -> list[int]:
+        """Each word as one number: its place, or its class and a hash."""
+        at = map(self.place.get, ws)
+        return [HEAD_WORDS + max(bisect_right(self.starts, w[::-1]) - 1, 0) + CLASSES * (zlib.crc32(w) & 0xFFFFF) if x is None else x for w, x in zip(ws, at, strict=True)]
+
     def code(self, word: bytes) -> int:
-        """A word as one number: its place, or its class and a hash."""
-        at = self.place.get(word)
-        return at if at is not None else HEAD_WORDS + self.of_class(word) + CLASSES * (zlib.crc32(word) & 0xFFFFF)
+        return self.codes([word])[0]
 
 
 def outcomes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -204,7 +196,7 @@ class Weights:
         z = self.tables[s][0].take(rows[0], axis=0)
         for t, r in zip(self.tables[s][1:], rows[1:], strict=True):
             z += t.take(r, axis=0)
-        z += self.priors[s].take(rows[0] // (ROWS[s][0] // len(self.priors[s])), axis=0)
+        z += self.priors[s] if len(self.priors[s]) == 1 else self.priors[s].take(rows[0] // (ROWS[s][0] // len(self.priors[s])), axis=0)
         np.exp(np.minimum(z, 80, out=z), out=z)
         z *= (1 / (z @ np.ones(SIDE, np.float32)))[:, None]
         return z
@@ -222,7 +214,8 @@ class Weights:
             d[np.arange(len(d)), x.out[s]] -= 1
             for k, r in enumerate(x.rows[s]):
                 runs = Runs(r)
-                self._move(s, k, runs, np.add.reduceat(d.take(runs.order, axis=0), runs.first, axis=0), used, rate)
+                pairs = d.take(runs.order, axis=0).view(np.complex64)  # two outcomes are added at once
+                self._move(s, k, runs, np.add.reduceat(pairs, runs.first, axis=0).view(np.float32), used, rate)
 
     def _move(self, s: int, k: int, runs: Runs, gradient: np.ndarray, used: list[list[np.ndarray]], rate: float) -> None:
         used[s][k][runs.rows] += runs.times
@@ -342,32 +335,55 @@ def _other_words(vocabulary: DataFrame, lexicon) -> tuple[np.ndarray, np.ndarray
     return n, kinds
 
 
-class Known(Words):
-    """What a task has to know of each word it has met, as arrays by running number."""
+class Known(dict):
+    """Running numbers of the words a task has met, and what it has to know of each, as arrays by that number."""
 
     def __init__(self, frequent: dict[bytes, int], lexicon: Lexicon, of_class: np.ndarray, alpha: float):
         super().__init__()
-        self.frequent, self.lexicon, self.of_class, self.alpha = frequent, lexicon, of_class.tolist(), alpha
+        self.frequent, self.lexicon, self.of_class, self.alpha = frequent, lexicon, of_class, alpha
+        self.seen: list[bytes] = []
+        self.size = 0
         self.code, self.count, self.log, self.rest = array("i"), array("q"), array("d"), array("d")
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.seen)
-        self.seen.append(word)
-        self.size += len(word)
-        code, c = self.lexicon.code(word), self.frequent.get(word, 0)
-        log = math.log10(c + self.alpha) if c or code < HEAD_WORDS else 0.0
-        self.code.append(code)
-        self.count.append(c)
-        self.log.append(log)
-        self.rest.append(0.0 if code < HEAD_WORDS else log - self.of_class[(code - HEAD_WORDS) % CLASSES])
-        return n
-
-    def told(self, text: str | None) -> tuple:
-        """(n_tokens, n_known, words_part, rest_part, codes, rare, times): rare words, whose counts are elsewhere."""
-        at = self.numbers([*words(text), END])
+    @property
+    def full(self) -> bool:
+        return len(self.seen) > CACHE or self.size > CACHE_BYTES
+
+    def numbers(self, ws: list[bytes]) -> np.ndarray:
+        """Running numbers of different words; new ones are taken up all at once."""
+        at = list(map(self.get, ws))
+        new = [w for w, n in zip(ws, at, strict=True) if n is None]
+        if new:
+            after = iter(range(len(self.seen), len(self.seen) + len(new)))
+            at = [next(after) if n is None else n for n in at]
+            self._take_up(new)
+        return np.array(at, np.int64)
+
+    def _take_up(self, new: list[bytes]) -> None:
+        self.update(zip(new, range(len(self.seen), len(self.seen) + len(new)), strict=True))
+        self.seen += new
+        self.size += sum(map(len, new))
+        code, log, rest = np.array(self.lexicon.codes(new), np.int32), np.zeros(len(new)), np.zeros(len(new))
+        count = np.fromiter(map(self.frequent.get, new, repeat(0)), np.int64, len(new))
+        told, other = np.flatnonzero((count > 0) | (code < HEAD_WORDS)), np.flatnonzero(code >= HEAD_WORDS)
+        log[told] = [math.log10(c + self.alpha) for c in count[told].tolist()]
+        rest[other] = log[other] - self.of_class[(code[other] - HEAD_WORDS) % CLASSES]
+        for known, more in ((self.code, code), (self.count, count), (self.log, log), (self.rest, rest)):
+            known.frombytes(more.tobytes())
+
+    def told(self, tokens: pa.Array, index: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+        """Of each text (n_tokens, n_known, words_part, rest_part, codes, rare, times): rare words, whose counts are elsewhere."""
+        at = self.numbers(tokens.to_pylist()).take(index)
         code, count, log, rest = (np.frombuffer(x, t).take(at) for x, t in ((self.code, np.int32), (self.count, np.int64), (self.log, float), (self.rest, float)))
-        unique, times = np.unique(at[(count == 0) & (code >= HEAD_WORDS)], return_counts=True)
-        return len(at), int((count > 0).sum()), float(log.sum()), float(rest.sum()), code.tobytes(), [self.seen[u] for u in unique.tolist()], times.tolist()
+        odd = np.flatnonzero((count == 0) & (code >= HEAD_WORDS))
+        pairs, times = np.unique(np.searchsorted(ends, odd, "right") << 32 | at[odd], return_counts=True)
+        cuts = np.searchsorted(pairs, np.arange(len(ends) + 1) << 32).tolist()
+        rare, times = [self.seen[i] for i in (pairs & 0xFFFFFFFF).tolist()], times.tolist()
+        first = 0
+        for i, end in enumerate(ends.tolist()):
+            own, odd = slice(first, end), slice(cuts[i], cuts[i + 1])
+            yield end - first, int(np.count_nonzero(count[own])), float(log[own].sum()), float(rest[own].sum()), code[own].tobytes(), rare[odd], times[odd]
+            first = end
 
 
 def scores(docs: DataFrame, head: int = HEAD, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
@@ -398,11 +414,13 @@ def scores(docs: DataFrame, head: int = HEAD, alpha: float = ALPHA, rounds: int
         row, known = part << 40, Known(frequent.value, shared.value, share_of, alpha)
         for batch in batches:
             out: list[tuple] = []
-            for doc, held, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            docs, held = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for told in _tokens(batch.column(2)):
                 if known.full:
                     known = Known(frequent.value, shared.value, share_of, alpha)
-                out.append((part % rounds, row, doc, held, *known.told(text)))
-                row += 1
+                for one in known.told(*told):
+                    out.append((part % rounds, row, docs[len(out)], held[len(out)], *one))
+                    row += 1
             if out:
                 types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
                 names = ["share", "row", "doc_id", "held_out", "n_tokens", "n_known", "words_part", "rest_part", "codes", "rare", "times"]

@@ -128,3 +128,29 @@ def test_empty_and_all_held_out(spark):
     held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
     rows = lm.scores(spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in rows] == [(3, 0, 0)] * 2 and all(math.isfinite(r.score) for r in rows)
+
+
+def test_tokens_come_without_an_object_for_each_word():
+    """Different words of many texts are told at once, by the rule of words; a null or blank text is its end alone."""
+    import pyarrow as pa
+
+    from tessera.llm.text import words
+
+    texts = [None, "", " ", "\r\n", " \t\x0b lead  trail\n", "\x1c\x1fÁ\xa0B É x\x85y \x0c Z", "a\x00b A", "a a b"]
+    got = []
+    for known, index, ends in lm._tokens(pa.array(texts)):
+        all_of = known.take(pa.array(index)).to_pylist()
+        got += [all_of[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    assert got == [[*words(x), lm.END] for x in texts]
+    assert list(lm._tokens(pa.array([], pa.string()))) == []
+
+
+def test_partial_counts_are_those_of_words(spark, monkeypatch):
+    from tessera.llm.text import words
+
+    rows = [(i, f" W{i % 7} x{i} \t y\n" if i % 5 else None) for i in range(300)]
+    want = Counter(w for i, x in rows if zlib.crc32(str(i).encode()) % 10 for w in [*words(x), lm.END])
+    got = Counter()
+    for r in lm.counted(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[bytes(r.word)] += r.n
+    assert got == want
