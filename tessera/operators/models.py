@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from functools import reduce
 
@@ -130,7 +131,7 @@ def importance_summary(drops: DataFrame) -> DataFrame:
     return drops.groupBy("block").agg(F.count("*").alias("repeats"), F.avg("drop").alias("mean"), F.stddev_pop("drop").alias("deviation"))
 
 
-#: Letters shuffled at once, and orders of exits that are tried before a sequence is shuffled letter by letter.
+#: Letters shuffled at once, and orders of exits that are tried for all sequences before a sequence's last exits are drawn by a walk.
 LETTERS, TRIES = 1 << 18, 64
 
 
@@ -141,13 +142,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _last_exits(exits: dict[int, list[int]], end: int, seed: int) -> dict[int, int]:
+    """The place of one exit of each letter but ``end``, so that these lead to ``end`` from everywhere: each such choice is as likely as any other.
+
+    Wilson's walk: from a letter outside the tree take exits at random until the tree is met; the last one taken from each letter on the way is kept.
+    Steps grow with the exits, as a walk that leaves each letter as often as it is entered meets any letter.
+    """
+    draw, joined, last = random.Random(seed), {end}, {}
+    for letter in exits:
+        now = letter
+        while now not in joined:
+            last[now] = draw.randrange(len(exits[now]))
+            now = exits[now][last[now]]
+        now = letter
+        while now not in joined:
+            joined.add(now)
+            now = exits[now][last[now]]
+    return last
+
+
 def shuffled(codes: list[np.ndarray], seeds: np.ndarray, tries: int = TRIES) -> tuple[list[np.ndarray], np.ndarray]:
     """A shuffle of each sequence of small numbers, and whether it kept the count of every pair of neighbours.
 
     The exits of each letter are put in a random order until the last ones form a tree into the last letter; then the
     walk that takes exits in this order uses all of them and ends there. Exits are put in order for all
-    sequences at once. Where no order fits within ``tries``, and under two letters, only the letters' counts are kept. The
-    result depends on a sequence and its seed alone.
+    sequences at once. Where no order fits within ``tries``, the last exits are drawn as such a tree, which any sequence has.
+    Under two letters, and without any try, only the letters' counts are kept. The result depends on a sequence and its seed alone.
     """
     rows, kinds = len(codes), int(max((c.max() for c in codes if len(c)), default=0)) + 1
     n = np.array([len(c) for c in codes])
@@ -165,7 +185,7 @@ def shuffled(codes: list[np.ndarray], seeds: np.ndarray, tries: int = TRIES) ->
         starts = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(some) * kinds))])
         order, open_ = np.zeros(len(edge), np.int64), np.ones(len(some), bool)
         base = _mixed(seeds[some].astype(np.uint64))
-        for attempt in range(tries):
+        for attempt in range(tries + (tries > 0)):  # the last order is that of all exits but the drawn ones
             todo = np.flatnonzero(open_[owner])
             if not len(todo):
                 break
@@ -174,6 +194,8 @@ def shuffled(codes: list[np.ndarray], seeds: np.ndarray, tries: int = TRIES) ->
             bits = np.uint64(max(int(len(some) * kinds).bit_length(), 1))
             order[todo] = todo[np.argsort((cell[todo].astype(np.uint64) << (np.uint64(64) - bits)) | (keys >> bits))]  # by cell, then key
             # rows keep their own stretch of ``order``, as cells are sorted by row
+            if attempt == tries:
+                break
             last = np.full((len(some), kinds), -1)
             full = np.flatnonzero(starts[1:] > starts[:-1])
             last.ravel()[full] = target[order[starts[full + 1] - 1]]
@@ -183,11 +205,16 @@ def shuffled(codes: list[np.ndarray], seeds: np.ndarray, tries: int = TRIES) ->
                 at = np.where((at == end[:, None]) | (step < 0), at, step)
             open_ &= ~(at == end[:, None]).all(1)
         exits = target[order]
-        for k in np.flatnonzero(~open_):
+        for k in np.flatnonzero(open_) if tries else ():
+            of = {c: exits[starts[k * kinds + c] : starts[k * kinds + c + 1]].tolist() for c in range(kinds)}
+            for c, at in _last_exits({c: x for c, x in of.items() if x}, int(end[k]), int(base[k])).items():
+                where = [starts[k * kinds + c] + at, starts[k * kinds + c + 1] - 1]
+                exits[where] = exits[where[::-1]]
+        for k in range(len(some)) if tries else ():
             at = [exits[starts[c] : starts[c + 1]].tolist() for c in range(k * kinds, (k + 1) * kinds)]
             exit_of, now = [iter(x).__next__ for x in at], int(flat[first[k]])
             out[some[k]] = np.array([now, *[now := exit_of[now]() for _ in range(n[some[k]] - 1)]], codes[some[k]].dtype)
-        kept[some[open_]] = False
+        kept[some] = tries > 0
     for i in range(rows):
         if not kept[i]:
             with np.errstate(over="ignore"):
@@ -196,7 +223,7 @@ def shuffled(codes: list[np.ndarray], seeds: np.ndarray, tries: int = TRIES) ->
 
 
 def null_model(df: DataFrame, key: str, seq: str, n: int, seed: int = 42) -> DataFrame:
-    """(key, shuffle, sequence, mode): ``n`` shuffles of each sequence that keep its dinucleotides (mode 'dinuc'), or where that can't be done its letters ('mono'); seeded by key.
+    """(key, shuffle, sequence, mode): ``n`` shuffles of each sequence that keep its dinucleotides (mode 'dinuc'), or under two letters its letters ('mono'); seeded by key.
 
     A null sequence is an empty one.
     """

@@ -50,6 +50,23 @@ def test_shuffles_are_uniform():
     assert len(n) > 5 and max(n.values()) < 1.25 * min(n.values())
 
 
+def test_shuffles_keep_pairs_where_random_orders_hardly_ever_fit():
+    """Only one of 5000 exits leads to the last letter; after 64 orders such a sequence lost its pairs."""
+    c = np.array([0, 1] * 5000 + [2])
+    made, kept = models.shuffled([c] * 4, np.arange(4))
+    pairs = lambda x: np.bincount(x[:-1] * 3 + x[1:], minlength=9).tolist()
+    assert kept.all() and all(pairs(m) == pairs(c) and (m[0], m[-1]) == (0, 2) for m in made)
+    alone, _ = models.shuffled([c], np.array([2]))
+    assert (alone[0] == made[2]).all()
+    drawn = Counter(tuple(models._last_exits({0: [1, 2, 1, 2], 1: [0, 1, 0], 2: [0, 1]}, 1, i).items()) for i in range(6000))
+    # trees into 1: a letter's exit to 1, or to the other letter if that has one to 1; each place alike
+    assert {frozenset(t) for t in drawn} == {frozenset({(0, a), (2, b)}) for a in range(4) for b in range(2) if not (a in (1, 3) and b == 0)}
+    n = Counter()
+    for t, k in drawn.items():
+        n[frozenset(t)] += k
+    assert max(n.values()) < 1.25 * min(n.values())
+
+
 def test_one_long_sequence_does_not_hold_up_a_shuffle():
     """A walk costs a sequence's own letters: steps shared by all took seconds for one sequence of many letters."""
     rng = np.random.default_rng(3)
