@@ -48,7 +48,9 @@ def yield_summary(v: Views) -> DataFrame:
 
 @query("SELECT record_id, round(z, 6) AS z, round(dp, 6) + 0.0 AS dp, e, gate_z AND gate_dp AND gate_novel AS passes FROM yields", "yields")
 def yield_gates(v: Views) -> DataFrame:
-    return yields(v).select("record_id", F.round("z", 6).alias("z"), (F.round("dp", 6) + 0.0).alias("dp"), F.least("e", F.lit(FAR)).alias("e"), passes().alias("passes"))
+    z = F.round("z", 6)
+    z = F.when((z == 0) & (F.col("z") < 0), F.lit(-0.0)).otherwise(z)  # rounding goes by decimals here, which have no zero below zero; SQL's has
+    return yields(v).select("record_id", z.alias("z"), (F.round("dp", 6) + 0.0).alias("dp"), F.least("e", F.lit(FAR)).alias("e"), passes().alias("passes"))
 
 
 @query("SELECT record_id FROM yields WHERE gate_z AND gate_dp AND gate_novel", "yields")
