@@ -1,10 +1,11 @@
 """Stream triage: a growing source of candidates and of their hits, taken in chunks of a fixed stride.
 
-All progress is Spark's: the checkpoint holds what was read, and two keyed states hold the rest. By record, the first
-place a record had and the best hit of each tool so far. By chunk, the rows of the open chunk with their best hits; it
-is handed on as a whole when it is full, or when a flush asks for the remainder. A batch so reads and writes the state
-of its own keys alone, never the rows of earlier batches. What is handed on is gated and written under its batch id,
-over what a failed attempt of the same batch left, so each chunk has one record.
+All progress is Spark's or lies beside the results. The checkpoint holds what was read and, by record, the places it had
+and the best hit of each tool so far: a streaming aggregate, without Python, that touches a batch's own keys alone. What
+a batch changes is met with the rows of chunks that are still open, which are carried from batch to batch; a chunk
+is handed on as a whole when it is full, or when a flush asks for the remainder. Of closed chunks one row each is read
+again. What is handed on is gated and written under its batch id, over what a failed attempt of the same batch left,
+so each chunk has one record. ``Records`` and ``Chunks`` say the same rules row by row, for tests.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from tessera.operators.statistics import cumulative
 #: What the stream's files hold: candidates ('row'), hits of two tools ('a', 'b'), and flush marks.
 EVENTS = "kind string, record_id string, seq_no long, evalue double, ident double, target long, line long"
 _HIT = "evalue double, ident double, target long, line long"
-_PLACED = f"chunk long, kind string, record_id string, seq_no long, again boolean, a struct<{_HIT}>, b struct<{_HIT}>"
 #: What chunks hand on: 'row' of a closed chunk, 'late' hit for one, and how many rows an open chunk ('open') holds.
 CLOSED = "chunk long, part int, kind string, record_id string, seq_no long, again boolean, evalue_a double, ident_a double, target_a long, evalue_b double, ident_b double, target_b long, held long"
+#: What an open chunk's or a closed chunk's line also holds: how many places are closed, and which, unless it is all of them.
+_STATE = f"{CLOSED}, n_gone int, gone array<long>, batch long"
 TOP = 20
 
 
@@ -104,6 +106,8 @@ class Chunks(StatefulProcessor):
             elif r.kind == "row" and r.seq_no not in held and r.seq_no not in gone:
                 held[r.seq_no] = (r.record_id, r.again, _hit(r.a), _hit(r.b))
             elif r.kind == "hit" and r.seq_no in held:
+                if held[r.seq_no][0] != r.record_id:
+                    continue  # the place is another record's
                 held[r.seq_no] = (*held[r.seq_no][:2], _hit(r.a), _hit(r.b))
             elif r.kind == "hit" and r.seq_no in gone:
                 late.append(r)
@@ -176,19 +180,85 @@ def triage(
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(source)
-    keyed = stream.withColumn("record_id", F.coalesce("record_id", F.lit("")))
-    placed = keyed.groupBy("record_id").transformWithState(Records(stride, seed), _PLACED, "append", "none")
-    closed = placed.groupBy("chunk").transformWithState(Chunks(stride), CLOSED, "append", "none")
 
     def batch(df: DataFrame, number: int) -> None:
         s = df.sparkSession
-        df.write.mode("overwrite").partitionBy("kind").parquet(f"{out}/closed/batch={number}")  # once: the state isn't worked out again
+        before = s.read.schema(_STATE).parquet(f"{out}/closed").where(F.col("batch") < number) if number else s.createDataFrame([], _STATE)
+        now = _closed(_placed(df, stride, seed), before.where((F.col("kind") == "held") & (F.col("batch") == number - 1)), before.where("kind = 'open'"), stride)
+        now.write.mode("overwrite").partitionBy("kind").parquet(f"{out}/closed/batch={number}")  # once: the state isn't worked out again
         own = s.read.schema(CLOSED).parquet(f"{out}/closed/batch={number}")
         judge(own.where("kind = 'row'").drop("kind", "held")).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
         rows = s.read.parquet(f"{out}/rows/batch={number}")
         analysed(rows, gates or {}, rank or ["seq_no"], pilot).write.mode("overwrite").parquet(f"{out}/analysis/batch={number}")
 
-    return closed.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _records(stream, seed).writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _records(stream: DataFrame, seed: int) -> DataFrame:
+    """By record, and by mark of a flush: its places and its best hits, each with the time of the batch that brought it, and the time of its last batch."""
+    mark = F.col("kind") == "flush"
+    name = F.when(mark, F.col("seq_no").cast("string")).otherwise(F.coalesce("record_id", F.lit("")))
+    keyed = stream.withColumn("mark", F.coalesce(mark, F.lit(False))).withColumn("record_id", name).withColumn("at", F.current_timestamp())  # a batch's own, also when it is tried again
+    order = F.struct(*(x for c, x in (("evalue", F.col("evalue")), ("ident", -F.col("ident")), ("target", F.col("target")), ("line", F.col("line"))) for x in (F.col(c).isNull().alias(f"no_{c}"), x.alias(c))), "at")
+    return keyed.groupBy("mark", "record_id").agg(
+        F.collect_set(F.when((F.col("kind") == "row") & (F.col("seq_no") >= seed), F.struct("seq_no", "at"))).alias("places"),
+        *(F.min(F.when(F.col("kind") == k, order)).alias(k) for k in "ab"),
+        F.max("at").alias("now"),
+    )
+
+
+def _placed(records: DataFrame, stride: int, seed: int) -> DataFrame:
+    """(chunk, seq_no, kind, record_id, again, a, b): a batch's new places of its records ('row'), better hits for earlier ones ('hit') and marks ('flush')."""
+    numbers = lambda new: F.array_distinct(F.transform(F.filter("places", lambda x: (x["at"] == F.col("now")) == new), lambda x: x["seq_no"]))
+    told = records.select("*", numbers(False).alias("old"), numbers(True).alias("all_new"))
+    told = told.select("*", F.array_sort(F.array_except("all_new", "old")).alias("new"), F.coalesce(F.greatest("a.at", "b.at") == F.col("now"), F.lit(False)).alias("improved"))
+    entry = lambda seq, kind, again: F.struct(seq.alias("seq_no"), F.lit(kind).alias("kind"), again.alias("again"))
+    rows = F.transform("new", lambda x, i: entry(x, "row", i > 0))
+    hits = F.when(F.col("improved"), F.transform("old", lambda x: entry(x, "hit", F.lit(False)))).otherwise(F.array().cast("array<struct<seq_no: long, kind: string, again: boolean>>"))
+    marks = F.array(entry(F.col("record_id").cast("long"), "flush", F.lit(False)))
+    best = lambda k: F.when(F.col(k).isNotNull(), F.struct(F.col(f"{k}.evalue").alias("evalue"), (-F.col(f"{k}.ident")).alias("ident"), F.col(f"{k}.target").alias("target"))).alias(k)
+    each = told.select("record_id", (F.size("old") > 0).alias("known"), best("a"), best("b"), F.explode(F.when(F.col("mark"), marks).otherwise(F.concat(rows, hits))).alias("x"))
+    return each.select(F.expr(f"(x.seq_no - {seed}) div {stride}").alias("chunk"), "x.seq_no", "x.kind", "record_id", (F.col("x.again") | F.col("known")).alias("again"), "a", "b")
+
+
+def _closed(placed: DataFrame, held: DataFrame, told: DataFrame, stride: int) -> DataFrame:
+    """What a batch hands on (CLOSED, with n_gone and gone): rows of chunks that close, late hits, a line for each chunk that was touched, and the rows of chunks that stay open ('held').
+
+    ``held``: those of the batch before; ``told``: the lines of chunks of all batches before.
+    """
+    hit = lambda k: F.when(F.coalesce(*(F.col(f"{c}_{k}").isNotNull() for c in ("evalue", "ident", "target"))), F.struct(*(F.col(f"{c}_{k}").alias(c) for c in ("evalue", "ident", "target")))).alias(k)
+    carried = held.select("chunk", "seq_no", "kind", "record_id", "again", hit("a"), hit("b"))
+    is_a = lambda *kinds: F.col("kind").isin(*kinds)
+    places = carried.unionByName(placed).repartition("chunk").groupBy("chunk", "seq_no").agg(
+        F.min(F.when(is_a("held", "row"), F.struct(is_a("row").alias("later"), "record_id", "again", "a", "b"))).alias("own"),
+        F.collect_list(F.when(is_a("hit"), F.struct("record_id", "a", "b"))).alias("hits"),
+        F.max(is_a("flush")).alias("flush"),
+        F.max(~is_a("held")).alias("touched"),
+    )
+    chunks = places.groupBy("chunk").agg(F.collect_list(F.struct("seq_no", "own", "hits")).alias("places"), F.max("flush").alias("flush"), F.max("touched").alias("touched"))  # stride places at most
+    known = told.where("n_gone > 0").groupBy("chunk").agg(F.max_by(F.struct("part", "n_gone", "gone"), "batch").alias("t"))
+    full = chunks.join(known, "chunk", "left").select("chunk", "places", "flush", "touched", F.coalesce("t.part", F.lit(0)).alias("part"), F.coalesce("t.n_gone", F.lit(0)).alias("n_gone"), F.coalesce("t.gone", F.array().cast("array<long>")).alias("gone"))
+    taken = lambda p: (F.col("n_gone") == stride) | F.array_contains("gone", p["seq_no"])
+    full = full.select("*", F.filter("places", lambda p: p["own"].isNotNull() & ~taken(p)).alias("own"), F.filter("places", lambda p: taken(p) & (F.size(p["hits"]) > 0)).alias("past"))
+    full = full.withColumn("n", F.size("own")).withColumn("shut", (F.col("n") > 0) & (F.col("flush") | (F.col("n") + F.col("n_gone") == stride)))
+    full = full.withColumn("all_gone", F.col("n_gone") + F.when(F.col("shut"), F.col("n")).otherwise(0))
+
+    def line(kind, part, record=None, seq=None, again=None, a=None, b=None, count=None, n_gone=None, gone=None):
+        null = lambda x, t: F.lit(None).cast(t) if x is None else x.cast(t)
+        sides = [(f"{c}_{k}", null(None if x is None else x[c], t)) for k, x in (("a", a), ("b", b)) for c, t in (("evalue", "double"), ("ident", "double"), ("target", "long"))]
+        said = [("part", null(part, "int")), ("kind", null(kind, "string")), ("record_id", null(record, "string")), ("seq_no", null(seq, "long")), ("again", null(F.lit(False) if again is None else again, "boolean")), *sides]
+        return F.struct(*(x.alias(n) for n, x in [*said, ("held", null(F.lit(0) if count is None else count, "long")), ("n_gone", null(n_gone, "int")), ("gone", null(gone, "array<long>"))]))
+
+    def row(p):
+        better = F.get(F.filter(p["hits"], lambda h: h["record_id"] == p["own"]["record_id"]), F.lit(0))
+        side = {k: F.when(better.isNotNull(), better[k]).otherwise(p["own"][k]) for k in "ab"}
+        return line(F.when(F.col("shut"), F.lit("row")).otherwise(F.lit("held")), F.col("part"), p["own"]["record_id"], p["seq_no"], p["own"]["again"], side["a"], side["b"])
+
+    late = F.flatten(F.transform("past", lambda p: F.transform(p["hits"], lambda h: line(F.lit("late"), F.col("part"), h["record_id"], p["seq_no"], None, h["a"], h["b"]))))
+    gone = F.when(F.col("all_gone") < stride, F.when(F.col("shut"), F.array_sort(F.concat("gone", F.transform("own", lambda p: p["seq_no"])))).otherwise(F.col("gone")))
+    after = line(F.lit("open"), F.col("part") + F.col("shut").cast("int"), count=F.when(F.col("shut"), 0).otherwise(F.col("n")), n_gone=F.col("all_gone"), gone=gone)
+    said = full.select("chunk", F.explode(F.concat(F.transform("own", row), late, F.filter(F.array(after), lambda _: F.col("touched")))).alias("x"))
+    return said.select("chunk", "x.*").select([x.split()[0] for x in _STATE.split(", ")[:-1]])
 
 
 def open_chunks(spark: SparkSession, out: str) -> DataFrame:

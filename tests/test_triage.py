@@ -133,3 +133,60 @@ def test_a_chunk_reads_and_writes_its_state_once_a_batch():
     second = list(chunks.handleInputRows((0,), iter([*rows[90:], rows[3]]), None))
     assert sorted(r.seq_no for r in second if r.kind == "row") == list(range(250)) and calls == ["get", "update"] * 2
     assert [r.kind for r in chunks.handleInputRows((0,), iter(rows[:5]), None)] == ["open"]
+
+
+def test_batches_follow_the_rules_said_row_by_row(spark, tmp_path):
+    """Rows, numbers and hits met again, in any order, in several files, and flushes: as ``Records`` and ``Chunks`` have it. The plan runs no Python for a record."""
+    import random
+
+    from pyspark.sql import Row
+
+    class Value:
+        def __init__(self):
+            self.x = None
+
+        def get(self):
+            return self.x
+
+        def update(self, x):
+            self.x = x
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802  Spark's name
+            return Value()
+
+    def model(kind, *options):
+        made = kind(*options)
+        made.init(Handle())
+        return made
+
+    draw, stride, seed = random.Random(7), 6, 4
+    files = [[row(draw.randrange(50), draw.randrange(60)) for _ in range(12)] + [hit(draw.choice("ab"), draw.randrange(60), draw.choice([0.0, 0.2, 0.5, None]), draw.random(), draw.randrange(9)) for _ in range(14)] for _ in range(3)]
+    files.append([row(i) for i in range(30, 60)] + [hit("a", i, -1.0) for i in range(60)])
+    files.append([("flush", None, stride * i + seed, None, None, None, None) for i in (0, 2, 3)] + [row(7, 99), hit("b", 99, 0.1)])
+    files.append([row(i, 70 + i) for i in range(4, 24)] + [hit("b", i, -2.0) for i in range(95)])
+    records, chunks, want = {}, {}, set()
+    side = lambda x: (None, None, None) if x is None else tuple(x.values() if isinstance(x, dict) else x)[:3]
+    for number, events in enumerate(files):
+        placed, keyed = [], {}
+        for e in events:
+            keyed.setdefault(e[1] or "", []).append(Row(kind=e[0], record_id=e[1], seq_no=e[2], evalue=e[3], ident=e[4], target=e[5], line=e[6]))
+        for key in sorted(keyed):
+            placed += records.setdefault(key, model(triage.Records, stride, seed)).handleInputRows((key,), iter(keyed[key]), None)
+        for c in sorted({p.chunk for p in placed}):
+            own = sorted((p for p in placed if p.chunk == c), key=lambda p: p.record_id)
+            for r in chunks.setdefault(c, model(triage.Chunks, stride)).handleInputRows((c,), iter(own), None):
+                again = r.again if r.kind == "row" else False
+                want.add((number, r.chunk, r.part, r.kind, r.record_id, r.seq_no, again, r.evalue_a, r.ident_a, r.target_a, r.evalue_b, r.ident_b, r.target_b, r.held))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i, events in enumerate(files):
+        spark.createDataFrame(events, triage.EVENTS).coalesce(1).write.mode("append").parquet(source)
+        q = triage.triage(spark, source, out, str(tmp_path / "mark"), lambda rows: rows.withColumn("passes", F.lit(True)), stride=stride, seed=seed)
+        q.awaitTermination()
+    told = spark.read.schema(f"{triage.CLOSED}, batch long").parquet(f"{out}/closed").where("kind <> 'held'")
+    names = [x.split()[0] for x in triage.CLOSED.split(", ")]
+    got = {(r.batch, *(r[n] for n in ("chunk", "part", *names[2:]))) for r in told.collect()}
+    assert {x[3] for x in got} == {"row", "late", "open"} and len({x[2] for x in got}) > 1
+    assert got == want
+    stream = spark.readStream.schema(triage.EVENTS).parquet(source)
+    assert "python" not in triage._records(stream, seed)._jdf.queryExecution().analyzed().toString().lower()
