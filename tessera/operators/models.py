@@ -126,6 +126,185 @@ def block_importance(model, df: DataFrame, blocks: dict[str, list[str]], label:
     return each.join(F.broadcast(whole)).select("block", "repeat", (F.col("_whole") - F.col("auc")).alias("drop"))  # one row
 
 
+#: Trees grown by one task on one copy of the table; values of a binned table that a task may hold; rows of a piece; rows that bins are cut by.
+TREES, BINNED, PIECE, CUT_BY = 5, 1 << 27, 8192, 1 << 16
+#: A leaf's share of class 1 as a whole number, so that sums don't depend on their order.
+SHARE = 1 << 24
+
+
+def grown(bins: np.ndarray, positive: np.ndarray, weight: np.ndarray, tried: int, depth: int, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, cut, left, share) of a classification tree's nodes: by Gini, ``tried`` random features a node, level by level.
+
+    ``bins``: rows by features, bytes; a row goes to ``left`` if its bin is ``cut`` at most, else to ``left + 1``; a leaf's feature is -1.
+    ``weight``: how often a row was drawn, 127 times at most.
+    """
+    width, flat = bins.shape[1], bins.ravel()
+    rows = np.flatnonzero(weight)
+    drawn = ((weight[rows].astype(np.int64) << 1) | positive[rows]).astype(np.int64)
+    node, size, made, parts = np.zeros(len(rows), np.int64), 1, 1, []
+    for level in range(depth + 1):
+        count = (drawn >> 1).astype(float)
+        total, ones = np.bincount(node, count, size), np.bincount(node, count * (drawn & 1), size)
+        feature, cut, left = np.full(size, -1, np.int32), np.zeros(size, np.int32), np.zeros(size, np.int64)
+        parts.append((feature, cut, left, np.divide(ones, total, out=np.zeros(size), where=total > 0)))
+        mixed = np.flatnonzero((ones > 0) & (ones < total)) if level < depth else np.zeros(0, np.int64)
+        if not len(mixed):
+            break
+        place = np.full(size, -1)
+        place[mixed] = np.arange(len(mixed))
+        node, total, ones = place[node], total[mixed], ones[mixed]
+        own = node >= 0
+        node, rows, drawn = node[own], rows[own], drawn[own]
+        before, before_1 = np.cumsum(total) - total, np.cumsum(ones) - ones
+        least = (ones**2 + (total - ones) ** 2) / total
+        best, best_f, best_b = least + 1e-9 * total, np.full(len(mixed), -1), np.zeros(len(mixed), np.int64)
+        some = np.argsort(draw.random((len(mixed), width)), axis=1)[:, :tried]
+        for j in range(some.shape[1]):
+            f = some[:, j]
+            x = np.sort((((node << 8) | flat[rows * width + f[node]]) << 8) | drawn)  # by node, then bin; the row's weight and class ride along
+            key, n = x >> 8, (x >> 1) & 127
+            so_far, so_far_1 = np.cumsum(n), np.cumsum(n * (x & 1))
+            ends = np.flatnonzero((key[1:] != key[:-1]) & (key[1:] >> 8 == key[:-1] >> 8))
+            if not len(ends):
+                continue
+            at = key[ends] >> 8
+            a, a1 = so_far[ends] - before[at], so_far_1[ends] - before_1[at]
+            b, b1 = total[at] - a, ones[at] - a1
+            score = (a1**2 + (a - a1) ** 2) / a + (b1**2 + (b - b1) ** 2) / b
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            most = np.maximum.reduceat(score, first)
+            hit = np.flatnonzero(score == np.repeat(most, np.diff(np.r_[first, len(at)])))
+            hit = hit[np.r_[True, at[hit][1:] != at[hit][:-1]]]
+            better = hit[score[hit] > best[at[hit]]]
+            best[at[better]], best_f[at[better]], best_b[at[better]] = score[better], f[at[better]], key[ends[better]] & 255
+        split = np.flatnonzero(best_f >= 0)
+        child = np.full(len(mixed), -1)
+        child[split] = 2 * np.arange(len(split))
+        feature[mixed[split]], cut[mixed[split]], left[mixed[split]] = best_f[split], best_b[split], made + child[split]
+        own = child[node] >= 0
+        node, rows, drawn = node[own], rows[own], drawn[own]
+        node = child[node] + (flat[rows * width + best_f[node]] > best_b[node])
+        size, made = 2 * len(split), made + 2 * len(split)
+        if not size:
+            break
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def shares(tree: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], bins: np.ndarray) -> np.ndarray:
+    """The share of class 1 in the leaf of each row, in units of 1 / SHARE."""
+    feature, cut, left, share = tree
+    width, flat = bins.shape[1], bins.ravel()
+    at, going = np.zeros(len(bins), np.int64), np.arange(len(bins))
+    while len(going):
+        now = at[going]
+        f = feature[now]
+        inner = f >= 0
+        going, now, f = going[inner], now[inner], f[inner]
+        at[going] = left[now] + (flat[going * width + f] > cut[now])
+    return np.rint(share * SHARE).astype(np.int32)[at]
+
+
+def _pieces(features: list[str], label: str, edges: list[np.ndarray]):
+    """Binned rows that follow each other, as one row: (start, bins, positive); missing values lie in the last bin."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("_place").to_numpy(zero_copy_only=False)
+            bins = np.stack([np.searchsorted(e, batch.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False)).astype(np.uint8) for f, e in zip(features, edges, strict=True)], axis=1) if len(place) else None
+            positive = (batch.column(label).to_numpy(zero_copy_only=False) == 1).astype(np.uint8)
+            cuts = np.flatnonzero(np.r_[True, np.diff(place) != 1]) if len(place) else []
+            for a, b in zip(cuts, [*cuts[1:], len(place)], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([int(place[a])]), pa.array([bins[a:b].tobytes()]), pa.array([positive[a:b].tobytes()])], ["start", "bins", "positive"])
+
+    return pack
+
+
+def _importance_task(rows: int, width: int, blocks: list[list[int]], repeats: int, trees: int, depth: int, seed: int):
+    """(copy, start, shares, positive): sums of a group's trees over all rows, copy 0, and over each copy with a permuted block; groups come whole, by their pieces."""
+    copies = [None, *((b, r) for b in range(len(blocks)) for r in range(repeats))]
+
+    def scored(group: int, held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        held.sort()
+        bins, positive = (np.frombuffer(b"".join(x[i] for x in held), np.uint8) for i in (1, 2))
+        bins = bins.reshape(-1, width)
+        assert len(bins) == len(positive) == rows
+        forest = []
+        for t in range(group * TREES, min((group + 1) * TREES, trees)):
+            draw = np.random.default_rng([seed, 1, t])
+            forest.append(grown(bins, positive, np.minimum(draw.poisson(1.0, rows), 127), int(np.ceil(np.sqrt(width))), depth, draw))
+        for i, copy in enumerate(copies):
+            own = bins
+            if copy:
+                own, of = bins.copy(), blocks[copy[0]]
+                own[:, of] = bins[np.random.default_rng([seed, 2, *copy]).permutation(rows)][:, of]
+            total = sum(shares(tree, own) for tree in forest)
+            for at in range(0, rows, PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at]), pa.array([total[at : at + PIECE].tobytes()]), pa.array([positive[at : at + PIECE].tobytes()])], ["copy", "start", "shares", "positive"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for x in batch.to_pylist():
+                if held and x["group"] != group:
+                    yield from scored(group, held)
+                    held = []
+                group = x["group"]
+                held.append((x["start"], x["bins"], x["positive"]))
+        if held:
+            yield from scored(group, held)
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(copy, start, shares, positive) with the groups' shares added up; rows come by copy and start."""
+    now, total = None, None
+
+    def done() -> pa.RecordBatch:
+        n = len(total)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, now[0], np.int32)), pa.array(total), pa.array(np.frombuffer(now[2], np.uint8).astype(np.int32))], ["copy", "score", "positive"])
+
+    for batch in batches:
+        for x in batch.to_pylist():
+            own = np.frombuffer(x["shares"], np.int32).astype(np.int64)
+            if now is not None and now[:2] == (x["copy"], x["start"]):
+                total += own
+                continue
+            if now is not None:
+                yield done()
+            now, total = (x["copy"], x["start"], x["positive"]), own
+    if now is not None:
+        yield done()
+
+
+def forest_importance(df: DataFrame, features: list[str], blocks: dict[str, list[str]], label: str, key: str, repeats: int = 5, trees: int = 200, depth: int = 30, seed: int = 42) -> DataFrame:
+    """(block, repeat, drop): how much a forest's AUC falls when a block of columns is permuted, the block's columns by one shared permutation.
+
+    A task grows ``TREES`` trees on bootstrap draws of the whole table and scores all rows and copies by them, so neither trees nor copies
+    ever leave it; features are bytes there, cut at 255 quantiles of ``CUT_BY`` rows at most. A table of more than ``BINNED`` such bytes has its forest
+    fitted by levels over all tasks instead (``forests``), which takes a pass for each.
+    """
+    df = staged(distributed_index(df.where(F.col(label).isNotNull()), [], seed, key, "_place"), "rows")
+    rows = df.count()
+    if rows * len(features) > BINNED:
+        return block_importance(forests(df.drop("_place"), features, label, trees, depth, seed), df.drop("_place"), blocks, label, key, repeats, seed)
+    some = df.where(F.col("_place") < CUT_BY).select(*(F.col(f).cast("double") for f in features)).toPandas()
+    edges = [np.unique(np.quantile(x, np.linspace(0, 1, 257)[1:-1], method="lower")) if len(x := some[f].dropna().to_numpy()) else np.zeros(0) for f in features]
+    run = df.select("_place", label, *features).withColumn("_piece", F.floor(F.col("_place") / PIECE)).repartition("_piece").sortWithinPartitions("_place").drop("_piece")
+    pieces = staged(run.mapInArrow(_pieces(features, label, edges), "start long, bins binary, positive binary"), "pieces")
+    groups = -(-trees // TREES)
+    dealt = pieces.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartitionByRange(groups, "group").sortWithinPartitions("group")
+    task = _importance_task(rows, len(features), [[features.index(c) for c in of] for of in blocks.values()], repeats, trees, depth, seed)
+    parts = dealt.mapInArrow(task, "copy int, start long, shares binary, positive binary")
+    full = parts.repartition("copy", "start").sortWithinPartitions("copy", "start").mapInArrow(_added, "copy int, score long, positive int")
+    each = two_sample(staged(full, "scores").withColumn("score", F.col("score") / (trees * SHARE)), ["copy"], "score", F.col("positive") == 1).select("copy", "auc")
+    each = staged(each, "aucs")  # a row for each copy
+    whole = each.where("copy = 0").select(F.col("auc").alias("_whole"))
+    names = F.element_at(F.array(*(F.lit(b) for b in blocks)), (F.floor((F.col("copy") - 1) / repeats) + 1).cast("int"))
+    told = each.where("copy > 0").join(F.broadcast(whole))
+    return told.select(names.alias("block"), ((F.col("copy") - 1) % repeats).alias("repeat"), (F.col("_whole") - F.col("auc")).alias("drop"))
+
+
 def importance_summary(drops: DataFrame) -> DataFrame:
     """(block, repeats, mean, deviation) of the drops over repeats; the deviation is the population's."""
     return drops.groupBy("block").agg(F.count("*").alias("repeats"), F.avg("drop").alias("mean"), F.stddev_pop("drop").alias("deviation"))

@@ -165,3 +165,45 @@ def test_packs_travel_in_bounded_batches(spark):
         assert nearest.nearest_by_kmers(df, "id", "s", "label", (2,), 1).count() == 6 and spark.conf.get(name) == str(nearest.BATCH_BYTES)
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_a_forest_is_grown_and_scored_where_its_rows_are(spark, monkeypatch):
+    """The drops are those of Spark's forest, whose nodes were collected; a task holds all rows as bytes and hands on sums alone."""
+    rng = np.random.default_rng(4)
+    x = rng.uniform(size=(2000, 3))
+    said = (x[:, 0] + 0.3 * x[:, 1] + 0.2 * rng.uniform(size=2000) > 0.75).astype(int)
+    df = spark.createDataFrame([(i, int(y), *map(float, r)) for i, (y, r) in enumerate(zip(said, x, strict=True))], "id long, label int, a double, b double, c double")
+    blocks = {"first": ["a"], "second": ["b"], "nothing": ["c"]}
+    monkeypatch.setattr(models, "PIECE", 300)
+    got = models.forest_importance(df, ["a", "b", "c"], blocks, "label", "id", repeats=2, trees=12).collect()
+    again = models.forest_importance(df.repartition(5), ["a", "b", "c"], blocks, "label", "id", repeats=2, trees=12).collect()
+    drops = lambda rows: {(r.block, r.repeat): r["drop"] for r in rows}
+    assert drops(got) == drops(again) and len(drops(got)) == 6
+    monkeypatch.setattr(models, "BINNED", 1)
+    spark_own = drops(models.forest_importance(df, ["a", "b", "c"], blocks, "label", "id", repeats=2, trees=12).collect())
+    assert all(abs(v - spark_own[k]) < 0.05 for k, v in drops(got).items()) and drops(got)["first", 0] > 0.3 and drops(got)["second", 1] > 0.05
+
+
+def test_trees_split_as_all_cuts_tried_one_by_one_would():
+    rng = np.random.default_rng(6)
+    bins, weight = rng.integers(0, 9, (60, 2)).astype(np.uint8), rng.integers(0, 3, 60)
+    y = ((bins[:, 0] > 4) ^ (bins[:, 1] > 6)).astype(np.uint8)
+    feature, cut, left, share = models.grown(bins, y, weight, 2, 30, np.random.default_rng(1))
+
+    def gini(of):
+        n, k = weight[of].sum(), weight[of & (y == 1)].sum()
+        return (k * k + (n - k) ** 2) / n if n else 0.0
+
+    def check(node, own):
+        n, k = weight[own].sum(), weight[own & (y == 1)].sum()
+        assert abs(share[node] - k / n) < 1e-12
+        tried = {(f, c): gini(own & (bins[:, f] <= c)) + gini(own & (bins[:, f] > c)) for f in (0, 1) for c in range(8)}
+        if feature[node] < 0:
+            assert k in (0, n) or max(tried.values()) <= gini(own) + 1e-9 * n
+            return 1
+        assert abs(tried[feature[node], cut[node]] - max(tried.values())) < 1e-9
+        goes = bins[:, feature[node]] <= cut[node]
+        return 1 + check(left[node], own & goes) + check(left[node] + 1, own & ~goes)
+
+    assert check(0, weight > 0) == len(feature)
+    assert (models.shares((feature, cut, left, share), bins)[weight > 0] == y[weight > 0].astype(int) * models.SHARE).all()
