@@ -7,17 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import rna
 from tessera.operators.sequences import capped_copies
+from tessera.operators.statistics import cumulative
 from tessera.staging import staged
 
 #: Bytes of packs that travel to a Python worker at once: by default 10000 packs would, however large.
 BATCH_BYTES = 1 << 24
 #: Rows of a pack, pivots, and salts of a class's rows.
 ROWS, PIVOTS, SALTS = 1024, 12, 16
+#: Packs that ask are held in so many groups at least, and in one so many at most: a pack that is asked goes to a group once, not to each of its packs.
+GROUPS, TOGETHER = 32, 64
 _PACKS = "block long, least array<double>, most array<double>, low array<double>, high array<double>, ids array<long>, pack binary"
 _NEAR = "a long, b long, d2 double"
 
@@ -83,26 +86,55 @@ def _packs(pivots: np.ndarray, n: int):
     return pack
 
 
-def _best(n: int):
-    """Packs that are asked stay, those that ask stream past; rows come as (block, asks, ids, pack), the asked one first."""
+def _merged(d2: np.ndarray, ids: np.ndarray, best: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least of both by distance, then id, as many as ``best`` has; columns of ``d2`` are in the order of ``ids``."""
+    n, some, d2 = best.shape[1], [], d2.copy()
+    for _ in range(min(n, d2.shape[1])):
+        at = d2.argmin(1)
+        some.append((d2[np.arange(len(d2)), at], ids[at]))
+        d2[np.arange(len(d2)), at] = np.inf
+    far = np.stack([x for x, _ in some] + list(best.T), 1)
+    name = np.stack([x for _, x in some] + list(who.T), 1)
+    order = np.lexsort((name, far), axis=1)[:, :n]
+    return np.take_along_axis(far, order, 1), np.take_along_axis(name, order, 1)
+
+
+def _best(n: int, pivots: np.ndarray):
+    """(a, b, d2) of each row's ``n`` nearest. Packs that ask stay, a group of them at once, those that are asked stream past; rows come by (group, asked).
+
+    Of a pack that asks only rows are compared whose n-th distance so far reaches the asked pack on every pivot.
+    """
+
+    def told(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for ids, _, _, best, who in held.values():
+            ok = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[ok.ravel()]), pa.array(who[ok]), pa.array(best[ok])], ["a", "b", "d2"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        group, held = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
+                if row["group"] != group:
+                    yield from told(held)
+                    group, held = row["group"], {}
                 ids, x = np.array(row["ids"]), np.frombuffer(row["pack"], np.int32).reshape(len(row["ids"]), -1).astype(float)
-                if not row["asks"]:
-                    order = np.argsort(ids)  # ties to the smaller id
-                    held = row["block"], ids[order], x[order]
+                if not row["asked"]:
+                    held[row["block"]] = [ids, x, _away(x, pivots), np.full((len(ids), n), np.inf), np.zeros((len(ids), n), np.int64)]
                     continue
-                assert held is not None and held[0] == row["block"]
-                d = _squares(x, held[2])
-                d[ids[:, None] == held[1][None]] = np.inf
-                at = np.argsort(d, axis=1, kind="stable")[:, :n]
-                near = np.take_along_axis(d, at, 1)
-                ok = np.isfinite(near)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, at.shape[1])[ok.ravel()]), pa.array(held[1][at][ok]), pa.array(near[ok])], ["a", "b", "d2"])
+                order = np.argsort(ids)  # ties to the smaller id
+                ids, x, low, high = ids[order], x[order], np.array(row["least"]), np.array(row["most"])
+                for block in row["asks"]:
+                    own = held[block]
+                    reach = (np.sqrt(own[3][:, -1]) * (1 + 1e-9) + 1e-6 * (1 + own[2].max()))[:, None]  # rounding
+                    near = np.flatnonzero(((own[2] - reach <= high) & (own[2] + reach >= low)).all(1))
+                    d = _squares(own[1][near], x)
+                    if block == row["block"]:
+                        d[own[0][near][:, None] == ids[None]] = np.inf
+                    some = (d <= own[3][near][:, -1:]).any(1)
+                    near = near[some]
+                    own[3][near], own[4][near] = _merged(d[some], ids, own[3][near], own[4][near])
+        yield from told(held)
 
     return best
 
@@ -143,7 +175,7 @@ def nearest_by_kmers(df: DataFrame, key: str, seq: str, tag: str, ks: tuple[int,
     if df.sparkSession.conf.get(bound, None) is None:
         df.sparkSession.conf.set(bound, str(BATCH_BYTES))  # stays in the session
     z = df.select(F.col(key).cast("long").alias("key"), F.col(seq).alias("seq"), F.col(tag).alias("tag")).where("key is not null and seq is not null")
-    z = z.withColumn("digest", F.sha2("seq", 256))
+    z = staged(z.withColumn("digest", F.sha2("seq", 256)), "rows")  # texts meet their labels once
     heads = F.array_sort(F.collect_list(F.struct("key", "tag"))).alias("heads")  # n + 1 at most
     classes = capped_copies(z, "key", "seq", n + 1).groupBy("digest").agg(F.min("key").alias("c"), F.first("seq").alias("seq"), heads)
     classes = staged(classes, "classes")
@@ -154,11 +186,16 @@ def nearest_by_kmers(df: DataFrame, key: str, seq: str, tag: str, ks: tuple[int,
     in_order = classes.select("c", "seq").mapInArrow(_placed(ks, pivots), "c long, at int, away double, v binary")
     in_order = staged(in_order, "counts").repartitionByRange("at", "away", "c").sortWithinPartitions("at", "away", "c")
     packs = staged(in_order.mapInArrow(_packs(pivots, n), _PACKS), "packs")
-    own = packs.select("block", "ids", "pack")
-    asking = _pairs(packs).join(own, "block").select(F.col("block_b").alias("block"), F.lit(1).alias("asks"), "ids", "pack")
-    met = own.select("block", F.lit(0).alias("asks"), "ids", "pack").unionByName(asking).repartition("block").sortWithinPartitions("block", "asks")
-    by = Window.partitionBy("a").orderBy("d2", "b")
-    best = met.mapInArrow(_best(n), _NEAR).withColumn("r", F.row_number().over(by)).where(F.col("r") <= n)
+    count = packs.count()
+    groups = max(GROUPS, -(-count // TOGETHER))
+    number = cumulative(packs.select("block").withColumn("_one", F.lit(1)), [], "block", ["_one"])
+    part = staged(number.select("block", F.floor((F.col("cum__one") - 1) * groups / count).alias("group")), "groups")
+    pairs = _pairs(packs).join(part, "block").groupBy("group", "block_b").agg(F.collect_list("block").alias("asks"))  # of one group
+    own = packs.select("block", "least", "most", "ids", "pack")
+    asked = pairs.withColumnRenamed("block_b", "block").join(part.withColumnRenamed("group", "_home"), "block").join(own, "block").withColumn("asked", F.when(F.col("_home") == F.col("group"), 1).otherwise(2)).drop("_home")
+    met = own.join(part, "block").withColumn("asked", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    met = met.repartitionByRange(groups, "group").sortWithinPartitions("group", "asked", "block")
+    best = staged(met.mapInArrow(_best(n, pivots), _NEAR), "nearest")
     entry = lambda d2: F.transform("heads", lambda x: F.struct(d2.alias("d2"), x["key"].alias("key"), x["tag"].alias("tag")))
     others = best.join(classes.select(F.col("c").alias("b"), "heads"), "b").select(F.col("a").alias("c"), entry(F.col("d2")).alias("x"))
     both = others.unionByName(classes.select("c", entry(F.lit(0.0)).alias("x")))

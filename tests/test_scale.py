@@ -207,3 +207,31 @@ def test_trees_split_as_all_cuts_tried_one_by_one_would():
 
     assert check(0, weight > 0) == len(feature)
     assert (models.shares((feature, cut, left, share), bins)[weight > 0] == y[weight > 0].astype(int) * models.SHARE).all()
+
+
+def test_what_was_shuffled_for_a_staged_table_is_deleted_at_once(spark):
+    from tessera.staging import staged
+
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    df = staged(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count(), "counts")
+    until = time.monotonic() + 5
+    while files() - before and time.monotonic() < until:  # executors are told, not waited for
+        time.sleep(0.1)
+    assert files() <= before and df.count() == 10
+
+
+def test_nearest_in_groups_of_packs_equals_all_pairs(spark, monkeypatch):
+    """Packs that ask are held in groups, so one that is asked travels once a group, not once for each pack that asks."""
+    monkeypatch.setattr(nearest, "ROWS", 8)
+    rng = np.random.default_rng(8)
+    seqs = [(i, "".join(rng.choice(list("AUGC"), rng.integers(3, 60))), int(i % 3 == 0)) for i in range(200)]
+    df = spark.createDataFrame(seqs, "id long, seq string, label int")
+    v = np.stack([nearest.counted(s, (2, 3)) for _, s, _ in seqs]).astype(float)
+    d = nearest._squares(v, v)
+    for groups, together in ((1, 3), (2, 64), (50, 64)):
+        monkeypatch.setattr(nearest, "GROUPS", groups)
+        monkeypatch.setattr(nearest, "TOGETHER", together)
+        got = {r.key: [(x.d2, x.key) for x in r.near] for r in nearest.nearest_by_kmers(df, "id", "seq", "label", (2, 3), 3).collect()}
+        for i in range(200):
+            assert got[i] == [(d[i, j], j) for j in sorted((j for j in range(200) if j != i), key=lambda j: (d[i, j], j))[:3]]
