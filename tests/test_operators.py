@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,38 @@ def test_representatives(spark):
     assert sorted(r.id for r in got) == sorted(i for i, _ in kept)
 
 
+def test_marks_in_common_are_counted_for_some_sets_at_a_time(monkeypatch):
+    monkeypatch.setattr(sequences, "MET", 50)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 25))).astype(np.uint32) for _ in range(40)]
+    want = {(i, j): n for i, j in itertools.combinations(range(40), 2) if (n := len(np.intersect1d(sets[i], sets[j]))) >= 4}
+    got = [x for a, b, n in sequences._alike_marks([s.tobytes() for s in sets], 4) for x in zip(zip(a.tolist(), b.tolist(), strict=True), n.tolist(), strict=True)]
+    assert dict(got) == want and len(got) == len(want) > 50
+
+
+def test_pairs_that_meet_by_chance_stay_in_their_task(spark, monkeypatch):
+    """Each pair with a signature in common was shuffled; now those that may have enough of them are, whatever the number of buckets."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("AUGC", weights=(6, 3, 1, 1), k=1200)) for _ in range(30)]
+    texts += [t[:500] + "GC" + t[502:1190] for t in texts[:6]]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, s string")
+    want = {(str(i), str(30 + i)) for i in range(6)}
+    assert {(r.a, r.b) for r in sequences.similar(df, "id", "s").collect()} == want
+    one, told = [], sequences._signed
+    monkeypatch.setattr(sequences, "_signed", lambda *a: one.append(a[-1]) or told(*a))
+    monkeypatch.setattr(sequences, "HELD", 300)
+    assert {(r.a, r.b) for r in sequences.similar(df, "id", "s").collect()} == want and one[0] > 2
+    rows = pa.RecordBatch.from_pydict({"k": [str(i) for i in range(36)], "s": texts})
+    signed = list(told(9, 0.8, np.empty(0, np.uint64), np.empty(0, np.int64), 1)(iter([rows])))
+    table = pa.Table.from_batches(signed).sort_by("part").combine_chunks().to_batches()
+    met = pa.Table.from_batches(list(sequences._met(0.8)(iter(table)))).to_pylist()
+    held = {}
+    for r in pa.Table.from_batches(signed).to_pylist():
+        held.setdefault(r["k"], set()).update((r["part"], m) for m in np.frombuffer(r["marks"], np.uint32).tolist())
+    by_chance = sum(1 for a, b in itertools.combinations(held, 2) if held[a] & held[b])
+    assert want <= {(min(r["a"], r["b"], key=int), max(r["a"], r["b"], key=int)) for r in met} and len({(r["a"], r["b"]) for r in met}) < by_chance / 2
+
+
 def test_signatures_meet_rarely():
     """Sequences of four letters share single k-mers with most others; on signatures only similar ones meet often enough."""
     rng = random.Random(4)
